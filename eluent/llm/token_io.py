@@ -34,28 +34,52 @@ END_ID = 2
 
 
 class WordIds(dict):
-    """Ids of a white-space separated word, as little-endian uint32; bounded. The tokenizer drops white space, so the ids of a text are those of its words in turn."""
+    """Ids of a white-space separated, ASCII-lower-cased word, as little-endian uint32.
 
-    LIMIT = 300_000
+    For tokenizers that lower-case and drop white space, so that the ids of a text are those of its words in turn; a full stop or
+    comma after a letter is a word of its own there. Bounded: two generations of words are kept.
+    """
+
+    LIMIT, TOGETHER = 250_000, 1_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, "<u4").tobytes()
-        return value
+        self.learn({word})
+        return self[word]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes those not yet known in one call."""
-        new = [w for w in words if w not in self]
+        """Makes sure that all of ``words`` are known; the tokenizer sees the new ones, many at a time."""
+        new = words - self.keys()
         if len(self) + len(new) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            new = words
+        older, ends = self.older, (b".", b",")
+        stems = {w[:-1] if w.endswith(ends) and w[-2:-1].isalpha() else w for w in new} - self.keys()
+        if len(stems) < len(new):
+            stems |= {*ends} - self.keys()
+        for w in stems & older.keys():
+            self[w] = older[w]
+        stems = [w for w in stems if w not in older]
+        for i in range(0, len(stems), self.TOGETHER):
+            self._encode(stems[i : i + self.TOGETHER])
+        for w in new:
+            if w not in self:
+                self[w] = self[w[:-1]] + self[w[-1:]]
+
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        place = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+        ids, cuts = np.array(e.ids, "<u4"), np.searchsorted(place, begins).tolist()
+        for w, a, b in zip(words, cuts, cuts[1:], strict=False):
+            self[w] = ids[a:b].tobytes()
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, words))
@@ -125,8 +149,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, leng
             fs.move(temp, f"{top}/{name}")
             done.append((name, n_docs, n_ids))
 
-        for b in common.batches(it):
-            words = [x.split() for x in common.text_bytes(b.column(1))]
+        for b in common.batches(it, 500):
+            words = [x.lower().split() for x in common.text_bytes(b.column(1))]
             known.learn(set().union(*words))
             for doc_id, w in zip(b.column(0).to_pylist(), words, strict=True):
                 if out is None:
