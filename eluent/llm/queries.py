@@ -19,8 +19,20 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.digest(secrets.spans(_documents(spark, sf_dir)))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.decisions(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_output": op10_token_output}
+    return {f.__name__: f for f in (op4_mixing, op6_secret_scan, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -290,8 +290,9 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, the hash of the base spans, and all spans as text."""
     base = [r.kind for r in BASE]
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(of(base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
