@@ -31,9 +31,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(_documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.dedup(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_secret_scan, op10_token_output)}
+    return {f.__name__: f for f in (op4_mixing, op6_secret_scan, op8_decontamination, op9_substring_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontam
+
+    return {"op8_decontamination": decontam.SQL}
