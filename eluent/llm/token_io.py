@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+@cache
+def known_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def schema(width: int, length: int) -> pa.Schema:
     kind = pa.uint16() if width == 2 else pa.uint32()
     return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length)), ("end", pa.list_(pa.bool_(), length)), ("doc_id", pa.list_(pa.int64()))])
@@ -136,7 +143,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, leng
 
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        known = WordIds(tokenizer)
+        known = known_ids(tokenizer)
         width = 2 if known.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         fs, top = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         fs.create_dir(top, recursive=True)
