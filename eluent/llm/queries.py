@@ -19,6 +19,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.components(_documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -44,7 +50,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_secret_scan, op8_decontamination, op9_substring_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_mixing, op6_secret_scan, op8_decontamination, op9_substring_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
