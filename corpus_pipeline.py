@@ -1,10 +1,76 @@
-"""Corpus pipeline over ``documents``: stages are written as Parquet and read again between each other."""
+"""Corpus pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with their columns; the last returns what its token files
+hold. Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eluent.llm import common, decontam, langid, mixing, ngram_join, token_io
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without those of ``ids`` (a saved table with _doc_id)."""
+    return common.semi_join(docs.withColumn("_doc_id", F.col("doc_id").cast("long")), ids, "_doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without letters, or with evidence that points nowhere, go."""
+    judged = langid.identify_documents(docs)
+    rejected = judged.groupBy(F.col("id").alias("_doc_id")).agg(F.count("lang").alias("n")).where("n = 0 and _doc_id is not null").select("_doc_id")
+    return _without(docs, common.saved(rejected, "rejected"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group; of rows with one doc_id, one."""
+    groups = common.saved(ngram_join.components(docs), "groups")
+    dropped = common.saved(groups.where("component_id < doc_id").select(F.col("doc_id").alias("_doc_id")).distinct(), "dropped")
+    kept = _without(docs, dropped)
+    repeated = common.saved(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc_id")).count().where("count > 1").select("_doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = common.semi_join(kept.withColumn("_doc_id", F.col("doc_id").cast("long")), repeated, "_doc_id").dropDuplicates(["_doc_id"]).drop("_doc_id")
+    return _without(kept, repeated).unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents, each as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the token files: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    return token_io.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix),
+    ("token output", tokens),
+]
+
+#: The stages draw by hash, fit a text model and run a BPE tokenizer: SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.saved(docs, "stage")
+    return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,37 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_documents(spark, sf_dir))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by markup, address and host, and documents by the language and source they come with; one text model for both."""
+    from . import langid
+
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.selectExpr("doc_id as id", "text", "lang"))
+    of_docs = langid.identify_documents(docs, model)
+    of_pages = langid.identify(langid.evidence_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), model, markup=True)
+    none = F.lit(None).cast("long")
+    columns = ["lang", "best", "posterior"]
+    return of_docs.select(F.col("id").alias("doc_id"), none.alias("page_id"), *columns).union(of_pages.select(none, "id", *columns))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rollups
+
+    return rollups.history(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -50,10 +82,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_mixing, op6_secret_scan, op8_decontamination, op9_substring_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_language_id, op4_mixing, op5_chat, op6_secret_scan, op7_token_counts, op8_decontamination, op9_substring_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam
+    from . import decontam, rollups
 
-    return {"op8_decontamination": decontam.SQL}
+    return {"op7_token_counts": rollups.SQL, "op8_decontamination": decontam.SQL}
