@@ -1,0 +1 @@
+"""Nothing here is a stream: every input is a finished acquisition. The package stands for readers to find that stated."""
