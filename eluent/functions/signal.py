@@ -5,7 +5,7 @@ Retention times are minutes. Areas of detected peaks are in intensity-seconds, t
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTENSITY_OFFSET = 50.0
@@ -173,3 +173,47 @@ def peak_properties(points: Column, lo: Column, hi: Column) -> Column:
     p = F.slice(points, (lo + 1).cast("int"), (hi - lo + 1).cast("int"))
     a, b, y = p[0]["rt"], F.element_at(p, -1)["rt"], intensities(p)
     return F.struct(a.alias("rtmin"), b.alias("rtmax"), peak_area(p).alias("area"), F.get(p, (apex_index(p) - 1).cast("int"))["rt"].alias("rt"), (b - a).alias("width"), (F.array_max(y) - F.array_min(y)).alias("height"))
+
+
+def _mean(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def _deviation(values: Column) -> Column:
+    """Of the population; null for no values."""
+    m = _mean(values)
+    return F.sqrt(_mean(F.transform(values, lambda x: (x - m) * (x - m))))
+
+
+def with_snr(rows: DataFrame, points: str = "points", lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """``rows`` with ``snr``, a struct of sn, baseline, sn_2, sn_3, sn_31, sn_32, sn_4 and sn_5 of the peak from ``lo`` to ``hi`` (0-based, inclusive).
+
+    What lies outside the peak ends before ``lo`` and begins at ``hi``, the peak's last point included. The baseline is the 30 %
+    order statistic of the smoothed signal, 1 at least.
+    """
+    c, kept = F.col, rows.columns
+    out = rows.withColumns({"_y": intensities(c(points)), "_t": times(c(points)), "_n": F.size(points)})
+    out = out.withColumns({"_m": smoothed(c("_y")), "_p": F.slice("_y", (c(lo) + 1).cast("int"), (c(hi) - c(lo) + 1).cast("int")), "_left": F.slice("_y", F.lit(1), c(lo).cast("int")), "_right": F.slice("_y", (c(hi) + 1).cast("int"), (c("_n") - c(hi)).cast("int"))})
+    q = F.zip_with("_y", "_m", lambda y, m: F.when(y == 0, F.lit(0.0)).otherwise((y - m) / F.nullif(F.sqrt(F.abs(y)), F.lit(0.0))))
+    out = out.withColumns({"_q": q, "_out": F.concat("_left", "_right"), "_top": F.array_max("_p"), "_low": F.array_min("_p")})
+    out = out.withColumn("_sd", _deviation(c("_q")))
+    out = out.withColumn("_sd", F.coalesce(_deviation(F.filter("_q", lambda x: F.abs(x) <= 2 * c("_sd"))), c("_sd")))
+    out = out.withColumn("_base", F.greatest(order_statistic(c("_m"), 0.3), F.lit(1.0)))
+    noise = c("_sd") * F.sqrt("_base")
+    k = F.floor(c("_n") * 0.1).cast("int")
+    trimmed = F.when(F.size("_out") > 2 * k, F.slice("_out", k + 1, F.when(k > 0, F.size("_out") - 2 * k).otherwise(F.lit(0)))).otherwise(c("_out"))
+    out = out.withColumns({"_sn": F.coalesce(F.try_divide(c("_top") - c("_low"), noise), F.lit(50.0)), "_sd2": F.coalesce(_deviation(trimmed), F.lit(float("nan")))})
+    near = F.when(c("_n") <= 35, 3).otherwise(5)
+    before = F.slice("_y", (F.greatest(c(lo) - near, F.lit(0)) + 1).cast("int"), F.least(near, c(lo)).cast("int"))
+    after = F.slice("_y", (c(hi) + 1).cast("int"), F.least(near, c("_n") - c(hi)).cast("int"))
+    over = lambda xs: c("_top") / F.coalesce(F.array_max(xs) + 1, F.lit(1.0))
+    add1 = F.when(c(lo) > 3, F.array_max("_left")).otherwise(c("_low"))
+    add2 = F.when(c(hi) < c("_n") - 3, F.array_max("_right")).otherwise(c("_low"))
+    at = lambda i: F.get("_t", F.lit(i) if isinstance(i, int) else i.cast("int"))
+    add = F.when(at(c(lo)) - at(0) <= 0.2, add2).when(F.element_at("_t", -1) - at(c(hi)) <= 0.2, add1).otherwise(F.least(add1, add2))
+    snr = F.struct(
+        c("_sn").alias("sn"), c("_base").alias("baseline"), F.when(c("_sd2") == 0, c("_sn")).otherwise((c("_top") - _mean(c("_out"))) / F.nullif(c("_sd2"), F.lit(0.0))).alias("sn_2"),
+        over(F.concat(before, after)).alias("sn_3"), over(before).alias("sn_31"), over(after).alias("sn_32"), (c("_top") / (add + 1)).alias("sn_4"),
+        F.coalesce(F.try_divide(c("_top"), F.array_max("_out")), c("_top")).alias("sn_5"),
+    )
+    return out.withColumn("snr", snr).select(*kept, "snr")

@@ -540,3 +540,24 @@ def natural_sort_ids(spark, d):
     s = b.table(spark, d, "supplier").select("s_suppkey", names.natural_key(F.concat(F.lit("Ion"), "s_suppkey")).alias("key"))
     # the ids of one study, of which there are few
     return s.select("s_suppkey", F.row_number().over(Window.orderBy("key")).cast("long").alias("position"))
+
+
+# ---- whole chains -------------------------------------------------------------------------------------------------
+
+
+@query()
+def snr_family(spark, d):
+    e = b.table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda y, i: F.struct(i.cast("double").alias("rt"), (y * 1000 + 500).alias("intensity"))).alias("points"))
+    k = signal.apex_index(F.col("points")).cast("int") - 1
+    rows = signal.with_snr(e.withColumns({"lo": F.greatest(k - 3, F.lit(0)), "hi": F.least(k + 3, F.size("points") - 1)}))
+    return rows.select("vec_id", "snr.*")
+
+
+@query()
+def untargeted_matrix(spark, d):
+    from . import pipelines
+
+    s = b.signals(spark, d)
+    ions = b.points(spark, d).groupBy("ion_id").agg(F.median("rt").alias("rt_theory"))
+    cells, _ = pipelines.run(s, ions, most_error=1e9)  # event times have no theory to hold them to
+    return cells.select("ion_id", "sample_id", _r("area", 3))
