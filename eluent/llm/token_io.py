@@ -18,7 +18,9 @@ its own place. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,44 +36,57 @@ LENGTH, ROWS, FILE_BYTES = 2048, 256, 32 << 20
 END_ID = 2
 
 
+def _byte_characters() -> dict[int, str]:
+    """What a byte-level vocabulary writes each byte as: visible Latin-1 as itself, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([*shown, *(x for x in range(256) if x not in shown)], map(chr, [*shown, *range(256, 512)]), strict=False))
+
+
 class WordIds(dict):
     """Ids of a white-space separated, ASCII-lower-cased word, as little-endian uint32.
 
     For tokenizers that lower-case and drop white space, so that the ids of a text are those of its words in turn; a full stop or
-    comma after a letter is a word of its own there. Bounded: two generations of words are kept.
+    comma after a letter is a word of its own there. Words of Latin-1 letters are one piece before the merges, and go straight to the merges.
+    Others are encoded whole, many at a time. Bounded: two generations of words are kept.
     """
 
     LIMIT, TOGETHER = 250_000, 1_000
+    LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[bytes, bytes] = {}
+        self.characters = _byte_characters()
+        self.ends = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in (".", ",", "")}
 
     def __missing__(self, word: bytes) -> bytes:
         self.learn({word})
         return self[word]
 
     def learn(self, words: set[bytes]) -> None:
-        """Makes sure that all of ``words`` are known; the tokenizer sees the new ones, many at a time."""
+        """Makes sure that all of ``words`` are known."""
         new = words - self.keys()
         if len(self) + len(new) > self.LIMIT:
             self.older = dict(self)
             self.clear()
             new = words
-        older, ends = self.older, (b".", b",")
-        stems = {w[:-1] if w.endswith(ends) and w[-2:-1].isalpha() else w for w in new} - self.keys()
-        if len(stems) < len(new):
-            stems |= {*ends} - self.keys()
-        for w in stems & older.keys():
-            self[w] = older[w]
-        stems = [w for w in stems if w not in older]
-        for i in range(0, len(stems), self.TOGETHER):
-            self._encode(stems[i : i + self.TOGETHER])
+        older, ends, letters, merge, rest = self.older, self.ends, self.LETTERS.fullmatch, self.tokenizer.model.tokenize, []
         for w in new:
-            if w not in self:
-                self[w] = self[w[:-1]] + self[w[-1:]]
+            ids = older.get(w)
+            if ids is None:
+                text = w.decode()
+                stem, end = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+                if not letters(stem):
+                    rest.append(w)
+                    continue
+                if not stem.isascii():
+                    stem = "".join(map(self.characters.__getitem__, stem.lower().encode()))
+                ids = array("I", [t.id for t in merge(stem)]).tobytes() + ends[end]
+            self[w] = ids
+        for i in range(0, len(rest), self.TOGETHER):
+            self._encode(rest[i : i + self.TOGETHER])
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
