@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, signal
 from ..operators import cluster, matrix, refine
+from ..sources.stages import Stages
 from . import detect
 
 #: Standard deviations between clusters, rt error allowed, and the least maximum of a refound signal, for each mode.
@@ -40,16 +41,20 @@ def matrix_of(peaks: DataFrame, ions: DataFrame, eps: float, most_error: float)
     return cluster.keep_first(kept, ["ion_id", "sample_id"], ["rt", "rtmin", "area"])
 
 
-def run(signals: DataFrame, ions: DataFrame, mode: str = "untargeted", detector: Callable[[DataFrame], DataFrame] = detect.local_maxima, most_error: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The long matrix (ion_id, sample_id, area) and the peaks behind it: detection, clustering, refinding, two corrections, filling."""
+def run(signals: DataFrame, ions: DataFrame, mode: str = "untargeted", detector: Callable[[DataFrame], DataFrame] = detect.local_maxima, most_error: float | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
+    """The long matrix (ion_id, sample_id, area) and the peaks behind it: detection, clustering, refinding, two corrections, filling.
+    ``stages`` keeps what is finished."""
     eps, cut, least = MODES[mode]
     most_error = cut if most_error is None else most_error
-    targeted = mode == "targeted"
-    first = matrix_of(detected(signals, detector, targeted), ions, eps, most_error)
-    cells = matrix.grid(first.select("ion_id").distinct(), signals.select("sample_id").distinct()).join(first.select("ion_id", "sample_id", "area"), ["ion_id", "sample_id"], "left")
-    cells, found = refine.refind_missing(cells, signals, least)
+    targeted, stages = mode == "targeted", stages or Stages(signals.sparkSession)
+    found = stages.keep("detected", detected(signals, detector, targeted))
+    first = stages.keep("clustered", matrix_of(found, ions, eps, most_error))
+    every = matrix.grid(first.select("ion_id").distinct(), signals.select("sample_id").distinct())
+    cells = stages.keep("cells", every.join(first.select("ion_id", "sample_id", "area"), ["ion_id", "sample_id"], "left"))
+    cells, again = refine.refind_missing(cells, signals, least)
     columns = ["sample_id", "ion_id", "rt", "rtmin", "rtmax", "area", "height", "baseline", "points", "sn", "class"]
-    peaks = first.select(*columns).unionByName(found.select(*columns))
-    peaks = refine.correct_twice(peaks, signals, anomalies_only=targeted, least=least)
+    peaks = stages.keep("refound", first.select(*columns).unionByName(again.select(*columns)))
+    for i in range(2):
+        peaks = stages.keep(f"corrected-{i}", refine.correct(peaks, signals, targeted, least))
     cells = matrix.fill(cells, peaks, ["ion_id", "sample_id"])
     return (matrix.mix_rows(cells), peaks.where("height > 0 and sn > 6")) if targeted else (cells, peaks)
