@@ -17,24 +17,28 @@ MODES = {"targeted": (0.2, 0.3, refine.LEAST_TARGETED), "untargeted": (0.4, 0.8,
 STRONG = 500.0
 
 
-def detected(signals: DataFrame, detector: Callable[[DataFrame], DataFrame] = detect.local_maxima, targeted: bool = False) -> DataFrame:
-    """Peaks with their properties and signal-to-noise: boxes but class D, as index pairs, adjusted, measured and accepted."""
+def detected(signals: DataFrame, stages: Stages, detector: Callable[[DataFrame], DataFrame] = detect.local_maxima, targeted: bool = False) -> DataFrame:
+    """Peaks with their properties and signal-to-noise: boxes but class D, as index pairs, adjusted, measured and accepted. Stages keep the expressions of one from being
+    written out in the next."""
     c = F.col
     rows = detector(signals.where(F.array_max(signal.intensities(c("points"))) >= STRONG) if targeted else signals).where("box.class <> 3")
+    rows = stages.keep("boxes", rows)
     rows = rows.withColumn("b", signal.box_bounds(c("points"), c("box.x_center"), c("box.width"))).withColumn("class", F.element_at(F.array(*map(F.lit, detect.CLASSES)), c("box.class") + 1))
     rows = rows.withColumn("b", kernels.adjusted(signal.intensities(c("points")), c("b.lo"), c("b.hi"), c("class"), c("box.conf"), targeted)).withColumns({"lo": c("b.lo"), "hi": c("b.hi")})
+    rows = stages.keep("adjusted", rows)
     rows = signal.with_snr(rows.withColumn("x", signal.peak_properties(c("points"), c("lo"), c("hi"))))
     rows = rows.select("sample_id", "ion_id", "x.*", "snr.sn", "snr.baseline", "snr.sn_2", "snr.sn_3", "snr.sn_5", "class", c("box.conf").alias("conf"), (c("hi") - c("lo") + 1).cast("long").alias("points"), F.array_max(signal.intensities(c("points"))).alias("max_signal"))
-    rows = rows.where(refine.edge_rules()) if targeted else refine.acceptable(rows)
-    rows = rows.distinct()
+    rows = stages.keep("measured", rows)  # before the filter, which would copy all of its expressions
+    rows = (rows.where(refine.edge_rules()) if targeted else refine.acceptable(rows)).distinct()
     return cluster.class_a_dedup(rows, ["sample_id", "ion_id", "rtmin", "area"]) if not targeted else rows
 
 
-def matrix_of(peaks: DataFrame, ions: DataFrame, eps: float, most_error: float) -> DataFrame:
+def matrix_of(peaks: DataFrame, ions: DataFrame, stages: Stages, eps: float, most_error: float) -> DataFrame:
     """(ion_id, sample_id, rt, area): of each ion's best cluster, close clusters merged, the first peak of each sample. ``ions``: ion_id, rt_theory."""
-    rows = cluster.rt_gap_clusters(peaks, eps)
+    rows = stages.keep("labelled", cluster.rt_gap_clusters(peaks, eps))
     merged = cluster.merge_close(cluster.summaries(rows))
     rows = rows.join(merged, ["ion_id", "label"]).drop("label").withColumnRenamed("merged", "label").join(ions, "ion_id")
+    rows = stages.keep("merged", rows)
     best = rows.groupBy("ion_id", "label").agg(F.countDistinct("sample_id").alias("n_samples"), F.min("merged_rt").alias("mean_rt"), F.first("rt_theory").alias("rt_theory"))
     best = cluster.select_best(best, F.col("rt_theory"), most_error=most_error)
     kept = rows.join(best.select("ion_id", "label", F.col("mean_rt").alias("cluster_rt")), ["ion_id", "label"])
@@ -47,8 +51,9 @@ def run(signals: DataFrame, ions: DataFrame, mode: str = "untargeted", detector:
     eps, cut, least = MODES[mode]
     most_error = cut if most_error is None else most_error
     targeted, stages = mode == "targeted", stages or Stages(signals.sparkSession)
-    found = stages.keep("detected", detected(signals, detector, targeted))
-    first = stages.keep("clustered", matrix_of(found, ions, eps, most_error))
+    signals = stages.keep("signals", signals)
+    found = stages.keep("detected", detected(signals, stages, detector, targeted))
+    first = stages.keep("clustered", matrix_of(found, ions, stages, eps, most_error))
     every = matrix.grid(first.select("ion_id").distinct(), signals.select("sample_id").distinct())
     cells = stages.keep("cells", every.join(first.select("ion_id", "sample_id", "area"), ["ion_id", "sample_id"], "left"))
     cells, again = refine.refind_missing(cells, signals, least)
