@@ -7,8 +7,8 @@ than that, so that two such sketches agree in a band at least (pigeonhole). The
 size; a document sends its bands for its own size band, and for the next one where a larger partner could lie in it. A band is sent as the
 XOR of codes of its odd bits.
 
-Bands with no odd bit, and bands that more than ``HOT`` documents share (those inside a common passage), need not be sent by a document that has
-more other bands than a partner can differ in. Only documents with too few others, the members of large groups of near copies, are
+Bands with no odd bit, and bands that more than ``HOT`` documents share (those inside a common passage), need not be met by a document that has
+more other bands than a partner can differ in: one of those then agrees. Only documents with too few others, the members of large groups of near copies, are
 compared in hot bands too. They form clusters; a cluster is cut into blocks of ``BLOCK`` documents, and each pair of blocks is one group of
 bounded size, which yields a spanning forest of its links. All others are compared pair by pair within bands. Either way
 the sets themselves decide, so that the links are exact.
@@ -33,6 +33,7 @@ from . import common, graph
 
 SHINGLE, PERCENT = 5, 80
 HOT, BLOCK = 48, 256
+LEVELS = ["sent0", "sent1", "most0", "most1"]
 
 
 def most_different(a: int, b: int) -> int:
@@ -51,13 +52,31 @@ def levels(n: int) -> list[int]:
     return [low] if low == high else [low, high]
 
 
+def most_at(n: int, m: int) -> int:
+    """Bands in which a set of ``n`` and a partner met at ``m`` bands differ, at most: the larger of the two has its own level there."""
+    return min(most_different(n, n * 100 // PERCENT), ((m - 1) * 10 - 1) // 11)
+
+
+def places(shingles: np.ndarray, m: int) -> np.ndarray:
+    """The band of each of the sorted shingle hashes."""
+    return ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+
+
+def _keys(codes: np.ndarray, place: np.ndarray, m: int, empty: int) -> np.ndarray:
+    """The lowest bit tells a document's two levels apart, the next one bands without odd bits."""
+    keys = common.mixed(codes ^ common.mixed(place + np.uint64(m << 32)))
+    return keys & ~np.uint64(3) | np.uint64(parity(m) + 2 * empty)
+
+
 def bands(shingles: np.ndarray, m: int) -> np.ndarray:
-    """Keys of the bands with odd bits, from sorted shingle hashes."""
-    place = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    """Keys of the bands to send, from sorted shingle hashes: those with odd bits, and the others too if those are too few."""
+    place = places(shingles, m)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    codes = np.bitwise_xor.reduceat(common.mixed(shingles), starts)
-    keys = common.mixed(codes ^ common.mixed(place[starts] + np.uint64(m << 32)))
-    return keys & ~np.uint64(1) | np.uint64(parity(m))  # the lowest bit tells a document's two levels apart
+    keys = _keys(np.bitwise_xor.reduceat(common.mixed(shingles), starts), place[starts], m, 0)
+    if len(keys) > most_at(len(shingles), m):
+        return keys
+    others = np.setdiff1d(np.arange(m, dtype=np.uint64), place[starts])
+    return np.concatenate([keys, _keys(np.zeros(len(others), np.uint64), others, m, 1)])
 
 
 def parity(m: int) -> int:
@@ -69,17 +88,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, a 128-bit sum of the set, and how many bands it sends at its even and odd level."""
+    """doc_id, n_shingles, a 128-bit sum of the set, and at its even and odd level how many bands have odd bits and how many may differ."""
     known = common.WordHash()
     for b in common.batches(it, 500):
         sets = [common.shingles(x, known, SHINGLE) for x in common.text_bytes(b.column(1))]
         sums = [(s.sum(dtype=np.uint64), common.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets]
         x, y = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in zip(*sums, strict=True))
-        sent = np.zeros((len(sets), 2), np.int64)
+        sent, most = np.zeros((len(sets), 2), np.int64), np.zeros((len(sets), 2), np.int64)
         for i, s in enumerate(sets):
             for m in levels(len(s)) if len(s) else ():
-                sent[i, parity(m)] = len(np.unique((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), x, y, pa.array(sent[:, 0]), pa.array(sent[:, 1])], names=["doc_id", "n_shingles", "sum1", "sum2", "sent0", "sent1"])
+                sent[i, parity(m)], most[i, parity(m)] = len(np.unique(places(s, m))), most_at(len(s), m)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), x, y, *(pa.array(z[:, k]) for z in (sent, most) for k in (0, 1))], names=["doc_id", "n_shingles", "sum1", "sum2", *LEVELS])
 
 
 def _entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +182,12 @@ def _candidates(docs: DataFrame, representatives: DataFrame) -> tuple[DataFrame,
     shared = common.saved(entries.join(several, "key"), "shared")
 
     # what each document sends at a level, and how much of that is hot
-    level = F.col("key").bitwiseAND(1).cast("int").alias("level")
+    level, odd = F.col("key").bitwiseAND(1).cast("int").alias("level"), F.when(F.col("key").bitwiseAND(2) == 0, 1)
     hot = shared.where(F.col("n") > HOT)
-    sent = representatives.select("doc_id", "n_shingles", F.posexplode(F.array("sent0", "sent1")).alias("level", "sent"))
-    sent = sent.join(hot.groupBy("doc_id", level).agg(F.count("*").alias("hot")), ["doc_id", "level"], "left")
-    sent = common.saved(sent.select("doc_id", "level", "n_shingles", (F.col("sent") - F.coalesce("hot", F.lit(0))).alias("cold"), (F.col("hot") > 0).alias("some_hot")), "sent")
-    # a partner is at most 5/4 as large, and so differs in a quarter of this set's size at most
-    needy = common.saved(sent.where("some_hot and cold <= n_shingles div 4").select("doc_id", "level"), "needy")
+    sent = representatives.select("doc_id", "n_shingles", F.posexplode(F.array(*(F.struct(F.col(f"sent{k}").alias("sent"), F.col(f"most{k}").alias("most")) for k in (0, 1)))).alias("level", "x"))
+    sent = sent.join(hot.groupBy("doc_id", level).agg(F.count(odd).alias("hot")), ["doc_id", "level"], "left")
+    sent = common.saved(sent.select("doc_id", "level", "n_shingles", (F.col("x.sent") - F.coalesce("hot", F.lit(0))).alias("cold"), "x.most", F.col("hot").isNotNull().alias("some_hot")), "sent")
+    needy = common.saved(sent.where("some_hot and cold <= most").select("doc_id", "level"), "needy")
     dense = common.saved(hot.select("key", "doc_id", level).join(needy, ["doc_id", "level"]), "hot")
     star = dense.join(dense.groupBy("key").agg(F.min("doc_id").alias("least")), "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     clusters = common.saved(graph.components(star).select(F.col("component").alias("cluster"), F.col("id").alias("doc_id")), "clusters")
@@ -177,7 +195,7 @@ def _candidates(docs: DataFrame, representatives: DataFrame) -> tuple[DataFrame,
     cold = common.semi_join(shared.where(F.col("n") <= HOT).select("key", "doc_id"), clusters, "doc_id", "left")
     x, y = cold.selectExpr("key", "doc_id as a", "cluster as c"), cold.selectExpr("key", "doc_id as b", "cluster as d")
     pairs = x.join(y, "key").where("a < b and not coalesce(c = d, false)")  # in a band of at most HOT documents
-    pairs = pairs.groupBy("a", "b", level).agg(F.count("*").alias("agree"))
+    pairs = pairs.groupBy("a", "b", level).agg(F.count(odd).alias("agree"))
     # bands that differ are no more than shingles that differ: the Hamming distance of the sketches
     size = F.col("n_shingles")
     pairs = pairs.join(sent.select(F.col("doc_id").alias("a"), "level", size.alias("na"), "cold"), ["a", "level"])
@@ -208,9 +226,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives (a, b), and membership (doc_id, n_shingles, representative) for each row; the latter is null
     where there are no shingles or no doc_id."""
     rows = _rows(docs)
-    sizes = common.saved(rows.mapInArrow(_sizes, "doc_id long, n_shingles long, sum1 long, sum2 long, sent0 long, sent1 long"), "sizes")
+    sizes = common.saved(rows.mapInArrow(_sizes, "doc_id long, n_shingles long, sum1 long, sum2 long, " + ", ".join(f"{c} long" for c in LEVELS)), "sizes")
     key = ["n_shingles", "sum1", "sum2"]
-    classes = sizes.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("representative"), F.first("sent0").alias("sent0"), F.first("sent1").alias("sent1"))
+    classes = sizes.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("representative"), *(F.first(c).alias(c) for c in LEVELS))
     classes = common.saved(classes, "classes")
     members = sizes.select("doc_id", *key).join(classes.select(*key, "representative"), key, "left")
     members = common.saved(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("representative")).alias("representative")), "members")
