@@ -26,6 +26,8 @@ from . import common
 
 CURVES, DIMS, BITS = 8, 6, 5
 REACH, WINDOW, QUERIES = 0.34, 2048, 512
+#: A window has at least so many rows, so that a query meets all rows of a small table.
+LEAST = 256
 EVERY, TOP, SEED = 100, 10, 7
 
 
@@ -115,8 +117,8 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, reach: float
 
     keys = rows.mapInArrow(_keys(axes, middle, spread, shifts), "curve int, key long, vec_id long")
     ranked = common.with_rank(keys, [F.col("curve"), F.col("key"), F.col("vec_id")])
-    windows = max(16, -(-n // WINDOW))
-    side = max(0, (round(windows * reach) - 1) // 2)
+    windows = max(1, min(16, n // LEAST), -(-n // WINDOW))
+    side = max(min(1, windows - 1), (round(windows * reach) - 1) // 2)
     ranked = ranked.withColumn("window", F.floor((F.col("rank") - F.col("curve") * F.lit(n)) * windows / F.lit(n)).cast("int"))
     low = F.greatest(F.lit(0), F.least(F.col("window") - side, F.lit(windows - 2 * side - 1)))
     placed = ranked.select("curve", "window", "vec_id", low.alias("low"))
