@@ -1,7 +1,5 @@
 import pytest
 
-from eluent.llm import common
-
 
 @pytest.fixture(scope="session")
 def docs_of(spark):
@@ -13,7 +11,3 @@ def docs_of(spark):
 
     return make
 
-
-def test_words():
-    assert b"a\x1cb c\xc2\xa0d\x0be".split() == [b"a\x1cb", b"c\xc2\xa0d", b"e"]
-    assert common.WORD
