@@ -22,7 +22,7 @@ _SCANS = T.StructType([T.StructField("scan", T.ArrayType(T.StructType([T.StructF
 SPECTRUM = T.StructType([T.StructField("_index", T.LongType()), T.StructField("cvParam", _PARAM), T.StructField("scanList", _SCANS), T.StructField("binaryDataArrayList", _ARRAYS)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def decoded(binary: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else np.frombuffer(b, "<f4" if k == 32 else "<f8").astype(float) for b, k in zip(binary, bits, strict=True)])
 
