@@ -15,8 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 EPS, NEAR_DAYS, GAP_CUT = 0.4, 15.0, 400.0
-#: A theoretical retention time for each ion of the peaks binding, in days.
-THEORY, THEORY_SQL = 8100 + (F.col("ion_id") * 37) % 2200, "8100 + (ion_id * 37) % 2200"
+#: A theoretical retention time for each ion of the peaks binding, in days; Spark reads it as it stands.
+THEORY_SQL = "8100 + (ion_id * 37) % 2200"
 
 
 def query(sql: str | None = None):
@@ -185,7 +185,7 @@ best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY ion_id ORD
 
 @query(f"WITH {_BEST} SELECT ion_id, label, n_samples, round(mean_rt, 4) AS mean_rt, round(score, 6) AS score FROM best")
 def cluster_score_select(spark, d):
-    best = cluster.select_best(cluster.summaries(_labelled(spark, d)), THEORY, most_error=GAP_CUT)
+    best = cluster.select_best(cluster.summaries(_labelled(spark, d)), F.expr(THEORY_SQL), most_error=GAP_CUT)
     return best.select("ion_id", "label", "n_samples", _r("mean_rt"), _r("score", 6))
 
 
@@ -199,7 +199,7 @@ _FIRST = f"""{_BEST}, firsts AS (SELECT l.* FROM labels l JOIN best USING (ion_i
 
 def _first(spark, d):
     rows = _labelled(spark, d)
-    best = cluster.select_best(cluster.summaries(rows), THEORY, most_error=GAP_CUT).select("ion_id", "label")
+    best = cluster.select_best(cluster.summaries(rows), F.expr(THEORY_SQL), most_error=GAP_CUT).select("ion_id", "label")
     return cluster.keep_first(rows.join(best, ["ion_id", "label"], "left_semi"), ["ion_id", "sample_id"], b.ORDER)
 
 
@@ -229,7 +229,7 @@ def class_a_dedup(spark, d):
 SELECT ion_id, sample_id, area, class, conf, rt FROM p QUALIFY row_number() OVER (PARTITION BY ion_id, sample_id
 ORDER BY area DESC, CASE class WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 4 END, conf DESC, rt_distance, {', '.join(b.ORDER)}) = 1""")
 def best_peak_pick(spark, d):
-    p = b.peaks(spark, d).withColumn("rt_distance", F.abs(F.col("rt") - THEORY))
+    p = b.peaks(spark, d).withColumn("rt_distance", F.abs(F.col("rt") - F.expr(THEORY_SQL)))
     return cluster.best_peak(p, ["ion_id", "sample_id"], b.ORDER).select("ion_id", "sample_id", "area", "class", "conf", "rt")
 
 
