@@ -12,17 +12,18 @@ def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for each id of ``links`` (a, b).
 
     Alternates two steps until nothing changes: each node links its larger neighbours to its smallest one, then itself and its smaller
-    neighbours to it. Groups are only ever aggregated by ``min``, so that a node with very many links needs no task of
-    its own; every round is written to the shared folder. Null ends are ignored; no links give no rows.
+    neighbours to it. Groups are only ever aggregated by ``min``, and the minima are written before they are joined, so that Spark
+    can split the links of a node that has very many; every round is in the shared folder. Null ends are ignored; no links give no rows.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = common.saved(links, "links")
     before = None
     while True:
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = common.saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = common.saved(large, "large")
+        least = common.saved(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         links = common.saved(small.where("a <> b").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()

@@ -114,8 +114,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     (doc_id, n_words, sha256, copy), where copies of earlier documents take no part in the former."""
     rows = _rows(docs)
     totals = common.saved(rows.mapInArrow(_totals, "doc_id long, n_words long, sha256 string"), "totals")
-    first = totals.groupBy("sha256").agg(F.min("doc_id").alias("first"))
-    earlier = totals.join(first, "sha256").groupBy("doc_id").agg(F.min(F.col("first") < F.col("doc_id")).alias("copy"))
+    first = totals.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha256", "first")
+    earlier = totals.join(common.saved(first, "first"), "sha256", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).alias("copy"))
     copies = common.saved(earlier.where("copy").select("doc_id"), "copies")
     totals = common.semi_join(totals, copies.withColumn("copy", F.lit(True)), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     own = common.semi_join(rows.where(F.col("doc_id").isNotNull()), copies, "doc_id", "left_anti")
