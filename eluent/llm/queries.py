@@ -86,6 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, rollups
+    from . import decontam, ngram_join, rollups, substring
 
-    return {"op7_token_counts": rollups.SQL, "op8_decontamination": decontam.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op7_token_counts": rollups.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}

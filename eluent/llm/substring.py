@@ -137,3 +137,16 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     settled = common.semi_join(totals, ids, "doc_id", "left_anti").select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.col("sha256")).alias("kept_sha256"))
     cut = common.semi_join(_rows(docs), ids, "doc_id").join(gone, "doc_id").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return settled.unionByName(cut.drop("kept"))
+
+
+SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, list_transform(range(1, len(words) - 11), lambda i: array_to_string(words[i:i + 12], ' ')) AS grams FROM t WHERE len(words) >= 13),
+k AS (SELECT doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM g),
+f AS (SELECT gram, min(doc_id) AS first FROM k GROUP BY gram),
+r AS (SELECT DISTINCT k.doc_id, k.i + o.o AS i FROM k JOIN f ON f.gram = k.gram CROSS JOIN (SELECT unnest(range(13)) AS o) o WHERE f.first < k.doc_id),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t),
+x AS (SELECT w.doc_id, count(*) AS n_words, count(r.i) AS n_removed, string_agg(CASE WHEN r.i IS NULL THEN w.word END, ' ' ORDER BY w.i) AS kept
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i GROUP BY w.doc_id)
+SELECT t.doc_id, coalesce(x.n_words, 0) AS n_words, coalesce(x.n_removed, 0) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256 FROM t LEFT JOIN x ON x.doc_id = t.doc_id
+"""
