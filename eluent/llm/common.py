@@ -29,19 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(told)
         return told
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="eluent-"))
+        sc.setCheckpointDir(_until_exit(spark, tempfile.mkdtemp(prefix="eluent-")))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+def _until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, deleted when the session's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends."""
+    return _until_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession
