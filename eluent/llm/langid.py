@@ -25,7 +25,7 @@ from . import common
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Rows the text model is fitted on, buckets of trigrams, characters that count at most as evidence in full, and the least posterior.
-SAMPLE, BUCKETS, SEED, LEAST = 4_000, 1 << 14, 11, 0.7
+SAMPLE, BUCKETS, SEED, LEAST = 4_000, 1 << 14, 11, 0.5
 #: A text's mean log likelihood counts as that of so many independent trigrams at most: neighbouring ones depend on each other.
 EVIDENCE = 200
 #: Rows' worth of trust in the level above: host in domain, domain in suffix, suffix in corpus; and in an even spread.
