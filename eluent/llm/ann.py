@@ -9,7 +9,7 @@ together, so that only a share of the rows keeps recall up at every size. A wind
 at most ``WINDOW`` rows and about ``QUERIES`` queries.
 
 Vectors that are null, zero, of another length than most, or that hold a null or non-finite component take no part, nor do null ids. Rows of one
-vec_id are one candidate at its smallest distance; a query never finds its own id. Ties go to the smaller vec_id. Extra columns are ignored.
+vec_id are one candidate at its smallest distance, taken before a window is cut to its nearest; rows that repeat in full count once; a query never finds its own id. Ties go to the smaller vec_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,30 +78,35 @@ def _keys(axes: np.ndarray, middle: np.ndarray, spread: np.ndarray, shifts: np.n
                 u = 0.5 + 0.5 * np.tanh(0.8 * z)  # about the share of rows below, if normally distributed
                 out.append(hilbert(np.minimum((u + shifts[c]) / 2 * (1 << BITS), (1 << BITS) - 1), BITS))
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(axes), dtype=np.int32), n)), pa.array(np.concatenate(out)), pa.concat_arrays([b.column(0)] * len(axes))], names=["curve", "key", "vec_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(axes), dtype=np.int32), n)), pa.array(np.concatenate(out)), *(pa.concat_arrays([b.column(i)] * len(axes)) for i in (0, 2))], names=["curve", "key", "vec_id", "row"])
 
     return run
 
 
-def _nearest(group: pd.DataFrame) -> pd.DataFrame:
-    """The nearest rows of one window to each of its queries."""
-    out, rows, queries = [], group[~group["asked"]], group[group["asked"]]
-    if len(rows) and len(queries):
-        ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list())
-        for q, v in zip(queries["vec_id"], queries["embedding"], strict=True):
-            d = np.sqrt(np.square(x - v).sum(axis=1))
-            d[ids == q] = np.inf
-            cut = np.partition(d, TOP - 1)[TOP - 1] if len(d) > TOP else np.inf
-            near = np.flatnonzero((d <= cut) & (d < np.inf))
-            near = near[np.lexsort((ids[near], d[near]))][:TOP]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near], "score": d[near]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+def _nearest(top: int):
+    """The ``top`` nearest ids of one window to each of its queries; an id counts once, at the smallest distance of its rows."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out, rows, queries = [], group[~group["asked"]].sort_values("vec_id"), group[group["asked"]]
+        if len(rows) and len(queries):
+            ids, starts = np.unique(rows["vec_id"].to_numpy(), return_index=True)
+            x = np.stack(rows["embedding"].to_list())
+            for q, v in zip(queries["vec_id"], queries["embedding"], strict=True):
+                d = np.minimum.reduceat(np.sqrt(np.square(x - v).sum(axis=1)), starts)
+                d[ids == q] = np.inf
+                cut = np.partition(d, top - 1)[top - 1] if len(d) > top else np.inf
+                near = np.flatnonzero((d <= cut) & (d < np.inf))
+                near = near[np.lexsort((ids[near], d[near]))][:top]
+                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near], "score": d[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
 
 
 def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, reach: float = REACH) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    rows = common.saved(usable(vectors), "vectors")
+    rows = common.saved(usable(vectors).distinct().withColumn("row", F.monotonically_increasing_id()), "vectors")
     if (head := rows.first()) is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = len(head["embedding"])
@@ -115,19 +120,19 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, reach: float
     middle = np.einsum("s,csd->cd", mean, axes)
     spread = np.sqrt(np.einsum("s,csd->cd", var, axes**2)) + 1e-12
 
-    keys = rows.mapInArrow(_keys(axes, middle, spread, shifts), "curve int, key long, vec_id long")
-    ranked = common.with_rank(keys, [F.col("curve"), F.col("key"), F.col("vec_id")])
+    keys = rows.mapInArrow(_keys(axes, middle, spread, shifts), "curve int, key long, vec_id long, row long")
+    ranked = common.with_rank(keys, [F.col("curve"), F.col("key"), F.col("vec_id"), F.col("row")])
     windows = max(1, min(16, n // LEAST), -(-n // WINDOW))
     side = max(min(1, windows - 1), (round(windows * reach) - 1) // 2)
     ranked = ranked.withColumn("window", F.floor((F.col("rank") - F.col("curve") * F.lit(n)) * windows / F.lit(n)).cast("int"))
     low = F.greatest(F.lit(0), F.least(F.col("window") - side, F.lit(windows - 2 * side - 1)))
-    placed = ranked.select("curve", "window", "vec_id", low.alias("low"))
+    placed = ranked.select("curve", "window", "vec_id", "row", low.alias("low"))
     blocks = max(1, round(n_queries * (2 * side + 1) / windows / QUERIES))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    inside = placed.select("curve", "window", "vec_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asked"))
-    asks = placed.where(F.col("vec_id") % every == 0).select("curve", F.explode(F.sequence(F.col("low"), F.col("low") + 2 * side)).alias("window"), "vec_id", block, F.lit(True).alias("asked"))
-    met = inside.union(asks).join(rows, "vec_id")
-    found = met.groupBy("curve", "window", "block").applyInPandas(_nearest, "query_id long, vec_id long, score double")
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
+    inside = placed.select("curve", "window", "row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asked"))
+    asks = placed.where(F.col("vec_id") % every == 0).select("curve", F.explode(F.sequence(F.col("low"), F.col("low") + 2 * side)).alias("window"), "row", block, F.lit(True).alias("asked"))
+    met = inside.union(asks).join(rows, "row")
+    found = met.groupBy("curve", "window", "block").applyInPandas(_nearest(top), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")  # at most TOP rows of each window a query saw
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")  # at most ``top`` rows of each window a query saw
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -98,6 +98,21 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("top", [10, 25])
+def test_neighbours_of_repeated_ids(spark, top):
+    r = np.random.default_rng(2)
+    rows = [(i, r.standard_normal(8).tolist()) for i in [*range(200)] * 2]
+    near = np.array(rows[100][1])
+    rows += [(7, (near + 0.01 * r.standard_normal(8)).tolist()) for _ in range(30)] + [rows[3]] * 5
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for g in ann.search(df, top=top).orderBy("query_id", "rank").collect():
+        got.setdefault(g["query_id"], []).append((g["score"], g["vec_id"]))
+    want = brute_nearest(rows, 100, top)
+    assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    assert all([s for s, _ in got[q]] == pytest.approx([s for s, _ in want[q]]) for q in want)
+
+
 WORDS = {"en": "the and of with thing house water", "de": "der und die haus wasser nicht schön", "fr": "le et la maison avec eau être", "es": "el y la casa con agua niño"}
 
 
