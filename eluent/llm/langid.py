@@ -5,8 +5,13 @@ trigrams, multinomial) gives likelihoods; it is fitted on a sample of at most ``
 choices then give how often a language comes with a declaration or a suffix, and a prior for each host, smoothed towards its
 domain, that towards its suffix, and that towards the whole corpus. The logarithms add up to a posterior.
 
+A fifth hypothesis, 'other', stands for any other language and for gibberish. Its text model is the flattened background of the four
+(square roots of their mean probabilities), and it has counts and priors like the others. It is held against the best mixture of the four,
+so that a text in two of them is no stranger. A language without labelled rows is unknown to the text model and falls behind 'other'.
+
 Texts of no letters carry no likelihood; a missing declaration, suffix or host adds nothing. Rows without letters are rejected (language null),
-as are rows whose best posterior is below ``LEAST``. A null text is empty. Ties go to the language first in
+as are rows whose four languages together, or whose best among the four, have a posterior below ``LEAST``. The posterior given
+is that of the best of the four among all five. A null text is empty. Ties go to the language first in
 alphabetical order. Rows with null ids and repeated rows are judged each for itself.
 """
 
@@ -30,6 +35,8 @@ SAMPLE, BUCKETS, SEED, LEAST = 4_000, 1 << 14, 11, 0.5
 EVIDENCE = 200
 #: Rows' worth of trust in the level above: host in domain, domain in suffix, suffix in corpus; and in an even spread.
 SMOOTHING = 20.0
+#: Rounds of expectation maximisation for the mixture of a text's languages, and the number of hypotheses.
+ROUNDS, HYPOTHESES = 8, len(LANGUAGES) + 1
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -86,8 +93,33 @@ def evidence_of_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").cast("string").alias("host"))
 
 
+def _scorer(model: np.ndarray):
+    """Scores of the four languages and 'other' for the buckets of a text."""
+    fitted = np.ptp(model, axis=1) > 0
+    known = np.exp(model[fitted])
+    root = np.sqrt(known.mean(axis=0)) if fitted.any() else np.ones(model.shape[1])
+    background = np.log(root / root.sum())
+
+    def score(g: np.ndarray) -> np.ndarray:
+        n, evidence = np.bincount(g, minlength=model.shape[1]), min(len(g), EVIDENCE)
+        at = np.flatnonzero(n)
+        share = n[at] / len(g)
+        out = np.append(model[:, at] @ share * evidence, background[at] @ share * evidence)
+        if fitted.any():
+            p, w = known[:, at], np.full(len(known), 1 / len(known))
+            for _ in range(ROUNDS):
+                w = w * (p @ (share / (w @ p)))
+            best = out[:-1][fitted].max()
+            out[-1] += best - max(np.log(w @ p) @ share * evidence, best)  # as far from the best as from the mixture
+            out[:-1][~fitted] = out[-1] - EVIDENCE
+        return out
+
+    return score
+
+
 def _scores(model: np.ndarray, markup: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
         for b in common.batches(it, 500):
             at = b.schema.get_field_index("text")
             texts = common.text_bytes(b.column(at))
@@ -96,7 +128,7 @@ def _scores(model: np.ndarray, markup: bool):
             out = []
             for x in texts:
                 g = _grams(x)
-                out.append(model[:, g].mean(axis=1) * min(len(g), EVIDENCE) if len(g) else None)
+                out.append(score(g) if len(g) else None)
             columns = [b.column(i) for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.float64()))], names=[*(f.name for f in b.schema if f.name != "text"), "scores"])
 
@@ -104,12 +136,12 @@ def _scores(model: np.ndarray, markup: bool):
 
 
 def _counts(of: str, best: Column) -> list[Column]:
-    return [F.count(F.when(best == i, 1)).alias(f"{of}{i}") for i in range(len(LANGUAGES))]
+    return [F.count(F.when(best == i, 1)).alias(f"{of}{i}") for i in range(HYPOTHESES)]
 
 
 def identify(evidence: DataFrame, model: np.ndarray, markup: bool = False) -> DataFrame:
     """id, lang (null: rejected), best, posterior for each row of ``evidence`` (id, text, declared, suffix, domain, host)."""
-    k = range(len(LANGUAGES))
+    k = range(HYPOTHESES)
     fields = ", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in evidence.columns if c != "text")
     rows = common.saved(evidence.mapInArrow(_scores(model, markup), f"{fields}, scores array<double>"), "scores")
     choice = F.array_position("scores", F.array_max("scores")) - 1
@@ -124,7 +156,7 @@ def identify(evidence: DataFrame, model: np.ndarray, markup: bool = False) -> Da
 
     total = rows.where("choice is not null").agg(*_counts("n", F.col("choice"))).first()
     number = sum(total) or 1
-    corpus = [(total[i] + 1.0) / (number + len(LANGUAGES)) for i in k]
+    corpus = [(total[i] + 1.0) / (number + HYPOTHESES) for i in k]
     # smoothed priors, from the corpus down to the hosts: one row for each suffix, domain and host
     array = lambda columns: F.array(*columns)
     suffixes = by("suffix").select("suffix", array(part("n", [F.lit(p) for p in corpus])).alias("prior"), *(F.col(f"n{i}").alias(f"s{i}") for i in k))
@@ -146,11 +178,13 @@ def identify(evidence: DataFrame, model: np.ndarray, markup: bool = False) -> Da
         out = out.withColumn(c, F.coalesce(c, nothing))
     prior = F.coalesce("prior", F.array(*map(F.lit, corpus)))
     logs = F.array(*(F.element_at("scores", i + 1) + F.element_at("of_declared", i + 1) + F.element_at("of_suffix", i + 1) + F.log(F.element_at(prior, i + 1)) for i in k))
-    out = out.select("id", logs.alias("logs")).withColumn("top", F.array_max("logs"))
-    posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    best = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position("logs", F.col("top")).cast("int"))
-    out = out.select("id", F.when(F.forall("logs", lambda x: x.isNotNull()), best).alias("best"), F.when(F.col("top").isNotNull(), posterior).alias("posterior"))
-    return out.select("id", F.when(F.col("posterior") >= LEAST, F.col("best")).alias("lang"), "best", F.round("posterior", 6).alias("posterior"))
+    out = out.select("id", logs.alias("logs")).withColumn("four", F.slice("logs", 1, len(LANGUAGES))).withColumn("top", F.array_max("four"))
+    four = F.aggregate("four", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    out = out.withColumns({"of_four": 1 / four, "known": 1 / (1 + F.exp(F.element_at("logs", HYPOTHESES) - F.col("top")) / four)})
+    best = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position("four", F.col("top")).cast("int"))
+    full = F.forall("logs", lambda x: x.isNotNull())
+    kept = (F.col("known") >= LEAST) & (F.col("of_four") >= LEAST)
+    return out.select("id", F.when(full & kept, best).alias("lang"), F.when(full, best).alias("best"), F.when(full, F.round(F.col("of_four") * F.col("known"), 6)).alias("posterior"))
 
 
 def identify_documents(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:

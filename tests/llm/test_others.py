@@ -127,6 +127,26 @@ def test_language(spark):
     assert langid.identify_documents(docs.limit(0)).count() == 0
 
 
+def test_other_languages_and_gibberish(spark):
+    r = random.Random(3)
+    say = lambda words, n: " ".join(r.choice(words.split()) for _ in range(n))
+    gibberish = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60))
+    clean = [(i, say(WORDS[lang], 40), lang, "h") for i, lang in enumerate(list(WORDS) * 30)]
+    foreign = {900: say("talo oli pieni mutta kaunis puutarha", 40), 901: say("dom był mały ale piękny ogród", 40), 902: say("küçük evin güzel bahçesi çocuklar oynuyor", 40), 903: gibberish, 904: "x" * 1000, 905: say("дом был маленький сад", 40)}
+    both = {910 + i: say(WORDS[a], 20) + " " + say(WORDS[b], 20) for i, (a, b) in enumerate([("en", "de"), ("fr", "es"), ("en", "fr"), ("de", "es")])}
+    schema = "doc_id long, text string, lang string, source string"
+    model = langid.fit(spark.createDataFrame(clean, schema).selectExpr("doc_id as id", "text", "lang"))
+    for declared in (None, "en"):
+        rows = [*clean, *((i, t, declared, "h") for i, t in {**foreign, **both}.items())]
+        got = {g["id"]: g for g in langid.identify_documents(spark.createDataFrame(rows, schema), model).collect()}
+        assert all(got[i]["lang"] == lang for i, _, lang, _ in clean)
+        assert [i for i in foreign if got[i]["lang"] is not None] == []
+        assert [i for i in both if got[i]["lang"] is None] == []
+    alone = langid.fit(spark.createDataFrame(clean, schema).where("lang = 'de'").selectExpr("doc_id as id", "text", "lang"))
+    got = {g["id"]: g["lang"] for g in langid.identify_documents(spark.createDataFrame([*clean[:4], (903, gibberish, None, "h")], schema), alone).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 903)] == [None, "de", None, None, None]
+
+
 def test_pages(spark):
     train = spark.createDataFrame([(i, f"{WORDS[k]} " * 5, k) for i, k in enumerate(WORDS)], "id long, text string, lang string")
     model = langid.fit(train)
