@@ -53,29 +53,42 @@ def parents(rows: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "parent"))["parent"].alias("parent"))
 
 
-def paths(links: DataFrame) -> DataFrame:
-    """conv_id, turn, path from the thread's first turn to this one, for each turn with a parent; doubles the known stretch in each round."""
-    known = common.saved(links.select("conv_id", "turn", F.col("parent").alias("top"), F.array("parent", "turn").alias("path")), "paths")
-    while True:
-        up = known.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("path").alias("above"))
-        longer = known.join(up, ["conv_id", "top"], "left")
-        known = common.saved(longer.select("conv_id", "turn", F.coalesce("next", "top").alias("top"), F.when(F.col("next").isNotNull(), F.concat("above", F.slice("path", 2, F.size("path")))).otherwise(F.col("path")).alias("path"), F.col("next").isNotNull().alias("grew")), "paths")
-        if known.where("grew").isEmpty():
-            return known.select("conv_id", "turn", "path")
-        known = known.drop("grew")
+def threads(links: DataFrame) -> DataFrame:
+    """conv_id, turn, parent, root, depth, place (from 0, in reply order) of each turn in a thread with replies, from (conv_id, turn, parent).
+
+    Each thread is an Euler tour: a turn is entered after its earlier sibling is left, else after its parent is entered, and left after its last
+    answer is left. The steps before one are summed by pointer doubling; a step is a few longs, however deep its thread.
+    """
+    links = links.select("conv_id", "turn", "parent")
+    ranked = common.with_rank(links, [F.col("conv_id"), F.col("parent"), F.col("turn")])
+    earlier = ranked.select((F.col("rank") + 1).alias("rank"), F.col("conv_id").alias("_conv"), F.col("parent").alias("_parent"), F.col("turn").alias("_turn"))
+    sibling = F.when((F.col("_conv") == F.col("conv_id")) & (F.col("_parent") == F.col("parent")), F.col("_turn"))
+    enter = ranked.join(earlier, "rank", "left").select("conv_id", "turn", F.lit(False).alias("leave"), F.coalesce(sibling, "parent").alias("to_turn"), sibling.isNotNull().alias("to_leave"), F.lit(None).cast("long").alias("root"))
+    last = links.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.max("turn").alias("last"))
+    turns = links.select("conv_id", "turn").union(last.select("conv_id", "turn")).distinct()
+    first = last.join(links, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.lit(False), F.lit(None).cast("long"), F.lit(False), "turn")
+    leave = turns.join(last, ["conv_id", "turn"], "left").select("conv_id", "turn", F.lit(True), F.coalesce("last", "turn"), F.col("last").isNotNull(), F.lit(None).cast("long"))
+    entered = F.when(F.col("leave"), 0).otherwise(1).cast("long")
+    known = common.saved(enter.union(first).union(leave).withColumns({"n": entered, "level": 2 * entered - 1}), "tour")
+    columns = known.columns
+    while not (open_ := known.where("to_turn is not null")).isEmpty():
+        up = known.select("conv_id", F.col("turn").alias("to_turn"), F.col("leave").alias("to_leave"), *(F.col(c).alias(f"_{c}") for c in ("to_turn", "to_leave", "root", "n", "level")))
+        further = open_.join(up, ["conv_id", "to_turn", "to_leave"]).select("conv_id", "turn", "leave", F.col("_to_turn").alias("to_turn"), F.col("_to_leave").alias("to_leave"), F.col("_root").alias("root"), (F.col("n") + F.col("_n")).alias("n"), (F.col("level") + F.col("_level")).alias("level"))
+        known = common.saved(further.select(*columns).union(known.where("to_turn is null")), "tour")
+    places = known.where(~F.col("leave")).select("conv_id", "turn", "root", (F.col("level") - 1).alias("depth"), (F.col("n") - 1).alias("place"))
+    return places.join(links, ["conv_id", "turn"], "left").select("conv_id", "turn", "parent", "root", "depth", "place")
 
 
 def linked(messages: DataFrame) -> DataFrame:
     """conv_id, position (from 0, in reply order), turn, parent (or null), root, depth, role, text without quotes."""
     rows = common.saved(parsed(messages), "messages")
     links = common.saved(parents(rows), "replies")
-    rows = rows.drop("lines")
-    rows = rows.join(paths(links), ["conv_id", "turn"], "left").withColumn("path", F.coalesce("path", F.array("turn")))
-    order = [F.col("conv_id"), F.col("path"), F.col("role"), F.xxhash64("text"), F.col("text")]
+    rows = rows.select("conv_id", "turn", "role", "text").join(common.saved(threads(links), "threads"), ["conv_id", "turn"], "left")
+    rows = rows.withColumns({"root": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("int"), "place": F.coalesce("place", F.lit(0))})
+    order = [F.col("conv_id"), F.col("root"), F.col("place"), F.col("role"), F.xxhash64("text"), F.col("text")]
     ranked = common.with_rank(rows, order)
     first = ranked.groupBy("conv_id").agg(F.min("rank").alias("first"))
-    n = F.size("path")
-    return ranked.join(first, "conv_id").select("conv_id", (F.col("rank") - F.col("first")).alias("position"), "turn", F.when(n > 1, F.element_at("path", -2)).alias("parent"), F.element_at("path", 1).alias("root"), (n - 1).alias("depth"), "role", "text")
+    return ranked.join(first, "conv_id").select("conv_id", (F.col("rank") - F.col("first")).alias("position"), "turn", "parent", "root", "depth", "role", "text")
 
 
 def conversations(messages: DataFrame, part: int = PART) -> DataFrame:

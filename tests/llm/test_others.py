@@ -183,6 +183,23 @@ def test_long_reply_chain(spark):
     assert all(g["depth"] == g["turn"] == g["position"] and g["root"] == 0 for g in got)
 
 
+def test_threads_of_a_long_chain_and_a_tree(spark):
+    r = random.Random(4)
+    tree = {i: r.choice([r.randrange(i), i - 1, 0]) for i in range(1, 150)}
+    rows = [(1, i, i - 1) for i in range(1, 2000)] + [(2, i, p) for i, p in tree.items()] + [(2, 300 + i, 299 + i) for i in range(1, 4)]
+    df = chat.threads(spark.createDataFrame(rows, "conv_id long, turn long, parent long"))
+    assert {f.dataType.simpleString() for f in df.schema} == {"bigint"}  # nothing grows with the depth
+    got = {(g["conv_id"], g["turn"]): tuple(g)[2:] for g in df.collect()}
+    want, place, todo = {(1, i): (i - 1 if i else None, 0, i, i) for i in range(2000)}, 0, [(0, None, 0)]
+    while todo:
+        t, parent, depth = todo.pop()
+        want[2, t] = (parent, 0, depth, place)
+        place += 1
+        todo += [(c, t, depth + 1) for c in sorted((c for c, p in tree.items() if p == t), reverse=True)]
+    want |= {(2, 300 + i): (299 + i if i else None, 300, i, i) for i in range(4)}
+    assert got == want
+
+
 def test_rollups(spark, tmp_path):
     schema = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
     change = lambda *rows: spark.createDataFrame(list(rows), schema)
