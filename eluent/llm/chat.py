@@ -1,8 +1,11 @@
 """Chat formatting by quotation linking, by DataFrame functions alone.
 
 A line that begins with ``>`` marks is quoted, at the level of their number. Quoted lines are normalised (lower case, white space as one
-blank) and hashed; the original of a line is the first message of the conversation that has it unquoted. A message answers the
-original of its lowest quote level that has one, by the number of lines, then the later one. Conversations are then ordered by replies: a
+blank) and hashed; the original of a line is the first message of the conversation that has it unquoted. Consecutive quoted lines of one
+level without an earlier original are a passage, so that quotes may be wrapped anew or cite a part of a line: each sentence of it is looked
+up by its windows of words, whatever the line breaks and punctuation, and its original is the first message that holds its words in
+a row. Sentences with a changed or left-out word are not found. A message answers the
+original of its lowest quote level that has one, by the number of lines and sentences, then the later one. Conversations are then ordered by replies: a
 message, then its answers and theirs, each by turn; messages that quote nothing known begin threads of their own. Quoted lines and the
 attribution line above them are left out.
 
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PART = 64
+#: Words of the windows by which longer sentences are looked up.
+SPAN = 6
 #: What ends an attribution line, in the languages at hand.
 WROTE = r"(?i)^\s*\S.*\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -43,13 +48,61 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "lines", F.trim(F.array_join(F.transform(above, lambda x: x["text"]), "\n")).alias("text"))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda w: w != "")
+
+
+def _spans(said: Column, n: int | Column) -> Column:
+    """Hashes of the distinct windows of ``n`` words of ``said`` (words between blanks)."""
+    words, n = F.split(said, " "), F.lit(n) if isinstance(n, int) else n
+    every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _sentences(lines: DataFrame) -> DataFrame:
+    """conv_id, turn, level, unit (words between blanks) of the passages that the quoted lines (conv_id, turn, row, pos, level, normal) make up."""
+    of_row = lines.groupBy("conv_id", "turn", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "level", "normal"))).alias("q"))  # of one message
+    before = lambda i: F.get(F.col("q"), i - 1)
+    goes_on = lambda x, i: F.coalesce((before(i)["pos"] == x["pos"] - 1) & (before(i)["level"] == x["level"]), F.lit(False))
+    joined = F.array_join(F.transform("q", lambda x, i: F.concat(F.when(goes_on(x, i), F.lit(" ")).otherwise(F.concat(F.lit("\n"), x["level"].cast("string"), F.lit(":"))), x["normal"])), "")
+    passages = of_row.select("conv_id", "turn", F.explode(F.split(joined, "\n")).alias("p")).where("p <> ''")
+    sentences = passages.select("conv_id", "turn", F.substring_index("p", ":", 1).cast("int").alias("level"), F.explode(F.split(F.regexp_replace("p", r"^\d+:", ""), r"(?<=[.!?…])\s+")).alias("s"))
+    return sentences.select("conv_id", "turn", "level", F.array_join(_words(F.col("s")), " ").alias("unit")).where("unit <> ''")
+
+
+def _originals(units: DataFrame, rows: DataFrame) -> DataFrame:
+    """conv_id, unit, parent: the first turn whose words hold those of the unit in a row."""
+    n = F.least(F.size(F.split("unit", " ")), F.lit(SPAN)).alias("n")
+    distinct = common.saved(units.select("conv_id", "unit", n).distinct(), "units")
+    keys = common.saved(distinct.select("conv_id", "unit", "n", F.explode(_spans(F.col("unit"), F.col("n"))).alias("h")), "unit-spans")
+    sizes = [r["n"] for r in keys.select("n").distinct().collect()]  # SPAN at most
+    said = rows.select("conv_id", "turn", F.array_join(_words(F.col("text")), " ").alias("said")).where("said <> ''").groupBy("conv_id", "said").agg(F.min("turn").alias("turn"))
+    said = common.saved(said.withColumn("id", F.monotonically_increasing_id()), "said")
+    of_size = lambda k: F.transform(_spans(F.col("said"), k), lambda h: F.struct(F.lit(k).alias("n"), h.alias("h")))
+    spans = F.explode(F.concat(*map(of_size, sizes)))
+    held = said.select("conv_id", "turn", "id", spans.alias("x")).select("conv_id", "turn", "id", "x.n", "x.h")
+    held = common.saved(held.join(keys.select("conv_id", "n", "h").distinct(), ["conv_id", "n", "h"], "left_semi"), "spans")
+    # a unit is met by the rarest of its windows, and only if each of them occurs
+    seen = keys.join(held.groupBy("conv_id", "n", "h").agg(F.count("*").alias("often")), ["conv_id", "n", "h"], "left")
+    rarest = seen.groupBy("conv_id", "unit", "n").agg(F.min(F.struct("often", "h"))["h"].alias("h"), F.min(F.col("often").isNotNull()).alias("all")).where("all").drop("all")
+    pairs = rarest.join(held, ["conv_id", "n", "h"]).select("unit", "id").join(said, "id")
+    exact = F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "unit", F.lit(" ")))
+    return pairs.where(exact).groupBy("conv_id", "unit").agg(F.min("turn").alias("parent"))
+
+
 def parents(rows: DataFrame) -> DataFrame:
     """conv_id, turn, parent for each turn that quotes an earlier one."""
-    lines = rows.select("conv_id", "turn", F.explode(F.filter("lines", lambda x: x["full"])).alias("x")).select("conv_id", "turn", "x.level", "x.hash")
+    lines = rows.select("conv_id", "turn", "row", F.posexplode("lines").alias("pos", "x")).where("x.full")
+    lines = lines.select("conv_id", "turn", "row", "pos", "x.level", "x.hash", _normal(F.col("x.text")).alias("normal"))
     quoted = lines.where("level > 0")
     asked = quoted.select("conv_id", "hash").distinct()
     first = lines.where("level = 0").join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("parent"))
-    votes = quoted.join(first, ["conv_id", "hash"]).where("parent < turn").groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("n"))
+    whole = common.saved(quoted.drop("normal").join(first, ["conv_id", "hash"]).where("parent < turn"), "whole")
+    found = whole.select("conv_id", "turn", "level", "parent")
+    units = common.saved(_sentences(quoted.join(whole.select("row", "pos"), ["row", "pos"], "left_anti")), "sentences")
+    if not units.isEmpty():
+        found = found.unionByName(units.join(_originals(units, rows), ["conv_id", "unit"]).where("parent < turn").select("conv_id", "turn", "level", "parent"))
+    votes = found.groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("n"))
     return votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "parent"))["parent"].alias("parent"))
 
 
@@ -81,7 +134,7 @@ def threads(links: DataFrame) -> DataFrame:
 
 def linked(messages: DataFrame) -> DataFrame:
     """conv_id, position (from 0, in reply order), turn, parent (or null), root, depth, role, text without quotes."""
-    rows = common.saved(parsed(messages), "messages")
+    rows = common.saved(parsed(messages).withColumn("row", F.monotonically_increasing_id()), "messages")
     links = common.saved(parents(rows), "replies")
     rows = rows.select("conv_id", "turn", "role", "text").join(common.saved(threads(links), "threads"), ["conv_id", "turn"], "left")
     rows = rows.withColumns({"root": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("int"), "place": F.coalesce("place", F.lit(0))})

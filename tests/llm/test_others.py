@@ -183,6 +183,19 @@ def test_long_reply_chain(spark):
     assert all(g["depth"] == g["turn"] == g["position"] and g["root"] == 0 for g in got)
 
 
+def test_wrapped_and_partial_quotes(spark):
+    long = "The first paragraph has one sentence about water, stones and rivers. Its second sentence tells of an old house by the sea! A third one ends it."
+    rows = [
+        (0, long), (1, "Nothing in common here. The old house stood empty."), (2, "> The first paragraph has one sentence\n> about water, stones and\n> rivers. Its second sentence tells\n> of an old house by the sea!\nWrapped."),
+        (3, "> tells of an old house by the sea\nPart of a line."), (4, "> old house stood\nA few words."), (5, "> of an old house by the lake\nA changed word."),
+        (6, ">> second sentence tells of an\n>> old house\n> Part of\n> a line.\nTwo levels."), (7, "> house by\n\n> the sea\nTwo passages."), (8, "> tory of an old hou\nParts of words."), (9, "> never said before this turn\nx"), (10, "never said before this turn"),
+    ]
+    df = spark.createDataFrame([(1, t, "a", x) for t, x in rows] + [(2, 0, "a", "> tells of an old house by the sea")], "conv_id long, turn long, role string, text string")
+    got = {(g["conv_id"], g["turn"]): g["parent"] for g in chat.linked(df).collect()}
+    assert [got[1, t] for t in range(11)] == [None, None, 0, 0, 1, None, 3, 0, None, None, None]
+    assert got[2, 0] is None
+
+
 def test_threads_of_a_long_chain_and_a_tree(spark):
     r = random.Random(4)
     tree = {i: r.choice([r.randrange(i), i - 1, 0]) for i in range(1, 150)}
