@@ -68,5 +68,21 @@ def acceptable(peaks: DataFrame) -> DataFrame:
 
 
 def edge_rules(area: str = "area", points: str = "points") -> Column:
-    """Targeted acceptance but for the rules on ``mix`` samples."""
+    """Targeted acceptance but for ``peak_rules``."""
     return (F.col(area) >= 1000) & (F.col(points) >= 3)
+
+
+def peak_rules(points: Column, lo: Column, hi: Column, sn_5: Column, sample: Column, peak_class: Column) -> Column:
+    """The rest of targeted acceptance, of the peak from ``lo`` to ``hi`` (0-based, inclusive). A peak of a ``mix`` sample is not one that
+    leans on an edge of its signal, spans a tenth of it at most, or is weak; a class A or B peak of another sample is not weak, narrow and flat."""
+    y = signal.intensities(points)
+    p = F.slice(y, (lo + 1).cast("int"), (hi - lo + 1).cast("int"))
+    n, first, last, top, low = F.size(points), F.element_at(p, 1), F.element_at(p, -1), F.array_max(p), F.array_min(p)
+    rt = lambda i: F.get(points, i.cast("int"))["rt"]
+    flat = F.greatest(signal.order_statistic(y, 0.4), F.lit(1.0)) == 50
+    leans = ((lo <= 1) & (first - last >= 0.1 * (top - low))) | ((hi >= n - 2) & (last - first >= 0.1 * (top - low)))
+    small = (top - low) <= 0.1 * (F.array_max(y) - F.array_min(y))
+    mix = sample.contains("mix")
+    bad_mix = mix & (leans | small | ((top <= 5000) & flat & (sn_5 <= 1.5)))
+    weak = (top <= 5000) & (rt(hi) - rt(lo) <= 0.15) & (hi - lo + 1 < 6) & (low == 50) & (sn_5 < 2) & (first == last) & flat
+    return ~bad_mix & ~(peak_class.isin("A", "B") & weak & ~mix)

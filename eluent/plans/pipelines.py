@@ -27,9 +27,10 @@ def detected(signals: DataFrame, stages: Stages, detector: Callable[[DataFrame],
     rows = rows.withColumn("b", kernels.adjusted(signal.intensities(c("points")), c("b.lo"), c("b.hi"), c("class"), c("box.conf"), targeted)).withColumns({"lo": c("b.lo"), "hi": c("b.hi")})
     rows = stages.keep("adjusted", rows)
     rows = signal.with_snr(rows.withColumn("x", signal.peak_properties(c("points"), c("lo"), c("hi"))))
-    rows = rows.select("sample_id", "ion_id", "x.*", "snr.sn", "snr.baseline", "snr.sn_2", "snr.sn_3", "snr.sn_5", "class", c("box.conf").alias("conf"), (c("hi") - c("lo") + 1).cast("long").alias("points"), F.array_max(signal.intensities(c("points"))).alias("max_signal"))
+    rules = refine.peak_rules(c("points"), c("lo"), c("hi"), c("snr.sn_5"), c("sample_id").cast("string"), c("class"))
+    rows = rows.select("sample_id", "ion_id", "x.*", "snr.sn", "snr.baseline", "snr.sn_2", "snr.sn_3", "snr.sn_5", "class", c("box.conf").alias("conf"), (c("hi") - c("lo") + 1).cast("long").alias("points"), F.array_max(signal.intensities(c("points"))).alias("max_signal"), *([rules.alias("_rules")] if targeted else []))
     rows = stages.keep("measured", rows)  # before the filter, which would copy all of its expressions
-    rows = (rows.where(refine.edge_rules()) if targeted else refine.acceptable(rows)).distinct()
+    rows = (rows.where(refine.edge_rules() & c("_rules")).drop("_rules") if targeted else refine.acceptable(rows)).distinct()
     return cluster.class_a_dedup(rows, ["sample_id", "ion_id", "rtmin", "area"]) if not targeted else rows
 
 

@@ -210,3 +210,16 @@ def test_stages(spark, tmp_path):
     stages = Stages(spark, str(tmp_path / "s"))
     assert stages.keep("a", spark.range(3)).count() == 3
     assert stages.keep("a", spark.range(9)).count() == 3  # what is there is not made again
+
+
+def test_targeted_peak_rules(spark):
+    bell, weak = [50] * 10 + [1000, 9000, 30000, 9000, 1000] + [50] * 10, [50] * 10 + [50, 2000, 4000, 2000, 50] + [50] * 10
+    cases = [  # sample, class, signal, lo, hi, sn_5, kept
+        ("mix1_P", "A", bell, 10, 14, 9.0, True), ("mix1_P", "A", [9000, 4000, 50, 50] + bell, 0, 2, 9.0, False), ("s1_P", "A", [9000, 4000, 50, 50] + bell, 0, 2, 9.0, True),
+        ("mix1_P", "A", bell + [50, 4000, 9000], 25, 27, 9.0, False), ("mix1_P", "A", [50, 2000, 50] + bell, 0, 2, 9.0, False), ("mix1_P", "C", weak, 10, 14, 1.5, False), ("mix1_P", "A", weak, 10, 14, 1.6, True),
+        ("s1_P", "A", weak, 10, 14, 1.9, False), ("s1_P", "B", weak, 10, 14, 2.0, True), ("s1_P", "C", weak, 10, 14, 1.9, True),
+    ]
+    rows = [(i, s, c, [(k * 0.03, float(v)) for k, v in enumerate(y)], lo, hi, sn) for i, (s, c, y, lo, hi, sn, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, s string, c string, points array<struct<rt:double,intensity:double>>, lo int, hi int, sn double")
+    got = df.select("i", refine.peak_rules(*map(F.col, ("points", "lo", "hi", "sn", "s", "c"))).alias("ok")).orderBy("i").collect()
+    assert [g["ok"] for g in got] == [c[-1] for c in cases]
