@@ -1,8 +1,8 @@
-"""Substring dedup by level-wise doubling.
+"""Substring dedup by windows on two levels.
 
 A window of ``WINDOW`` words can only repeat if the shorter windows inside it do. So the first level looks at windows of half that length,
 and of those only at the one with the smallest hash in each full window: equal full windows choose equal short ones. Full windows
-are made only where that short window occurs in two documents; ``longest`` goes on doubling until no candidates survive.
+are made only where that short window occurs in two documents. There is no further doubling: the windows of a longer passage cover it.
 
 Words are what stands between ASCII white space, unchanged. A window belongs to one document. Each word is removed that is covered by
 a window whose word sequence also starts in a document with a smaller doc_id. Documents whose whole word sequence equals that of a
