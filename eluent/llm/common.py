@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Id lists up to this many rows (16 MB of longs) may be broadcast; longer ones are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Short rows of ids, up to this many (some 8 MB of longs), may be broadcast; longer lists are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master alone."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if told:
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(told)
         return told
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(_until_exit(spark, tempfile.mkdtemp(prefix="eluent-")))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -45,20 +47,48 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _until_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: cuts lineage, and outlives lost executors."""
+#: Short rows that one task may hold when a table of known size is written.
+TASK_ROWS = 500_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a table written to the shared folder: cuts lineage, and outlives lost executors. A table of at most ``rows`` short rows is written by
+    as many tasks as that needs, rather than by one for each shuffle partition."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(tasks(rows))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def semi_join(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join on ``on``; broadcasts the ids only if a count shows that they are few. ``ids`` is a saved table."""
+def tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def semi_join(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Join on ``on``; broadcasts ``ids`` (a saved table of a few short columns) only if a count shows that they are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, on, how)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def semi_join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` with (left_semi) or without (left_anti) the doc_id of ``ids`` (a saved table of longs), with their columns as they are, whatever
+    their names. A null doc_id is in no list."""
+    (name,) = free(docs, "_id")
+    ids = ids.select(F.col("doc_id").alias(name))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col(name), how)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
@@ -103,12 +133,15 @@ class WordHash(dict):
 
     LIMIT = 400_000
 
+    def __init__(self, seed: int = 0):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return value
 
 

@@ -95,3 +95,44 @@ def test_hashes_are_stable():
     known = common.WordHash()
     assert (common.shingles(b"A b c D e f", known) == common.shingles(b"a B c d e f", common.WordHash())).all()
     assert len(common.shingles(b"a a a a a a a", known)) == 1
+
+
+def _copies(r, base, n, changes, word):
+    for _ in range(n):
+        t = list(base)
+        for _ in range(r.randint(0, changes)):
+            t[r.randrange(len(t))] = word()
+        yield " ".join(t)
+
+
+def test_hot_versions_that_stars_leave_apart(docs_of, monkeypatch):
+    """A text, a version of it that drifts away in steps, and copies of both: some links run between copies that no centre reaches."""
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SALTED", 5)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(3))
+    rows, base = [], [word() for _ in range(70)]
+    for _ in range(6):
+        rows += _copies(r, base, 14, 4, word)
+        base = base[3:] + [word() for _ in range(3)]
+    rows = [(k * 3 % 1009, t) for k, t in enumerate(rows)]
+    assert run(docs_of(rows)) == brute(rows)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """20,000 near copies are told apart from what drifted too far, by a comparison of all for the brute-force side."""
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(3000)]
+    base = [r.choice(words) for _ in range(200)]
+    rows = list(enumerate(_copies(r, base, 20_000, 4, lambda: r.choice(words))))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    sets = [frozenset(map(hash, zip(*(w[k:] for k in range(5)), strict=False))) for w in (t.split() for _, t in rows)]
+    link = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert sorted(got) == list(range(20_000))
+    first = min(range(20_000), key=lambda i: len(sets[i] ^ frozenset(map(hash, zip(*(base[k:] for k in range(5)), strict=False)))))
+    near = {i for i, s in enumerate(sets) if link(s, sets[first])}
+    assert len(near) > 15_000 and len({got[i] for i in near}) == 1
+    for i in [i for i in got if got[i] != got[first]][:20]:  # what is apart links with nothing in the large group
+        assert not any(link(sets[i], s) for j, s in enumerate(sets) if got[j] == got[first])
