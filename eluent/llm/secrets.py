@@ -2,8 +2,10 @@
 
 The rule expressions become one non-deterministic automaton, then by subset construction and minimisation one transition array
 over byte classes. A text is read once, byte by byte, for all rules; numpy steps many stretches of a batch at a time. A stretch
-begins after a byte that occurs in no rule, where no match can go on. Where the automaton accepts, the rule's own anchored
-automaton then gives the leftmost longest match, which is also the greedy one for these rules.
+begins after a byte that occurs in no rule, where no match can go on. In a stretch where the automaton accepts, the rule's automaton of the reversed
+expression reads once from the end and marks where matches start; from each such place the rule's anchored automaton gives the leftmost longest
+match, which is also the greedy one for these rules. The next match is looked for behind it, so that a stretch is read a fixed
+number of times, however long it is, if an automaton that has accepted only goes on accepting or ends (as for all rules here).
 
 ``spans`` returns, for each document, every span (kind, start, end in code points, end exclusive). Null or empty texts have none. Repeated
 rows are scanned each for itself; other columns are ignored.
@@ -15,8 +17,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
-from re import _constants as sre
-from re import _parser as sre_parser
 from typing import NamedTuple
 
 import numpy as np
@@ -52,10 +52,97 @@ MORE = (
 )
 
 
+class Parser:
+    """Rule expressions as nested tuples: ("set", bytes), ("seq", parts), ("alt", parts) and ("rep", least, most or None, part).
+
+    Characters are ASCII; there are literals, ``\\`` before punctuation, ``\\xhh``, classes with ranges, groups, ``|`` and the greedy ``? * + {n} {n,} {n,m}``.
+    """
+
+    def __init__(self, pattern: str, ignore_case: bool):
+        self.text, self.at, self.ignore_case = pattern, 0, ignore_case
+        self.tree = self.ways()
+        if self.at < len(self.text):
+            raise ValueError(f"unexpected {self.text[self.at]!r} at {self.at} of {pattern!r}")
+
+    def peek(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def take(self) -> str:
+        self.at += 1
+        if self.at > len(self.text):
+            raise ValueError(f"{self.text!r} ends too early")
+        return self.text[self.at - 1]
+
+    def ways(self) -> tuple:
+        found = [self.sequence()]
+        while self.peek() == "|":
+            self.take()
+            found.append(self.sequence())
+        return ("alt", found) if len(found) > 1 else found[0]
+
+    def sequence(self) -> tuple:
+        parts = []
+        while self.peek() not in ("", "|", ")"):
+            parts.append(self.repeated(self.single()))
+        return ("seq", parts)
+
+    def repeated(self, part: tuple) -> tuple:
+        least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(self.peek(), (1, 1))
+        if self.peek() in ("?", "*", "+"):
+            self.take()
+        elif self.peek() == "{":
+            first, comma, last = self.text[self.at + 1 : self.text.index("}", self.at)].partition(",")
+            self.at = self.text.index("}", self.at) + 1
+            least, most = int(first), (int(last) if last else None) if comma else int(first)
+        return part if (least, most) == (1, 1) else ("rep", least, most, part)
+
+    def single(self) -> tuple:
+        c = self.take()
+        if c == "(":
+            inner = self.ways()
+            if self.take() != ")":
+                raise ValueError(f"{self.text!r} lacks a )")
+            return inner
+        if c == "[":
+            return self.of(self.members())
+        if c in "]{}?*+^$.":
+            raise ValueError(f"rules have no {c}")
+        return self.of({self.escaped() if c == "\\" else ord(c)})
+
+    def escaped(self) -> int:
+        c = self.take()
+        if c == "x":
+            return int(self.take() + self.take(), 16)
+        if c.isalnum():
+            raise ValueError(f"rules have no escape {c}")
+        return ord(c)
+
+    def members(self) -> set[int]:
+        found: set[int] = set()
+        if self.peek() == "^":
+            raise ValueError("rules have no negated classes")
+        while (c := self.take()) != "]":
+            low = high = self.escaped() if c == "\\" else ord(c)
+            if self.peek() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                c = self.take()
+                high = self.escaped() if c == "\\" else ord(c)
+            found.update(range(low, high + 1))
+        return found
+
+    def of(self, members: set[int]) -> tuple:
+        if self.ignore_case:
+            members = members | {ord(f(chr(x))) for x in members if chr(x).isalpha() for f in (str.lower, str.upper)}
+        if max(members) > 127:
+            raise ValueError("rules are of ASCII characters")
+        return ("set", frozenset(members))
+
+
 class Nfa:
-    """Thompson's construction from the parse tree of Python's own ``re``."""
+    """Thompson's construction; ``backwards`` for the reversed expression."""
 
-    def __init__(self):
+    def __init__(self, backwards: bool = False):
+        self.backwards = backwards
         self.byte: list[list[tuple[frozenset[int], int]]] = []
         self.empty: list[list[int]] = []
 
@@ -64,55 +151,33 @@ class Nfa:
         self.empty.append([])
         return len(self.byte) - 1
 
-    def add(self, tree, at: int, ignore_case: bool) -> int:
-        for op, arg in tree:
-            at = self._one(op, arg, at, ignore_case)
-        return at
-
-    def _one(self, op, arg, at: int, ignore_case: bool) -> int:
-        if op in (sre.LITERAL, sre.IN):
+    def add(self, tree: tuple, at: int) -> int:
+        kind, *rest = tree
+        if kind == "set":
             to = self.state()
-            self.byte[at].append((self._class([(op, arg)] if op is sre.LITERAL else arg, ignore_case), to))
+            self.byte[at].append((rest[0], to))
             return to
-        if op is sre.SUBPATTERN:
-            return self.add(arg[-1], at, ignore_case)
-        if op is sre.BRANCH:
-            to = self.state()
-            for way in arg[1]:
-                self.empty[self.add(way, at, ignore_case)].append(to)
+        if kind == "seq":
+            for part in reversed(rest[0]) if self.backwards else rest[0]:
+                at = self.add(part, at)
+            return at
+        to = self.state()
+        if kind == "alt":
+            for way in rest[0]:
+                self.empty[self.add(way, at)].append(to)
             return to
-        if op is sre.MAX_REPEAT:
-            least, most, tree = arg
-            for _ in range(least):
-                at = self.add(tree, at, ignore_case)
-            if most is sre.MAXREPEAT:
-                loop = self.state()
-                self.empty[at].append(loop)
-                self.empty[self.add(tree, loop, ignore_case)].append(loop)
-                return loop
-            to = self.state()
+        least, most, part = rest
+        for _ in range(least):
+            at = self.add(part, at)
+        if most is None:
             self.empty[at].append(to)
-            for _ in range(most - least):
-                at = self.add(tree, at, ignore_case)
-                self.empty[at].append(to)
+            self.empty[self.add(part, to)].append(to)
             return to
-        raise ValueError(f"rules have no {op}")
-
-    @staticmethod
-    def _class(items, ignore_case: bool) -> frozenset[int]:
-        found: set[int] = set()
-        for op, arg in items:
-            if op is sre.LITERAL:
-                found.add(arg)
-            elif op is sre.RANGE:
-                found.update(range(arg[0], arg[1] + 1))
-            else:
-                raise ValueError(f"rules have no {op}")
-        if ignore_case:
-            found |= {ord(f(chr(x))) for x in found if chr(x).isalpha() for f in (str.lower, str.upper)}
-        if max(found) > 127:
-            raise ValueError("rules are of ASCII characters")
-        return frozenset(found)
+        self.empty[at].append(to)
+        for _ in range(most - least):
+            at = self.add(part, at)
+            self.empty[at].append(to)
+        return to
 
     def closure(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -127,13 +192,13 @@ class Nfa:
 class Dfa:
     """Transition arrays of ``rules``; ``anywhere``: a match may begin at any byte. State 0 is the initial one; ``accepts`` has a bit for each rule."""
 
-    def __init__(self, rules: tuple[Rule, ...], anywhere: bool):
-        nfa = Nfa()
+    def __init__(self, rules: tuple[Rule, ...], anywhere: bool, backwards: bool = False):
+        nfa = Nfa(backwards)
         start, finals = nfa.state(), {}
         for i, r in enumerate(rules):
             at = nfa.state()
             nfa.empty[start].append(at)
-            finals[nfa.add(sre_parser.parse(r.pattern), at, r.ignore_case)] = 1 << i
+            finals[nfa.add(Parser(r.pattern, r.ignore_case).tree, at)] = 1 << i
         used = sorted(set().union(*(c for out in nfa.byte for c, _ in out)))
         # bytes that every transition treats alike form a class; class 0: bytes in no rule
         alike: dict[tuple, int] = {}
@@ -186,7 +251,9 @@ class Scanner:
         self.rules = rules
         self.all = Dfa(rules, True)
         self.each = [Dfa((r,), False) for r in rules]
+        self.back = [Dfa((r,), True, backwards=True) for r in rules]
         self.steps = [(d.table.tolist(), d.classes.tolist(), d.accepts.tolist(), d.dead) for d in self.each]
+        self.starts = [(d.table.tolist(), d.classes.tolist(), d.accepts.tolist()) for d in self.back]
         self.checks = [re.compile(r.pattern.encode(), re.IGNORECASE if r.ignore_case else 0) for r in rules]
         self.flat = (self.all.table * self.all.width).ravel()  # a state stands for the place of its row
         self.hit = np.repeat(self.all.accepts, self.all.width)
@@ -226,23 +293,26 @@ class Scanner:
 
     def matches(self, text: bytes, rule: int, start: int, end: int) -> Iterator[tuple[int, int]]:
         """Leftmost longest matches of one rule in ``text[start:end]``, not overlapping; those that fail its length are dropped."""
+        table, classes, accepts = self.starts[rule]
+        s, begins = 0, []
+        for i in range(end - 1, start - 1, -1):
+            s = table[s][classes[text[i]]]
+            if accepts[s]:
+                begins.append(i)
         table, classes, accepts, dead = self.steps[rule]
-        check, r = self.checks[rule], self.rules[rule]
-        i = start
-        while i < end:
-            s, last = 0, -1
+        check, r, last = self.checks[rule], self.rules[rule], start
+        for i in reversed(begins):
+            if i < last:
+                continue
+            s = 0
             for j in range(i, end):
                 s = table[s][classes[text[j]]]
                 if s == dead:
                     break
                 if accepts[s]:
                     last = j + 1
-            if last < 0:
-                i += 1
-                continue
             if (len(check.fullmatch(text[i:last])[r.group]) if r.group else last - i) >= r.least:
                 yield i, last
-            i = last
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """(start, rule, end) in bytes of each text, sorted."""
@@ -264,6 +334,11 @@ class Scanner:
         return found
 
 
+def code_points(text: bytes) -> np.ndarray:
+    """Code points before each byte of ``text``, and before its end."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)])
+
+
 @cache
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
@@ -278,8 +353,8 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         for b in common.batches(it, 1_000):
             texts, out = common.text_bytes(b.column(1)), []
             for text, got in zip(texts, scan.spans(texts), strict=True):
-                place = (lambda n: n) if text.isascii() else (lambda n, t=text: len(t[:n].decode()))
-                out.append([{"kind": rules[r].kind, "start": place(x), "end": place(y)} for x, r, y in got])
+                place = code_points(text) if got and not text.isascii() else None
+                out.append([{"kind": rules[r].kind, "start": int(place[x]) if place is not None else x, "end": int(place[y]) if place is not None else y} for x, r, y in got])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

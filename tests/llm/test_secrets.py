@@ -38,3 +38,28 @@ def test_added_kinds_and_nulls(docs_of):
 def test_minimised():
     a = secrets.Dfa((secrets.Rule("x", "(abc|abd)e+"),), False)
     assert len(a.accepts) == 6  # four on the way, one that accepts, one dead
+
+
+def test_long_stretches_take_one_walk(scan):
+    import time
+
+    size = 1_000_000
+    texts = ["eyJa.eyJb.c" + "eyJ" * (size // 3), "token" * (size // 5), "é secret=abcdefghijkl" * (size // 22), "-----BEGIN " + "A " * (size // 2), "a" * size]
+    for t in texts:
+        began = time.time()
+        (found,) = scan.spans([t.encode()])
+        secrets.code_points(t.encode())
+        assert time.time() - began < 5
+        assert [(secrets.BASE[k].kind, a, e) for a, k, e in found if k < 3][:3] == [(k, len(t[:a].encode()), len(t[:e].encode())) for k, a, e in secrets.base_spans(t)[:3]]
+
+
+def test_rules_outside_of_the_subset():
+    for bad in ("a.b", "^a", "[^a]", r"\d+", "a$", "(a", "a)"):
+        with pytest.raises(ValueError):
+            secrets.Dfa((secrets.Rule("x", bad),), False)
+    d = secrets.Dfa((secrets.Rule("x", r"a{2,3}(b|[c-e])?\x2e{2}"),), False)
+    for text, ok in (("aa..", True), ("aaad..", True), ("aaaab..", False), ("aab.", False), ("ae..", False)):
+        s = 0
+        for c in text.encode():
+            s = d.table[s][d.classes[c]]
+        assert bool(d.accepts[s]) is ok
