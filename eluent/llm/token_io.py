@@ -12,7 +12,10 @@ last sequence of a file is padded. Columns:
 Executors write files to the shared folder under a name of their attempt and then rename them, so that a second attempt
 leaves the same files. They are read by Spark's ``binaryFile`` source.
 
-Null texts are empty: such a document holds the end id alone. Documents with a null id come first; repeated rows are kept, each with
+Tokenizers whose ids of a text are those of its lower-cased words in turn are applied word by word, each word once; whether a tokenizer is of
+that kind is tried on ``PROBES`` when it is loaded, and all others are given whole texts.
+
+Null texts are empty: such a document holds the end id alone. Documents with a null id come first, those of one id in order of a hash of their texts; repeated rows are kept, each with
 its own place. Other columns are ignored.
 """
 
@@ -36,6 +39,13 @@ LENGTH, ROWS, FILE_BYTES = 2048, 256, 32 << 20
 END_ID = 2
 
 
+#: Texts that tell apart tokenizers which keep case, white space, or what a word's neighbours are.
+PROBES = (
+    "Hello, World. HELLO world", "a  b\tc\n\nd \x0b e", " leading and trailing ", "don't it's WE'LL 3.14 12,345", "Caf\u00e9 \u00c9COLE na\u00efve \u00dcber stra\u00dfe", "x.y,z end. a,b ..", "\u0130stanbul \u65e5\u672c\u8a9e \U0001f600\U0001f600",
+    "<|endoftext|> <|startoftext|>a", "http://a.b/c?d=e&f #tag @name __init__", "\u00a0nbsp\u00a0 \u2003em", "e\u0301 combining \u212b", "AAAA bbbb 0000 ----",
+)
+
+
 def _byte_characters() -> dict[int, str]:
     """What a byte-level vocabulary writes each byte as: visible Latin-1 as itself, the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,8 +69,23 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[bytes, bytes] = {}
         self.characters = _byte_characters()
+        self.by_word = True
         self.ends = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in (".", ",", "")}
 
+        self.by_word = all(self.of_texts([x.encode()]) == self.whole([x.encode()]) for x in PROBES)
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, given whole to the tokenizer."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)]
+
+    def of_texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.by_word:
+            return self.whole(texts)
+        words = [x.lower().split() for x in texts]
+        self.learn(set().union(*words))
+        return list(map(self.ids, words))
+
     def __missing__(self, word: bytes) -> bytes:
         self.learn({word})
         return self[word]
@@ -168,18 +193,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, leng
             out.close()
             sink.close()
             name = f"part-{part:06d}-{len(done):05d}.arrow"
-            fs.move(temp, f"{top}/{name}")
+            there = lambda: fs.get_file_info(f"{top}/{name}").type != pyarrow.fs.FileType.NotFound
+            try:
+                if there():  # left whole by an attempt that was lost later: the same rows in the same order
+                    fs.delete_file(temp)
+                else:
+                    fs.move(temp, f"{top}/{name}")
+            except OSError:
+                if not there():
+                    raise
             done.append((name, n_docs, n_ids))
 
         for b in common.batches(it, 500):
-            words = [x.lower().split() for x in common.text_bytes(b.column(1))]
-            known.learn(set().union(*words))
-            for doc_id, w in zip(b.column(0).to_pylist(), words, strict=True):
+            for doc_id, found in zip(b.column(0).to_pylist(), known.of_texts(common.text_bytes(b.column(1))), strict=True):
                 if out is None:
                     temp = f"{top}/_writing-{part:06d}-{len(done):05d}-{attempt}"
                     sink = fs.open_output_stream(temp)
                     out, n_docs, n_ids = _File(sink, width, length, rows), 0, 0
-                ids = np.append(np.frombuffer(known.ids(w), "<u4"), np.uint32(end_id)).astype(out.kind)
+                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id)).astype(out.kind)
                 out.add(doc_id, ids)
                 n_docs, n_ids = n_docs + 1, n_ids + len(ids)
                 if out.written >= file_bytes:
@@ -190,7 +221,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, leng
         if done:
             yield pa.RecordBatch.from_pydict(dict(zip(("file", "docs", "ids"), map(list, zip(*done, strict=True)), strict=True)))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, "file string, docs long, ids long")
 
 

@@ -54,3 +54,27 @@ def test_words_are_the_text():
         words = (text or "").encode().lower().split()
         k.learn(set(words))
         assert np.frombuffer(k.ids(words), "<u4").tolist() == k.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_tokenizers_that_are_not_word_by_word(docs_of):
+    path = public.path("byte_bpe_50k.json")
+    assert token_io.WordIds(PATH).by_word and not token_io.WordIds(path).by_word
+    t = tokenizers.Tokenizer.from_file(path)
+    rows = [(1, "Hello,  World\n HELLO"), (2, None), (3, "  two  blanks")]
+    got = [tuple(r)[:1] + tuple(r)[2:] for r in token_io.encode(docs_of(rows), path, length=16, rows=4).orderBy("doc_id").collect()]
+    assert got == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ((i, [*t.encode(text or "", add_special_tokens=False).ids, 2]) for i, text in rows)]
+
+
+def test_long_text_and_files_left_by_a_lost_attempt(spark, docs_of):
+    import time
+
+    rows = [(1, "Some words, 12,345 and more. " * 36_000), (2, "x" * 1_000_000), (3, "a b")]
+    path = common.fresh_path(spark, "tokens")
+    began = time.time()
+    first = token_io.write(docs_of(rows), path, PATH).collect()
+    assert time.time() - began < 30
+    again = token_io.write(docs_of(rows), path, PATH).collect()  # a second attempt finds the files of the first
+    assert sorted(first) == sorted(again)
+    got = sorted(tuple(r) for r in token_io.read_documents(spark, path).collect())
+    t = tokenizers.Tokenizer.from_file(PATH)
+    assert [(g[0], g[2]) for g in got] == [(i, len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x in rows]
