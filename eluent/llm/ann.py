@@ -4,8 +4,9 @@ Each curve projects the vectors to ``DIMS`` random directions, shifts the grid b
 The order is a range partitioning in Spark; it is cut into key windows of equal row counts, and a query looks into its own window and
 those next to it, a ``REACH`` of the curve in all. The windows of all curves merge, and exact distances on the original vectors rerank.
 
-``REACH`` is a share of the curve, not a row count: vectors that fill their space evenly have neighbours that no projection brings close
-together, so that only a share of the rows keeps recall up at every size. A window and its queries are met in groups of
+``REACH`` is a share of the curve, the same at every size: many narrow windows see nearest neighbours more often than they see other rows, though
+vectors that fill their space evenly need many of them. Work is ``CURVES * REACH`` distances for each query and row. A window has more rows than
+the answers asked for, so that a table of no more than those is seen whole. A window and its queries are met in groups of
 at most ``WINDOW`` rows and about ``QUERIES`` queries.
 
 Vectors that are null, zero, of another length than most, or that hold a null or non-finite component take no part, nor do null ids. Rows of one
@@ -24,10 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CURVES, DIMS, BITS = 8, 6, 5
-REACH, WINDOW, QUERIES = 0.34, 2048, 512
-#: A window has at least so many rows, so that a query meets all rows of a small table.
-LEAST = 256
+CURVES, DIMS, BITS = 16, 16, 3
+REACH, WINDOW, QUERIES = 0.09, 2048, 512
 EVERY, TOP, SEED = 100, 10, 7
 
 
@@ -60,8 +59,9 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """vec_id, embedding of the rows that take part; single-precision vectors are shuffled as such and measured in double precision."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("embedding", lambda v: v != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
     size = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
@@ -71,7 +71,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def _keys(axes: np.ndarray, middle: np.ndarray, spread: np.ndarray, shifts: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(it):
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
             out = []
             for c in range(len(axes)):
                 z = (x @ axes[c] - middle[c]) / spread[c]
@@ -87,18 +87,22 @@ def _nearest(top: int):
     """The ``top`` nearest ids of one window to each of its queries; an id counts once, at the smallest distance of its rows."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out, rows, queries = [], group[~group["asked"]].sort_values("vec_id"), group[group["asked"]]
-        if len(rows) and len(queries):
-            ids, starts = np.unique(rows["vec_id"].to_numpy(), return_index=True)
-            x = np.stack(rows["embedding"].to_list())
-            for q, v in zip(queries["vec_id"], queries["embedding"], strict=True):
-                d = np.minimum.reduceat(np.sqrt(np.square(x - v).sum(axis=1)), starts)
-                d[ids == q] = np.inf
-                cut = np.partition(d, top - 1)[top - 1] if len(d) > top else np.inf
-                near = np.flatnonzero((d <= cut) & (d < np.inf))
-                near = near[np.lexsort((ids[near], d[near]))][:top]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near], "score": d[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        rows, queries = group[~group["asked"]].sort_values("vec_id"), group[group["asked"]]
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        if not len(rows) or not len(queries):
+            return none
+        ids, starts = np.unique(rows["vec_id"].to_numpy(), return_index=True)
+        x, q, of = np.stack(rows["embedding"].to_list()).astype(np.float64), np.stack(queries["embedding"].to_list()).astype(np.float64), queries["vec_id"].to_numpy()
+        out = []
+        for i in range(0, len(q), 64):  # so that the differences stay in bounds
+            d = np.sqrt(np.square(q[i : i + 64, None, :] - x[None, :, :]).sum(axis=2))
+            d = np.minimum.reduceat(d, starts, axis=1)
+            d[of[i : i + 64, None] == ids[None, :]] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")[:, :top]  # ids ascend, so that ties go to the smaller
+            near = np.take_along_axis(d, order, axis=1)
+            k, j = np.nonzero(near < np.inf)
+            out.append(pd.DataFrame({"query_id": of[i : i + 64][k], "vec_id": ids[order[k, j]], "score": near[k, j]}))
+        return pd.concat(out)
 
     return run
 
@@ -115,15 +119,16 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, reach: float
     axes = rng.standard_normal((CURVES, size, DIMS)) / np.sqrt(size)
     shifts = rng.random((CURVES, DIMS))
     # mean and spread along an axis follow from those of the components, by one pass
-    comps = rows.select(F.posexplode("embedding")).groupBy("pos").agg(F.avg("col").alias("m"), F.var_pop("col").alias("v")).orderBy("pos").collect()
+    comps = rows.select(F.posexplode(F.col("embedding").cast("array<double>"))).groupBy("pos").agg(F.avg("col").alias("m"), F.var_pop("col").alias("v")).orderBy("pos").collect()
     mean, var = np.array([r["m"] for r in comps]), np.array([r["v"] for r in comps])
     middle = np.einsum("s,csd->cd", mean, axes)
     spread = np.sqrt(np.einsum("s,csd->cd", var, axes**2)) + 1e-12
 
     keys = rows.mapInArrow(_keys(axes, middle, spread, shifts), "curve int, key long, vec_id long, row long")
     ranked = common.with_rank(keys, [F.col("curve"), F.col("key"), F.col("vec_id"), F.col("row")])
-    windows = max(1, min(16, n // LEAST), -(-n // WINDOW))
-    side = max(min(1, windows - 1), (round(windows * reach) - 1) // 2)
+    # three windows make the reach, or more if one would have too many rows; at least top + 1 rows in each
+    windows = max(1, min(max(round(3 / reach), -(-n // WINDOW)), n // (top + 1)))
+    side = min(max(1, (round(windows * reach) - 1) // 2), (windows - 1) // 2)
     ranked = ranked.withColumn("window", F.floor((F.col("rank") - F.col("curve") * F.lit(n)) * windows / F.lit(n)).cast("int"))
     low = F.greatest(F.lit(0), F.least(F.col("window") - side, F.lit(windows - 2 * side - 1)))
     placed = ranked.select("curve", "window", "vec_id", "row", low.alias("low"))
