@@ -1,16 +1,18 @@
-"""Substring dedup by windows on two levels.
+"""Substring dedup by windows, level by level at twice the length.
 
-A window of ``WINDOW`` words can only repeat if the shorter windows inside it do. So the first level looks at windows of half that length,
-and of those only at the one with the smallest hash in each full window: equal full windows choose equal short ones. Full windows
-are made only where that short window occurs in two documents. There is no further doubling: the windows of a longer passage cover it.
+A window can only repeat if the windows of half its length inside it do. So levels run from a short length to twice that and on up
+to ``WINDOW`` words (6 and 13): at each, only windows are looked at whose shorter windows repeated at the level before, and a level without
+survivors ends the search. Of the shorter windows only the one with the smallest hash in each longer window is counted: equal longer windows
+choose equal ones. Each level is a saved table. ``dedup`` needs no level beyond ``WINDOW``, whose windows cover longer passages; ``longest`` goes on
+from there, doubling until no candidates survive.
 
 Words are what stands between ASCII white space, unchanged. A window belongs to one document. Each word is removed that is covered by
 a window whose word sequence also starts in a document with a smaller doc_id. Documents whose whole word sequence equals that of a
 smaller doc_id are settled first, by a hash of the whole, and take no part in the levels.
 
 Null texts have no words. Documents with fewer words than a window lose none. Rows of one doc_id count as one document that
-starts windows in each of its rows; a row with a null doc_id loses nothing and takes nothing. Windows are compared by 64-bit
-hashes within levels (two different windows of a corpus of 10^9 meet with a chance of 3 in 100).
+starts windows in each of its rows; a row with a null doc_id loses nothing and takes nothing. Whether a window repeats is decided on 96 bits of two
+hashes of its words, from independent word hashes; shorter windows, which only leave candidates out, on the first 64.
 """
 
 from __future__ import annotations
@@ -25,58 +27,118 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 13
+#: Words of the windows that are removed, and of the shortest at which the levels may begin.
+WINDOW, FIRST = 13, 6
+FULL = "h long, check int, doc_id long"
 
 
-def _rows(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+def levels(window: int) -> list[int]:
+    """Lengths up to ``window``, each twice the one before or one more."""
+    out = [window]
+    while out[0] // 2 >= FIRST:
+        out.insert(0, out[0] // 2)
+    return out
 
 
-def _totals(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in common.batches(it):
-        words = [x.split() for x in common.text_bytes(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())], names=["doc_id", "n_words", "sha256"])
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def _least(hashes: np.ndarray, short: int, window: int) -> np.ndarray:
-    """For each full window, the smallest hash of the short windows in it."""
-    g = common.windows(hashes, short)
-    if len(hashes) < window:
+def _least(g: np.ndarray, more: int) -> np.ndarray:
+    """The smallest of each ``more + 1`` consecutive entries."""
+    if len(g) <= more:
         return g[:0]
-    out = g[: len(hashes) - window + 1].copy()
-    for k in range(1, window - short + 1):
+    out = g[: len(g) - more].copy()
+    for k in range(1, more + 1):
         np.minimum(out, g[k : k + len(out)], out=out)
     return out
 
 
-def _flat(doc_ids: list, arrays: list[np.ndarray], name: str) -> pa.RecordBatch:
-    hashes = np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)
-    ids = np.repeat(np.array(doc_ids, np.int64), [len(a) for a in arrays])
-    return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids)], names=[name, "doc_id"])
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
 
 
-def _short_windows(short: int, window: int):
+def _prints(short: int, longer: int):
+    """doc_id, n_words, the hash of all words, and for each window of ``longer`` words the smallest hash of those of ``short`` words in it."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.WordHash()
         for b in common.batches(it, 500):
-            texts = common.text_bytes(b.column(1))
-            yield _flat(b.column(0).to_pylist(), [np.unique(_least(common.hashed_words(x.split(), known), short, window)) for x in texts], "h")
+            words = [x.split() for x in common.text_bytes(b.column(1))]
+            least = [np.unique(_least(common.windows(common.hashed_words(w, known), short), longer - short)) for w in words]
+            whole = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array(whole, pa.string()), _lists(least)], names=["doc_id", "n_words", "sha256", "least"])
 
     return run
 
 
-def _full_windows(short: int, window: int):
-    """Windows of the rows (doc_id, text, repeated short windows) whose short window repeats."""
+def _again(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in column]
+
+
+def _middle(short: int, length: int, longer: int):
+    """Level ``length``: for each window of ``longer`` words the smallest hash of those of ``length`` words, where the smallest ``short`` ones of all of these repeat."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.WordHash()
         for b in common.batches(it, 500):
             found = []
-            for x, again in zip(common.text_bytes(b.column(1)), b.column(2), strict=True):
+            for x, again in zip(common.text_bytes(b.column(1)), _again(b.column(2)), strict=True):
                 h = common.hashed_words(x.split(), known)
-                keep = np.isin(_least(h, short, window), again.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                found.append(np.unique(common.windows(h, window)[keep]))
-            yield _flat(b.column(0).to_pylist(), found, "h")
+                gone = ~np.isin(_least(common.windows(h, short), length - short), again)
+                g, more = common.windows(h, length), longer - length
+                before = np.concatenate([[0], np.cumsum(gone)])
+                found.append(np.unique(_least(g, more)[before[more + 1 :] == before[: len(before) - more - 1]]) if len(g) > more else g[:0])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["doc_id", "least"])
+
+    return run
+
+
+def _flat(doc_ids: list, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """h, check, doc_id of each distinct window of a row."""
+    out: list[list[np.ndarray]] = [[], []]
+    for h, check in pairs:
+        h, at = np.unique(h, return_index=True)
+        out[0].append(h)
+        out[1].append((check[at] >> np.uint64(32)).astype(np.uint32))
+    ids = np.repeat(np.array(doc_ids, np.int64), list(map(len, out[0])))
+    h = np.concatenate([*out[0], np.zeros(0, np.uint64)]).view(np.int64)
+    check = np.concatenate([*out[1], np.zeros(0, np.uint32)]).view(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array(ids)], names=["h", "check", "doc_id"])
+
+
+def _full(short: int, length: int):
+    """Both hashes of the windows of ``length`` words whose smallest ``short`` one repeats."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, other = common.WordHash(), common.WordHash(1)
+        for b in common.batches(it, 500):
+            found = []
+            for x, again in zip(common.text_bytes(b.column(1)), _again(b.column(2)), strict=True):
+                words = x.split()
+                h = common.hashed_words(words, known)
+                keep = np.isin(_least(common.windows(h, short), length - short), again)
+                found.append((common.windows(h, length)[keep], common.windows(common.hashed_words(words, other), length)[keep]))
+            yield _flat(b.column(0).to_pylist(), found)
+
+    return run
+
+
+def _doubled(length: int):
+    """Both hashes of the windows of twice ``length`` words whose halves repeat."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, other = common.WordHash(), common.WordHash(1)
+        for b in common.batches(it, 500):
+            found = []
+            for x, again in zip(common.text_bytes(b.column(1)), _again(b.column(2)), strict=True):
+                words = x.split()
+                h = common.hashed_words(words, known)
+                ok = np.isin(common.windows(h, length), again)
+                keep = ok[:-length] & ok[length:] if len(ok) > length else ok[:0]
+                found.append((common.windows(h, 2 * length)[keep], common.windows(common.hashed_words(words, other), 2 * length)[keep]))
+            yield _flat(b.column(0).to_pylist(), found)
 
     return run
 
@@ -88,9 +150,9 @@ def _kept(window: int):
         known = common.WordHash()
         for b in common.batches(it, 500):
             out: list[list] = [[], [], [], []]
-            for x, gone in zip(common.text_bytes(b.column(1)), b.column(2), strict=True):
+            for x, gone in zip(common.text_bytes(b.column(1)), _again(b.column(2)), strict=True):
                 words = x.split()
-                hit = np.isin(common.windows(common.hashed_words(words, known), window), gone.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                hit = np.isin(common.windows(common.hashed_words(words, known), window), gone)
                 step = np.zeros(len(words) + 1, np.int64)
                 at = np.flatnonzero(hit)
                 np.add.at(step, at, 1)
@@ -104,31 +166,66 @@ def _kept(window: int):
     return run
 
 
-def _first_seen(windows: DataFrame) -> DataFrame:
-    """h and the smallest doc_id, of windows in at least two documents. Combined before the shuffle, so that no window is hot."""
-    return windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+def _first_seen(windows: DataFrame, *keys: str) -> DataFrame:
+    """keys and the smallest doc_id, of windows in at least two documents. Combined before the shuffle, so that no window is hot."""
+    return windows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*keys, "first")
+
+
+def _repeated(least: DataFrame) -> DataFrame:
+    """doc_id, again: of each document's windows (doc_id, least) those that other documents have too."""
+    rows = least.select("doc_id", F.explode("least").alias("h"))
+    again = common.saved(_first_seen(rows, "h").select("h"), "short")
+    return common.saved(rows.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("again")), "candidates")  # of one document
+
+
+def _windows(rows: DataFrame, least: DataFrame, window: int) -> DataFrame:
+    """h, check, doc_id of the windows of ``rows`` that may repeat, from the first level (doc_id, least)."""
+    steps = levels(window)
+    if len(steps) == 1:  # the first level is the last
+        steps = [window, window]
+    candidates = _repeated(least)
+    for short, length, longer in zip(steps, steps[1:], steps[2:], strict=False):
+        if candidates.isEmpty():
+            break
+        rows_left = rows.join(candidates, "doc_id")
+        candidates = _repeated(common.saved(rows_left.mapInArrow(_middle(short, length, longer), "doc_id long, least array<long>"), "level"))
+    return common.saved(rows.join(candidates, "doc_id").mapInArrow(_full(steps[-2], window), FULL), "windows")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """What repeats: (doc_id, gone) with the hashes of each document's windows that start in an earlier one; and the rows' totals
     (doc_id, n_words, sha256, copy), where copies of earlier documents take no part in the former."""
-    rows = _rows(docs)
-    totals = common.saved(rows.mapInArrow(_totals, "doc_id long, n_words long, sha256 string"), "totals")
+    rows, steps = _rows(docs), levels(window)
+    prints = common.saved(rows.mapInArrow(_prints(steps[0], steps[min(1, len(steps) - 1)]), "doc_id long, n_words long, sha256 string, least array<long>"), "prints")
+    totals = prints.drop("least")
     first = totals.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha256", "first")
     earlier = totals.join(common.saved(first, "first"), "sha256", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).alias("copy"))
     copies = common.saved(earlier.where("copy").select("doc_id"), "copies")
     totals = common.semi_join(totals, copies.withColumn("copy", F.lit(True)), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     own = common.semi_join(rows.where(F.col("doc_id").isNotNull()), copies, "doc_id", "left_anti")
-
-    short = max(1, window // 2)
-    least = own.mapInArrow(_short_windows(short, window), "h long, doc_id long")
-    again = common.saved(_first_seen(least).select("h"), "short")
-    candidates = common.saved(least.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("again")), "candidates")  # of one document
-    full = common.saved(own.join(candidates, "doc_id").mapInArrow(_full_windows(short, window), "h long, doc_id long"), "windows")
-    seen = full.join(_first_seen(full), "h").where("first < doc_id")
+    least = common.semi_join(prints.where(F.col("doc_id").isNotNull()).select("doc_id", "least"), copies, "doc_id", "left_anti")
+    full = _windows(own, least, window)
+    seen = full.join(_first_seen(full, "h", "check"), ["h", "check"]).where("first < doc_id")
     return common.saved(seen.groupBy("doc_id").agg(F.collect_list("h").alias("gone")), "gone"), totals
 
 
+def longest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, longest: words of the longest windows that a document shares with another one, ``window`` times a power of two, for those that
+    share any. Windows that repeat at one length alone are extended to twice that length, until no candidates survive."""
+    rows, steps = _rows(docs).where(F.col("doc_id").isNotNull()), levels(window)
+    prints = common.saved(rows.mapInArrow(_prints(steps[0], steps[min(1, len(steps) - 1)]), "doc_id long, n_words long, sha256 string, least array<long>"), "prints")
+    full, length, found = _windows(rows, prints.select("doc_id", "least"), window), window, None
+    while True:
+        alive = full.join(_first_seen(full, "h", "check"), ["h", "check"], "left_semi")
+        alive = common.saved(alive.groupBy("doc_id").agg(F.collect_list("h").alias("again")), "alive")
+        reached = alive.select("doc_id", F.lit(length).cast("long").alias("longest"))
+        found = reached if found is None else found.union(reached)
+        if alive.isEmpty():
+            return found.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+        full = common.saved(rows.join(alive, "doc_id").mapInArrow(_doubled(length), FULL), "windows")
+        length *= 2
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``."""
     gone, totals = repeats(docs, window)

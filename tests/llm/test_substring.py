@@ -42,3 +42,49 @@ def test_short_documents_stay(docs_of):
     rows = [(i, "a b c d e f g h i j k l") for i in range(5)]
     assert run(docs_of(rows)) == brute(rows)
     assert run(docs_of([])) == []
+
+
+def _planted(seed):
+    """Passages of 6 to 400 words that repeat across documents, whole, cut short and between other words."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    passages = [[word() for _ in range(n)] for n in (6, 12, 13, 25, 26, 27, 60, 120, 400)]
+    rows = []
+    for i in range(36):
+        p = passages[i % 9]
+        k = r.randint(0, len(p) // 8) if i > 17 else 0
+        rows.append((7 * i % 36, " ".join([word() for _ in range(r.randint(0, 30))] + p[k:] + [word() for _ in range(r.randint(0, 30))])))
+    return rows + [(50, "w " * 1000), (51, "w " * 900), (52, None), (None, rows[0][1]), (53, rows[8][1]), (54, "x y z")]
+
+
+def test_passages_of_6_to_400_words(docs_of):
+    rows = _planted(4)
+    assert run(docs_of(rows)) == brute(rows)
+
+
+def test_other_windows(docs_of):
+    rows = _planted(5)
+    for n in (1, 5, 27):
+        got = sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in map(tuple, substring.dedup(docs_of(rows), n).collect()))
+        assert got == brute(rows, n)
+
+
+def test_longest_doubles_until_nothing_repeats(docs_of):
+    rows = _planted(6)
+    expected, length, left = {}, 13, True
+    while left:
+        holders = {}
+        for i, t in rows:
+            w = (t or "").split()
+            for k in range(len(w) - length + 1):
+                if i is not None:
+                    holders.setdefault(tuple(w[k : k + length]), set()).add(i)
+        left = {i for x in holders.values() if len(x) > 1 for i in x}
+        expected.update(dict.fromkeys(left, length))
+        length *= 2
+    assert dict(map(tuple, substring.longest(docs_of(rows)).collect())) == expected
+    assert max(expected.values()) >= 208
+
+
+def test_levels():
+    assert substring.levels(13) == [6, 13] and substring.levels(52) == [6, 13, 26, 52] and substring.levels(5) == [5]
