@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bind import let
+
 INTENSITY_OFFSET = 50.0
 #: Where the plot area of a detector image begins and ends, in pixels of 224.
 BOX_LEFT, BOX_RIGHT = 10.18181818, 213.81818182
@@ -39,8 +41,7 @@ def apex_index(points: Column) -> Column:
 
 def nearest_index(values: Column, target: Column) -> Column:
     """0-based place of the element nearest to ``target``; the first of equal distances."""
-    pairs = F.transform(values, lambda v, i: F.struct(F.abs(v - target).alias("d"), i.alias("i")))
-    return F.array_min(pairs)["i"]
+    return let(target, lambda x: F.array_min(F.transform(values, lambda v, i: F.struct(F.abs(v - x).alias("d"), i.alias("i"))))["i"])
 
 
 def trapezoids(points: Column, factor: float = 1.0) -> Column:
@@ -63,41 +64,48 @@ def around_apex(points: Column, reach: int = 5) -> Column:
 
 
 def between(points: Column, low: Column, high: Column) -> Column:
-    return F.filter(points, lambda p: (p["rt"] >= F.least(low, high)) & (p["rt"] <= F.greatest(low, high)))
+    ends = F.struct(F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+    return let(ends, lambda e: F.filter(points, lambda p: (p["rt"] >= e["low"]) & (p["rt"] <= e["high"])))
 
 
 def corrected(points: Column, baseline: str) -> Column:
     """``points`` above a baseline, not below 0: ``linear`` between the ends, ``edge_min`` the lower end, ``none``. A single point stays as it is."""
-    a, b = points[0], F.element_at(points, -1)
-    if baseline == "none":
-        base = lambda p: F.lit(0.0)
-    elif baseline == "edge_min":
-        base = lambda p: F.least(a["intensity"], b["intensity"])
-    elif baseline == "linear":
-        base = lambda p: a["intensity"] + (b["intensity"] - a["intensity"]) * F.coalesce(F.try_divide(p["rt"] - a["rt"], b["rt"] - a["rt"]), F.lit(0.0))
-    else:
+    if baseline not in ("linear", "edge_min", "none"):
         raise ValueError(f"baseline is linear, edge_min or none, not {baseline}")
-    above = F.transform(points, lambda p: F.struct(p["rt"].alias("rt"), F.greatest(p["intensity"] - base(p), F.lit(0.0)).alias("intensity")))
-    return F.when(F.size(points) > 1, above).otherwise(points)
+
+    def above(points: Column, ends: Column) -> Column:
+        a, b = ends["a"], ends["b"]
+        rise = lambda p: F.coalesce(F.try_divide(p["rt"] - a["rt"], b["rt"] - a["rt"]), F.lit(0.0))
+        base = {"none": lambda p: F.lit(0.0), "edge_min": lambda p: F.least(a["intensity"], b["intensity"]), "linear": lambda p: a["intensity"] + (b["intensity"] - a["intensity"]) * rise(p)}[baseline]
+        return F.transform(points, lambda p: F.struct(p["rt"].alias("rt"), F.greatest(p["intensity"] - base(p), F.lit(0.0)).alias("intensity")))
+
+    ends = lambda w: F.struct(F.get(w, 0).alias("a"), F.try_element_at(w, F.lit(-1)).alias("b"))
+    return let(points, lambda w: F.when(F.size(w) > 1, let(ends(w), lambda e: above(w, e))).otherwise(w))
 
 
 def integrate(points: Column, low: Column, high: Column, baseline: str = "linear") -> Column:
     """struct(area, height, apex_rt, points) of a curated peak; reversed bounds are swapped; no points give 0, 0, null, 0."""
-    y = corrected(between(points, low, high), baseline)
-    inside = F.size(y)
-    return F.struct(
-        trapezoids(y).alias("area"), F.coalesce(F.array_max(intensities(y)), F.lit(0.0)).alias("height"),
-        F.when(inside > 0, F.get(y, (apex_index(y) - 1).cast("int"))["rt"]).alias("apex_rt"), inside.cast("long").alias("points"),
-    )
+
+    def measured(y: Column) -> Column:
+        inside = F.size(y)
+        return F.struct(
+            trapezoids(y).alias("area"), F.coalesce(F.array_max(intensities(y)), F.lit(0.0)).alias("height"),
+            F.when(inside > 0, F.get(y, (apex_index(y) - 1).cast("int"))["rt"]).alias("apex_rt"), inside.cast("long").alias("points"),
+        )
+
+    return let(corrected(between(points, low, high), baseline), measured)
 
 
 def fwhm(points: Column) -> Column:
     """Width between the first points at or below half of the maximum to either side of the apex, or the ends."""
-    half, k = F.array_max(intensities(points)) / 2, apex_index(points)
-    at = F.transform(points, lambda p, i: F.struct((i + 1).alias("i"), p["rt"].alias("rt"), p["intensity"].alias("y")))
-    left = F.element_at(F.filter(at, lambda p: ((p["y"] <= half) | (p["i"] == 1)) & (p["i"] <= k)), -1)["rt"]
-    right = F.element_at(F.filter(at, lambda p: ((p["y"] <= half) | (p["i"] == F.size(points))) & (p["i"] >= k)), 1)["rt"]
-    return right - left
+
+    def width(s: Column) -> Column:
+        at = F.transform(s["points"], lambda p, i: F.struct((i + 1).alias("i"), p["rt"].alias("rt"), p["intensity"].alias("y")))
+        left = F.element_at(F.filter(at, lambda p: ((p["y"] <= s["half"]) | (p["i"] == 1)) & (p["i"] <= s["k"])), -1)["rt"]
+        right = F.element_at(F.filter(at, lambda p: ((p["y"] <= s["half"]) | (p["i"] == s["n"])) & (p["i"] >= s["k"])), 1)["rt"]
+        return right - left
+
+    return let(F.struct(points.alias("points"), (F.array_max(intensities(points)) / 2).alias("half"), apex_index(points).alias("k"), F.size(points).alias("n")), width)
 
 
 def order_statistic(values: Column, share: float) -> Column:
@@ -114,17 +122,28 @@ def lr_diff(points: Column, relative: bool) -> Column:
 
 def local_minima(values: Column) -> Column:
     """0-based places where the sign of the first difference rises."""
-    n = F.size(values)
-    step = lambda i: F.signum(values[i + 1] - values[i])
-    places = F.filter(F.sequence(F.lit(1), n - 2), lambda i: step(i) > step(i - 1))
-    return F.when(n > 2, places).otherwise(F.array().cast("array<int>"))
+
+    def places(y: Column) -> Column:
+        step = lambda i: F.signum(y[i + 1] - y[i])
+        return F.when(F.size(y) > 2, F.filter(F.sequence(F.lit(1), F.size(y) - 2), lambda i: step(i) > step(i - 1))).otherwise(F.array().cast("array<int>"))
+
+    return let(values, places)
+
+
+def least_step(values: Column) -> Column:
+    """The smallest difference between neighbours; null for fewer than two values."""
+    return let(values, lambda y: F.array_min(F.zip_with(F.slice(y, F.lit(2), F.greatest(F.size(y) - 1, F.lit(0))), F.slice(y, F.lit(1), F.greatest(F.size(y) - 1, F.lit(0))), lambda b, a: b - a)))
 
 
 def islands(indexes: Column) -> Column:
     """Runs of consecutive integers of a sorted array, as (first, last)."""
-    starts = F.filter(indexes, lambda v, i: (i == 0) | (v != F.get(indexes, i - 1) + 1))
-    ends = F.filter(indexes, lambda v, i: (i == F.size(indexes) - 1) | (v != F.get(indexes, i + 1) - 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+    def runs(x: Column) -> Column:
+        starts = F.filter(x, lambda v, i: (i == 0) | (v != F.get(x, i - 1) + 1))
+        ends = F.filter(x, lambda v, i: (i == F.size(x) - 1) | (v != F.get(x, i + 1) - 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+    return let(indexes, runs)
 
 
 # Savitzky-Golay weights for (window, order), inside and for the leading edge points.
@@ -137,17 +156,22 @@ SAVGOL = {
 def savgol(values: Column, window: int, order: int) -> Column:
     """Smoothed values; the ends follow the polynomial of the first and last window."""
     inside, edge = SAVGOL[window, order]
-    n, h = F.size(values), window // 2
-    weigh = lambda at, ws: sum((values[at + j] * w for j, w in enumerate(ws)), F.lit(0.0))
-    middle = F.transform(F.sequence(F.lit(0), n - window), lambda i: weigh(i, inside))
-    head = F.array(*(weigh(F.lit(0), ws) for ws in edge[:h]))
-    tail = F.array(*(weigh(n - window, ws[::-1]) for ws in edge[:h][::-1]))
-    return F.when(n >= window, F.concat(head, middle, tail)).otherwise(values)
+    h = window // 2
+
+    def run(y: Column) -> Column:
+        n = F.size(y)
+        weigh = lambda at, ws: sum((y[at + j] * w for j, w in enumerate(ws)), F.lit(0.0))
+        middle = F.transform(F.sequence(F.lit(0), n - window), lambda i: weigh(i, inside))
+        head = F.array(*(weigh(F.lit(0), ws) for ws in edge[:h]))
+        tail = F.array(*(weigh(n - window, ws[::-1]) for ws in edge[:h][::-1]))
+        return F.when(n >= window, F.concat(head, middle, tail)).otherwise(y)
+
+    return let(values, run)
 
 
 def smoothed(values: Column) -> Column:
     """Window 5, order 2 from 50 points on, else window 3, order 1."""
-    return F.when(F.size(values) >= 50, savgol(values, 5, 2)).otherwise(savgol(values, 3, 1))
+    return let(values, lambda y: F.when(F.size(y) >= 50, savgol(y, 5, 2)).otherwise(savgol(y, 3, 1)))
 
 
 def box_bounds(points: Column, center: Column, width: Column) -> Column:
@@ -160,8 +184,14 @@ def box_bounds(points: Column, center: Column, width: Column) -> Column:
 
 def padded(points: Column, low: Column, high: Column, step: Column, value: float = INTENSITY_OFFSET) -> Column:
     """``points`` with baseline points every ``step`` from ``low`` to the first and from the last to ``high``."""
-    grid = lambda a, b: F.when(b >= a, F.transform(F.sequence(F.lit(0).cast("long"), F.floor((b - a) / step)), lambda i: F.struct((a + i * step).alias("rt"), F.lit(value).alias("intensity")))).otherwise(F.array().cast("array<struct<rt:double,intensity:double>>"))
-    return F.concat(grid(low, points[0]["rt"] - step), points, grid(F.element_at(points, -1)["rt"] + step, high))
+    none = F.array().cast("array<struct<rt:double,intensity:double>>")
+
+    def grid(a: Column, b: Column) -> Column:
+        of = F.struct(a.alias("a"), b.alias("b"), step.alias("step"))
+        point = lambda i, g: F.struct((g["a"] + i * g["step"]).alias("rt"), F.lit(value).alias("intensity"))
+        return let(of, lambda g: F.when(g["b"] >= g["a"], F.transform(F.sequence(F.lit(0).cast("long"), F.floor((g["b"] - g["a"]) / g["step"])), lambda i: point(i, g))).otherwise(none))
+
+    return let(points, lambda p: F.concat(grid(low, p[0]["rt"] - step), p, grid(F.element_at(p, -1)["rt"] + step, high)))
 
 
 def every_second(points: Column, odd: bool) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,10 +41,22 @@ def cv_present(area: Column) -> Column:
 
 
 def zero_policy(area: Column, policy: str) -> Column:
-    """``zero``: missing is 0; ``missing``: 0 is missing."""
-    if policy not in ("zero", "missing"):
-        raise ValueError(f"policy is zero or missing, not {policy}")
-    return F.coalesce(area, F.lit(0.0)) if policy == "zero" else F.nullif(area, F.lit(0.0))
+    """``zero``: missing is 0; ``missing``: 0 is missing; ``keep``: as it is."""
+    if policy not in ("zero", "missing", "keep"):
+        raise ValueError(f"policy is zero, missing or keep, not {policy}")
+    return {"zero": F.coalesce(area, F.lit(0.0)), "missing": F.nullif(area, F.lit(0.0)), "keep": area}[policy]
+
+
+def finite(value: Column) -> Column:
+    """Infinities and NaN as null."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def number(text: Column, default: float | None = None, strict: bool = False) -> Column:
+    """A text as a number; what is none becomes ``default`` (null without one), or an error if ``strict``."""
+    if strict:
+        return text.cast("string").cast("double")
+    return F.coalesce(text.cast("string").try_cast("double"), F.lit(default).cast("double"))
 
 
 def welch_t(ma: Column, va: Column, na: Column, mb: Column, vb: Column, nb: Column) -> Column:
@@ -54,29 +68,34 @@ def welch_df(va: Column, na: Column, vb: Column, nb: Column) -> Column:
     return F.try_divide((a + b) * (a + b), a * a / (na - 1) + b * b / (nb - 1))
 
 
-def _continued(a: float, b: float, x: float) -> float:
-    """Lentz's continued fraction of the incomplete beta function."""
-    tiny, c = 1e-300, 1.0
-    d = 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    h = d
+def _continued(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lentz's continued fraction of the incomplete beta function, for a whole batch until its last value has settled."""
+    away = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1 / away(1 - (a + b) * x / (a + 1))
+    h = d.copy()
     for m in range(1, 400):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + top * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + top / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+            d = 1 / away(1 + top * d)
+            c = away(1 + top / c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
     return h
 
 
-def t_probability(t: float | None, df: float | None) -> float | None:
-    """Two-sided p of Student's t: the regularised incomplete beta function at df / (df + t²)."""
-    if t is None or df is None or math.isnan(t) or math.isnan(df):
-        return None
-    a, b, x = df / 2, 0.5, df / (df + t * t)
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _continued(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _continued(b, a, 1 - x) / b
+def t_probabilities(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of Student's t, for a whole batch: the regularised incomplete beta function at df / (df + t²)."""
+    t, v = t.to_numpy(float), df.to_numpy(float)
+    out = np.full(len(t), np.nan)
+    at = np.flatnonzero(np.isfinite(t) & np.isfinite(v) & (v > 0))
+    a, b, x = v[at] / 2, np.full(len(at), 0.5), v[at] / (v[at] + t[at] ** 2)
+    inside = (x > 0) & (x < 1)
+    out[at] = x >= 1
+    at, a, b, x = at[inside], a[inside], b[inside], x[inside]
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) if len(at) else x
+    low = x < (a + 1) / (a + b + 2)
+    p, q = np.where(low, a, b), np.where(low, b, a)
+    part = front * _continued(p, q, np.where(low, x, 1 - x)) / p
+    out[at] = np.where(low, part, 1 - part)
+    return pd.Series(out).astype("Float64").where(~np.isnan(out), pd.NA)

@@ -17,9 +17,15 @@ def rt_gap_clusters(peaks: DataFrame, eps: float, key: str = "ion_id", rt: str =
     return out.withColumn("label", F.coalesce(F.sum("_cut").over(by.orderBy(rt).rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("long")).drop("_cut")
 
 
-def summaries(labelled: DataFrame, key: str = "ion_id") -> DataFrame:
-    """A row for each cluster: n_peaks, n_samples, mean_rt, rt_min, rt_max."""
-    return labelled.groupBy(key, "label").agg(F.count("*").alias("n_peaks"), F.countDistinct("sample_id").alias("n_samples"), F.avg("rt").alias("mean_rt"), F.min("rt").alias("rt_min"), F.max("rt").alias("rt_max"))
+def summaries(labelled: DataFrame, key: str = "ion_id", seq: str | None = None) -> DataFrame:
+    """A row for each cluster: n_peaks, n_samples, mean_rt, rt_min, rt_max; and first_seq, its smallest ``seq``, where peaks have such a number."""
+    first = [F.min(seq).alias("first_seq")] if seq else []
+    return labelled.groupBy(key, "label").agg(F.count("*").alias("n_peaks"), F.countDistinct("sample_id").alias("n_samples"), F.avg("rt").alias("mean_rt"), F.min("rt").alias("rt_min"), F.max("rt").alias("rt_max"), *first)
+
+
+def in_sequence(peaks: DataFrame, order: list[Column | str], key: str = "ion_id") -> DataFrame:
+    """``peaks`` with ``seq``, their place among those of their key."""
+    return peaks.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
 def merged_labels(labels: list, means: list[float], close: float) -> list[tuple]:
@@ -35,7 +41,8 @@ def merged_labels(labels: list, means: list[float], close: float) -> list[tuple]
 
 
 def merge_close(clusters: DataFrame, close: float = 0.04, key: str = "ion_id", order: str = "label") -> DataFrame:
-    """key, label, merged, merged_rt; clusters of a key are met in the order of ``order``. A key has few clusters."""
+    """key, label, merged, merged_rt; clusters of a key are met in the order of ``order``, which is that of first appearance with ``first_seq``. A key has
+    few clusters."""
     kind = clusters.schema
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,12 @@ def default_bounds(features: DataFrame, reach: float = 0.12) -> DataFrame:
     return features.withColumns({"rt_left": F.coalesce("rtmin", F.col("rt") - reach), "rt_right": F.coalesce("rtmax", F.col("rt") + reach)})
 
 
+def display_bounds(features: DataFrame, share: float = 0.5, least: float = 0.15) -> DataFrame:
+    """view_left and view_right around rt_left and rt_right: padded by a share of the width, ``least`` minutes at the least, from time 0 on."""
+    pad = F.greatest(F.abs(F.col("rt_right") - F.col("rt_left")) * share, F.lit(least))
+    return features.withColumns({"view_left": F.greatest(F.least("rt_left", "rt_right") - pad, F.lit(0.0)), "view_right": F.greatest("rt_left", "rt_right") + pad})
+
+
 def latest(edits: DataFrame) -> DataFrame:
     """The last edit (highest ``seq``) of each feature and sample; an edit with a null sample is one of all samples."""
     return edits.withColumn("_k", F.row_number().over(Window.partitionBy("feature_id", "sample_id").orderBy(F.desc("seq")))).where("_k = 1").drop("_k")

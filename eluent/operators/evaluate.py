@@ -12,32 +12,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import matrix
+
+LEVEL = 0.05
+SCORES = ["precision", "recall", "f1"]
 
 
 def detected(area: Column) -> Column:
     return area.isNotNull() & (area != 0)
 
 
-def presence(cells: DataFrame, truth: DataFrame, by: str = "sample_id") -> DataFrame:
-    """tp, fp, fn of each ``by``, with precision, recall, f1. A cell is positive if detected, and true if its feature is in ``truth``."""
-    rows = cells.join(truth.select("feature_id").distinct().withColumn("_true", F.lit(True)), "feature_id", "left")
-    hit, true = detected(F.col("area")), F.coalesce("_true", F.lit(False))
-    n = rows.groupBy(by).agg(*(F.count(F.when(c, 1)).alias(k) for k, c in (("tp", hit & true), ("fp", hit & ~true), ("fn", ~hit & true))))
+def _scored(counts: DataFrame) -> DataFrame:
+    """``counts`` (tp, fp, fn) with precision, recall and f1."""
     p, r = stats.precision(F.col("tp"), F.col("fp")), stats.recall(F.col("tp"), F.col("fn"))
-    return n.withColumns({"precision": p, "recall": r}).withColumn("f1", stats.f1(F.col("precision"), F.col("recall")))
+    return counts.withColumns({"precision": p, "recall": r}).withColumn("f1", stats.f1(F.col("precision"), F.col("recall")))
 
 
-def presence_summary(scores: DataFrame) -> DataFrame:
-    """Mean and sample deviation of precision, recall and f1 over samples."""
-    return scores.agg(*(f(c).alias(f"{c}_{k}") for c in ("precision", "recall", "f1") for k, f in (("mean", F.avg), ("std", F.stddev_samp))))
+def presence(cells: DataFrame, truth: DataFrame, by: str = "sample_id") -> DataFrame:
+    """tp, fp, fn of each ``by``, with precision, recall, f1. Features count over the union of those in ``cells`` and in ``truth``: a true
+    feature without a cell is missed everywhere."""
+    true = truth.select("feature_id").distinct()
+    rows = cells.join(true.withColumn("_true", F.lit(True)), "feature_id", "left")
+    hit, real = detected(F.col("area")), F.coalesce("_true", F.lit(False))
+    n = rows.groupBy(by).agg(F.countDistinct(F.when(hit & real, F.col("feature_id"))).alias("tp"), F.countDistinct(F.when(hit & ~real, F.col("feature_id"))).alias("fp"))
+    n = n.join(F.broadcast(true.agg(F.count("*").alias("_n")))).select(by, "tp", "fp", (F.col("_n") - F.col("tp")).alias("fn"))  # one row
+    return _scored(n)
+
+
+def presence_against(observed: DataFrame, reference: DataFrame, by: str = "sample_id") -> DataFrame:
+    """The same where truth has cells too: a cell is true if it is present in ``reference``, over all features of either side."""
+    keys = ["feature_id", by]
+    present = lambda df, mark: df.where("area is not null").select(*keys).distinct().withColumn(mark, F.lit(True))
+    both = present(observed, "_seen").join(present(reference, "_true"), keys, "full_outer")
+    hit, real = F.coalesce("_seen", F.lit(False)), F.coalesce("_true", F.lit(False))
+    n = both.groupBy(by).agg(*(F.count(F.when(c, 1)).alias(k) for k, c in (("tp", hit & real), ("fp", hit & ~real), ("fn", ~hit & real))))
+    every = observed.select(by).union(reference.select(by)).distinct()
+    return _scored(every.join(n, by, "left").na.fill(0, ["tp", "fp", "fn"]))
 
 
-def error_types(cells: DataFrame, truth: DataFrame) -> DataFrame:
-    """feature_id, error_type (``FN``, ``FP`` or ``FN;FP``) of the features wrong in any sample."""
-    rows = cells.join(truth.select("feature_id").distinct().withColumn("_true", F.lit(True)), "feature_id", "left")
-    hit, true = detected(F.col("area")), F.coalesce("_true", F.lit(False))
-    kind = F.when(hit & ~true, "FP").when(~hit & true, "FN")
-    return rows.withColumn("k", kind).where("k is not null").groupBy("feature_id").agg(F.array_join(F.array_sort(F.collect_set("k")), ";").alias("error_type"))
+def presence_summary(scores: DataFrame) -> DataFrame:
+    """Mean and sample deviation of precision, recall and f1 over samples."""
+    return scores.agg(*(f(c).alias(f"{c}_{k}") for c in SCORES for k, f in (("mean", F.avg), ("std", F.stddev_samp))))
+
+
+def error_types(cells: DataFrame, truth: DataFrame, scope: str = "sample_union", by: str = "sample_id") -> DataFrame:
+    """feature_id, error_type (``FN``, ``FP`` or ``FN;FP``) of the features that are wrong. ``sample_union``: wrong in any sample; a true
+    feature is missed in a sample where it has no detected cell. ``component_set``: features in ``cells`` that are not true, and true ones that are not there."""
+    true = truth.select("feature_id").distinct().withColumn("_true", F.lit(True))
+    if scope == "component_set":
+        here = cells.select("feature_id").distinct().withColumn("_here", F.lit(True))
+        kind = F.when(F.col("_true").isNull(), "FP").when(F.col("_here").isNull(), "FN")
+        return here.join(true, "feature_id", "full_outer").select("feature_id", kind.alias("error_type")).where("error_type is not null")
+    if scope != "sample_union":
+        raise ValueError(f"scope is sample_union or component_set, not {scope}")
+    samples = cells.agg(F.countDistinct(by).alias("_samples"))
+    hits = cells.where(detected(F.col("area"))).groupBy("feature_id").agg(F.countDistinct(by).alias("_hits"))
+    rows = hits.join(true, "feature_id", "full_outer").join(F.broadcast(samples))  # one row
+    kind = F.when(F.col("_true").isNull(), "FP").when(F.coalesce("_hits", F.lit(0)) < F.col("_samples"), "FN")
+    return rows.select("feature_id", kind.alias("error_type")).where("error_type is not null")
+
+
+def qualitative(cells: DataFrame, truth: DataFrame, scope: str = "sample_union") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of each sample, wrong features with their error types, and one row of counts, after features absent in over half of their cells
+    are left out. ``cells`` has every feature in every sample."""
+    n = cells.select("feature_id").distinct().count()
+    kept = matrix.enough_present(cells, "feature_id", F.col("n") / 2)
+    errors = error_types(kept, truth, scope)
+    left = kept.agg(F.countDistinct("feature_id").alias("rows_after_missing_filter"))
+    counts = left.select(F.lit(n).cast("long").alias("input_rows"), "rows_after_missing_filter", (F.lit(n) - F.col("rows_after_missing_filter")).alias("rows_removed_missing"))
+    of = truth.agg(F.countDistinct("feature_id").alias("true_feature_count")), cells.agg(F.countDistinct("sample_id").alias("sample_count")), errors.agg(F.count("*").alias("qualitative_error_count"))
+    return presence(kept, truth), errors, reduce(lambda x, y: x.join(F.broadcast(y)), of, counts)  # one row each
 
 
 def fold_changes(cells: DataFrame, policy: str = "missing", pseudocount: float = stats.PSEUDOCOUNT) -> DataFrame:
@@ -81,24 +125,33 @@ def welch(cells: DataFrame) -> DataFrame:
 
 def with_probability(tests: DataFrame) -> DataFrame:
     """``tests`` with two-sided p. Without variance, unequal means have p = 0 and equal ones none."""
-    p = F.pandas_udf(lambda t, df: t.combine(df, stats.t_probability), "double")
+    p = F.pandas_udf(stats.t_probabilities, "double")
     flat = (F.col("var_a") == 0) & (F.col("var_b") == 0)
     return tests.withColumn("p", F.when(flat, F.when(F.col("mean_a") != F.col("mean_b"), F.lit(0.0))).otherwise(p("t", "df")))
 
 
-def directions(found: DataFrame, up: float = 2.0, inclusive: bool = True) -> DataFrame:
-    """``direction``: up, down or none by fold change; down is at or under the inverse."""
-    fc = F.col("fold_change")
-    rise, fall = (fc >= up, fc <= 1 / up) if inclusive else (fc > up, fc < 1 / up)
-    return found.withColumn("direction", F.when(rise, "up").when(fall, "down").otherwise("none"))
+def directions(found: DataFrame, inclusive: bool = True, up: float = 2.0, down: float = 0.5, fold_change: str = "fold_change", p: str = "p") -> DataFrame:
+    """``direction``: ``up`` from a fold change of ``up`` on (beyond it if not ``inclusive``), ``down`` below ``down``, both only where p is under 0.05."""
+    fc, sure = F.col(fold_change), F.col(p) < LEVEL
+    rise = (fc >= up) if inclusive else (fc > up)
+    return found.withColumn("direction", F.when(rise & sure, "up").when((fc < down) & sure, "down").otherwise("not_differential"))
 
 
-def differential_summary(found: DataFrame, true: DataFrame) -> DataFrame:
-    """identified, false_positive, missed, mismatched over features with both directions."""
-    rows = found.select("feature_id", F.col("direction").alias("d")).join(true.select("feature_id", F.col("direction").alias("e")), "feature_id")
-    some, real = F.col("d") != "none", F.col("e") != "none"
+def differential(cells: DataFrame, truth: DataFrame, inclusive: bool = True, zeros: str = "keep", **cuts: float) -> tuple[DataFrame, DataFrame]:
+    """Assignments (feature_id, fold_change, p, predicted, true) of the features in ``cells``, and one row of counts, from ``truth`` (feature_id,
+    true_fold_change, true_p_value). Missing cells are left out, zeros too if ``zeros`` is ``missing``. True features without cells are missed."""
+    rows = cells.withColumn("area", stats.zero_policy(F.col("area"), zeros))
+    tests = with_probability(welch(rows)).select("feature_id", "p")
+    found = directions(fold_changes(rows, "keep").select("feature_id", "fold_change").join(tests, "feature_id", "left"), inclusive, **cuts)
+    real = directions(truth, inclusive, fold_change="true_fold_change", p="true_p_value", **cuts).select("feature_id", F.col("direction").alias("true"))
+    both = found.withColumnRenamed("direction", "predicted").withColumn("_here", F.lit(True)).join(real, "feature_id", "full_outer").na.fill("not_differential", ["predicted", "true"])
+    assigned = both.where("_here").drop("_here")
+    d, e, none = F.col("predicted"), F.col("true"), F.lit("not_differential")
     n = lambda c: F.count(F.when(c, 1))
-    return rows.agg(n(some & real & (F.col("d") == F.col("e"))).alias("identified"), n(some & ~real).alias("false_positive"), n(~some & real).alias("missed"), n(some & real & (F.col("d") != F.col("e"))).alias("mismatched"))
+    return assigned, both.agg(
+        n(F.col("_here")).alias("features"), n(e != none).alias("true_differential"), n(d != none).alias("predicted_differential"), n((d != none) & (d == e)).alias("identified"),
+        n((d != none) & (e == none)).alias("false_positive"), n((d == none) & (e != none)).alias("missed"), n((d != none) & (e != none) & (d != e)).alias("mismatched"),
+    )
 
 
 def regression(pairs: DataFrame) -> DataFrame:
@@ -109,9 +162,10 @@ def regression(pairs: DataFrame) -> DataFrame:
 
 
 def relative_errors(pairs: DataFrame) -> DataFrame:
-    """n, mean and the number above 1 of |observed - reference| / reference; those above 1 do not enter the mean."""
-    e = F.try_divide(F.abs(F.col("observed") - F.col("reference")), F.abs(F.col("reference")))
-    rows = pairs.select("grp", e.alias("e")).where("e is not null")
+    """n, mean and the number above 1 of |observed - reference| / reference; those above 1 do not enter the mean. A reference of 0 counts as
+    above 1 unless the observed is 0 too, which is no error at all."""
+    d, r = F.abs(F.col("observed") - F.col("reference")), F.abs(F.col("reference"))
+    rows = pairs.select("grp", F.when((r == 0) & (d > 0), F.lit(float("inf"))).otherwise(F.try_divide(d, r)).alias("e")).where("e is not null")
     return rows.groupBy("grp").agg(F.count(F.when(F.col("e") <= 1, 1)).alias("n"), F.avg(F.when(F.col("e") <= 1, F.col("e"))).alias("mean_error"), F.count(F.when(F.col("e") > 1, 1)).alias("n_above"))
 
 
@@ -126,6 +180,39 @@ def outside(ids: DataFrame, universe: DataFrame) -> DataFrame:
     return ids.select("feature_id").distinct().join(universe, "feature_id", "left_anti")
 
 
+def contained(ids: DataFrame, universe: DataFrame, keys: list[str] | None = None, what: str = "ids") -> DataFrame:
+    """``ids``, or an error that names some of those outside of ``universe``."""
+    keys = keys or ["feature_id"]
+    odd = ids.select(*keys).distinct().join(universe.select(*keys).distinct(), keys, "left_anti").orderBy(*keys).limit(3).collect()
+    if odd:
+        raise ValueError(f"{what} outside of the universe: {[tuple(r) for r in odd]}")
+    return ids
+
+
+def accuracy_summary(methods: DataFrame, qualitative_errors: DataFrame, quantitative_errors: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each of ``methods``: errors of either kind (method, feature_id), their overlap and union, and the accuracy over ``universe``; and the
+    wrong features with flags. A method without both kinds of errors calculated (columns qualitative and quantitative of ``methods``) is not_available."""
+    kinds = {"qualitative_error": qualitative_errors, "quantitative_error": quantitative_errors}
+    marked = [contained(e, universe, what=k).select("method", "feature_id").distinct().withColumn(k, F.lit(1)) for k, e in kinds.items()]
+    wrong = marked[0].join(marked[1], ["method", "feature_id"], "full_outer").na.fill(0, list(kinds))
+    wrong = wrong.join(methods.where("qualitative and quantitative").select("method"), "method", "left_semi")
+    one = [F.sum(k).alias(f"{k}_count") for k in kinds]
+    n = wrong.groupBy("method").agg(*one, F.sum(F.col("qualitative_error") * F.col("quantitative_error")).alias("overlap_error_count"), F.count("*").alias("unique_error_count"))
+    counts = ["qualitative_error_count", "quantitative_error_count", "overlap_error_count", "unique_error_count"]
+    known = F.col("qualitative") & F.col("quantitative")
+    out = methods.join(n, "method", "left").join(F.broadcast(universe.agg(F.countDistinct("feature_id").alias("evaluated_feature_entries"))))  # one row
+    out = out.withColumns({c: F.when(known, F.coalesce(c, F.lit(0))) for c in counts})
+    accuracy = F.when(known, 1 - F.col("unique_error_count") / F.col("evaluated_feature_entries"))
+    return out.select("method", *counts, "evaluated_feature_entries", accuracy.alias("overall_accuracy"), F.when(known, "calculated").otherwise("not_available").alias("status")), wrong
+
+
+def quantitative_accuracy(errors: DataFrame, truth: DataFrame) -> DataFrame:
+    """method, compared, errors, truth_features, accuracy, from errors (method, is_error) over the features compared and the size of the truth."""
+    n = errors.groupBy("method").agg(F.count("*").alias("compared"), F.count(F.when(F.col("is_error"), 1)).alias("errors"))
+    out = n.join(F.broadcast(truth.agg(F.countDistinct("feature_id").alias("truth_features"))))  # one row
+    return out.withColumn("accuracy", 1 - F.col("errors") / F.col("truth_features"))
+
+
 def overall_errors(flagged: DataFrame, counted: list[str], joined: list[str]) -> DataFrame:
     """reported: the counts of ``counted`` added to those in any of ``joined``, overlaps counted; unique: those in any at all."""
     one = lambda c: F.sum(F.col(c).cast("long"))
@@ -148,18 +235,67 @@ def alignment(peaks: DataFrame, most_sd: float = 0.05, most_range: float = 0.1,
     return a.withColumns({"sd_flag": F.coalesce(F.col("rt_sd") > most_sd, F.lit(False)), "range_flag": F.col("rt_range") > most_range}).withColumn("any_flag", F.col("sd_flag") | F.col("range_flag"))
 
 
+def checked_counts(flagged: DataFrame, stated: DataFrame, flags: list[str], by: str = "software", key: str = "ion_id") -> DataFrame:
+    """Distinct keys with each flag for each ``by``, or an error where they differ from ``stated`` (by, flags)."""
+    n = flagged.groupBy(by).agg(*(F.countDistinct(F.when(F.col(f), F.col(key))).alias(f) for f in flags))
+    odd = n.join(stated.select(by, *(F.col(f).alias(f"_{f}") for f in flags)), by).where(reduce(lambda a, b: a | b, (F.col(f) != F.col(f"_{f}") for f in flags))).select(by).limit(3).collect()
+    if odd:
+        raise ValueError(f"flag counts differ from the summary for {[r[0] for r in odd]}")
+    return n
+
+
 def boundary_rates(widths: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
-    """For each software: n, failed, pass_rate, bad components, mean width difference. ``bad`` holds the keys that fail."""
-    rows = widths.join(bad.select(*keys).distinct().withColumn("_bad", F.lit(True)), keys, "left")
-    wrong = F.col("_bad").isNotNull()
-    out = rows.groupBy("software").agg(F.count("*").alias("n"), F.count(F.when(wrong, 1)).alias("failed"), F.countDistinct(F.when(wrong, F.col("ion_id"))).alias("bad_components"), F.avg("width_difference").alias("mean_difference"))
+    """For each software: n, failed, pass_rate, bad components, and of the width differences mean, quartiles and the number above 0.5. ``bad`` holds
+    the keys that fail; it is an error if they repeat or are not among those of ``widths``."""
+    if bad.groupBy(*keys).count().where("count > 1").limit(1).count():
+        raise ValueError("rows of failed boundaries repeat")
+    contained(bad, widths, keys, "failed boundaries")
+    rows = widths.join(bad.select(*keys).withColumn("_bad", F.lit(True)), keys, "left")
+    wrong, d = F.col("_bad").isNotNull(), F.col("width_difference")
+    out = rows.groupBy("software").agg(
+        F.count("*").alias("n"), F.count(F.when(wrong, 1)).alias("failed"), F.countDistinct(F.when(wrong, F.col("ion_id"))).alias("bad_components"), F.avg(d).alias("mean_difference"),
+        *(F.percentile(d, q).alias(k) for k, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))), F.count(F.when(d > 0.5, 1)).alias("above_half"),
+    )
     return out.withColumn("pass_rate", 1 - F.col("failed") / F.col("n"))
 
 
 def wide_detection(scores: DataFrame, methods: list[str], by: str = "sample_id") -> DataFrame:
-    """A row for each sample with columns <method>_<metric>."""
-    metrics = ["precision", "recall", "f1"]
-    return scores.groupBy(by).agg(*(F.first(F.when(F.col("method") == m, F.col(x)), ignorenulls=True).alias(f"{m}_{x}") for m in methods for x in metrics))
+    """A row for each sample with columns <method>_<count or metric>, and two of their mean and sample deviation, where counts are null."""
+    counts = ["tp", "fp", "fn"]
+    of = lambda m, x: F.when(F.col("method") == m, F.col(x))
+    rows = scores.groupBy(F.col(by).cast("string").alias(by)).agg(*(F.first(of(m, x), ignorenulls=True).alias(f"{m}_{x}") for m in methods for x in [*counts, *SCORES]))
+    none = F.lit(None).cast("long")
+    for label, f in (("Mean", F.avg), ("STD", F.stddev_samp)):
+        rows = rows.unionByName(scores.agg(F.lit(label).alias(by), *(f(of(m, x)).alias(f"{m}_{x}") for m in methods for x in SCORES), *(F.first(none).alias(f"{m}_{x}") for m in methods for x in counts)))
+    return rows
+
+
+def detection(reference: DataFrame, observed: DataFrame, absent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scores (method, sample_id, counts, metrics) of ``observed`` (method, feature_id, sample_id, area) against the cells of ``reference``, where
+    those of the features ``absent`` count as empty; and the features on one side alone (method, feature_id, error_type), whatever their cells."""
+    real = reference if absent is None else reference.join(absent.select("feature_id").distinct(), "feature_id", "left_anti")
+    listed = [r["method"] for r in observed.select("method").distinct().collect()]  # a few
+    everywhere = reference.select("sample_id").distinct().select(F.lit(None).cast(reference.schema["feature_id"].dataType).alias("feature_id"), "sample_id", F.lit(None).cast("double").alias("area"))
+    own = lambda m: observed.where(F.col("method") == m).select("feature_id", "sample_id", "area")
+    scores = [presence_against(own(m), real.select("feature_id", "sample_id", "area").unionByName(everywhere)).withColumn("method", F.lit(m)) for m in listed]
+    wrong = [error_types(own(m), reference, "component_set").withColumn("method", F.lit(m)) for m in listed]
+    return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, wrong)
+
+
+def integration(reference: DataFrame, observed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of cells (method, feature_id, sample_id, area) against ``reference``: five numbers of the variation over the features that all have (the reference as
+    method ``reference``), of relative errors over those a method shares with it, and of slope and r2 by feature over those that all have."""
+    own = reference.select(F.lit("reference").alias("method"), "feature_id", "sample_id", "area").unionByName(observed.select("method", "feature_id", "sample_id", "area"))
+    shared = own.join(common_features(own), "feature_id", "left_semi")
+    variation = five_numbers(shared.groupBy("method", "feature_id").agg(stats.cv_present(F.col("area")).alias("cv")), "cv", ["method"])
+    pairs = observed.select("method", "feature_id", "sample_id", F.col("area").alias("observed")).join(reference.select("feature_id", "sample_id", F.col("area").alias("reference")), ["feature_id", "sample_id"])
+    d, r = F.abs(F.col("observed") - F.col("reference")), F.abs(F.col("reference"))
+    e = pairs.withColumn("e", F.when((r == 0) & (d > 0), F.lit(float("inf"))).otherwise(F.try_divide(d, r)))
+    errors = five_numbers(e.withColumn("e", F.when(F.col("e") <= 1, F.col("e"))), "e", ["method"])
+    errors = errors.join(e.groupBy("method").agg(F.countDistinct("feature_id").alias("feature_count"), F.count(F.when(F.col("e") > 1, 1)).alias("excluded_above_1")), "method")
+    fits = pairs.join(common_features(own), "feature_id", "left_semi").withColumn("feature_id", F.struct("method", "feature_id"))
+    fits = regression(fits).select(F.col("feature_id.method").alias("method"), "slope", "r2").unpivot(["method"], ["slope", "r2"], "metric", "value")
+    return variation, errors, five_numbers(fits, "value", ["method", "metric"])
 
 
 def missing_in_all(cells: DataFrame) -> Column:

@@ -30,13 +30,11 @@ def refound(signals: DataFrame, least: float = LEAST_UNTARGETED, peak_class: Col
 
 
 def anomalies(peaks: DataFrame, off: float = 0.05, by_median: bool = True, key: str = "ion_id") -> DataFrame:
-    """``peaks`` with ``anomaly``: rtmin or rtmax further than ``off`` from the ion's. By median, or outside what the quantiles 0.3 to
-    0.7 allow."""
+    """``peaks`` with ``anomaly``: rtmin or rtmax further than ``off`` from the ion's. The ion's is the
+    median of each, or the quantile 0.3 of rtmin and 0.7 of rtmax."""
     by = Window.partitionBy(key)
-    if by_median:
-        wrong = [F.abs(F.col(c) - F.median(c).over(by)) > off for c in ("rtmin", "rtmax")]
-    else:
-        wrong = [(F.col(c) < F.percentile(c, 0.3).over(by) - off) | (F.col(c) > F.percentile(c, 0.7).over(by) + off) for c in ("rtmin", "rtmax")]
+    places = {"rtmin": 0.5, "rtmax": 0.5} if by_median else {"rtmin": 0.3, "rtmax": 0.7}
+    wrong = [F.abs(F.col(c) - F.percentile(c, q).over(by)) > off for c, q in places.items()]
     return peaks.withColumn("anomaly", wrong[0] | wrong[1])
 
 

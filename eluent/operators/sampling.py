@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def draw(key: Column | str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key)
@@ -56,7 +58,7 @@ def stratified_split(rows: DataFrame, key: str, strata: list[str], names: list[s
     fields = [rows.schema[s].dataType.simpleString() for s in strata]
     ends = [f"_end{i}" for i in range(len(names))]
     table = spark.createDataFrame(plan, ", ".join([f"_{s} {t}" for s, t in zip(strata, fields, strict=True)] + [f"{e} long" for e in ends]))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(draw(key, seed), key)))
+    ranked = ranks.with_group_rank(rows, strata, [draw(key, seed), F.col(key)], "_rank")
     on = [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata]
     split = F.coalesce(*(F.when(F.col("_rank") <= F.col(e), F.lit(n)) for e, n in zip(ends, names, strict=True)))
     return ranked.join(F.broadcast(table), on).withColumn("split", split).select(*rows.columns, "split")
@@ -68,6 +70,12 @@ def flip(labels: DataFrame, prefix: str = "flip_") -> DataFrame:
     return plain.unionByName(plain.withColumns({"stem": F.concat(F.lit(prefix), "stem"), "xc": 1 - F.col("xc")}))
 
 
+def pages(rows: DataFrame, by: list[str], order: list[Column], size: int = 24) -> DataFrame:
+    """``rows`` with ``page`` and ``position`` on it, both from 0, in ``order`` within each group of ``by``."""
+    k = F.col("_k") - 1
+    return ranks.with_group_rank(rows, by, order, "_k").withColumns({"page": F.floor(k / size), "position": (k % size).cast("long")}).drop("_k")
+
+
 def contingency(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, value, observed, expected and their part of chi-square."""
     n = rows.groupBy(by, value).agg(F.count("*").alias("observed"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, signal
-from ..operators import cluster, evaluate, joins, matrix, refine, sampling
+from ..functions import kernels, names, signal
+from ..operators import cluster, evaluate, joins, matrix, ranks, refine, sampling
+from ..sources import mzml
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,21 +128,24 @@ def tic_parity(spark, d):
     return b.signals(spark, d).select("sample_id", "ion_id", n(True).alias("n_odd"), add(True).alias("odd"), n(False).alias("n_even"), add(False).alias("even"))
 
 
-@query(f"""WITH {b.POINTS_SQL}, g AS (SELECT sample_id, ion_id, min(rt) AS a, max(rt) AS z, count(*) AS n FROM pts GROUP BY ALL), w AS (SELECT *, min(a) OVER (PARTITION BY ion_id) AS lo, max(z) OVER (PARTITION BY ion_id) AS hi FROM g)
-SELECT sample_id, ion_id, CAST(n + CASE WHEN a - 1440 >= lo THEN floor((a - 1440 - lo) / 1440) + 1 ELSE 0 END + CASE WHEN hi >= z + 1440 THEN floor((hi - z - 1440) / 1440) + 1 ELSE 0 END AS BIGINT) AS n_points FROM w""")
+@query(f"""WITH {b.POINTS_SQL}, g AS (SELECT sample_id, ion_id, min(rt) AS a, max(rt) AS z, count(*) AS n, sum(intensity) AS total FROM pts GROUP BY ALL), w AS (SELECT *, min(a) OVER (PARTITION BY ion_id) AS lo, max(z) OVER (PARTITION BY ion_id) AS hi FROM g)
+SELECT sample_id, ion_id, CAST(n + CASE WHEN a - 1440 >= lo THEN floor((a - 1440 - lo) / 1440) + 1 ELSE 0 END + CASE WHEN hi >= z + 1440 THEN floor((hi - z - 1440) / 1440) + 1 ELSE 0 END AS BIGINT) AS n_points,
+round(CASE WHEN a - 1440 >= lo THEN lo ELSE a END, 4) AS first_rt, round(CASE WHEN hi >= z + 1440 THEN z + 1440 + 1440 * floor((hi - z - 1440) / 1440) ELSE z END, 4) AS last_rt,
+round(total + 50 * (CASE WHEN a - 1440 >= lo THEN floor((a - 1440 - lo) / 1440) + 1 ELSE 0 END + CASE WHEN hi >= z + 1440 THEN floor((hi - z - 1440) / 1440) + 1 ELSE 0 END), 3) AS total FROM w""")
 def xic_padding(spark, d):
     by = Window.partitionBy("ion_id")
     s = b.signals(spark, d).withColumns({"a": F.col("points")[0]["rt"], "z": F.element_at("points", -1)["rt"]})
     s = s.withColumns({"lo": F.min("a").over(by), "hi": F.max("z").over(by)})
-    return s.select("sample_id", "ion_id", F.size(signal.padded(F.col("points"), F.col("lo"), F.col("hi"), F.lit(1440.0))).cast("long").alias("n_points"))
+    s = s.select("sample_id", "ion_id", signal.padded(F.col("points"), F.col("lo"), F.col("hi"), F.lit(1440.0)).alias("p"))
+    total = F.aggregate(signal.intensities(F.col("p")), F.lit(0.0), lambda a, x: a + x)
+    return s.select("sample_id", "ion_id", F.size("p").cast("long").alias("n_points"), F.round(F.col("p")[0]["rt"], 4).alias("first_rt"), F.round(F.element_at("p", -1)["rt"], 4).alias("last_rt"), F.round(total, 3).alias("total"))
 
 
 @query(f"""WITH {b.POINTS_SQL}, g AS (SELECT sample_id, min(rt) AS a, max(rt) AS z FROM pts GROUP BY ALL), c AS (SELECT max(a) + 1e-6 AS lo, min(z) - 1e-6 AS hi FROM g)
 SELECT sample_id, ion_id, count(*) AS n, round(sum(intensity), 3) AS total FROM pts, c WHERE rt > lo AND rt < hi GROUP BY ALL""")
 def common_rt_filter(spark, d):
     p = b.points(spark, d)
-    c = p.groupBy("sample_id").agg(F.min("rt").alias("a"), F.max("rt").alias("z")).agg((F.max("a") + 1e-6).alias("lo"), (F.min("z") - 1e-6).alias("hi"))
-    inside = p.join(F.broadcast(c), (F.col("rt") > F.col("lo")) & (F.col("rt") < F.col("hi")))  # one row of bounds
+    inside, _ = mzml.common_range(p, mzml.rt_ranges(p))
     return inside.groupBy("sample_id", "ion_id").agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 3).alias("total"))
 
 
@@ -149,8 +153,7 @@ def common_rt_filter(spark, d):
 SELECT sample_id, ion_id, k // 24 AS page, k % 24 AS position FROM r""")
 def plot_pages(spark, d):
     g = b.points(spark, d).select("sample_id", "ion_id").distinct()
-    k = F.row_number().over(Window.partitionBy("ion_id").orderBy(F.col("sample_id") % 10 != 0, "sample_id")) - 1
-    return g.withColumn("k", k).select("sample_id", "ion_id", F.floor(F.col("k") / 24).alias("page"), (F.col("k") % 24).cast("long").alias("position"))
+    return sampling.pages(g, ["ion_id"], [F.col("sample_id") % 10 != 0, F.col("sample_id")])
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS i, len(embedding) AS n FROM embeddings),
@@ -162,6 +165,50 @@ def savgol_smooth(spark, d):
     return e.select("vec_id", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + F.abs(x)), 5).alias("roughness"), F.round(F.array_max("s"), 6).alias("top"))
 
 
+def _plain(spark, d):
+    """Signals with times, values and apex as columns of their own, of three points at least and of times that rise."""
+    s = b.signals(spark, d).where(F.size("points") >= 3).withColumns({"t": signal.times(F.col("points")), "y": signal.intensities(F.col("points"))})
+    return s.where(signal.least_step(F.col("t")) > 0)
+
+
+@query()
+def bimodal_parts(spark, d):
+    return _plain(spark, d).select("sample_id", "ion_id", kernels.division(F.col("y")).alias("divided_at"))
+
+
+@query()
+def baseline_bounds(spark, d):
+    p = _plain(spark, d).withColumn("k", signal.apex_index(F.col("points")).cast("int") - 1)
+    w = kernels.widened(F.col("y"), signal.order_statistic(F.col("y"), 0.3), F.greatest(F.col("k") - 1, F.lit(0)), F.least(F.col("k") + 1, F.size("y") - 1))
+    return p.select("sample_id", "ion_id", w.alias("w")).select("sample_id", "ion_id", "w.lo", "w.hi")
+
+
+@query()
+def slope_bounds(spark, d):
+    return _plain(spark, d).select("sample_id", "ion_id", kernels.steep(F.col("t"), F.col("y")).alias("w")).select("sample_id", "ion_id", "w.first", "w.end")
+
+
+@query()
+def cubic_grid(spark, d):
+    g = _plain(spark, d).select("sample_id", "ion_id", kernels.on_grid(F.col("t"), F.col("y"), 64).alias("g"))
+    return g.select("sample_id", "ion_id", F.size("g").alias("n"), F.round(F.col("g")[0], 4).alias("first"), F.round(F.element_at("g", -1), 4).alias("last"))
+
+
+@query(f"""WITH {b.POINTS_SQL}, top AS (SELECT sample_id, ion_id, n, max(intensity) AS m, list(intensity ORDER BY i) AS y FROM pts GROUP BY ALL HAVING n >= 3 AND min(rt - t0) > 0),
+g AS (SELECT sample_id, ion_id, n, m, y, k * (n - 1) / 255.0::DOUBLE AS x FROM top CROSS JOIN (SELECT unnest(range(256)) AS k)),
+v AS (SELECT sample_id, ion_id, (y[CAST(floor(x) AS BIGINT) + 1] + (x - floor(x)) * (y[least(CAST(floor(x) AS BIGINT) + 2, n)] - y[CAST(floor(x) AS BIGINT) + 1])) AS v FROM g)
+SELECT sample_id, ion_id, round(avg(v) / max(v), 5) AS mean, 1.0::DOUBLE AS top FROM v GROUP BY ALL""")
+def resample_256(spark, d):
+    g = _plain(spark, d).select("sample_id", "ion_id", kernels.on_index(F.col("y")).alias("g"))
+    return g.select("sample_id", "ion_id", F.round(F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / 256, 5).alias("mean"), F.round(F.array_max("g"), 5).alias("top"))
+
+
+@query(f"WITH {b.POINTS_SQL} SELECT sample_id, ion_id, round(min(rt - t0), 5) AS least_step FROM pts WHERE n > 1 GROUP BY ALL")
+def least_step(spark, d):
+    s = b.signals(spark, d).where(F.size("points") > 1)
+    return s.select("sample_id", "ion_id", F.round(signal.least_step(signal.times(F.col("points"))), 5).alias("least_step"))
+
+
 # ---- clusters and cells -------------------------------------------------------------------------------------------
 
 _LABELS = f"""{b.PEAKS_SQL}, gaps AS (SELECT *, rt - lag(rt) OVER (PARTITION BY ion_id ORDER BY rt) AS gap, stddev_pop(rt) OVER (PARTITION BY ion_id) AS sd FROM peaks),
@@ -191,7 +238,8 @@ def cluster_score_select(spark, d):
 
 @query()
 def close_cluster_merge(spark, d):
-    return cluster.merge_close(cluster.summaries(_labelled(spark, d)), NEAR_DAYS)
+    rows = cluster.rt_gap_clusters(cluster.in_sequence(b.peaks(spark, d), ["sample_id", *b.ORDER]), EPS)
+    return cluster.merge_close(cluster.summaries(rows, seq="seq"), NEAR_DAYS, order="first_seq")
 
 
 _FIRST = f"""{_BEST}, firsts AS (SELECT l.* FROM labels l JOIN best USING (ion_id, label) QUALIFY row_number() OVER (PARTITION BY ion_id, sample_id ORDER BY {', '.join('l.' + c for c in b.ORDER)}) = 1)"""
@@ -219,10 +267,10 @@ def matrix_melt(spark, d):
 
 
 @query(f"""WITH {b.PEAKS_SQL}, a AS (SELECT * FROM peaks WHERE class = 'A' QUALIFY row_number() OVER (PARTITION BY rt ORDER BY width, ion_id, sample_id, {', '.join(b.ORDER)}) = 1)
-SELECT class, count(*) AS n, round(sum(area), 1) AS area, round(sum(width), 1) AS width FROM (SELECT * FROM a UNION ALL SELECT * FROM peaks WHERE class <> 'A') GROUP BY ALL""")
+SELECT class, ion_id, sample_id, rt, width, area, l_orderkey, l_linenumber FROM (SELECT * FROM a UNION ALL SELECT * FROM peaks WHERE class <> 'A')""")
 def class_a_dedup(spark, d):
     kept = cluster.class_a_dedup(b.peaks(spark, d), ["ion_id", "sample_id", *b.ORDER])
-    return kept.groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum("area"), 1).alias("area"), F.round(F.sum("width"), 1).alias("width"))
+    return kept.select("class", "ion_id", "sample_id", "rt", "width", "area", "l_orderkey", "l_linenumber")
 
 
 @query(f"""WITH {b.PEAKS_SQL}, p AS (SELECT *, abs(rt - ({THEORY_SQL})) AS rt_distance FROM peaks)
@@ -259,18 +307,17 @@ def anomaly_flags_median(spark, d):
     return m.groupBy("ion_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("anomaly"), 1)).alias("n_anomalies"))
 
 
-@query(f"""WITH {_WIDE}, q AS (SELECT ion_id, quantile_cont(rtmin, 0.3) AS a, quantile_cont(rtmin, 0.7) AS b, quantile_cont(rtmax, 0.3) AS c, quantile_cont(rtmax, 0.7) AS d FROM w GROUP BY ALL)
-SELECT ion_id, count(*) AS n, count(*) FILTER (rtmin < a - 300 OR rtmin > b + 300 OR rtmax < c - 300 OR rtmax > d + 300) AS n_anomalies FROM w JOIN q USING (ion_id) GROUP BY ALL""")
+@query(f"""WITH {_WIDE}, q AS (SELECT ion_id, quantile_cont(rtmin, 0.3) AS a, quantile_cont(rtmax, 0.7) AS b FROM w GROUP BY ALL)
+SELECT ion_id, count(*) AS n, count(*) FILTER (rtmin < a - 300 OR rtmin > a + 300 OR rtmax < b - 300 OR rtmax > b + 300) AS n_anomalies FROM w JOIN q USING (ion_id) GROUP BY ALL""")
 def anomaly_flags_quantile(spark, d):
     m = refine.anomalies(_bounds(spark, d), 300.0, by_median=False)
     return m.groupBy("ion_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("anomaly"), 1)).alias("n_anomalies"))
 
 
-@query(f"""WITH {b.PEAKS_SQL} SELECT ion_id, count(*) AS n, round(sum(area), 2) AS area FROM peaks WHERE width >= 5 AND (width >= 6 OR conf >= 0.05) AND l_tax >= 0.02 GROUP BY ALL""")
+@query(f"""WITH {b.PEAKS_SQL}, r AS (SELECT *, width AS sn, width / 5 AS sn_5, (60 - width) / 10 + conf * 0 AS sn_2 FROM peaks) SELECT ion_id, count(*) AS n, round(sum(area), 2) AS area FROM r WHERE sn >= 5 AND (sn >= 6 OR sn_5 >= 1.5) AND sn_2 >= 2 GROUP BY ALL""")
 def acceptance_filter(spark, d):
-    p = b.peaks(spark, d).withColumns({"sn": F.col("width"), "sn_5": F.col("conf") * 30, "sn_2": F.col("l_tax") * 100})
-    p = refine.acceptable(p.withColumn("sn_5", F.when(F.col("conf") >= 0.05, 1.5).otherwise(0.0)).withColumn("sn_2", F.when(F.col("l_tax") >= 0.02, 2.0).otherwise(0.0)))
-    return p.groupBy("ion_id").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"))
+    p = b.peaks(spark, d).withColumns({"sn": F.col("width"), "sn_5": F.col("width") / 5, "sn_2": (60 - F.col("width")) / 10})
+    return refine.acceptable(p).groupBy("ion_id").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"))
 
 
 @query(f"""WITH {b.cells_sql()}, n AS (SELECT feature_id, count(*) FILTER (area IS NOT NULL AND sample_id >= 4) AS present, count(area) AS filled FROM cells GROUP BY ALL)
@@ -285,11 +332,13 @@ def missing_row_filter(spark, d):
     return matrix.enough_present(b.cells(spark, d).select("ion_id", "sample_id", "area"), "ion_id", F.col("n") / 2).groupBy("ion_id").agg(F.count("area").alias("filled"))
 
 
-@query(f"""WITH {b.POINTS_SQL}, g AS (SELECT sample_id, ion_id, CASE WHEN count(*) >= 10 AND max(intensity) >= 100 THEN 1 ELSE 0 END AS strong FROM pts GROUP BY ALL) SELECT ion_id, count(*) AS cells, sum(strong)::BIGINT AS filled FROM g GROUP BY ALL""")
+@query(f"""WITH {b.APEX_SQL}, g AS (SELECT sample_id, ion_id FROM pts GROUP BY ALL HAVING count(*) >= 10 AND max(intensity) >= 100),
+f AS (SELECT p.sample_id, p.ion_id, sum(intensity) AS area FROM pts p JOIN apex a ON p.sample_id = a.sample_id AND p.ion_id = a.ion_id AND p.i BETWEEN a.k - 5 AND a.k + 5 JOIN g ON g.sample_id = p.sample_id AND g.ion_id = p.ion_id GROUP BY ALL)
+SELECT c.sample_id, c.ion_id, round(CASE WHEN c.sample_id % 3 = 0 THEN 7.0 ELSE f.area END, 3) AS area FROM (SELECT DISTINCT sample_id, ion_id FROM pts) c LEFT JOIN f ON f.sample_id = c.sample_id AND f.ion_id = c.ion_id""")
 def refind_missing(spark, d):
     s = b.signals(spark, d)
-    cells, _ = refine.refind_missing(s.select("sample_id", "ion_id", F.lit(None).cast("double").alias("area")), s)
-    return cells.groupBy("ion_id").agg(F.count("*").alias("cells"), F.count("area").alias("filled"))
+    cells, _ = refine.refind_missing(s.select("sample_id", "ion_id", F.when(F.col("sample_id") % 3 == 0, F.lit(7.0)).alias("area")), s)
+    return cells.select("sample_id", "ion_id", _r("area", 3))
 
 
 @query()
@@ -309,23 +358,41 @@ def alignment_flags(spark, d):
 
 
 @query(f"""WITH {b.PEAKS_SQL}, c AS (SELECT class AS software, ion_id, sample_id, max(abs(width - 25) / 25) AS d, max(conf) AS conf FROM peaks GROUP BY ALL)
-SELECT software, count(*) AS n, count(*) FILTER (conf >= 0.08) AS failed, count(DISTINCT CASE WHEN conf >= 0.08 THEN ion_id END) AS bad_components, round(avg(d), 5) AS mean_difference, round(1 - count(*) FILTER (conf >= 0.08) / count(*), 6) AS pass_rate FROM c GROUP BY ALL""")
+SELECT software, count(*) AS n, count(*) FILTER (conf >= 0.08) AS failed, count(DISTINCT CASE WHEN conf >= 0.08 THEN ion_id END) AS bad_components, round(avg(d), 5) AS mean_difference, round(quantile_cont(d, 0.25), 5) AS q25, round(median(d), 5) AS median, round(quantile_cont(d, 0.75), 5) AS q75, count(*) FILTER (d > 0.5) AS above_half, round(1 - count(*) FILTER (conf >= 0.08) / count(*), 6) AS pass_rate FROM c GROUP BY ALL""")
 def boundary_iou_rates(spark, d):
     keys = ["software", "ion_id", "sample_id"]
     c = b.peaks(spark, d).withColumnRenamed("class", "software").groupBy(*keys).agg(F.max(F.abs(F.col("width") - 25) / 25).alias("width_difference"), F.max("conf").alias("conf"))
     out = evaluate.boundary_rates(c, c.where("conf >= 0.08").select(*keys), keys)
-    return out.select("software", "n", "failed", "bad_components", _r("mean_difference", 5), _r("pass_rate", 6))
+    return out.select("software", "n", "failed", "bad_components", *(_r(c, 5) for c in ("mean_difference", "q25", "median", "q75")), "above_half", _r("pass_rate", 6))
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------------
 
-_HITS = f"""{b.cells_sql()}, hits AS (SELECT c.*, c.area IS NOT NULL AND c.area <> 0 AS hit, p.p_size <= 25 AS tru FROM cells c JOIN part p ON p.p_partkey = c.feature_id)"""
-_PRF = f"""{_HITS}, n AS (SELECT sample_id, count(*) FILTER (hit AND tru) AS tp, count(*) FILTER (hit AND NOT tru) AS fp, count(*) FILTER (NOT hit AND tru) AS fn FROM hits GROUP BY ALL),
-pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM n), prf AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM pr)"""
+# observed cells lack every seventh part, so that some true features are in no row; rows absent in over half of the samples are filtered
+_OBS = f"""{b.cells_sql()}, observed AS (SELECT * FROM cells WHERE feature_id % 7 <> 0), kept AS (SELECT o.* FROM observed o JOIN (SELECT feature_id FROM observed GROUP BY ALL HAVING count(*) - count(area) <= count(*) / 2) USING (feature_id)),
+tru AS (SELECT p_partkey AS feature_id FROM part WHERE p_size <= 25), samples AS (SELECT DISTINCT sample_id FROM kept)"""
+
+
+def _prf(observed: str, name: str) -> str:
+    return f"""{name}_hits AS (SELECT DISTINCT feature_id, sample_id FROM {observed} WHERE area IS NOT NULL AND area <> 0),
+{name}_n AS (SELECT s.sample_id, count(t.feature_id) FILTER (h.feature_id IS NOT NULL) AS tp, count(h.feature_id) FILTER (t.feature_id IS NULL) AS fp, (SELECT count(*) FROM tru) - count(t.feature_id) FILTER (h.feature_id IS NOT NULL) AS fn
+  FROM samples s LEFT JOIN {name}_hits h ON h.sample_id = s.sample_id LEFT JOIN tru t ON t.feature_id = h.feature_id GROUP BY ALL),
+{name}_pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM {name}_n), {name} AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM {name}_pr)"""
+
+
+_PRF = f"{_OBS}, {_prf('kept', 'prf')}"
+
+
+def _observed(spark, d):
+    return b.cells(spark, d).where("feature_id % 7 <> 0")
+
+
+def _qualitative(spark, d, scope: str = "sample_union"):
+    return evaluate.qualitative(_observed(spark, d), b.truth(spark, d), scope)
 
 
 def _scores(spark, d):
-    return evaluate.presence(b.cells(spark, d), b.truth(spark, d))
+    return _qualitative(spark, d)[0]
 
 
 @query(f"WITH {_PRF} SELECT sample_id, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM prf")
@@ -339,13 +406,29 @@ def prf_summary(spark, d):
     return s.select(*(_r(c, 6) for c in s.columns))
 
 
-@query(f"""WITH {_HITS} SELECT feature_id, string_agg(DISTINCT k, ';' ORDER BY k) AS error_type FROM (SELECT feature_id, CASE WHEN hit AND NOT tru THEN 'FP' WHEN NOT hit AND tru THEN 'FN' END AS k FROM hits) WHERE k IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH {_OBS}, all_ids AS (SELECT DISTINCT feature_id FROM observed) SELECT (SELECT count(*) FROM all_ids) AS input_rows, (SELECT count(DISTINCT feature_id) FROM kept) AS rows_after_missing_filter,
+(SELECT count(*) FROM all_ids) - (SELECT count(DISTINCT feature_id) FROM kept) AS rows_removed_missing, (SELECT count(*) FROM tru) AS true_feature_count, (SELECT count(DISTINCT sample_id) FROM observed) AS sample_count,
+(SELECT count(*) FROM (SELECT feature_id FROM kept EXCEPT SELECT feature_id FROM tru)) + (SELECT count(*) FROM (SELECT feature_id FROM tru EXCEPT SELECT feature_id FROM kept)) AS qualitative_error_count""")
+def qualitative_counts(spark, d):
+    return _qualitative(spark, d, "component_set")[2]
+
+
+_TYPES = """types AS (SELECT feature_id, 'FP' AS error_type FROM kept WHERE area IS NOT NULL AND area <> 0 AND feature_id NOT IN (SELECT feature_id FROM tru) GROUP BY ALL
+UNION ALL SELECT t.feature_id, 'FN' FROM tru t LEFT JOIN kept k ON k.feature_id = t.feature_id AND k.area IS NOT NULL AND k.area <> 0 GROUP BY ALL HAVING count(DISTINCT k.sample_id) < (SELECT count(*) FROM samples))"""
+
+
+@query(f"WITH {_OBS}, {_TYPES} SELECT * FROM types")
 def error_type_concat(spark, d):
-    return evaluate.error_types(b.cells(spark, d), b.truth(spark, d))
+    return _qualitative(spark, d)[1]
+
+
+@query(f"WITH {_OBS} SELECT coalesce(k.feature_id, t.feature_id) AS feature_id, CASE WHEN t.feature_id IS NULL THEN 'FP' ELSE 'FN' END AS error_type FROM (SELECT DISTINCT feature_id FROM kept) k FULL JOIN tru t ON t.feature_id = k.feature_id WHERE t.feature_id IS NULL OR k.feature_id IS NULL")
+def component_set_errors(spark, d):
+    return _qualitative(spark, d, "component_set")[1]
 
 
 def _fc_sql(name: str, cells: str, policy: str) -> str:
-    x = "coalesce(area, 0)" if policy == "zero" else "nullif(area, 0)"
+    x = {"zero": "coalesce(area, 0)", "missing": "nullif(area, 0)", "keep": "area"}[policy]
     return f"{name} AS (SELECT feature_id, (avg({x}) FILTER (grp = 'B') + 1e-6) / (avg({x}) FILTER (grp = 'A') + 1e-6) AS fc FROM {cells} GROUP BY ALL)"
 
 
@@ -396,16 +479,42 @@ def welch_t_df(spark, d):
     return evaluate.welch(b.cells(spark, d)).where("var_a + var_b > 0").select("feature_id", _r("t", 5), _r("df", 5))
 
 
-@query()
+# Student's t by Simpson's rule on the angle whose tangent is t over the root of df
+_P = """angles AS (SELECT feature_id, df, atan(abs(t) / sqrt(df)) AS top FROM welch WHERE df > 0), steps AS (SELECT unnest(range(801)) AS i),
+p AS (SELECT feature_id, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * sum(CASE WHEN i IN (0, 800) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(top * i / 800), df - 1)) * any_value(top) / 2400 AS p FROM angles CROSS JOIN steps GROUP BY feature_id, df)"""
+
+
+@query(f"WITH {_WELCH}, {_P} SELECT feature_id, round(p, 4) AS p FROM p")
 def welch_p(spark, d):
-    return evaluate.with_probability(evaluate.welch(b.cells(spark, d))).select("feature_id", _r("p", 8))
+    tests = evaluate.with_probability(evaluate.welch(b.cells(spark, d))).where("var_a + var_b > 0")
+    return tests.select("feature_id", _r("p", 4))
 
 
-@query(f"""WITH {_FC}, g AS (SELECT feature_id, CASE WHEN f.fc >= 1.5 THEN 'up' WHEN f.fc <= 1 / 1.5 THEN 'down' ELSE 'none' END AS d, CASE WHEN t.fc >= 1.5 THEN 'up' WHEN t.fc <= 1 / 1.5 THEN 'down' ELSE 'none' END AS e FROM f JOIN t USING (feature_id))
-SELECT count(*) FILTER (d <> 'none' AND e <> 'none' AND d = e) AS identified, count(*) FILTER (d <> 'none' AND e = 'none') AS false_positive, count(*) FILTER (d = 'none' AND e <> 'none') AS missed, count(*) FILTER (d <> 'none' AND e <> 'none' AND d <> e) AS mismatched FROM g""")
+#: Cuts of the differential queries, milder than the usual ones: these tables hold few large fold changes.
+UP, DOWN = 1.1, 0.9
+_WAY = lambda fc, p: f"CASE WHEN {fc} >= {UP} AND {p} < 0.05 THEN 'up' WHEN {fc} < {DOWN} AND {p} < 0.05 THEN 'down' ELSE 'not_differential' END"
+_DIFFERENTIAL = f"""{_WELCH.replace('WHERE na > 1 AND nb > 1 AND va + vb > 0', 'WHERE na > 1 AND nb > 1 AND va + vb > 0 AND feature_id % 7 <> 0')}, {_P}, {_fc_sql('f', 'cells', 'keep')},
+assigned AS (SELECT f.feature_id, f.fc, p.p, {_WAY('f.fc', 'p.p')} AS predicted FROM f LEFT JOIN p USING (feature_id) WHERE f.feature_id % 7 <> 0),
+real AS (SELECT p_partkey AS feature_id, {_WAY('p_size / 20.0', '(p_retailprice % 10) / 50')} AS true_direction FROM part),
+duo AS (SELECT coalesce(a.feature_id, r.feature_id) AS feature_id, a.feature_id IS NOT NULL AS here, coalesce(predicted, 'not_differential') AS d, coalesce(true_direction, 'not_differential') AS e FROM assigned a FULL JOIN real r ON r.feature_id = a.feature_id)"""
+
+
+def _differential(spark, d):
+    """Truth is made up of the parts' sizes and prices, and holds parts that no cell has."""
+    true = b.table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), (F.col("p_size") / 20.0).alias("true_fold_change"), (F.col("p_retailprice") % 10 / 50).alias("true_p_value"))
+    return evaluate.differential(_observed(spark, d), true, up=UP, down=DOWN)
+
+
+@query(f"""WITH {_DIFFERENTIAL} SELECT count(*) FILTER (here) AS features, count(*) FILTER (e <> 'not_differential') AS true_differential, count(*) FILTER (d <> 'not_differential') AS predicted_differential,
+count(*) FILTER (d <> 'not_differential' AND d = e) AS identified, count(*) FILTER (d <> 'not_differential' AND e = 'not_differential') AS false_positive, count(*) FILTER (d = 'not_differential' AND e <> 'not_differential') AS missed,
+count(*) FILTER (d <> 'not_differential' AND e <> 'not_differential' AND d <> e) AS mismatched FROM duo""")
 def differential_direction(spark, d):
-    way = lambda returned: evaluate.directions(evaluate.fold_changes(b.cells(spark, d, returned)), 1.5)
-    return evaluate.differential_summary(way(True), way(False))
+    return _differential(spark, d)[1]
+
+
+@query(f"WITH {_DIFFERENTIAL} SELECT a.feature_id, round(a.fc, 5) AS fold_change, a.predicted, duo.e AS true FROM assigned a JOIN duo USING (feature_id)")
+def differential_assignments(spark, d):
+    return _differential(spark, d)[0].select("feature_id", _r("fold_change", 5), "predicted", "true")
 
 
 def _pairs(spark, d):
@@ -427,13 +536,13 @@ def relative_error_summary(spark, d):
     return evaluate.relative_errors(_pairs(spark, d)).select("grp", "n", _r("mean_error", 6), "n_above")
 
 
-_FLAGS = f"""{_HITS}, fpn AS (SELECT feature_id, bool_or(hit AND NOT tru) AS fp, bool_or(NOT hit AND tru) AS fn FROM hits GROUP BY ALL),
+_FLAGS = f"""{_OBS}, {_TYPES},
 al AS (SELECT l_partkey AS feature_id, max(l_discount) >= 0.1 AS wide, max(l_tax) >= 0.08 AS taxed FROM lineitem GROUP BY ALL),
-fl AS (SELECT p.p_partkey AS feature_id, coalesce(fp, false) AS fp, coalesce(fn, false) AS fn, coalesce(wide, false) AS aligned, coalesce(taxed, false) AS bounded FROM part p LEFT JOIN fpn ON fpn.feature_id = p.p_partkey LEFT JOIN al ON al.feature_id = p.p_partkey)"""
+fl AS (SELECT p.p_partkey AS feature_id, coalesce(error_type = 'FP', false) AS fp, coalesce(error_type = 'FN', false) AS fn, coalesce(wide, false) AS aligned, coalesce(taxed, false) AS bounded FROM part p LEFT JOIN types ON types.feature_id = p.p_partkey LEFT JOIN al ON al.feature_id = p.p_partkey)"""
 
 
 def _flags(spark, d):
-    wrong = evaluate.error_types(b.cells(spark, d), b.truth(spark, d))
+    wrong = evaluate.contained(_qualitative(spark, d)[1], b.universe(spark, d))
     top = b.peaks(spark, d).groupBy(F.col("ion_id").alias("feature_id")).agg(F.max("conf").alias("conf"), F.max("l_tax").alias("tax"))
     return evaluate.flags(b.universe(spark, d), {"fp": wrong.where("error_type like '%FP%'"), "fn": wrong.where("error_type like '%FN%'"), "aligned": top.where("conf >= 0.1"), "bounded": top.where("tax >= 0.08")})
 
@@ -451,10 +560,102 @@ def error_source_counts(spark, d):
     return evaluate.error_sources(f).groupBy(F.coalesce("error_source", F.lit("none")).alias("error_source")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_PRF} SELECT sample_id, round(p, 6) AS all_precision, round(r, 6) AS all_recall, round(f, 6) AS all_f1 FROM prf")
+_METRICS = (("precision", "p"), ("recall", "r"), ("f1", "f"))
+_TWO = f"{_OBS}, {_prf('kept', 'one')}, {_prf('(SELECT * FROM observed WHERE area > 60000)', 'two')}"
+
+
+def _two_methods(spark, d):
+    strong = _observed(spark, d).withColumn("area", F.when(F.col("area") > 60000, F.col("area")))
+    return _scores(spark, d).withColumn("method", F.lit("one")).unionByName(evaluate.presence(strong, b.truth(spark, d)).withColumn("method", F.lit("two")))
+
+
+@query(f"""WITH {_TWO} SELECT CAST(o.sample_id AS VARCHAR) AS sample_id, {', '.join(f'{t[0]}.{c} AS {t}_{c}' for t in ('one', 'two') for c in ('tp', 'fp', 'fn'))}, {', '.join(f'round({t[0]}.{k}, 6) AS {t}_{n}' for t in ('one', 'two') for n, k in _METRICS)} FROM one o JOIN two t ON t.sample_id = o.sample_id
+{''.join(f"UNION ALL SELECT '{label}', {', '.join(['NULL'] * 6)}, {', '.join(f'(SELECT round({f}({k}), 6) FROM {t})' for t in ('one', 'two') for _, k in _METRICS)} " for label, f in (('Mean', 'avg'), ('STD', 'stddev_samp')))}""")
 def wide_detection_table(spark, d):
-    w = evaluate.wide_detection(_scores(spark, d).withColumn("method", F.lit("all")), ["all"])
-    return w.select("sample_id", *(_r(c, 6) for c in w.columns[1:]))
+    w = evaluate.wide_detection(_two_methods(spark, d), ["one", "two"])
+    counts, metrics = ([f"{t}_{c}" for t in ("one", "two") for c in cs] for cs in (("tp", "fp", "fn"), evaluate.SCORES))
+    return w.select("sample_id", *counts, *(_r(c, 6) for c in metrics))
+
+
+_SIDES = f"""{b.cells_sql()}, ref AS (SELECT feature_id, sample_id, area FROM cells WHERE feature_id % 5 <> 0), obs AS (SELECT feature_id, sample_id, l.area FROM (SELECT l_partkey AS feature_id, l_suppkey % 8 AS sample_id, max(l_extendedprice) AS area FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL) l WHERE feature_id % 7 <> 0),
+grid AS (SELECT feature_id, sample_id, area FROM (SELECT DISTINCT feature_id FROM obs) CROSS JOIN (SELECT unnest(range(8)) AS sample_id) LEFT JOIN obs USING (feature_id, sample_id))"""
+
+
+def _sides(spark, d):
+    """Reference cells, and those of a method that has other features and more peaks."""
+    reference = b.cells(spark, d).where("feature_id % 5 <> 0").select("feature_id", "sample_id", "area")
+    found = b.peaks(spark, d).where("class <> 'N' and ion_id % 7 <> 0").groupBy(F.col("ion_id").alias("feature_id"), "sample_id").agg(F.max("area").alias("area"))
+    every = found.select("feature_id").distinct().withColumn("sample_id", F.explode(F.array(*(F.lit(x).cast("long") for x in b.SAMPLES))))
+    return reference, every.join(found, ["feature_id", "sample_id"], "left").select(F.lit("m").alias("method"), "feature_id", "sample_id", "area")
+
+
+@query(f"""WITH {_SIDES}, r AS (SELECT feature_id, CAST(sample_id AS BIGINT) AS sample_id FROM ref WHERE area IS NOT NULL AND feature_id % 11 <> 0), o AS (SELECT feature_id, CAST(sample_id AS BIGINT) AS sample_id FROM obs)
+SELECT coalesce(o.sample_id, r.sample_id) AS sample_id, count(*) FILTER (o.feature_id IS NOT NULL AND r.feature_id IS NOT NULL) AS tp, count(*) FILTER (r.feature_id IS NULL) AS fp, count(*) FILTER (o.feature_id IS NULL) AS fn
+FROM o FULL JOIN r ON r.feature_id = o.feature_id AND r.sample_id = o.sample_id GROUP BY ALL""")
+def detection_against_reference(spark, d):
+    reference, observed = _sides(spark, d)
+    absent = reference.where("feature_id % 11 = 0").select("feature_id")
+    return evaluate.detection(reference, observed, absent)[0].select("sample_id", "tp", "fp", "fn")
+
+
+@query(f"WITH {_SIDES} SELECT coalesce(g.feature_id, r.feature_id) AS feature_id, CASE WHEN r.feature_id IS NULL THEN 'FP' ELSE 'FN' END AS error_type FROM (SELECT DISTINCT feature_id FROM grid) g FULL JOIN (SELECT DISTINCT feature_id FROM ref) r ON r.feature_id = g.feature_id WHERE g.feature_id IS NULL OR r.feature_id IS NULL")
+def detection_feature_errors(spark, d):
+    reference, observed = _sides(spark, d)
+    return evaluate.detection(reference, observed)[1].select("feature_id", "error_type")
+
+
+_FIVE = lambda x: ", ".join(f"round({f}, 5) AS {n}" for n, f in (("q25", f"quantile_cont({x}, 0.25)"), ("median", f"median({x})"), ("q75", f"quantile_cont({x}, 0.75)"), ("mean", f"avg({x})")))
+
+
+@query(f"""WITH {_SIDES}, e AS (SELECT g.feature_id, CASE WHEN r.area = 0 AND g.area <> 0 THEN 'inf'::DOUBLE ELSE abs(g.area - r.area) / nullif(abs(r.area), 0) END AS e FROM grid g JOIN ref r ON r.feature_id = g.feature_id AND r.sample_id = g.sample_id)
+SELECT {_FIVE('CASE WHEN e <= 1 THEN e END')}, count(*) FILTER (e <= 1) AS n, count(DISTINCT feature_id) AS feature_count, count(*) FILTER (e > 1) AS excluded_above_1 FROM e""")
+def integration_errors(spark, d):
+    x = evaluate.integration(*_sides(spark, d))[1]
+    return x.select(*(_r(c, 5) for c in ("q25", "median", "q75", "mean")), "n", "feature_count", "excluded_above_1")
+
+
+@query(f"""WITH {_SIDES}, own AS (SELECT 'm' AS method, * FROM grid UNION ALL SELECT 'reference', * FROM ref), both_have AS (SELECT feature_id FROM own GROUP BY ALL HAVING count(DISTINCT method) = 2),
+v AS (SELECT method, feature_id, CASE WHEN count(area) > 1 AND avg(area) <> 0 THEN stddev_pop(area) * 100 / avg(area) ELSE 0 END AS cv FROM own JOIN both_have USING (feature_id) GROUP BY ALL) SELECT method, {_FIVE('cv')}, count(cv) AS n FROM v GROUP BY ALL""")
+def integration_variation(spark, d):
+    x = evaluate.integration(*_sides(spark, d))[0]
+    return x.select("method", *(_r(c, 5) for c in ("q25", "median", "q75", "mean")), "n")
+
+
+@query(f"""WITH {_SIDES}, pairs AS (SELECT g.feature_id, g.area AS observed, r.area AS reference FROM grid g JOIN ref r ON r.feature_id = g.feature_id AND r.sample_id = g.sample_id),
+f AS (SELECT feature_id, regr_count(observed, reference) AS n, regr_slope(observed, reference) AS slope, regr_r2(observed, reference) AS r2, var_pop(reference) FILTER (observed IS NOT NULL) AS vx, var_pop(observed) FILTER (reference IS NOT NULL) AS vy FROM pairs GROUP BY ALL),
+v AS (SELECT 'slope' AS metric, CASE WHEN n > 1 AND vx > 0 THEN slope END AS x FROM f UNION ALL SELECT 'r2', CASE WHEN n > 1 AND vx > 0 AND vy > 0 THEN r2 END FROM f) SELECT metric, {_FIVE('x')}, count(x) AS n FROM v GROUP BY ALL""")
+def integration_regression(spark, d):
+    x = evaluate.integration(*_sides(spark, d))[2]
+    return x.select("metric", *(_r(c, 5) for c in ("q25", "median", "q75", "mean")), "n")
+
+
+_FINAL = f"""{_OBS}, {_TYPES}, {_fc_sql('f', 'cells', 'missing')}, quant AS (SELECT feature_id FROM f JOIN part ON p_partkey = feature_id WHERE fc IS NOT NULL AND feature_id % 7 <> 0 AND abs(fc - p_size / 20.0) / (p_size / 20.0) >= 0.2)"""
+
+
+@query(f"""WITH {_FINAL}, w AS (SELECT coalesce(t.feature_id, q.feature_id) AS feature_id, t.feature_id IS NOT NULL AS a, q.feature_id IS NOT NULL AS b FROM types t FULL JOIN quant q ON q.feature_id = t.feature_id)
+SELECT 'one' AS method, count(*) FILTER (a) AS qualitative_error_count, count(*) FILTER (b) AS quantitative_error_count, count(*) FILTER (a AND b) AS overlap_error_count, count(*) AS unique_error_count, (SELECT count(*) FROM part) AS evaluated_feature_entries,
+round(1 - count(*) / (SELECT count(*) FROM part), 6) AS overall_accuracy, 'calculated' AS status FROM w UNION ALL SELECT 'two', NULL, NULL, NULL, NULL, (SELECT count(*) FROM part), NULL, 'not_available'""")
+def final_accuracy(spark, d):
+    """One method with both kinds of errors, and one whose quantitative errors are not there."""
+    kinds = _qualitative(spark, d)[1].withColumn("method", F.lit("one"))
+    out = evaluate.accuracy_summary(_methods(spark), kinds, _quantitative(spark, d).where("is_error"), b.universe(spark, d))[0]
+    return out.withColumn("overall_accuracy", F.round("overall_accuracy", 6))
+
+
+def _methods(spark):
+    return spark.createDataFrame([("one", True, True), ("two", True, False)], "method string, qualitative boolean, quantitative boolean")
+
+
+def _quantitative(spark, d):
+    true = b.table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), (F.col("p_size") / 20.0).alias("true_fold_change"))
+    return evaluate.fold_change_errors(evaluate.fold_changes(_observed(spark, d)), true).withColumn("method", F.lit("one"))
+
+
+@query(f"""WITH {_FINAL}, c AS (SELECT count(*) AS n FROM f JOIN part ON p_partkey = feature_id WHERE fc IS NOT NULL AND feature_id % 7 <> 0)
+SELECT 'one' AS method, (SELECT n FROM c) AS compared, count(*) AS errors, (SELECT count(*) FROM part) AS truth_features, round(1 - count(*) / (SELECT count(*) FROM part), 6) AS accuracy FROM quant""")
+def quantitative_accuracy(spark, d):
+    x = evaluate.quantitative_accuracy(_quantitative(spark, d), b.universe(spark, d))
+    return x.withColumn("accuracy", F.round("accuracy", 6))
 
 
 # ---- numeric joins ------------------------------------------------------------------------------------------------
@@ -494,10 +695,13 @@ def hash_sample_fixed_n(spark, d):
     return sampling.fixed_size(b.centroids(spark, d), "centroid_id", 20)
 
 
-@query("""SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL""")
+@query("""WITH n AS (SELECT count(*) AS n FROM labels), r AS (SELECT * FROM (VALUES ('train', 0.8, 1), ('val', 0.1, 2), ('test', 0.1, 3)) v(split, ratio, i)),
+e AS (SELECT split, i, n, n * ratio::DOUBLE AS exact, CAST(floor(n * ratio::DOUBLE + 1e-9) AS BIGINT) AS whole FROM r CROSS JOIN n)
+SELECT split, whole + CASE WHEN row_number() OVER (ORDER BY whole - exact, i) <= n - sum(whole) OVER () THEN 1 ELSE 0 END AS n FROM e""")
 def stratified_split(spark, d):
+    """Rows of each part: the largest remainders of the ratios. Strata are checked by ``stratified_split_counts``."""
     s = sampling.stratified_split(b.table(spark, d, "labels"), "doc_id", ["quality", "toxic"], ["train", "val", "test"], [0.8, 0.1, 0.1])
-    return s.groupBy("quality", "toxic").agg(F.count("split").alias("n"))
+    return s.groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -506,11 +710,13 @@ def stratified_split_counts(spark, d):
     return s.groupBy("split", "quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT 'img' || l_orderkey || '_' || l_linenumber AS stem, l_discount AS xc FROM lineitem) SELECT count(*) * 2 AS n, count(*) AS flipped, round(sum(xc) + sum(1 - xc), 2) AS xc FROM l""")
+@query("""WITH l AS (SELECT 'img' || l_orderkey || '_' || l_linenumber AS stem, l_discount AS xc, l_tax AS yc FROM lineitem) SELECT stem, xc, yc FROM l UNION ALL SELECT 'flip_' || stem, 1 - xc, yc FROM l""")
 def flip_augment(spark, d):
     li = b.peaks(spark, d)
-    rows = li.select(F.concat(F.lit("img"), "l_orderkey", F.lit("_"), "l_linenumber").alias("stem"), F.lit(1).alias("line"), F.lit(0).alias("class_id"), F.col("conf").alias("xc"), F.lit(0.5).alias("yc"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
-    return sampling.flip(rows).agg(F.count("*").alias("n"), F.count(F.when(F.col("stem").startswith("flip_"), 1)).alias("flipped"), F.round(F.sum("xc"), 2).alias("xc"))
+    stem = F.concat(F.lit("img"), "l_orderkey", F.lit("_"), "l_linenumber")
+    rows = li.select(stem.alias("stem"), F.lit(1).alias("line"), F.lit(0).alias("class_id"), F.col("conf").alias("xc"), F.col("l_tax").alias("yc"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
+    again = rows.unionByName(rows.limit(0).withColumn("stem", F.concat(F.lit("flip_"), "stem")))
+    return sampling.flip(again).select("stem", "xc", "yc")
 
 
 @query("""WITH n AS (SELECT l_returnflag, l_linestatus, count(*) AS observed FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(observed) OVER (PARTITION BY l_returnflag) AS a, sum(observed) OVER (PARTITION BY l_linestatus) AS b, sum(observed) OVER () AS total FROM n)
@@ -538,8 +744,7 @@ def ion_mode_recode(spark, d):
 @query("""SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS position FROM supplier""")
 def natural_sort_ids(spark, d):
     s = b.table(spark, d, "supplier").select("s_suppkey", names.natural_key(F.concat(F.lit("Ion"), "s_suppkey")).alias("key"))
-    # the ids of one study, of which there are few
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy("key")).cast("long").alias("position"))
+    return ranks.with_rank(s, [F.col("key"), F.col("s_suppkey")], "position").select("s_suppkey", "position")
 
 
 # ---- whole chains -------------------------------------------------------------------------------------------------

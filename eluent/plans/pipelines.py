@@ -34,11 +34,12 @@ def detected(signals: DataFrame, stages: Stages, detector: Callable[[DataFrame],
     return cluster.class_a_dedup(rows, ["sample_id", "ion_id", "rtmin", "area"]) if not targeted else rows
 
 
-def matrix_of(peaks: DataFrame, ions: DataFrame, stages: Stages, eps: float, most_error: float) -> DataFrame:
-    """(ion_id, sample_id, rt, area): of each ion's best cluster, close clusters merged, the first peak of each sample. ``ions``: ion_id, rt_theory."""
-    rows = stages.keep("labelled", cluster.rt_gap_clusters(peaks, eps))
-    merged = cluster.merge_close(cluster.summaries(rows))
-    rows = rows.join(merged, ["ion_id", "label"]).drop("label").withColumnRenamed("merged", "label").join(ions, "ion_id")
+def matrix_of(peaks: DataFrame, ions: DataFrame, stages: Stages, eps: float, most_error: float | None, targeted: bool = False) -> DataFrame:
+    """(ion_id, sample_id, rt, area): of each ion's best cluster, close clusters merged in order of their first peaks, the first peak of each sample.
+    ``ions``: ion_id, rt_theory; peaks of other ions are left out in targeted mode, and have no error to be held to otherwise."""
+    rows = stages.keep("labelled", cluster.rt_gap_clusters(cluster.in_sequence(peaks, ["sample_id", "rt", "rtmin", "area"]), eps))
+    merged = cluster.merge_close(cluster.summaries(rows, seq="seq"), order="first_seq")
+    rows = rows.join(merged, ["ion_id", "label"]).drop("label").withColumnRenamed("merged", "label").join(ions, "ion_id", "inner" if targeted else "left")
     rows = stages.keep("merged", rows)
     best = rows.groupBy("ion_id", "label").agg(F.countDistinct("sample_id").alias("n_samples"), F.min("merged_rt").alias("mean_rt"), F.first("rt_theory").alias("rt_theory"))
     best = cluster.select_best(best, F.col("rt_theory"), most_error=most_error)
@@ -46,15 +47,15 @@ def matrix_of(peaks: DataFrame, ions: DataFrame, stages: Stages, eps: float, mos
     return cluster.keep_first(kept, ["ion_id", "sample_id"], ["rt", "rtmin", "area"])
 
 
-def run(signals: DataFrame, ions: DataFrame, mode: str = "untargeted", detector: Callable[[DataFrame], DataFrame] = detect.local_maxima, most_error: float | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
+def run(signals: DataFrame, ions: DataFrame, mode: str = "untargeted", detector: Callable[[DataFrame], DataFrame] = detect.local_maxima, most_error: float | None = None, stages: Stages | None = None, chromatography: str = "rp") -> tuple[DataFrame, DataFrame]:
     """The long matrix (ion_id, sample_id, area) and the peaks behind it: detection, clustering, refinding, two corrections, filling.
-    ``stages`` keeps what is finished."""
+    ``stages`` keeps what is finished. Clusters far from their ion's theoretical time are cut in reversed-phase runs (``rp``) alone."""
     eps, cut, least = MODES[mode]
-    most_error = cut if most_error is None else most_error
+    most_error = None if chromatography != "rp" else cut if most_error is None else most_error
     targeted, stages = mode == "targeted", stages or Stages(signals.sparkSession)
     signals = stages.keep("signals", signals)
     found = stages.keep("detected", detected(signals, stages, detector, targeted))
-    first = stages.keep("clustered", matrix_of(found, ions, stages, eps, most_error))
+    first = stages.keep("clustered", matrix_of(found, ions, stages, eps, most_error, targeted))
     every = matrix.grid(first.select("ion_id").distinct(), signals.select("sample_id").distinct())
     cells = stages.keep("cells", every.join(first.select("ion_id", "sample_id", "area"), ["ion_id", "sample_id"], "left"))
     cells, again = refine.refind_missing(cells, signals, least)

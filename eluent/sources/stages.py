@@ -8,14 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master alone."""
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not told and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="eluent-"))
+    return told or sc._jsc.sc().getCheckpointDir().get()
+
+
 class Stages:
-    """Tables below ``path``; without one, below a fresh folder in ``spark.checkpoint.dir``, removed when the session's JVM ends (a temporary folder only where
-    that is unset, as in tests)."""
+    """Tables below ``path``; without one, below a fresh folder in the shared one, removed when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.own = spark, path is None
-        top = path or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="eluent-")
-        self.path = path or f"{top}/stages-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
         if self.own:
             self._fs("").deleteOnExit(self._where(""))
 

@@ -2,6 +2,7 @@ import base64
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,9 +115,14 @@ def test_matrix_and_refining(spark):
 
 
 def test_welch(spark):
-    assert stats.t_probability(12.7062, 1) == pytest.approx(0.05, abs=1e-6)
-    assert stats.t_probability(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
-    assert stats.t_probability(0.0, 5) == 1.0 and stats.t_probability(None, 3) is None
+    p = stats.t_probabilities(pd.Series([12.7062, 2.228139, 0.0, None, 1.96, -3.0, 1e9, 0.001, 2.0]), pd.Series([1, 10, 5, 3, 1e6, 4.5, 2, 80, None]))
+    assert p[:3].tolist() == pytest.approx([0.05, 0.05, 1.0], abs=1e-6) and p.isna().tolist() == [False] * 3 + [True] + [False] * 4 + [True]
+    for t, v, found in ((1.96, 1e6, p[4]), (-3.0, 4.5, p[5]), (0.001, 80, p[7])):
+        x = np.linspace(0, abs(t), 200_001)
+        density = np.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi) * (1 + x * x / v) ** (-(v + 1) / 2)
+        assert found == pytest.approx(1 - 2 * np.trapezoid(density, x), rel=1e-6)
+    assert p[6] == pytest.approx(1e-18, rel=1e-3)
+    assert stats.t_probabilities(pd.Series([], dtype=float), pd.Series([], dtype=float)).empty
     rows = [("f", g, v) for g, vs in (("A", [1.0, 2.0, 3.0]), ("B", [4.0, 6.0, 8.0])) for v in vs] + [("z", g, v) for g, v in (("A", 1.0), ("A", 1.0), ("B", 2.0), ("B", 2.0))]
     got = {r["feature_id"]: r for r in evaluate.with_probability(evaluate.welch(spark.createDataFrame(rows, "feature_id string, grp string, area double"))).collect()}
     assert got["z"]["p"] == 0.0 and got["z"]["t"] is None
