@@ -1,18 +1,20 @@
 """Language identification by Bayesian evidence fusion.
 
 Evidence for a row: its text, the language that its markup declares, the suffix of its address, and its host. A text model (character
-trigrams, multinomial) gives likelihoods; it is fitted on a sample of at most ``SAMPLE`` labelled rows. Over all rows, grouped counts of the text model's own
-choices then give how often a language comes with a declaration or a suffix, and a prior for each host, smoothed towards its
-domain, that towards its suffix, and that towards the whole corpus. The logarithms add up to a posterior.
+trigrams, multinomial) gives likelihoods of the languages that the labelled rows are in; it is fitted on a sample of at most ``SAMPLE`` of them. Over all rows,
+grouped counts of the text model's own choices then give how often a language comes with a declaration or a suffix, and a prior for each host, smoothed towards its
+domain, that towards its suffix, and that towards the whole corpus. A row's own choice is taken out of all of these counts before they judge it, so that
+its text counts once. The logarithms add up to a posterior.
 
-A fifth hypothesis, 'other', stands for any other language and for gibberish. Its text model is the flattened background of the four
-(square roots of their mean probabilities), and it has counts and priors like the others. It is held against the best mixture of the four,
-so that a text in two of them is no stranger. A language without labelled rows is unknown to the text model and falls behind 'other'.
+A further hypothesis, 'other', stands for any other language and for gibberish. Its text model is the flattened background of the known ones
+(square roots of their mean probabilities), and it has counts and priors like the others. It is held against the best mixture of them,
+so that a text in two of them is no stranger.
 
+Neighbouring trigrams depend on each other, so that log likelihoods are tempered: each trigram counts as ``TEMPER`` of an independent one, in texts of any length.
 Texts of no letters carry no likelihood; a missing declaration, suffix or host adds nothing. Rows without letters are rejected (language null),
-as are rows whose four languages together, or whose best among the four, have a posterior below ``LEAST``. The posterior given
-is that of the best of the four among all five. A null text is empty. Ties go to the language first in
-alphabetical order. Rows with null ids and repeated rows are judged each for itself.
+as are rows whose known languages together, or whose best among them, have a posterior below ``LEAST``. The posterior given
+is that of the best of them among all. A null text is empty. Ties go to the language first in
+alphabetical order. Rows with null ids and repeated rows are judged each for itself. Without any labelled row all are rejected. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +31,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LANGUAGES = ("de", "en", "es", "fr")
-#: Rows the text model is fitted on, buckets of trigrams, characters that count at most as evidence in full, and the least posterior.
+#: Rows the text model is fitted on, buckets of trigrams, and the least posterior.
 SAMPLE, BUCKETS, SEED, LEAST = 4_000, 1 << 14, 11, 0.5
-#: A text's mean log likelihood counts as that of so many independent trigrams at most: neighbouring ones depend on each other.
-EVIDENCE = 200
+#: Independent trigrams that one trigram of a text counts as.
+TEMPER = 0.5
 #: Rows' worth of trust in the level above: host in domain, domain in suffix, suffix in corpus; and in an even spread.
 SMOOTHING = 20.0
-#: Rounds of expectation maximisation for the mixture of a text's languages, and the number of hypotheses.
-ROUNDS, HYPOTHESES = 8, len(LANGUAGES) + 1
+#: Rounds of expectation maximisation for the mixture of a text's languages.
+ROUNDS = 8
+
+
+class Model(NamedTuple):
+    """Languages in alphabetical order, and their log likelihoods (languages x buckets)."""
+
+    languages: tuple[str, ...]
+    logs: np.ndarray
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -48,32 +57,69 @@ def _grams(text: bytes) -> np.ndarray:
     return (common.mixed(g) >> np.uint64(64 - 14)).astype(np.int64)
 
 
-def fit(labelled: DataFrame) -> np.ndarray:
-    """Log likelihoods (languages x buckets) from rows (id, text, lang); the sample is the ``SAMPLE`` rows of the smallest id hashes."""
-    known = labelled.where(F.col("lang").isin(*LANGUAGES) & F.col("id").isNotNull())
-    ids = known.select("id").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE)
+def fit(labelled: DataFrame) -> Model:
+    """The text model of rows (id, text, lang); the sample is the ``SAMPLE`` rows of the smallest id hashes. Its languages are the model's."""
+    known = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("id").isNotNull())
+    sample = known.select("id", "lang").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE)
+    ids = common.saved(sample, "sample")
+    languages = tuple(sorted(r["lang"] for r in ids.select("lang").distinct().collect()))  # of at most SAMPLE rows
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
         for b in common.batches(it, 500):
             for x, lang in zip(common.text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-                counts[LANGUAGES.index(lang)] += np.bincount(_grams(x), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
-
-    rows = known.join(F.broadcast(ids), "id", "left_semi").select("text", "lang").mapInArrow(run, "at long, n long")
-    counts = np.full(len(LANGUAGES) * BUCKETS, 0.5)
+                if lang in place:
+                    counts[place[lang]] = counts.get(place[lang], 0) + np.bincount(_grams(x), minlength=BUCKETS)
+        for i, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(i * BUCKETS + at), pa.array(n[at])], names=["at", "n"])
+
+    place = {lang: i for i, lang in enumerate(languages)}
+    rows = known.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi").select("text", "lang").mapInArrow(run, "at long, n long")
+    counts = np.full(len(languages) * BUCKETS, 0.5)
     for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most languages x buckets
         counts[r["at"]] += r["n"]
-    counts = counts.reshape(len(LANGUAGES), BUCKETS)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    counts = counts.reshape(len(languages), BUCKETS)
+    return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
-_SKIPPED = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_RAW = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_CLOSING = {k: re.compile(rf"</{k}\s*>", re.IGNORECASE) for k in ("script", "style")}
 
 
 def page_text(markup: str) -> str:
-    return html.unescape(_SKIPPED.sub(" ", markup))
+    """What stands outside of tags, comments, scripts and styles. Ends that are missing are looked for once, so that a page is read a fixed number
+    of times, however malformed it is."""
+    out, at, missing = [], 0, set()
+
+    def after(end: str, start: int) -> int:
+        if end in missing:
+            return -1
+        if end in _CLOSING:
+            found = _CLOSING[end].search(markup, start)
+            place = found.end() if found else -1
+        else:
+            place = markup.find(end, start)
+            place += len(end) if place >= 0 else 0
+        if place < 0:
+            missing.add(end)
+        return place
+
+    while (tag := markup.find("<", at)) >= 0:
+        out.append(markup[at:tag])
+        raw, end = _RAW.match(markup, tag), -1
+        if raw:
+            end = after(raw[1].lower(), tag)
+        elif markup.startswith("<!--", tag):
+            end = after("-->", tag + 4)
+        if end < 0:
+            end = after(">", tag)
+        if end < 0:  # no tag ends any more
+            at = tag
+            break
+        at = end
+    out.append(markup[at:])
+    return html.unescape(" ".join(out))
 
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:
@@ -93,31 +139,28 @@ def evidence_of_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").cast("string").alias("host"))
 
 
-def _scorer(model: np.ndarray):
-    """Scores of the four languages and 'other' for the buckets of a text."""
-    fitted = np.ptp(model, axis=1) > 0
-    known = np.exp(model[fitted])
-    root = np.sqrt(known.mean(axis=0)) if fitted.any() else np.ones(model.shape[1])
+def _scorer(model: Model):
+    """Scores of the languages and 'other' for the buckets of a text."""
+    known = np.exp(model.logs)
+    root = np.sqrt(known.mean(axis=0))
     background = np.log(root / root.sum())
 
     def score(g: np.ndarray) -> np.ndarray:
-        n, evidence = np.bincount(g, minlength=model.shape[1]), min(len(g), EVIDENCE)
+        n, evidence = np.bincount(g, minlength=BUCKETS), TEMPER * len(g)
         at = np.flatnonzero(n)
         share = n[at] / len(g)
-        out = np.append(model[:, at] @ share * evidence, background[at] @ share * evidence)
-        if fitted.any():
-            p, w = known[:, at], np.full(len(known), 1 / len(known))
-            for _ in range(ROUNDS):
-                w = w * (p @ (share / (w @ p)))
-            best = out[:-1][fitted].max()
-            out[-1] += best - max(np.log(w @ p) @ share * evidence, best)  # as far from the best as from the mixture
-            out[:-1][~fitted] = out[-1] - EVIDENCE
+        out = np.append(model.logs[:, at] @ share * evidence, background[at] @ share * evidence)
+        p, w = known[:, at], np.full(len(known), 1 / len(known))
+        for _ in range(ROUNDS):
+            w = w * (p @ (share / (w @ p)))
+        best = out[:-1].max()
+        out[-1] += best - max(np.log(w @ p) @ share * evidence, best)  # as far from the best as from the mixture
         return out
 
     return score
 
 
-def _scores(model: np.ndarray, markup: bool):
+def _scores(model: Model, markup: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model)
         for b in common.batches(it, 500):
@@ -135,59 +178,59 @@ def _scores(model: np.ndarray, markup: bool):
     return run
 
 
-def _counts(of: str, best: Column) -> list[Column]:
-    return [F.count(F.when(best == i, 1)).alias(f"{of}{i}") for i in range(HYPOTHESES)]
-
-
-def identify(evidence: DataFrame, model: np.ndarray, markup: bool = False) -> DataFrame:
+def identify(evidence: DataFrame, model: Model, markup: bool = False) -> DataFrame:
     """id, lang (null: rejected), best, posterior for each row of ``evidence`` (id, text, declared, suffix, domain, host)."""
-    k = range(HYPOTHESES)
+    none = F.lit(None).cast("string")
+    if not model.languages:
+        return evidence.select("id", none.alias("lang"), none.alias("best"), F.lit(None).cast("double").alias("posterior"))
+    k = range(len(model.languages) + 1)
     fields = ", ".join(f"{c} {'long' if c == 'id' else 'string'}" for c in evidence.columns if c != "text")
     rows = common.saved(evidence.mapInArrow(_scores(model, markup), f"{fields}, scores array<double>"), "scores")
-    choice = F.array_position("scores", F.array_max("scores")) - 1
-    rows = rows.withColumn("choice", choice)
-
-    def by(column: str, *kept: str) -> DataFrame:
-        return rows.where(F.col(column).isNotNull() & F.col("choice").isNotNull()).groupBy(column, *kept).agg(*_counts("n", F.col("choice")))
-
-    def part(prefix: str, above: list[Column]) -> list[Column]:
-        total = sum((F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)) for i in k), F.lit(0.0))
-        return [(F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)) + SMOOTHING * above[i]) / (total + SMOOTHING) for i in k]
-
-    total = rows.where("choice is not null").agg(*_counts("n", F.col("choice"))).first()
-    number = sum(total) or 1
-    corpus = [(total[i] + 1.0) / (number + HYPOTHESES) for i in k]
-    # smoothed priors, from the corpus down to the hosts: one row for each suffix, domain and host
-    array = lambda columns: F.array(*columns)
-    suffixes = by("suffix").select("suffix", array(part("n", [F.lit(p) for p in corpus])).alias("prior"), *(F.col(f"n{i}").alias(f"s{i}") for i in k))
-    item = lambda c, default: [F.coalesce(F.element_at(c, i + 1), F.lit(default[i])) for i in k]
-    domains = by("domain", "suffix").join(suffixes.select("suffix", F.col("prior").alias("above")), "suffix", "left")
-    domains = domains.select("domain", array(part("n", item("above", corpus))).alias("prior"))
-    hosts = rows.where(F.col("host").isNotNull() & F.col("choice").isNotNull()).groupBy("host").agg(F.first("domain").alias("domain"), *_counts("n", F.col("choice")))
-    hosts = hosts.join(domains.withColumnRenamed("prior", "above"), "domain", "left")
-    hosts = common.saved(hosts.select("host", array(part("n", item("above", corpus))).alias("prior")), "hosts")
-    # how often a language comes with a declaration or suffix: P(seen | language), smoothed towards an even spread over what is seen
-    def given(column: str) -> DataFrame:
-        seen = common.saved(by(column), column)
-        kinds = seen.count() or 1
-        return seen.select(F.col(column), array([F.log((F.col(f"n{i}") + SMOOTHING / kinds) / F.lit(total[i] + SMOOTHING)) for i in k]).alias(f"of_{column}"))
-
-    out = rows.join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left").join(hosts, "host", "left")
-    nothing = F.array(*(F.lit(0.0) for _ in k))
-    for c in ("of_declared", "of_suffix"):
-        out = out.withColumn(c, F.coalesce(c, nothing))
-    prior = F.coalesce("prior", F.array(*map(F.lit, corpus)))
-    logs = F.array(*(F.element_at("scores", i + 1) + F.element_at("of_declared", i + 1) + F.element_at("of_suffix", i + 1) + F.log(F.element_at(prior, i + 1)) for i in k))
-    out = out.select("id", logs.alias("logs")).withColumn("four", F.slice("logs", 1, len(LANGUAGES))).withColumn("top", F.array_max("four"))
-    four = F.aggregate("four", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    out = out.withColumns({"of_four": 1 / four, "known": 1 / (1 + F.exp(F.element_at("logs", HYPOTHESES) - F.col("top")) / four)})
-    best = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position("four", F.col("top")).cast("int"))
+    rows = rows.withColumn("choice", F.array_position("scores", F.array_max("scores")) - 1)
+    chosen = rows.where("choice is not null")
+    counted = F.array(*(F.count(F.when(F.col("choice") == i, 1)) for i in k))
+    total = chosen.agg(counted.alias("n")).first()["n"]
+
+    def by(column: str) -> DataFrame:
+        """A row for each value: how often each hypothesis was chosen with it."""
+        return common.saved(chosen.where(F.col(column).isNotNull()).groupBy(column).agg(counted.alias(f"n_{column}")), column)
+
+    levels = {c: by(c) for c in ("declared", "suffix", "domain", "host")}
+    out = rows
+    for c, counts in levels.items():
+        out = out.join(counts, c, "left")  # few values are broadcast by Spark; the rows of a hot one are split
+    own = [F.when(F.col("choice") == i, 1.0).otherwise(0.0) for i in k]
+    judged = F.when(F.col("choice").isNotNull(), 1.0).otherwise(0.0)
+
+    def others(column: str, i: int) -> Column:
+        """How often ``i`` was chosen with this row's value in other rows."""
+        return F.coalesce(F.element_at(f"n_{column}", i + 1) - own[i], F.lit(0.0))
+
+    # priors from the corpus down to the host, each smoothed towards the one above; each level is a column of its own
+    number = len(total)
+    out = out.withColumn("prior", F.array(*((F.lit(float(n)) - own[i] + 1.0) / (F.lit(float(sum(total)) + number) - judged) for i, n in enumerate(total))))
+    for c in ("suffix", "domain", "host"):
+        seen = sum((others(c, i) for i in k), F.lit(0.0))
+        out = out.withColumn("prior", F.array(*((others(c, i) + SMOOTHING * F.element_at("prior", i + 1)) / (seen + SMOOTHING) for i in k)))
+
+    kinds = {c: float(levels[c].count() or 1) for c in ("declared", "suffix")}
+
+    def given(column: str, i: int) -> Column:
+        """log P(seen | language), smoothed towards an even spread over what is seen."""
+        p = (others(column, i) + SMOOTHING / kinds[column]) / (F.lit(float(total[i])) - own[i] + SMOOTHING)
+        return F.when(F.col(column).isNotNull(), F.log(p)).otherwise(F.lit(0.0))
+
+    logs = F.array(*(F.element_at("scores", i + 1) + given("declared", i) + given("suffix", i) + F.log(F.element_at("prior", i + 1)) for i in k))
+    out = out.select("id", logs.alias("logs")).withColumn("known", F.slice("logs", 1, len(model.languages))).withColumn("top", F.array_max("known"))
+    share = F.aggregate("known", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    out = out.withColumns({"of_known": 1 / share, "in_known": 1 / (1 + F.exp(F.element_at("logs", -1) - F.col("top")) / share)})
+    best = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("known", F.col("top")).cast("int"))
     full = F.forall("logs", lambda x: x.isNotNull())
-    kept = (F.col("known") >= LEAST) & (F.col("of_four") >= LEAST)
-    return out.select("id", F.when(full & kept, best).alias("lang"), F.when(full, best).alias("best"), F.when(full, F.round(F.col("of_four") * F.col("known"), 6)).alias("posterior"))
+    kept = (F.col("in_known") >= LEAST) & (F.col("of_known") >= LEAST)
+    return out.select("id", F.when(full & kept, best).alias("lang"), F.when(full, best).alias("best"), F.when(full, F.round(F.col("of_known") * F.col("in_known"), 6)).alias("posterior"))
 
 
-def identify_documents(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
+def identify_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if model is None:
         model = fit(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("lang")))
     return identify(evidence_of_documents(docs), model)
