@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, PERCENT = 5, 80
+#: Characters of the items' shingles, and some for each, up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def _words(df: DataFrame, key: str) -> DataFrame:
@@ -61,19 +63,20 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
     pairs = common.saved(small.join(F.broadcast(keys) if few else keys, "h").select("doc_id", "item_id").distinct(), "candidates")
     ids = common.saved(pairs.select("doc_id").distinct(), "candidate-ids")
 
+    # the items' words are some times as many bytes as their hashes: measured before they are broadcast
     of_items = common.saved(_words(items, "item_id").select("item_id", F.explode(_texts()).alias("s")).distinct().groupBy("item_id").agg(F.collect_list("s").alias("item")), "items")
+    light = (of_items.agg(F.sum(F.aggregate("item", F.lit(0).cast("long"), lambda a, s: a + F.length(s) + 16))).first()[0] or 0) <= BROADCAST_BYTES
     inside = common.semi_join(words, ids, "doc_id").select("doc_id", _texts().alias("doc")).join(pairs, "doc_id")
-    found = inside.join(F.broadcast(of_items) if few else of_items, "item_id")
+    found = inside.join(F.broadcast(of_items) if light else of_items, "item_id")
     found = found.select("doc_id", "item_id", F.explode_outer(F.array_intersect("doc", "item")).alias("s"), F.size("item").cast("long").alias("n_item")).distinct()
     found = found.groupBy("doc_id", "item_id", "n_item").agg(F.count("s").alias("n_shared"))
     return found.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select("doc_id", "item_id", "n_shared", "n_item")
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those of documents that hold an item."""
-    held = common.saved(leaks(docs, items, percent).select(F.col("doc_id").alias("_doc_id")).distinct(), "leaks")
-    few = held.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
-    return docs.join(F.broadcast(held) if few else held, docs["doc_id"].cast("long") == F.col("_doc_id"), "left_anti")
+    """The rows of ``docs`` without those of documents that hold an item, with their columns as they are. Rows with a null doc_id stay."""
+    held = common.saved(leaks(docs, items, percent).select("doc_id").distinct(), "leaks")
+    return common.semi_join_ids(docs, held, "left_anti")
 
 
 SQL = r"""

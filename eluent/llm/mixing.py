@@ -72,9 +72,10 @@ def decisions(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    copies = common.saved(plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "copies")
-    sized = docs.withColumn("_words", size(F.col("text").cast("string")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    out = sized.join(copies, on).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
+    words, of, source, n, copies, copy = common.free(docs, "_words", "_of", "_source", "_n", "_copies", "_copy")
+    taken = plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias(of), F.col("source").alias(source), F.col("size").alias(n), F.col("copies").alias(copies))
+    sized = docs.withColumn(words, size(F.col("text").cast("string")))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.col(words) == F.col(n))
+    out = sized.join(common.saved(taken, "copies"), on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
