@@ -1,7 +1,8 @@
 """Corpus pipeline over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with their columns; the last returns what its token files
-hold. Between stages the rows are written as Parquet and read again.
+hold. Between stages the rows are written as Parquet and read again. Further columns of ``documents`` go through all but the last stage
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,42 +15,39 @@ from pyspark.sql import functions as F
 from eluent.llm import common, decontam, langid, mixing, ngram_join, token_io
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without those of ``ids`` (a saved table with _doc_id)."""
-    return common.semi_join(docs.withColumn("_doc_id", F.col("doc_id").cast("long")), ids, "_doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters, or with evidence that points nowhere, go."""
+    """Documents whose language is known; those without letters (null and empty texts too), in no known language, or with evidence that points
+    nowhere, go. Rows of one doc_id go only together; rows with a null doc_id stay; an empty table stays empty."""
     judged = langid.identify_documents(docs)
-    rejected = judged.groupBy(F.col("id").alias("_doc_id")).agg(F.count("lang").alias("n")).where("n = 0 and _doc_id is not null").select("_doc_id")
-    return _without(docs, common.saved(rejected, "rejected"))
+    rejected = judged.groupBy(F.col("id").alias("doc_id")).agg(F.count("lang").alias("n")).where("n = 0 and doc_id is not null").select("doc_id")
+    return common.semi_join_ids(docs, common.saved(rejected, "rejected"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; of rows with one doc_id, one."""
+    """The document of the smallest doc_id of each group; of rows with one doc_id, one. Null and empty texts are in no group; rows with a null
+    doc_id stay."""
     groups = common.saved(ngram_join.components(docs), "groups")
-    dropped = common.saved(groups.where("component_id < doc_id").select(F.col("doc_id").alias("_doc_id")).distinct(), "dropped")
-    kept = _without(docs, dropped)
-    repeated = common.saved(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc_id")).count().where("count > 1").select("_doc_id"), "repeated")
+    kept = common.semi_join_ids(docs, common.saved(groups.where("component_id < doc_id").select("doc_id").distinct(), "dropped"), "left_anti")
+    repeated = common.saved(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    once = common.semi_join(kept.withColumn("_doc_id", F.col("doc_id").cast("long")), repeated, "_doc_id").dropDuplicates(["_doc_id"]).drop("_doc_id")
-    return _without(kept, repeated).unionByName(once)
+    (name,) = common.free(docs, "_id")
+    once = common.semi_join_ids(kept, repeated, "left_semi").withColumn(name, F.col("doc_id").cast("long")).dropDuplicates([name]).drop(name)
+    return common.semi_join_ids(kept, repeated, "left_anti").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark``. Documents without words, and rows with a null doc_id, stay."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, each as often as the mix of sources takes it."""
+    """Documents, each as often as the mix of sources takes it; a null source is one of its own, and a text without words has size 0."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the token files: doc_id, start, n_tokens, ids_crc32."""
+    """The documents of the token files: doc_id, start, n_tokens, ids_crc32; null ids first, null texts as their end id alone."""
     import public_tokenizers
 
     return token_io.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
