@@ -8,6 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, deleted when the session's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master alone."""
     sc = spark.sparkContext
@@ -15,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not told and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="eluent-"))
+        sc.setCheckpointDir(told or until_exit(spark, tempfile.mkdtemp(prefix="eluent-")))
     return told or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -26,7 +33,7 @@ class Stages:
         self.spark, self.own = spark, path is None
         self.path = path or f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
         if self.own:
-            self._fs("").deleteOnExit(self._where(""))
+            until_exit(spark, self.path)
 
     def _where(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
