@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import shared_dir, until_exit
+
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,31 +21,9 @@ BROADCAST_IDS = 1_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master alone."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(told)
-        return told
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(_until_exit(spark, tempfile.mkdtemp(prefix="eluent-")))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _until_exit(spark: SparkSession, path: str) -> str:
-    """``path``, deleted when the session's JVM ends."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the session's JVM ends."""
-    return _until_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return until_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 #: Short rows that one task may hold when a table of known size is written.
