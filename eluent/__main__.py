@@ -53,7 +53,7 @@ def untargeted(spark: SparkSession, args: argparse.Namespace) -> None:
 def _write(spark: SparkSession, cells, peaks, path: str) -> None:
     names = [r[0] for r in cells.select("sample_id").distinct().orderBy("sample_id").collect()]  # of one study
     tables.write_tsv(matrix.widen(cells, names, "").orderBy("ion_id"), f"{path}/matrix", 10)
-    tables.write_tsv(peaks, f"{path}/peaks", 10)
+    tables.write_tsv(sinks.final_layout(peaks), f"{path}/peaks", 10)
     tables.write_tsv(sinks.remarks(cells), f"{path}/remark")
 
 

@@ -11,6 +11,18 @@ from ..operators import matrix, ranks
 from . import tables
 
 
+# The columns of the final peak list, as its readers name them.
+LAYOUT = {
+    "sample_id": "Sample Name", "ion_id": "Component Name", "area": "Area", "height": "Height", "rt": "Retention Time", "width": "Width at 50%", "sn": "Signal/Noise", "sn_2": "Signal/Noise_2", "sn_3": "Signal/Noise_3",
+    "sn_5": "Signal/Noise_5", "rtmin": "rtmin", "rtmax": "rtmax", "rt_theory": "rt_theoretic", "class": "peak_class", "baseline": "baseline", "points": "points", "min_rt": "min_rt", "max_rt": "max_rt", "lr_diff": "lr_diff",
+}
+
+
+def final_layout(peaks: DataFrame) -> DataFrame:
+    """The peaks in the layout of the final list; columns they lack are null."""
+    return peaks.select(*((F.col(c) if c in peaks.columns else F.lit(None).cast("double")).alias(name) for c, name in LAYOUT.items()))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("error").option("header", "true").csv(path)
 

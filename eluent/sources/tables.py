@@ -43,6 +43,19 @@ def problems(wide: DataFrame, key: str) -> dict[str, int]:
     return {"blank": r[0], "repeated": r[1]}
 
 
+def validated(wide: DataFrame, key: str, samples: list[str], even: bool = True) -> DataFrame:
+    """``wide``, or an error: no key column, blank or repeated ids, missing samples, or (if ``even``) an odd number of them or fewer than two."""
+    missing = [c for c in (key, *samples) if c not in wide.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    if even and (len(samples) < 2 or len(samples) % 2):
+        raise ValueError(f"an even number of samples is expected, not {len(samples)}")
+    found = problems(wide, key)
+    if found["blank"] or found["repeated"]:
+        raise ValueError(f"{found['blank']} blank and {found['repeated']} repeated ids")
+    return wide
+
+
 def feature_table(df: DataFrame) -> DataFrame:
     """feature_id, mz, rt with columns found by their aliases; ids F1, F2, ... where missing; rows without numbers are left out."""
     by = {names.normal_header(c): c for c in df.columns}
