@@ -9,7 +9,8 @@ original of its lowest quote level that has one, by the number of lines and sent
 message, then its answers and theirs, each by turn; messages that quote nothing known begin threads of their own. Quoted lines and the
 attribution line above them are left out.
 
-A conversation may hold a large share of all rows, so that it comes in parts of at most ``PART`` messages; no step gathers one. Rows
+A conversation may hold a large share of all rows, so that the output is sharded: it comes in parts of at most ``PART`` messages, numbered in
+order, and no step gathers one; ``linked`` gives the whole of it as ordered rows. Rows
 with a null conv_id are left out. A null turn is turn -1, null texts and roles are empty. Rows that repeat in full count once; others of one turn are kept side by
 side and answered together. Extra columns are ignored.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from . import common
 
 PART = 64
@@ -45,18 +47,22 @@ def parsed(messages: DataFrame) -> DataFrame:
     lines = F.transform(F.split("text", r"\r?\n"), lambda x: F.struct(_level(x).alias("level"), x.alias("text"), F.xxhash64(_normal(x)).alias("hash"), (F.length(_normal(x)) > 0).alias("full")))
     rows = rows.withColumn("lines", lines)
     above = F.filter("lines", lambda x, i: (x["level"] == 0) & ~(x["text"].rlike(WROTE) & F.coalesce(F.get(F.col("lines"), i + 1)["level"] > 0, F.lit(False))))
-    return rows.select("conv_id", "turn", "role", "lines", F.trim(F.array_join(F.transform(above, lambda x: x["text"]), "\n")).alias("text"))
+    # of lines that stand in the text, the hash is enough
+    short = F.transform("lines", lambda x: F.struct(x["level"].alias("level"), F.when(x["level"] > 0, x["text"]).alias("text"), x["hash"].alias("hash"), x["full"].alias("full")))
+    return rows.select("conv_id", "turn", "role", short.alias("lines"), F.trim(F.array_join(F.transform(above, lambda x: x["text"]), "\n")).alias("text"))
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def _spans(said: Column, n: int | Column) -> Column:
+def _spans(said: Column, n: int) -> Column:
     """Hashes of the distinct windows of ``n`` words of ``said`` (words between blanks)."""
-    words, n = F.split(said, " "), F.lit(n) if isinstance(n, int) else n
-    every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
-    return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    def every(w: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.concat_ws(" ", *(w[i + j] for j in range(n))))))
+
+    return F.coalesce(let(F.split(said, " "), lambda w: F.when(F.size(w) >= n, every(w))), F.array().cast("array<bigint>"))
 
 
 def _sentences(lines: DataFrame) -> DataFrame:
@@ -66,26 +72,31 @@ def _sentences(lines: DataFrame) -> DataFrame:
     goes_on = lambda x, i: F.coalesce((before(i)["pos"] == x["pos"] - 1) & (before(i)["level"] == x["level"]), F.lit(False))
     joined = F.array_join(F.transform("q", lambda x, i: F.concat(F.when(goes_on(x, i), F.lit(" ")).otherwise(F.concat(F.lit("\n"), x["level"].cast("string"), F.lit(":"))), x["normal"])), "")
     passages = of_row.select("conv_id", "turn", F.explode(F.split(joined, "\n")).alias("p")).where("p <> ''")
-    sentences = passages.select("conv_id", "turn", F.substring_index("p", ":", 1).cast("int").alias("level"), F.explode(F.split(F.regexp_replace("p", r"^\d+:", ""), r"(?<=[.!?…])\s+")).alias("s"))
+    # the level comes first, so that no sentence carries its passage along
+    passages = passages.select("conv_id", "turn", F.substring_index("p", ":", 1).cast("int").alias("level"), F.split(F.regexp_replace("p", r"^\d+:", ""), r"(?<=[.!?…])\s+").alias("s"))
+    sentences = passages.select("conv_id", "turn", "level", F.explode("s").alias("s"))
     return sentences.select("conv_id", "turn", "level", F.array_join(_words(F.col("s")), " ").alias("unit")).where("unit <> ''")
 
 
 def _originals(units: DataFrame, rows: DataFrame) -> DataFrame:
     """conv_id, unit, parent: the first turn whose words hold those of the unit in a row."""
     n = F.least(F.size(F.split("unit", " ")), F.lit(SPAN)).alias("n")
-    distinct = common.saved(units.select("conv_id", "unit", n).distinct(), "units")
-    keys = common.saved(distinct.select("conv_id", "unit", "n", F.explode(_spans(F.col("unit"), F.col("n"))).alias("h")), "unit-spans")
+    distinct = common.saved(units.select("conv_id", "unit", n).distinct().withColumn("uid", F.monotonically_increasing_id()), "units")
+    spans = F.when(F.col("n") == SPAN, _spans(F.col("unit"), SPAN)).otherwise(F.array(F.xxhash64("unit")))
+    keys = common.saved(distinct.select("conv_id", "uid", "n", F.explode(spans).alias("h")), "unit-spans")
     sizes = [r["n"] for r in keys.select("n").distinct().collect()]  # SPAN at most
     said = rows.select("conv_id", "turn", F.array_join(_words(F.col("text")), " ").alias("said")).where("said <> ''").groupBy("conv_id", "said").agg(F.min("turn").alias("turn"))
-    said = common.saved(said.withColumn("id", F.monotonically_increasing_id()), "said")
+    asked = common.saved(distinct.select("conv_id").distinct(), "asked")
+    said = common.saved(common.semi_join(said, asked, "conv_id").withColumn("id", F.monotonically_increasing_id()), "said")
     of_size = lambda k: F.transform(_spans(F.col("said"), k), lambda h: F.struct(F.lit(k).alias("n"), h.alias("h")))
     spans = F.explode(F.concat(*map(of_size, sizes)))
-    held = said.select("conv_id", "turn", "id", spans.alias("x")).select("conv_id", "turn", "id", "x.n", "x.h")
-    held = common.saved(held.join(keys.select("conv_id", "n", "h").distinct(), ["conv_id", "n", "h"], "left_semi"), "spans")
+    held = said.select("conv_id", "id", spans.alias("x")).select("conv_id", "id", "x.n", "x.h")
+    # few asked windows are broadcast, so that the others need no shuffle
+    held = common.saved(common.semi_join(held, common.saved(keys.select("conv_id", "n", "h").distinct(), "asked-spans"), ["conv_id", "n", "h"]), "spans")
     # a unit is met by the rarest of its windows, and only if each of them occurs
     seen = keys.join(held.groupBy("conv_id", "n", "h").agg(F.count("*").alias("often")), ["conv_id", "n", "h"], "left")
-    rarest = seen.groupBy("conv_id", "unit", "n").agg(F.min(F.struct("often", "h"))["h"].alias("h"), F.min(F.col("often").isNotNull()).alias("all")).where("all").drop("all")
-    pairs = rarest.join(held, ["conv_id", "n", "h"]).select("unit", "id").join(said, "id")
+    rarest = seen.groupBy("conv_id", "uid", "n").agg(F.min(F.struct("often", "h"))["h"].alias("h"), F.min(F.col("often").isNotNull()).alias("all")).where("all").drop("all")
+    pairs = rarest.join(held, ["conv_id", "n", "h"]).select("uid", "id").join(said, "id").join(distinct.select("uid", "unit"), "uid")
     exact = F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "unit", F.lit(" ")))
     return pairs.where(exact).groupBy("conv_id", "unit").agg(F.min("turn").alias("parent"))
 
@@ -136,12 +147,38 @@ def linked(messages: DataFrame) -> DataFrame:
     """conv_id, position (from 0, in reply order), turn, parent (or null), root, depth, role, text without quotes."""
     rows = common.saved(parsed(messages).withColumn("row", F.monotonically_increasing_id()), "messages")
     links = common.saved(parents(rows), "replies")
-    rows = rows.select("conv_id", "turn", "role", "text").join(common.saved(threads(links), "threads"), ["conv_id", "turn"], "left")
-    rows = rows.withColumns({"root": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("int"), "place": F.coalesce("place", F.lit(0))})
-    order = [F.col("conv_id"), F.col("root"), F.col("place"), F.col("role"), F.xxhash64("text"), F.col("text")]
-    ranked = common.with_rank(rows, order)
+    placed = rows.select("row", "conv_id", "turn", "role", F.xxhash64("text").alias("hash")).join(common.saved(threads(links), "threads"), ["conv_id", "turn"], "left")
+    placed = placed.withColumns({"root": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("int"), "place": F.coalesce("place", F.lit(0))})
+    # the texts stay behind while the rows are ordered
+    ranked = common.with_rank(placed, [F.col(c) for c in ("conv_id", "root", "place", "role", "hash", "row")])
     first = ranked.groupBy("conv_id").agg(F.min("rank").alias("first"))
-    return ranked.join(first, "conv_id").select("conv_id", (F.col("rank") - F.col("first")).alias("position"), "turn", "parent", "root", "depth", "role", "text")
+    ranked = common.saved(ranked.join(first, "conv_id").select("row", (F.col("rank") - F.col("first")).alias("position"), "parent", "root", "depth"), "order")
+    return ranked.join(rows.select("row", "conv_id", "turn", "role", "text"), "row").select("conv_id", "position", "turn", "parent", "root", "depth", "role", "text")
+
+
+#: Turns of derived replies, and of the answers to these, begin so far behind those they quote.
+LATER = 1 << 40
+
+
+def history(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text: ``messages`` as they are and, for each one of an odd turn with words, a reply that quotes its first line and an
+    answer that quotes the reply and, one level deeper, that line. By turn, a reply quotes the whole line, the line wrapped anew, or words from its middle."""
+    turn, text = F.coalesce(F.col("turn").cast("long"), F.lit(-1)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
+    rows = rows.withColumn("line", F.get(F.filter(F.split("text", r"\r?\n"), lambda x: ~x.rlike(r"^[ \t>]*$") & (_level(x) == 0)), 0))
+    rows = rows.withColumn("words", F.filter(F.split("line", r"\s+"), lambda w: w != ""))
+    n, said = F.size("words"), lambda a, k: F.array_join(F.slice("words", a, k), " ")
+    half = F.greatest(F.floor(n / 2), F.lit(1)).cast("int")
+    wrapped = F.concat(said(F.lit(1), half), F.lit("\n> "), said(half + 1, n))
+    quote = F.when((F.col("turn") % 3 == 0) & (n > 1), wrapped).when((F.col("turn") % 3 == 2) & (n > 9), said(F.lit(2), F.lit(8))).otherwise(said(F.lit(1), n))
+    point = F.concat(F.lit("Reply to turn "), F.col("turn"), F.lit("."))
+    reply = F.concat("role", F.lit(" wrote:\n> "), quote, F.lit("\n"), point)
+    answer = F.concat(F.lit("reader wrote:\n>> "), said(F.lit(1), n), F.lit("\n> "), point, F.lit("\nAnswer on turn "), F.col("turn"), F.lit("."))
+    of = lambda k, role, text: F.struct((F.col("turn") + k * LATER).alias("turn"), role.alias("role"), text.alias("text"))
+    own = of(0, F.col("role"), F.col("text"))
+    some = (F.col("turn") % 2 == 1) & (n > 0)
+    every = F.when(some, F.array(own, of(1, F.lit("reader"), reply), of(2, F.lit("writer"), answer))).otherwise(F.array(own))
+    return rows.select("conv_id", F.explode(every).alias("m")).select("conv_id", "m.*")
 
 
 def conversations(messages: DataFrame, part: int = PART) -> DataFrame:

@@ -46,9 +46,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's messages hold no quotes: ``chat.history`` adds replies that quote them."""
     from . import chat
 
-    return chat.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.conversations(chat.history(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +56,24 @@ def test_decontamination(spark, docs_of):
     assert decontam.leaks(docs, items.where("item_id > 9")).count() == 0
 
 
+def test_decontamination_with_a_bound(spark, docs_of, monkeypatch):
+    """More sketch hashes than are looked up one by one: short items above the bound and long ones below it, against exact containment."""
+    monkeypatch.setattr(decontam, "TAIL", 6)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(3))
+    texts = [[word() for _ in range(n)] for n in (5, 6, 7, 8, 20, 40, 80, 200, 3)]
+    docs = []
+    for k in range(60):
+        t = list(r.choice(texts))
+        if k % 3:
+            t[r.randrange(len(t))] = word()
+        docs.append((k, " ".join([word() for _ in range(r.randint(0, 9))] + t + [word() for _ in range(r.randint(0, 9))])))
+    cut = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    want = sorted((k, i, len(cut(t) & cut(d.split())), len(cut(t))) for k, d in docs for i, t in enumerate(texts) if 100 * len(cut(t) & cut(d.split())) >= 80 * len(cut(t)))
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    assert len(want) > 25 and sorted(map(tuple, decontam.leaks(docs_of(docs), items).collect())) == want
+
+
 def test_hilbert_is_a_path():
     n = 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << n)] * 3, indexing="ij"), -1).reshape(-1, 3)
@@ -98,6 +118,35 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_seen_by_narrow_windows(spark, monkeypatch):
+    """Vectors around a few hundred centres: a query meets under a fifth of the rows, and recall stays above 0.9."""
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((300, 32))
+    x = centres[r.integers(0, 300, 6000)] + 0.15 * r.standard_normal((6000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "CURVES", 8)
+    seen = ann.CURVES * 0.02
+    assert seen < 0.2
+    got = {}
+    for g in ann.search(df, reach=0.02).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    want = brute_nearest(rows, 100, 10)
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_neighbours_of_evenly_spread_vectors(spark):
+    """The registered parameters, where no direction stands out: what the given vectors are like."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((3000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    got = {}
+    for g in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    want = brute_nearest(rows, 100, 10)
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 @pytest.mark.parametrize("top", [10, 25])
 def test_neighbours_of_repeated_ids(spark, top):
     r = np.random.default_rng(2)
@@ -196,6 +245,92 @@ def test_wrapped_and_partial_quotes(spark):
     assert got[2, 0] is None
 
 
+def brute_chat(rows, part):
+    """(conv_id, part, turns, chat) by plain walks over each conversation."""
+    wrote = re.compile(chat.WROTE)
+    level = lambda x: len(re.match(r"(?:[ \t]*>)*", x)[0].replace(" ", "").replace("\t", ""))
+    normal = lambda x: re.sub(r"\s+", " ", re.sub(r"^(?:[ \t]*>)*", "", x).lower()).strip(" ")
+    words = lambda x: " ".join(re.sub(r"[^\w]|_", " ", x.lower()).split())
+    rows = {(c, -1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c is not None}
+    out = []
+    for conv in sorted({r[0] for r in rows}):
+        said = []
+        for _, turn, role, text in sorted(r for r in rows if r[0] == conv):
+            lines = re.split(r"\r?\n", text)
+            own = [x for i, x in enumerate(lines) if level(x) == 0 and not (wrote.match(x) and i + 1 < len(lines) and level(lines[i + 1]) > 0)]
+            said.append((turn, role, lines, "\n".join(own).strip(" ")))
+        parent, first = {}, {}
+        for turn, _, lines, _ in sorted(said, key=lambda m: m[0]):
+            for x in lines:
+                if level(x) == 0 and normal(x):
+                    first.setdefault(normal(x), turn)
+        votes = {}
+        for turn, _, lines, _ in said:
+            passages, last = [], None
+            for i, x in enumerate(lines):
+                if level(x) == 0 or not normal(x):
+                    continue
+                at = first.get(normal(x))
+                if at is not None and at < turn:
+                    votes.setdefault(turn, []).append((level(x), at))
+                elif last == (i - 1, level(x)):
+                    passages[-1][1].append(normal(x))
+                    last = (i, level(x))
+                else:
+                    passages.append((level(x), [normal(x)]))
+                    last = (i, level(x))
+            for k, parts in passages:
+                for sentence in re.split(r"(?<=[.!?…])\s+", " ".join(parts)):
+                    if unit := words(sentence):
+                        found = [t for t, _, _, own in said if f" {unit} " in f" {words(own)} "]
+                        if found and min(found) < turn:
+                            votes.setdefault(turn, []).append((k, min(found)))
+        for turn, v in votes.items():
+            low = min(k for k, _ in v)
+            count = {at: sum(x == (low, at) for x in v) for _, at in v if (low, at) in v}
+            parent[turn] = max(count, key=lambda at: (count[at], at))
+        answers = {}
+        for turn, at in parent.items():
+            answers.setdefault(at, []).append(turn)
+        order, todo = [], sorted({m[0] for m in said} - parent.keys(), reverse=True)
+        while todo:
+            t = todo.pop()
+            order.append(t)
+            todo += sorted(answers.get(t, []), reverse=True)
+        flat = [(m[0], m[1], m[3]) for t in order for m in said if m[0] == t]
+        for i in range(0, len(flat), part):
+            out.append((conv, i // part, [m[0] for m in flat[i : i + part]], "\n".join(f"<|{r}|>\n{x}" for _, r, x in flat[i : i + part])))
+    return out
+
+
+def test_history_against_plain_walks(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    schema = "conv_id long, turn long, role string, text string"
+    odd = spark.createDataFrame([(5, None, None, None), (5, 1, "user", "One line.\n\n> quoted"), (5, 1, "user", "One line.\n\n> quoted"), (5, 3, "user", ""), (7, 3, "a", "two words. " * 60), (7, 5, "a", "one")], schema)
+    messages = table.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id > 10").union(odd)
+    said = chat.history(messages)
+    assert said.count() > 1.3 * messages.count() and messages.exceptAll(said).where("turn is not null and text is not null and role is not null").isEmpty()
+    linked = chat.linked(said).where("parent is not null")
+    assert linked.where(f"turn >= {chat.LATER}").count() > 30 and linked.where("depth = 2").count() > 15
+    got = [(p["conv_id"], p["part"], p["turns"], p["chat"]) for p in chat.conversations(said, 7).orderBy("conv_id", "part").collect()]
+    assert got == brute_chat([tuple(r) for r in said.collect()], 7)
+
+
+def test_long_messages(spark):
+    rows = [(1, 1, "a", "two words. " * 60_000), (1, 3, "b", "no end " * 80_000), (1, 5, "c", "> no end no end no end no end no end no end no end\nYes.")]
+    began = time.time()
+    got = chat.linked(chat.history(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert time.time() - began < 90 and len(got) == 9
+    assert {g["turn"]: g["parent"] for g in got if g["turn"] < 6} == {1: None, 3: None, 5: 3}
+
+
+def test_two_messages_of_one_turn_and_equal_votes(spark):
+    rows = [(1, 0, "a", "alpha one"), (1, 0, "b", "beta two"), (1, 1, "c", "gamma three"), (1, 2, "d", "> alpha one\n> gamma three\nBoth."), (1, 3, "e", "> beta two\nOf the second.")]
+    df = spark.createDataFrame(rows + [(None, 3, "e", "> beta two")] + rows[:1], "conv_id long, turn long, role string, text string")
+    got = {(g["turn"], g["role"]): g["parent"] for g in chat.linked(df).collect()}
+    assert got == {(0, "a"): None, (0, "b"): None, (1, "c"): None, (2, "d"): 1, (3, "e"): 0}
+
+
 def test_threads_of_a_long_chain_and_a_tree(spark):
     r = random.Random(4)
     tree = {i: r.choice([r.randrange(i), i - 1, 0]) for i in range(1, 150)}
@@ -226,8 +361,17 @@ def test_rollups(spark, tmp_path):
     (tmp_path / "r" / "batch=4").mkdir()
     (tmp_path / "r" / "batch=4" / "part-0.parquet").write_bytes(b"broken off")
     assert r.commit(4, change(("insert", "a", "en", "v1", 1, None))) and r.totals().where("source = 'a'").first()["tokens"] == 11
+    with pytest.raises(ValueError, match="other changes"):
+        r.commit(2, change(("delete", "a", "en", "v1", 4, None)))
+    before = sorted(map(str, r.totals().collect()))
+    r.compact()
+    assert sorted(map(str, r.totals().collect())) == before and not r.commit(1, first)
+    assert r.commit(5, change(("insert", "c", "de", "v1", 3, None), ("insert", "c", "de", "v1", 3, None)))
+    assert r.totals().where("source = 'c'").first()["docs"] == 2
+    r.compact()
+    assert sorted(map(str, r.totals().collect())) == sorted([*before, *map(str, r.totals().where("source = 'c'").collect())])
     with pytest.raises(Exception, match="unknown op"):
-        r.commit(5, change(("upsert", "a", "en", "v1", 1, None)))
+        r.commit(6, change(("upsert", "a", "en", "v1", 1, None)))
 
 
 def test_rank(spark):
