@@ -21,9 +21,26 @@ BROADCAST_IDS = 1_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Paths of this session, in order.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the session's JVM ends."""
-    return until_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    _made.append(until_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"))
+    return _made[-1]
+
+
+def made() -> int:
+    """How many paths there are so far."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, first: int, end: int) -> None:
+    """Deletes what lies at the paths from ``first`` to before ``end``: for tables that nothing reads any more, since what came of them is written."""
+    for path in _made[first:end]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Short rows that one task may hold when a table of known size is written.
