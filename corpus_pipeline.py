@@ -26,7 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group; of rows with one doc_id, one. Null and empty texts are in no group; rows with a null
     doc_id stay."""
+    first = common.made()
     groups = common.saved(ngram_join.components(docs), "groups")
+    common.discard(spark, first, common.made() - 1)  # what the groups came of
     kept = common.semi_join_ids(docs, common.saved(groups.where("component_id < doc_id").select("doc_id").distinct(), "dropped"), "left_anti")
     repeated = common.saved(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
@@ -66,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. When a stage is written, its intermediate tables and the table it read are deleted."""
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.made()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
+            end = common.made()
             docs = common.saved(docs, "stage")
+            common.discard(spark, first, end)
+            first = end
     return docs
