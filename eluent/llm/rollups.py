@@ -2,7 +2,8 @@
 
 A rollup is a folder with one sub-folder for each committed batch, which holds that batch's signed sums by source, language and tokenizer version.
 Totals are sums over batches, so that inserts, deletes and revised counts cost only their own rows. A batch is committed when its
-sums are written in full; committing its id again changes nothing, and a batch that broke off is written anew.
+sums are written in full; committing its id again with the same changes changes nothing, with others it is an error, and a batch that broke off is
+written anew. ``compact`` adds the batches up in a snapshot; totals are then those of the latest one and of the batches after it.
 
 Changes are rows (op, source, lang, tokenizer, tokens, old_tokens): ``insert`` adds a document and its tokens, ``delete`` takes both away, ``revise``
 replaces ``old_tokens`` by ``tokens``. Null sources and languages are groups of their own; null counts are 0; other ops are an error. A batch
@@ -44,20 +45,46 @@ class Rollup:
         return fs.exists(where)
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Whether the batch was new."""
-        if self.committed(batch):
-            return False
-        signed(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
+        """Whether the batch was new. A known batch with other sums is refused."""
+        sums, path = signed(changes), f"{self.path}/batch={batch}"
+        if not self.committed(batch):
+            sums.write.mode("overwrite").parquet(path)
+            return True
+        before = self.spark.read.schema(SCHEMA).parquet(path)
+        differ = before.withColumn("n", F.lit(1)).unionByName(sums.withColumn("n", F.lit(-1))).groupBy(*KEYS, "docs", "tokens").agg(F.sum("n").alias("n")).where("n <> 0")
+        if not differ.isEmpty():
+            raise ValueError(f"batch {batch} was committed with other changes")
+        return False
+
+    def _done(self, kind: str) -> dict[int, str]:
+        """Numbers and paths of the finished batches or snapshots: one for each."""
+        fs, where = self._fs(f"{self.path}/{kind}=*/_SUCCESS")
+        paths = [str(f.getPath().getParent()) for f in fs.globStatus(where) or []]
+        return {int(p.rsplit("=", 1)[1]): p for p in paths}
+
+    def _rows(self) -> tuple[DataFrame, list[int]]:
+        """Rows that add up to the totals, and the batches in them."""
+        batches, snapshots = self._done("batch"), self._done("snapshot")
+        empty = self.spark.createDataFrame([], f"{SCHEMA}, batches array<long>")
+        held, rows = [], empty
+        if snapshots:
+            rows = self.spark.read.schema(empty.schema).parquet(snapshots[max(snapshots)])
+            held = [x for r in rows.where("batches is not null").select("batches").collect() for x in r[0]]  # one row
+        later = [p for b, p in batches.items() if b not in set(held)]
+        rows = rows.where("batches is null").drop("batches")
+        return (rows.unionByName(self.spark.read.schema(SCHEMA).parquet(*later)) if later else rows), sorted({*held, *batches})
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over the committed batches."""
-        fs, where = self._fs(f"{self.path}/batch=*/_SUCCESS")
-        done = [str(f.getPath().getParent()) for f in fs.globStatus(where) or []]  # one for each batch
-        if not done:
-            return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*done)
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        return self._rows()[0].groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+
+    def compact(self) -> None:
+        """Writes what is committed as a snapshot; the batches stay, so that they are known if they are delivered again."""
+        _, held = self._rows()
+        sums = self.totals().withColumn("batches", F.lit(None).cast("array<bigint>"))
+        mark = self.spark.createDataFrame([(held,)], "batches array<long>")
+        number = max(self._done("snapshot"), default=0) + 1
+        sums.unionByName(mark, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/snapshot={number}")
 
 
 def count(text: Column, pattern: str) -> Column:
