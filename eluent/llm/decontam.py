@@ -2,9 +2,10 @@
 
 An item of ``q`` distinct 5-word shingles lies in a document if at least 80 % of them occur there. So of any ``q - ceil(0.8 q) + 1`` of
 its shingles one at least occurs in such a document; the sketch of an item takes those with the smallest hashes, a MinHash
-sketch whose length depends on the item's size. Items are partitioned by that length, each partition with the largest hash that its sketches
-hold. Document shingles above the largest of these bounds are left out before any join. A document that shares a hash of a
-sketch is a candidate and is verified by exact containment of the shingles' words.
+sketch whose length depends on the item's size: the smaller an item, the higher lie the hashes of its sketch. So the sketches' hashes fall into two
+partitions, the ``TAIL`` highest, which are those of the smallest items, and all others with their largest hash as bound. Of a document's shingles those
+up to the bound are kept, and above it those that are in the list of the first, before any join; a few short items do not lift the
+bound for all. A document that shares a hash of a sketch is a candidate and is verified by exact containment of the shingles' words.
 
 Words are what stands between ASCII white space, with A-Z lower-cased. An item or document of fewer than five words is one shingle; without
 words it has none, and is neither found nor leaked into. Rows of equal id are one document or item with the shingles of all. Null
@@ -21,6 +22,8 @@ from . import common
 SHINGLE, PERCENT = 5, 80
 #: Characters of the items' shingles, and some for each, up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Sketch hashes that are looked up one by one.
+TAIL = 512
 
 
 def _words(df: DataFrame, key: str) -> DataFrame:
@@ -55,11 +58,12 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, n_shared, n_item: items of which at least ``percent`` of the shingles occur in the document."""
     keys = common.saved(sketches(items, percent), "sketches")
-    bounds = keys.groupBy("k").agg(F.max("h").alias("bound"))
-    bound = bounds.agg(F.max("bound")).first()[0]
+    highest = [r["h"] for r in keys.select("h").distinct().orderBy(F.desc("h")).limit(TAIL + 1).collect()]
+    bound, tail = (highest[-1], highest[:-1]) if len(highest) > TAIL else (None, highest)
     few = keys.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
     words = _words(docs, "doc_id")
-    small = words.select("doc_id", F.explode(F.filter(_hashes(), lambda h: h <= F.lit(bound if bound is not None else 0))).alias("h"))
+    may = lambda h: h.isin(tail) if bound is None else (h <= bound) | h.isin(tail)
+    small = words.select("doc_id", F.explode(F.filter(_hashes(), may)).alias("h"))
     pairs = common.saved(small.join(F.broadcast(keys) if few else keys, "h").select("doc_id", "item_id").distinct(), "candidates")
     ids = common.saved(pairs.select("doc_id").distinct(), "candidate-ids")
 
