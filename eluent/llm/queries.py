@@ -82,11 +82,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_language_id, op4_mixing, op5_chat, op6_secret_scan, op7_token_counts, op8_decontamination, op9_substring_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_language_id, op4_mixing, op5_chat, op6_secret_scan, op7_token_counts, op8_decontamination, op9_substring_dedup, op10_token_output, op11_source_divergence, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, ngram_join, rollups, substring
+    from . import decontam, divergence, lexical, ngram_join, rollups, substring
 
-    return {"op1_ngram_join": ngram_join.SQL, "op7_token_counts": rollups.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op7_token_counts": rollups.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substring.SQL, "op11_source_divergence": divergence.SQL, "op12_lexical_search": lexical.SQL}
