@@ -176,8 +176,7 @@ class Shard:
 def _search(items: bytes, weights: np.ndarray, n_docs: int, n_terms: int, top: int, steps: int | None = None):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = packed.unpack(items)
-        starts = packed.runs(x["item"])
-        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(x["item"])], strict=True))
+        cuts = packed.cuts(x["item"])
         floors = dict(zip(x["floor_item"].tolist(), zip(x["floor_score"].tolist(), x["floor_doc"].tolist(), strict=True), strict=True))
         for b in it:
             for data in b.column(0).to_pylist():

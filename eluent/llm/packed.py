@@ -43,6 +43,12 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
 
 
+def cuts(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    start = runs(sorted_keys).tolist()
+    return list(zip(start, [*start[1:], len(sorted_keys)][: len(start)], strict=True))
+
+
 def cutter(outside: list[tuple[int, int]]) -> bytes:
     """A table for ``bytes.translate``: bytes in the ranges become blanks, A-Z small letters; ``split`` then cuts the words."""
     table = bytearray(range(256))

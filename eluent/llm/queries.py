@@ -94,8 +94,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pitman_yor
+
+    return pitman_yor.scores(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_language_id, op4_mixing, op5_chat, op6_secret_scan, op7_token_counts, op8_decontamination, op9_substring_dedup, op10_token_output, op11_source_divergence, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_nearest, op3_language_id, op4_mixing, op5_chat, op6_secret_scan, op7_token_counts, op8_decontamination, op9_substring_dedup, op10_token_output, op11_source_divergence, op12_lexical_search, op13_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
