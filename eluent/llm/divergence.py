@@ -31,8 +31,8 @@ SECTION = 1 << 16
 FLUSH = 4_000_000
 
 
-def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n, docs of the rows so far."""
+def _counted(it: Iterator[pa.RecordBatch], most: int = FLUSH) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n, docs: what each ``most`` terms of documents add up to."""
     codes, groups, keys, counts, held = packed.Codes(), {}, [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -58,7 +58,7 @@ def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(own | groups.setdefault((lang, source), len(groups)) << 32)
             counts.append(n)
             held += len(own)
-            if held >= FLUSH:
+            if held >= most:
                 yield from flush()
                 codes, groups, keys, counts, held = packed.Codes(), {}, [], [], 0
     yield from flush()
@@ -106,11 +106,14 @@ def both_ways(a: dict, b: dict, total_a: int, total_b: int, terms: int, here: in
     return int(ab), int(ba)
 
 
-def _pair_task(left: pa.Table, right: pa.Table) -> pa.Table:
-    a, b = left.to_pylist()[0], right.to_pylist()[0]
-    here = min(SECTION, a["terms"] - a["section"] * SECTION)
-    ab, ba = both_ways(packed.unpack(a["counts"]), packed.unpack(b["counts"]), a["total"], b["total"], a["terms"], here)
-    return pa.table({"lang": [a["lang"]] * 2, "source": [a["one"], a["two"]], "item": [a["two"], a["one"]], "value": pa.array([ab, ba], pa.int64())})
+def _pair_task(size: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left.to_pylist()[0], right.to_pylist()[0]
+        here = min(size, a["terms"] - a["section"] * size)
+        ab, ba = both_ways(packed.unpack(a["counts"]), packed.unpack(b["counts"]), a["total"], b["total"], a["terms"], here)
+        return pa.table({"lang": [a["lang"]] * 2, "source": [a["one"], a["two"]], "item": [a["two"], a["one"]], "value": pa.array([ab, ba], pa.int64())})
+
+    return run
 
 
 def _packed_section(t: pa.Table) -> pa.Table:
@@ -133,7 +136,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return cells.where(F.col("in_docs") >= min_docs).select("lang", "term", "source", "n", "lang_n")
 
 
-def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS) -> DataFrame:
+def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS, section: int = SECTION) -> DataFrame:
     """lang, source, part, item, value, rank: for each source of each language the other sources (part ``pair``) and its ``top`` outstanding terms (part
     ``term``), the furthest first."""
     kept = common.saved(kept_terms(docs, min_docs), "kept-terms")
@@ -145,9 +148,9 @@ def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS) -> DataFram
 
     place = F.col("id") - F.col("first")
     cells = kept.join(ids, ["lang", "term"]).join(groups.select("lang", "source", "first"), ["lang", "source"])
-    cells = cells.select("lang", "source", F.floor(place / SECTION).cast("int").alias("section"), (place % SECTION).cast("int").alias("id"), "n")
+    cells = cells.select("lang", "source", F.floor(place / section).cast("int").alias("section"), (place % section).cast("int").alias("id"), "n")
     sections = cells.groupBy("lang", "source", "section").applyInArrow(_packed_section, "lang string, source string, section int, counts binary")
-    whole = groups.where("terms > 0").select("lang", "source", "total", "terms", F.explode(F.expr(f"sequence(0, int((terms - 1) div {SECTION}))")).alias("section"))
+    whole = groups.where("terms > 0").select("lang", "source", "total", "terms", F.explode(F.expr(f"sequence(0, int((terms - 1) div {section}))")).alias("section"))
     empty = packed.pack(id=np.zeros(0, np.int32), n=np.zeros(0, np.int64))
     sections = common.saved(whole.join(sections, ["lang", "source", "section"], "left").withColumn("counts", F.coalesce("counts", F.lit(empty))), "sections")
     names = groups.select("lang", "source")
@@ -155,7 +158,7 @@ def audit(docs: DataFrame, top: int = TOP, min_docs: int = MIN_DOCS) -> DataFram
     key = ["lang", "one", "two", "section"]
     left = sections.join(pairs.withColumn("source", F.col("one")), ["lang", "source"]).select(*key, "total", "terms", "counts")
     right = sections.join(pairs.withColumn("source", F.col("two")), ["lang", "source"]).select(*key, "total", "terms", "counts").toDF(*key, "total", "terms", "counts")
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_pair_task, "lang string, source string, item string, value long")
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_pair_task(section), "lang string, source string, item string, value long")
     nothing = pairs.select("lang", F.explode(F.expr("array(struct(one as source, two as item), struct(two as source, one as item))")).alias("x")).select("lang", "x.*", F.lit(0).cast("long").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pair = met.union(nothing).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(order))

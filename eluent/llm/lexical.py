@@ -47,7 +47,7 @@ def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["item_id", "term", "n"])
 
 
-def _shards(codes: dict[bytes, int]):
+def _shards(codes: dict[bytes, int], size: int):
     """For each shard: documents and terms in all, the items' terms in it with their documents, and its postings. ``codes`` count from 1."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def _shards(codes: dict[bytes, int]):
                     lengths.append(len(words))
                     terms.append(own)
                     times.append(tf)
-                if total >= SHARD:
+                if total >= size:
                     yield from flush()
                     ids, lengths, terms, times, total, docs = [], [], [], [], 0, 0
         if docs:
@@ -188,11 +188,11 @@ def _search(items: bytes, weights: np.ndarray, n_docs: int, n_terms: int, top: i
     return run
 
 
-def _slice(docs: DataFrame, asked: DataFrame, top: int) -> DataFrame | None:
+def _slice(docs: DataFrame, asked: DataFrame, top: int, shard: int, probe: int) -> DataFrame | None:
     """item_id, doc_id, score: the best of each shard for the items of one slice, a table of bounded size."""
     rows = asked.orderBy("item_id", "term").collect()  # about SLICE rows
     codes = {t: i + 1 for i, t in enumerate(sorted({r["term"].encode() for r in rows}))}
-    shards = common.saved(docs.mapInArrow(_shards(codes), "docs long, total long, terms array<int>, dfs array<long>, data binary"), "shards")
+    shards = common.saved(docs.mapInArrow(_shards(codes, shard), "docs long, total long, terms array<int>, dfs array<long>, data binary"), "shards")
     n, n_docs, n_terms = shards.agg(F.count("*"), F.sum("docs"), F.sum("total")).first()
     if not n:
         return None
@@ -206,7 +206,7 @@ def _slice(docs: DataFrame, asked: DataFrame, top: int) -> DataFrame | None:
         items = packed.pack(**{k: np.array(v, np.int64) for k, v in known.items()})
         return shards.select("data").repartition(n).mapInArrow(_search(items, weights, n_docs, n_terms, top, steps), "item_id long, doc_id long, score long")
 
-    probed = common.saved(ranked(run([], PROBE), top).where(F.col("rank") == top), "floors")
+    probed = common.saved(ranked(run([], probe), top).where(F.col("rank") == top), "floors")
     return run(probed.collect(), None)  # a row for each item of the slice at most
 
 
@@ -215,14 +215,14 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, top: int = TOP, shard: int = SHARD, slice_rows: int = SLICE, probe: int = PROBE) -> DataFrame:
     """item_id, rank, doc_id, score: the ``top`` documents for each item."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     asked = common.saved(items.mapInArrow(_terms, "item_id long, term string, n long").groupBy("item_id", "term").agg(F.sum("n").alias("n")), "asked")
-    slices = -(-asked.count() // SLICE)
-    found = [_slice(docs, asked.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i), top) for i in range(slices)]
+    slices = -(-asked.count() // slice_rows)
+    found = [_slice(docs, asked.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i), top, shard, probe) for i in range(slices)]
     out = spark.createDataFrame([], "item_id long, doc_id long, score long")
     for part in found:
         out = out if part is None else out.union(part)

@@ -114,7 +114,7 @@ def reseat(owner: np.ndarray, size: np.ndarray, c: np.ndarray, a: np.ndarray, d:
 # ---- blocks of documents --------------------------------------------------------------------------------------------
 
 
-def _listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(it: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """kind, hash, n: 0 words of some share of a block by hash, 1 tokens, 2 training tokens, 3 training documents."""
     counts, tokens, train, docs = Counter(), 0, 0, 0
 
@@ -130,7 +130,7 @@ def _listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens += len(words) + 1
             train += 0 if out else len(words) + 1
             docs += not out
-            if tokens >= BLOCK:
+            if tokens >= size:
                 yield from flush()
                 counts, tokens, train, docs = Counter(), 0, 0, 0
     if tokens:
@@ -183,7 +183,7 @@ class Block:
         self.u, self.w = keys[pair >> bits], keys[pair & (1 << bits) - 1]
 
 
-def _blocks(it: Iterator[pa.RecordBatch], coding: Coding) -> Iterator[tuple[Block, list, np.ndarray]]:
+def _blocks(it: Iterator[pa.RecordBatch], coding: Coding, size: int) -> Iterator[tuple[Block, list, np.ndarray]]:
     """Blocks with the ids of their documents, and which are held out."""
     codes, parts, ids, held, tokens = packed.Codes({b"": 0}), [], [], [], 0
     for b in it:
@@ -193,7 +193,7 @@ def _blocks(it: Iterator[pa.RecordBatch], coding: Coding) -> Iterator[tuple[Bloc
             ids.append(doc_id)
             held.append(out)
             tokens += len(words) + 1
-            if tokens >= BLOCK:
+            if tokens >= size:
                 yield Block(codes, parts, coding), ids, np.array(held, bool)
                 codes, parts, ids, held, tokens = packed.Codes({b"": 0}), [], [], [], 0
     if parts:
@@ -214,12 +214,12 @@ def _decoded(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return u, w
 
 
-def _pairs(coding: Coding, scored: bool):
+def _pairs(coding: Coding, scored: bool, size: int):
     """Each block's pairs for each bucket, with training counts; if ``scored``, with the documents of their occurrences, and a message of the documents."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        for block, ids, held in _blocks(it, coding):
+        for block, ids, held in _blocks(it, coding, size):
             number += 1
             times = np.diff(block.start, append=len(block.doc))
             train = np.add.reduceat((~held[block.doc]).astype(np.int64), block.start)
@@ -489,7 +489,7 @@ def discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
 
 
-def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
+def scores(docs: DataFrame, held: Column | None = None, bucket: int = BUCKET, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``; rows that are not ``held`` train the model."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out() if held is None else held, F.lit(True)).alias("held"))
@@ -498,13 +498,13 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     if not all_tokens:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     listed = counts.where((F.col("kind") == 0) & (F.col("n") * LISTED >= all_tokens)).orderBy(F.desc("n"), "hash").collect()  # LISTED rows at most
-    coding = Coding(np.array([r["hash"] for r in listed], np.int64).view(np.uint64), sum(r["n"] * HOT >= all_tokens for r in listed), max(1, -(-all_tokens // BUCKET)))
+    coding = Coding(np.array([r["hash"] for r in listed], np.int64).view(np.uint64), sum(r["n"] * hot >= all_tokens for r in listed), max(1, -(-all_tokens // bucket)))
 
     by = lambda df, f: df.groupBy("to").applyInArrow(f, MESSAGE)
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
-    first = common.saved(by(docs.mapInArrow(_pairs(coding, False), MESSAGE), _first(coding)), "first")
-    sums, hot = _added(first, "state"), len(coding.hot)
-    hot_customers, hot_tables = sums[3 : 3 + hot], sums[3 + hot :]
+    first = common.saved(by(docs.mapInArrow(_pairs(coding, False, block), MESSAGE), _first(coding)), "first")
+    sums, n_hot = _added(first, "state"), len(coding.hot)
+    hot_customers, hot_tables = sums[3 : 3 + n_hot], sums[3 + n_hot :]
     n_words = int(sums[2] + (hot_customers > 0).sum())
     d = discount(*sums[:2])
     words = common.saved(by(of(first, "asks"), _words), "words")
@@ -524,7 +524,7 @@ def scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
         if turn:
             common.discard(spark, made - 2, made)  # the round before
     asked = by(of(first, "asks").union(of(words, "words")), _answers([s.turn for s in samples]))
-    met = docs.mapInArrow(_pairs(coding, True), MESSAGE).union(asked).union(of(state, "state"))
+    met = docs.mapInArrow(_pairs(coding, True, block), MESSAGE).union(asked).union(of(state, "state"))
     all_words = train_tokens + 0.1 * (n_words + 1)
     of_count = lambda c: np.log10((c + 0.1) / all_words)
     sums = by(met, _scores(d, samples, hot_customers, of_count))
