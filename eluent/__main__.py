@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import matrix
-from .plans import pipelines
+from .plans import discovery, pipelines
 from .sources import mzml, samples, sinks, tables
 from .sources.stages import Stages
 
@@ -18,30 +18,38 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     ways = top.add_subparsers(dest="workflow", required=True)
     targeted, untargeted = ways.add_parser("targeted"), ways.add_parser("untargeted")
     for p in (targeted, untargeted):
-        p.add_argument("--indir", required=True, help="folder with mzML, and all_ions.tsv or peak_list.csv")
+        p.add_argument("--indir", required=True, help="folder with mzML, and all_ions.tsv or peak_list.csv (untargeted: or neither)")
         p.add_argument("--outdir", required=True)
     targeted.add_argument("--type", default="rp", help="chromatography; the cut by theoretical time is for rp alone")
     untargeted.add_argument("--ppm", type=float, default=10.0)
     untargeted.add_argument("--polarity", choices=["positive", "negative"], default="positive")
+    for flag, value in (("minWidth", discovery.LEAST_WIDTH), ("maxWidth", discovery.MOST_WIDTH), ("s2n", discovery.SNR), ("noise", discovery.NOISE), ("mzDiff", discovery.MZ_DIFF)):
+        untargeted.add_argument(f"--{flag}", type=float, default=value, help="for the discovery of features, without peak_list.csv")
+    untargeted.add_argument("--prefilter", type=int, default=discovery.PREFILTER)
     return top.parse_args(argv)
 
 
 def targeted(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Ions: all_ions.tsv with mw ID, RT (min) and ion_mode."""
+    """Ions: all_ions.tsv with mw ID, RT (min) and ion_mode. The samples of each polarity are a run of their own."""
     listed = tables.read(spark, f"{args.indir}/all_ions.tsv")
     ions = listed.select(F.col("mw ID").alias("ion_id"), F.col("RT (min)").cast("double").alias("rt_theory"), F.col("ion_mode"))
     traces = mzml.chromatograms(spark, args.indir).where("kind = 'SRM'").select("sample_id", "ion_id", "points")
     signals = samples.of_mode(samples.known_ions(traces, ions, f"{args.outdir}/error"), ions)
-    cells, peaks = pipelines.run(signals, ions.select("ion_id", "rt_theory"), "targeted", stages=Stages(spark, f"{args.outdir}/stages"), chromatography=args.type)
-    _write(spark, samples.both_polarities(*samples.split_polarity(cells)), peaks, args.outdir)
+    cells, peaks = pipelines.run_polarities(signals, ions.select("ion_id", "rt_theory"), Stages(spark, f"{args.outdir}/stages"), chromatography=args.type)
+    _write(spark, cells, peaks, args.outdir)
 
 
 def untargeted(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Features: peak_list.csv with Compound Name, mz and RT in minutes."""
-    listed = tables.read(spark, f"{args.indir}/peak_list.csv")
-    features = listed.select(F.col("Compound Name").alias("ion_id"), F.col("mz").cast("double").alias("mz"), F.col("RT").cast("double").alias("rt"))
+    """Features: peak_list.csv with Compound Name, mz and RT in minutes; where there is none, features are discovered."""
     stages = Stages(spark, f"{args.outdir}/stages")
     spectra = stages.keep("spectra", mzml.spectra(spark, args.indir))
+    if stages.exists(f"{args.indir}/peak_list.csv"):
+        listed = tables.read(spark, f"{args.indir}/peak_list.csv")
+    else:
+        options = {"least_width": args.minWidth, "most_width": args.maxWidth, "snr": args.s2n, "noise": args.noise, "mz_diff": args.mzDiff, "prefilter": args.prefilter}
+        found, _ = discovery.discover(spectra, stages.below("discovery"), ppm=args.ppm, **options)
+        listed = discovery.peak_list(found)
+    features = listed.select(F.col("Compound Name").alias("ion_id"), F.col("mz").cast("double").alias("mz"), F.col("RT").cast("double").alias("rt"))
     bad = stages.keep("rejected", mzml.rejected(spectra, features))
     signals = mzml.ion_traces(spectra.join(bad.select("sample_id"), "sample_id", "left_anti"), features, args.ppm)
     cells, peaks = pipelines.run(signals, features.select("ion_id", F.col("rt").alias("rt_theory")), stages=stages)

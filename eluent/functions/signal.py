@@ -211,8 +211,12 @@ def _mean(values: Column) -> Column:
 
 def _deviation(values: Column) -> Column:
     """Of the population; null for no values."""
-    m = _mean(values)
-    return F.sqrt(_mean(F.transform(values, lambda x: (x - m) * (x - m))))
+    return let(values, lambda v: let(_mean(v), lambda m: F.sqrt(_mean(F.transform(v, lambda x: (x - m) * (x - m))))))
+
+
+def _trimmed_deviation(values: Column) -> Column:
+    """The deviation of the values within two deviations of 0, or of all where none are."""
+    return let(values, lambda v: let(_deviation(v), lambda s: F.coalesce(_deviation(F.filter(v, lambda x: F.abs(x) <= 2 * s)), s)))
 
 
 def with_snr(rows: DataFrame, points: str = "points", lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -226,8 +230,7 @@ def with_snr(rows: DataFrame, points: str = "points", lo: str = "lo", hi: str =
     out = out.withColumns({"_m": smoothed(c("_y")), "_p": F.slice("_y", (c(lo) + 1).cast("int"), (c(hi) - c(lo) + 1).cast("int")), "_left": F.slice("_y", F.lit(1), c(lo).cast("int")), "_right": F.slice("_y", (c(hi) + 1).cast("int"), (c("_n") - c(hi)).cast("int"))})
     q = F.zip_with("_y", "_m", lambda y, m: F.when(y == 0, F.lit(0.0)).otherwise((y - m) / F.nullif(F.sqrt(F.abs(y)), F.lit(0.0))))
     out = out.withColumns({"_q": q, "_out": F.concat("_left", "_right"), "_top": F.array_max("_p"), "_low": F.array_min("_p")})
-    out = out.withColumn("_sd", _deviation(c("_q")))
-    out = out.withColumn("_sd", F.coalesce(_deviation(F.filter("_q", lambda x: F.abs(x) <= 2 * c("_sd"))), c("_sd")))
+    out = out.withColumn("_sd", _trimmed_deviation(c("_q")))
     out = out.withColumn("_base", F.greatest(order_statistic(c("_m"), 0.3), F.lit(1.0)))
     noise = c("_sd") * F.sqrt("_base")
     k = F.floor(c("_n") * 0.1).cast("int")

@@ -37,3 +37,19 @@ def away_from(rows: DataFrame, targets: DataFrame, key: str, value: str, target:
     tagged = rows.withColumn("_bucket", F.floor(F.col(value) / distance))
     hit = tagged.join(near, (tagged["_bucket"] == near["_bucket"]) & (F.abs(tagged[value] - near[target]) < distance), "left_anti")
     return hit.drop("_bucket")
+
+
+def in_rectangles(points: DataFrame, boxes: DataFrame, x: str = "mz", y: str = "rt", by: list[str] | None = None) -> DataFrame:
+    """Points (positive ``x``, ``y``) with the columns of each box (``x_low``, ``x_high``, ``y_low``, ``y_high``, inclusive) that holds them, and with equal values in ``by``.
+
+    Both meet on cells of a grid over the logarithm of ``x`` and ``y``, as wide as the boxes are on average, so that a box covers a few cells and a point lies in one.
+    """
+    low, high, first, last = f"{x}_low", f"{x}_high", f"{y}_low", f"{y}_high"
+    whole = boxes.where((F.col(low) <= F.col(high)) & (F.col(first) <= F.col(last)) & (F.col(high) > 0))
+    wide, tall = whole.agg(F.avg(F.log(high) - F.log(F.greatest(low, F.lit(1e-12)))), F.avg(F.col(last) - F.col(first))).first()
+    wide, tall = max(wide or 0.0, 1e-6), max(tall or 0.0, 1e-3)
+    column, row = (lambda c: F.floor(F.log(c) / wide)), (lambda c: F.floor(F.col(c) / tall))
+    spread = whole.withColumn("_x", F.explode(F.sequence(F.floor(F.log(F.greatest(low, F.lit(1e-12))) / wide), column(high)))).withColumn("_y", F.explode(F.sequence(row(first), row(last))))
+    placed = points.where(F.col(x) > 0).withColumns({"_x": column(x), "_y": row(y)})
+    met = placed.join(spread, ["_x", "_y", *(by or [])])
+    return met.where((F.col(x) >= F.col(low)) & (F.col(x) <= F.col(high)) & (F.col(y) >= F.col(first)) & (F.col(y) <= F.col(last))).drop("_x", "_y")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def widen(cells: DataFrame, samples: list, prefix: str = "s", keys: tuple[str, ...] = ("ion_id",), value: str = "area") -> DataFrame:
-    """A column for each of ``samples``."""
-    wide = cells.groupBy(*keys).pivot("sample_id", samples).agg(F.first(value))
+    """A column for each of ``samples``; of several rows of a cell one alone may have a value, else it is an error."""
+    one = F.when(F.count(value) > 1, F.raise_error(F.concat(F.lit("several values in a cell of "), F.to_json(F.struct(*keys, "sample_id"))))).otherwise(F.max(value))
+    one = cells.groupBy(*keys, "sample_id").agg(one.alias("_value"))
+    wide = one.groupBy(*keys).pivot("sample_id", samples).agg(F.max("_value"))
     return wide.select(*keys, *(F.col(f"`{s}`").alias(f"{prefix}{s}") for s in samples))
 
 

@@ -1,7 +1,7 @@
 """Refinding missing peaks and correcting inconsistent ones.
 
-The window is the apex of the whole signal and five points to either side; its area is the plain sum of intensities. Signal-to-noise of such
-peaks is 10 by definition.
+The window is the apex of the whole signal and five points to either side; its area is the plain sum of intensities. All signal-to-noise values of such
+peaks are 10 by definition.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ def refound(signals: DataFrame, least: float = LEAST_UNTARGETED, peak_class: Col
         "sample_id", "ion_id", F.get("points", (F.col("apex") - 1).cast("int"))["rt"].alias("rt"), F.col("win")[0]["rt"].alias("rtmin"), F.element_at("win", -1)["rt"].alias("rtmax"),
         F.aggregate(w, F.lit(0.0), lambda a, b: a + b).alias("area"), (F.array_max(w) - F.array_min(w)).alias("height"), "baseline", F.size("win").cast("long").alias("points"),
         F.lit(SN).alias("sn"), (F.lit("D") if peak_class is None else peak_class).alias("class"),
+        *(F.lit(SN).alias(c) for c in ("sn_2", "sn_3", "sn_5")), (F.element_at("win", -1)["rt"] - F.col("win")[0]["rt"]).alias("width"),
+        F.col("points")[0]["rt"].alias("min_rt"), F.element_at("points", -1)["rt"].alias("max_rt"), signal.lr_diff(F.col("win"), False).alias("lr_diff"),
     )
 
 

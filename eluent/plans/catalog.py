@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels, names, signal
-from ..operators import cluster, evaluate, joins, matrix, ranks, refine, sampling
-from ..sources import mzml
+from ..functions import kernels, names, signal, wavelets
+from ..operators import alignment, cluster, evaluate, groups, joins, matrix, ranks, refine, sampling, traces
+from ..sources import mzml, samples
 from . import bindings as b
+from . import detect
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -327,6 +328,17 @@ def mix_row_filter(spark, d):
     return matrix.mix_rows(c.select("ion_id", "sample_id", "area")).groupBy("ion_id").agg(F.count("area").alias("filled"))
 
 
+@query(f"""WITH {b.cells_sql()}, n AS (SELECT feature_id, count(*) FILTER (area IS NOT NULL AND sample_id >= 4) AS present FROM cells GROUP BY ALL)
+SELECT feature_id AS ion_id, {", ".join(f"max(area) FILTER (sample_id = {s}) AS s{s}" for s in b.SAMPLES)} FROM cells JOIN n USING (feature_id) WHERE present * 2 >= 4 GROUP BY ALL""")
+def two_polarity_matrix(spark, d):
+    """Parts of even number are ions of positive mode; samples of each mode have their own matrix, mix rule and names, and meet in one matrix."""
+    c = b.cells(spark, d).withColumn("mode", F.when(F.col("ion_id") % 2 == 0, "P").otherwise("N"))
+    c = c.select("ion_id", "area", F.concat(F.when(F.col("sample_id") >= 4, "mix").otherwise("s"), "sample_id", F.lit("_"), "mode").alias("sample_id"))
+    parts = {name: matrix.mix_rows(part) for name, part in samples.by_polarity(c).items()}
+    both = samples.both_polarities(parts["pos"], parts["neg"]).withColumn("sample_id", F.regexp_replace("sample_id", "^(mix|s)", ""))
+    return matrix.widen(both, [str(s) for s in b.SAMPLES])
+
+
 @query(f"""WITH {b.cells_sql()} SELECT feature_id AS ion_id, count(area) AS filled FROM cells GROUP BY ALL HAVING count(*) - count(area) <= 4""")
 def missing_row_filter(spark, d):
     return matrix.enough_present(b.cells(spark, d).select("ion_id", "sample_id", "area"), "ion_id", F.col("n") / 2).groupBy("ion_id").agg(F.count("area").alias("filled"))
@@ -747,22 +759,107 @@ def natural_sort_ids(spark, d):
     return ranks.with_rank(s, [F.col("key"), F.col("s_suppkey")], "position").select("s_suppkey", "position")
 
 
-# ---- whole chains -------------------------------------------------------------------------------------------------
+# ---- discovery ----------------------------------------------------------------------------------------------------
+
+
+def _islands_sql(name: str, of: str, keys: str, order: str, far: str) -> str:
+    by = f"PARTITION BY {keys} ORDER BY {order}"
+    return f"{name} AS (SELECT * EXCLUDE (cut), coalesce(sum(cut) OVER ({by} RANGE UNBOUNDED PRECEDING), 0) AS {name} FROM (SELECT *, ({order} - lag({order}) OVER ({by}) > {far.replace('BEFORE', f'lag({order}) OVER ({by})')})::INT AS cut FROM {of}))"
+
+
+@query(f"""WITH c AS (SELECT l_suppkey AS sample_id, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS scan, l_extendedprice AS mz, l_quantity AS intensity FROM lineitem),
+{_islands_sql("m0", "c", "sample_id", "mz", "BEFORE * 0.005")}, {_islands_sql("r0", "m0", "sample_id, m0", "scan", "60")},
+{_islands_sql("m1", "r0", "sample_id, m0, r0", "mz", "BEFORE * 0.005")}, {_islands_sql("r1", "m1", "sample_id, m0, r0, m1", "scan", "60")}
+SELECT sample_id, round(sum(mz * intensity) / sum(intensity), 4) AS mz, min(mz) AS mz_min, max(mz) AS mz_max, min(scan)::BIGINT AS scan_min, max(scan)::BIGINT AS scan_max, count(*) AS n, count(DISTINCT scan) AS scans, sum(intensity) AS intensity
+FROM r1 GROUP BY sample_id, m0, r0, m1, r1 HAVING count(DISTINCT scan) >= 2 AND count(*) FILTER (intensity >= 20) >= 2""")
+def mass_traces(spark, d):
+    """Suppliers as samples, days of shipping as scans, prices as masses."""
+    c = b.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sample_id"), F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("scan"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
+    t = traces.mass_traces(c.withColumn("rt", F.col("scan") / 60), 5000.0, gap=60, least=2, strong=20.0)
+    return t.select("sample_id", _r("mz"), "mz_min", "mz_max", "scan_min", "scan_max", "n", "scans", "intensity")
 
 
 @query()
+def wavelet_peaks(spark, d):
+    p = b.signals(spark, d).select("sample_id", "ion_id", F.explode(wavelets.peaks(signal.intensities(F.col("points")))).alias("p"))
+    return p.select("sample_id", "ion_id", "p.lo", "p.hi", "p.apex", "p.scale", F.round("p.snr", 4).alias("snr"))
+
+
+@query(f"""WITH {b.PEAKS_SQL}, named AS (SELECT *, l_orderkey || '-' || l_linenumber AS peak_id, floor(rt / 10.0)::BIGINT AS cell, CASE WHEN sample_id < 4 THEN 'A' ELSE 'B' END AS grp FROM peaks),
+w AS (SELECT unnest(range(-{groups.REACH}, {groups.REACH + 1})) AS k, unnest({groups.WEIGHTS}) AS w),
+density AS (SELECT ion_id, cell + k AS cell, sum(w)::BIGINT AS density FROM named, w GROUP BY ALL),
+steps AS (SELECT *, sign(density - lag(density) OVER o) AS step, cell - lag(cell) OVER o > 1 AS gap FROM density WINDOW o AS (PARTITION BY ion_id ORDER BY cell)),
+was AS (SELECT *, last_value(nullif(step, 0) IGNORE NULLS) OVER (PARTITION BY ion_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM steps),
+regions AS (SELECT ion_id, cell, coalesce(sum((gap OR (step > 0 AND coalesce(was, 0) < 0))::INT) OVER (PARTITION BY ion_id ORDER BY cell), 0) AS region FROM was),
+placed AS (SELECT n.*, r.region, count(*) OVER (PARTITION BY n.ion_id) AS alone FROM named n JOIN regions r USING (ion_id, cell)),
+enough AS (SELECT DISTINCT ion_id, region FROM placed GROUP BY ion_id, region, grp HAVING count(DISTINCT sample_id) >= 2),
+marked AS (SELECT p.*, e.region IS NOT NULL AND alone > 1 AS grouped FROM placed p LEFT JOIN enough e USING (ion_id, region)),
+features AS (SELECT ion_id, region, grouped, CASE WHEN NOT grouped THEN peak_id END AS own, count(*) AS npeaks, count(DISTINCT sample_id) AS n_detected, median(rt) AS rtmed, any_value(alone) AS alone FROM marked GROUP BY ALL)
+SELECT ion_id, ion_id || '__G' || lpad(row_number() OVER (PARTITION BY ion_id ORDER BY grouped DESC, rtmed, region, own)::VARCHAR, 3, '0') AS feature_id,
+  CASE WHEN grouped THEN 'density_group' WHEN alone = 1 THEN 'manual_singleton' ELSE 'unassigned_singleton' END AS group_source, npeaks, n_detected, round(rtmed, 4) AS rtmed FROM features""")
+def density_groups(spark, d):
+    p = b.peaks(spark, d).withColumn("peak_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    s = spark.createDataFrame([(s, "A" if s < 4 else "B") for s in b.SAMPLES], "sample_id long, grp string")
+    g = groups.density_groups(p.select("peak_id", "ion_id", "sample_id", "rt"), 40.0, s)
+    return groups.features(g.withColumn("mz", F.lit(0.0)), len(b.SAMPLES)).select("ion_id", "feature_id", "group_source", "npeaks", "n_detected", _r("rtmed"))
+
+
+@query()
+def warped_runs(spark, d):
+    """Eight runs by supplier, parts as masses, aligned to the first."""
+    p = b.peaks(spark, d).select("sample_id", (F.col("rt") / 20).alias("rt"), F.col("ion_id").cast("double").alias("mz"), F.col("width").alias("intensity"))
+    return alignment.warps(p, 0, 0.5).select("sample_id", "cell", _r("shift"))
+
+
+@query("""WITH boxes AS (SELECT s_suppkey AS box, 1000.0 + (s_suppkey * 37 % 900) * 100 AS lo, 8100 + s_suppkey * 53 % 2200 AS first FROM supplier),
+points AS (SELECT l_extendedprice AS mz, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS rt, l_quantity AS intensity FROM lineitem)
+SELECT box, count(*) AS n, sum(intensity) AS intensity FROM boxes JOIN points ON mz BETWEEN lo AND lo * 1.02 AND rt BETWEEN first AND first + 100 GROUP BY box""")
+def rectangle_sums(spark, d):
+    """Prices and days of shipping as masses and times, a rectangle for each supplier."""
+    key = F.col("s_suppkey")
+    low, first = 1000.0 + (key * 37 % 900) * 100, (8100 + key * 53 % 2200).cast("double")
+    boxes = b.table(spark, d, "supplier").select(key.alias("box"), low.alias("mz_low"), (low * 1.02).alias("mz_high"), first.alias("rt_low"), (first + 100).alias("rt_high"))
+    points = b.peaks(spark, d).select(F.col("area").alias("mz"), "rt", F.col("width").alias("intensity"))
+    return joins.in_rectangles(points, boxes).groupBy("box").agg(F.count("*").alias("n"), F.sum("intensity").alias("intensity"))
+
+
+# ---- whole chains -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE * 1000 + 500) AS y, len(embedding) AS n FROM embeddings),
+a AS (SELECT *, list_position(y, list_max(y)) - 1 AS k FROM e), c AS (SELECT *, greatest(k - 3, 0) AS lo, least(k + 3, n - 1) AS hi,
+  list_transform(range(n), lambda i: CASE WHEN i = 0 THEN 31 * y[1] + 9 * y[2] - 3 * y[3] - 5 * y[4] + 3 * y[5] WHEN i = 1 THEN 9 * y[1] + 13 * y[2] + 12 * y[3] + 6 * y[4] - 5 * y[5]
+    WHEN i = n - 1 THEN 31 * y[n] + 9 * y[n - 1] - 3 * y[n - 2] - 5 * y[n - 3] + 3 * y[n - 4] WHEN i = n - 2 THEN 9 * y[n] + 13 * y[n - 1] + 12 * y[n - 2] + 6 * y[n - 3] - 5 * y[n - 4]
+    ELSE -3 * y[i - 1] + 12 * y[i] + 17 * y[i + 1] + 12 * y[i + 2] - 3 * y[i + 3] END / 35) AS m FROM a),
+q AS (SELECT *, list_transform(range(n), lambda i: CASE WHEN y[i + 1] = 0 THEN 0 ELSE (y[i + 1] - m[i + 1]) / sqrt(abs(y[i + 1])) END) AS q, list_max(y[lo + 1:hi + 1]) AS top, list_min(y[lo + 1:hi + 1]) AS low, list_concat(y[1:lo], y[hi + 1:n]) AS rest,
+  greatest(list_sort(m)[floor(n * 0.3)::INT + 1], 1) AS base, y[greatest(lo - 5, 0) + 1:lo] AS before, y[hi + 1:hi + 5] AS after FROM c),
+s AS (SELECT *, list_aggregate(q, 'stddev_pop') AS sd FROM q),
+t AS (SELECT *, list_aggregate(list_filter(q, lambda x: abs(x) <= 2 * sd), 'stddev_pop') AS noise, list_aggregate(rest[floor(n * 0.1)::INT + 1:len(rest) - floor(n * 0.1)::INT], 'stddev_pop') AS sd2,
+  CASE WHEN lo > 3 THEN list_max(y[1:lo]) ELSE low END AS add1, CASE WHEN hi < n - 3 THEN list_max(y[hi + 1:n]) ELSE low END AS add2 FROM s)
+SELECT vec_id, round((top - low) / (noise * sqrt(base)), 4) AS sn, round(base, 4) AS baseline, round((top - list_avg(rest)) / sd2, 4) AS sn_2, round(top / coalesce(list_max(list_concat(before, after)) + 1, 1), 4) AS sn_3, round(top / coalesce(list_max(before) + 1, 1), 4) AS sn_31,
+  round(top / coalesce(list_max(after) + 1, 1), 4) AS sn_32, round(top / (CASE WHEN lo = 0 THEN add2 WHEN hi = n - 1 THEN add1 ELSE least(add1, add2) END + 1), 4) AS sn_4, round(top / list_max(rest), 4) AS sn_5 FROM t""")
 def snr_family(spark, d):
+    """Vectors of 64 components as signals."""
     e = b.table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda y, i: F.struct(i.cast("double").alias("rt"), (y * 1000 + 500).alias("intensity"))).alias("points"))
     k = signal.apex_index(F.col("points")).cast("int") - 1
     rows = signal.with_snr(e.withColumns({"lo": F.greatest(k - 3, F.lit(0)), "hi": F.least(k + 3, F.size("points") - 1)}))
-    return rows.select("vec_id", "snr.*")
+    return rows.select("vec_id", *(F.round(f"snr.{c}", 4).alias(c) for c in ("sn", "baseline", "sn_2", "sn_3", "sn_31", "sn_32", "sn_4", "sn_5")))
 
 
-@query()
-def untargeted_matrix(spark, d):
+def _matrix(spark, d, detector):
     from . import pipelines
 
     s = b.signals(spark, d)
     ions = b.points(spark, d).groupBy("ion_id").agg(F.median("rt").alias("rt_theory"))
-    cells, _ = pipelines.run(s, ions, most_error=1e9)  # event times have no theory to hold them to
+    cells, _ = pipelines.run(s, ions, detector=detector, most_error=1e9)  # event times have no theory to hold them to
     return cells.select("ion_id", "sample_id", _r("area", 3))
+
+
+@query()
+def untargeted_matrix(spark, d):
+    return _matrix(spark, d, detect.local_maxima)
+
+
+@query()
+def untargeted_matrix_wavelet(spark, d):
+    return _matrix(spark, d, detect.wavelet)

@@ -10,7 +10,7 @@ from ..operators import cluster
 from . import tables
 
 # The columns of each table, and those of the result table that a picked peak has no value for.
-REQUIRED = {"features": ["feature_id", "mzmed", "rtmed", "rtmin", "rtmax"], "peaks": ["peak_index", "mz", "rt", "rtmin", "rtmax", "into"], "assignments": ["feature_id", "peak_index", "sampleID"]}
+REQUIRED = {"features": ["feature_id", "mzmed", "rtmed", "rtmin", "rtmax"], "peaks": ["peak_index", "sampleID", "mz", "rt", "rtmin", "rtmax", "into"], "assignments": ["feature_id", "peak_index"]}
 FILLED = {"sn_2": 0.0, "sn_3": 0.0, "sn_5": 0.0, "points": 0, "signal_points": 0, "class": "A", "conf": 1.0, "lr_diff": 0.0}
 NEEDED = ["sampleID", "mw ID", "mz", "rt", "rtmin", "rtmax", "area", "int"]
 
@@ -57,8 +57,9 @@ def _of(df: DataFrame, column: str, default: float | None = 0.0) -> Column:
 def result_table(features: DataFrame, peaks: DataFrame, assignments: DataFrame) -> DataFrame:
     """A row for each feature and sample: assignments with their peaks (inner) and features (left), times in minutes, the height or where it is missing the
     area as intensity; infinite values are null, rows that lack needed values or have reversed bounds are left out, and of several peaks of one
-    cell the one of the largest area, then signal-to-noise stays."""
-    named = peaks.drop(*[c for c in peaks.columns if c != "peak_index" and c in assignments.columns])
+    cell the one of the largest area, then signal-to-noise stays. The sample is the peak's; an error if no row is left."""
+    named = peaks.select("peak_index", *(c for c in peaks.columns if c == "sampleID" or c not in assignments.columns))
+    assignments = assignments.drop("sampleID")
     window = features.select("feature_id", *(F.col(c).alias(f"_f_{c}") for c in ("rtmed", "rtmin", "rtmax")))
     rows = assignments.join(named, "peak_index").join(window, "feature_id", "left")
     minutes = lambda c: _of(rows, c) / 60
@@ -69,7 +70,10 @@ def result_table(features: DataFrame, peaks: DataFrame, assignments: DataFrame)
     }
     out = rows.select(F.col("sampleID").cast("string").alias("sampleID"), F.col("feature_id").cast("string").alias("mw ID"), *(stats.finite(v).alias(k) for k, v in values.items()), *(F.lit(v).alias(k) for k, v in FILLED.items()), F.col("peak_index").alias("_i"))
     out = out.dropna(subset=NEEDED).where("rtmin <= rtmax")
-    return cluster.keep_first(out, ["`mw ID`", "sampleID"], [F.desc("area"), F.desc("sn"), F.col("_i")]).drop("_i")
+    out = cluster.keep_first(out, ["`mw ID`", "sampleID"], [F.desc("area"), F.desc("sn"), F.col("_i")]).drop("_i")
+    if out.isEmpty():
+        raise ValueError("no assigned peak has all the values that are needed")
+    return out
 
 
 def feature_rows(assigned: DataFrame, samples: int) -> DataFrame:

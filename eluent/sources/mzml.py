@@ -153,7 +153,7 @@ def ion_traces(spectra: DataFrame, features: DataFrame, ppm: float = 10.0, windo
 
 def window_traces(spectra: DataFrame, features: DataFrame, low: str = "mz_low", high: str = "mz_high", mode: str = "sum") -> DataFrame:
     """sample_id, ion_id, points: for each feature (ion_id, m/z and time windows, both inclusive) and scan in its time window the sum or maximum of the
-    intensities in its m/z window, 0 without any."""
+    intensities in its m/z window, 0 without any. Centroids and features meet on cells over m/z and time."""
     if mode not in ("sum", "max"):
         raise ValueError(f"mode is sum or max, not {mode}")
     f = features.select("ion_id", F.col(low).alias("low"), F.col(high).alias("high"), "rt_low", "rt_high")
@@ -161,9 +161,9 @@ def window_traces(spectra: DataFrame, features: DataFrame, low: str = "mz_low",
     scans = spectra.select("sample_id", "scan", F.col("rt").alias("t"))
     inside = (F.col("t") >= F.col("rt_low")) & (F.col("t") <= F.col("rt_high"))
     due = scans.withColumn("minute", F.floor("t")).join(f.withColumn("minute", minutes), "minute").where(inside).select("sample_id", "ion_id", "scan", "t")
-    near = f.withColumn("bucket", F.explode(F.sequence(F.floor("low"), F.floor("high"))))
-    peaks = spectra.select("sample_id", "scan", F.col("rt").alias("t"), F.inline("peaks")).withColumn("bucket", F.floor("mz"))
-    hits = peaks.join(near, "bucket").where(inside & (F.col("mz") >= F.col("low")) & (F.col("mz") <= F.col("high")))
+    peaks = spectra.select("sample_id", "scan", "rt", F.inline("peaks"))
+    boxes = f.select("ion_id", F.col("low").alias("mz_low"), F.col("high").alias("mz_high"), "rt_low", "rt_high")
+    hits = joins.in_rectangles(peaks, boxes)
     hits = hits.groupBy("sample_id", "ion_id", "scan").agg((F.sum if mode == "sum" else F.max)("intensity").alias("y"))
     rows = due.join(hits, ["sample_id", "ion_id", "scan"], "left").na.fill(0.0, ["y"])
     return rows.groupBy("sample_id", "ion_id").agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("rt"), F.col("y").alias("intensity")))).alias("points"))

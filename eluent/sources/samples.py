@@ -61,6 +61,15 @@ def split_polarity(cells: DataFrame, sample: str = "sample_id") -> tuple[DataFra
     return cells.where(s.contains("_p")), cells.where(s.contains("_n") | s.contains("_hn"))
 
 
+def by_polarity(signals: DataFrame, sample: str = "sample_id") -> dict[str, DataFrame]:
+    """The signals of each polarity, ``pos`` and ``neg``, by the end of their sample's name; an error for names without one."""
+    end = _suffix(F.col(sample))
+    odd = signals.where(end.isNull()).select(sample).limit(3).collect()
+    if odd:
+        raise ValueError(f"samples without polarity: {[r[0] for r in odd]}")
+    return {"pos": signals.where(end == "P"), "neg": signals.where(end == "N")}
+
+
 def both_polarities(positive: DataFrame, negative: DataFrame, sample: str = "sample_id") -> DataFrame:
     """The cells of both, with samples named without their polarity; columns of one side alone are null in the other."""
     plain = lambda df: df.withColumn(sample, F.regexp_replace(sample, r"_(P|HN|N)$", ""))

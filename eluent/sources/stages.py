@@ -41,6 +41,17 @@ class Stages:
     def _fs(self, name: str):
         return self._where(name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def below(self, name: str) -> Stages:
+        """Stages of a part of the work, in a folder of their own."""
+        part = Stages(self.spark, f"{self.path}/{name}")
+        part.own = self.own
+        return part
+
+    def exists(self, path: str) -> bool:
+        """Whether a file or folder is there, wherever its path leads."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         if not self._fs(name).exists(self._where(f"{name}/_SUCCESS")):
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")

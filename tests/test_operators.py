@@ -72,6 +72,42 @@ def test_snr(spark, n, lo, hi):
     assert list(df.first()["snr"]) == pytest.approx(plain_snr(y, [k * 0.05 for k in range(n)], lo, hi))
 
 
+def test_snr_is_linear_in_points(spark):
+    import time
+
+    def took(n):
+        y = [[float((k * 37 + j) % 101) + (500.0 if k == n // 2 else 0.0) for k in range(n)] for j in range(10)]
+        df = signal_df(spark, *y, step=0.01).withColumns({"lo": F.lit(n // 2 - 3), "hi": F.lit(n // 2 + 3)}).repartition(1).cache()
+        df.count()
+        began = time.time()
+        signal.with_snr(df).select("snr").collect()
+        return time.time() - began
+
+    took(400)
+    small, large = min(took(3_200) for _ in range(3)), min(took(6_400) for _ in range(3))
+    assert large < 2.3 * small + 0.3
+
+
+def test_to_baseline_against_steps(spark):
+    def steps(y, base, lo, hi):
+        """The higher edge moves a point at a time: first until near the baseline, then while the signal does not rise."""
+        edge = {1: hi, -1: lo}
+        for way, end in ((1, len(y) - 1), (-1, 0)):
+            if y[edge[way]] > y[edge[-way]]:
+                far = lambda: abs(y[edge[way]] - base) < max(y[edge[-1] : edge[1]], default=-math.inf) / 3  # noqa: B023, E731
+                while edge[way] != end and not far():
+                    edge[way] += way
+                while edge[way] != end and y[edge[way] + way] <= y[edge[way]]:
+                    edge[way] += way
+        return edge[-1], edge[1]
+
+    r = np.random.default_rng(0)
+    for _ in range(3_000):
+        n = int(r.integers(2, 30))
+        y, (lo, hi), base = r.integers(0, 12, n).astype(float), np.sort(r.integers(0, n, 2)).tolist(), float(r.integers(0, 6))
+        assert kernels.to_baseline(y, base, lo, hi) == steps(y.tolist(), base, lo, hi)
+
+
 def test_boxes_and_shapes(spark):
     df = signal_df(spark, [0, 1, 4, 9, 4, 1, 0])
     p = F.col("points")

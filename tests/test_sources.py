@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eluent import __main__ as cli
 from eluent.functions import kernels, signal
-from eluent.operators import evaluate, ranks
+from eluent.operators import evaluate, matrix, ranks
 from eluent.plans import decoys
 from eluent.sources import convert, labels, mzml, samples, sinks
 
@@ -136,13 +136,13 @@ def test_label_files(spark, tmp_path):
 
 def test_conversion(spark):
     features = spark.createDataFrame([("F1", 100.0, 60.0, 54.0, 66.0)], "feature_id string, mzmed double, rtmed double, rtmin double, rtmax double")
-    peaks = spark.createDataFrame([(1, 100.1, 60.0, 57.0, 63.0, 10.0, None, 3.0), (2, 99.9, 61.0, 58.0, 64.0, 10.0, 7.0, 9.0), (3, 99.0, 60.0, 63.0, 57.0, 99.0, 1.0, 1.0), (4, 99.0, float("inf"), 1.0, 2.0, 99.0, 1.0, 1.0)], "peak_index int, mz double, rt double, rtmin double, rtmax double, into double, maxo double, sn double")
-    given = spark.createDataFrame([("F1", 1, "s"), ("F1", 2, "s"), ("F1", 3, "s"), ("F1", 4, "t"), ("F1", 9, "t"), ("F2", 1, "u")], "feature_id string, peak_index int, sampleID string")
+    peaks = spark.createDataFrame([(1, "s", 100.1, 60.0, 57.0, 63.0, 10.0, None, 3.0), (2, "s", 99.9, 61.0, 58.0, 64.0, 10.0, 7.0, 9.0), (3, "s", 99.0, 60.0, 63.0, 57.0, 99.0, 1.0, 1.0), (4, "t", 99.0, float("inf"), 1.0, 2.0, 99.0, 1.0, 1.0)], "peak_index int, sampleID string, mz double, rt double, rtmin double, rtmax double, into double, maxo double, sn double")
+    given = spark.createDataFrame([("F1", 1), ("F1", 2), ("F1", 3), ("F1", 4), ("F1", 9), ("F2", 1)], "feature_id string, peak_index int")
     rows = {(r["mw ID"], r["sampleID"]): r for r in convert.result_table(features, peaks, given).collect()}
-    assert rows.keys() == {("F1", "s"), ("F2", "u")}
+    assert rows.keys() == {("F1", "s"), ("F2", "s")}
     best = rows["F1", "s"]
     assert (best["sn"], best["int"], best["rt"], best["min_rt"], best["class"]) == (9.0, 7.0, pytest.approx(61 / 60), 0.9, "A")
-    assert rows["F2", "u"]["int"] == 10.0 and rows["F2", "u"]["rt_theoretic"] == 0.0
+    assert rows["F2", "s"]["int"] == 10.0 and rows["F2", "s"]["rt_theoretic"] == 0.0
     assert tuple(convert.peak_list(features).first()) == ("F1", 100.0, 1.0) and convert.checked(features).count() == 1
     with pytest.raises(ValueError, match="domain"):
         convert.checked(features.withColumn("mzmed", F.lit(-1.0)))
@@ -256,3 +256,59 @@ def test_command_line(spark, tmp_path):
     assert next((tmp_path / "out2" / "matrix").glob("part*")).read_text().splitlines()[0].startswith("ion_id")
     with pytest.raises(SystemExit):
         cli.arguments(["sideways"])
+
+
+def test_targeted_run_of_both_polarities(spark, tmp_path):
+    r = np.random.default_rng(3)
+    times = [0.05 * k for k in range(60)]
+    bell = lambda t, at, h: h * np.exp(-0.5 * ((t - at) / 0.1) ** 2)
+    trace = lambda ion, at, h: chromatogram(f"SRM SIC Q1=1 Q3=2 name={ion} start=0 end=3", times, [bell(t, at, h) + 20 * r.random() for t in times], True)
+    heights = {"mix1": 4e4, "mix2": 5e4, "s1": 6e4}
+    for s, h in heights.items():
+        for end in ("P", "N"):
+            # i1 is missing in mix2_P, and half of the mix samples of its own mode are enough; the hilic ion is negative
+            ions = [("i1", 1.5, 0 if s == "mix2" else h)] if end == "P" else [("i2", 1.0, 2 * h), ("i3", 2.0, 3 * h)]
+            file_of(tmp_path / f"run-{s}_{end}.mzML", "".join(trace(*i) for i in ions))
+    (tmp_path / "all_ions.tsv").write_text("mw ID\tRT (min)\tion_mode\ni1\t1.5\tPositive\ni2\t1.0\tNegative\ni3\t2.0\tHilic\n")
+    cli.main(["targeted", "--indir", str(tmp_path), "--outdir", str(tmp_path / "out")])
+    read = lambda name: [line.split("\t") for line in next((tmp_path / "out" / name).glob("part*")).read_text().splitlines()]
+    head, *rows = read("matrix")
+    assert head == ["ion_id", "mix1", "mix2", "s1"] and [x[0] for x in rows] == ["i1", "i2", "i3"]
+    width = 0.1 * np.sqrt(2 * np.pi) * 60  # of a bell in seconds; corrected peaks are plain sums over eleven points
+    for (_, *areas), share in zip(rows, (1, 2, 3), strict=True):
+        for s, area in zip(head[1:], areas, strict=True):
+            if (share, s) == (1, "mix2"):
+                assert area == "NA"
+            else:
+                h = share * heights[s]
+                window = sum(bell(0.05 * k, 0, h) for k in range(-5, 6))
+                assert any(abs(float(area) / full - 1) < 0.05 for full in (h * width, window))
+    head, *rows = read("peaks")
+    assert head == list(sinks.LAYOUT.values()) and len(rows) == 8 and all("NA" not in x and "" not in x for x in rows)
+    flat = {x[head.index("Component Name")]: float(x[head.index("rt_theoretic")]) for x in rows}
+    assert flat == {"i1": 1.5, "i2": 1.0, "i3": 2.0}
+    assert all(50 <= float(x[head.index("baseline")]) <= 70 and float(x[head.index("max_rt")]) == pytest.approx(2.95) for x in rows)
+
+
+def test_two_values_of_one_cell_are_an_error(spark):
+    cells = spark.createDataFrame([("i", "a", 1.0), ("i", "a", None), ("i", "b", None)], "ion_id string, sample_id string, area double")
+    assert tuple(matrix.widen(cells, ["a", "b"], "").first()) == ("i", 1.0, None)
+    with pytest.raises(Exception, match="several values"):
+        matrix.widen(cells.unionByName(cells), ["a", "b"], "").collect()
+    with pytest.raises(ValueError, match="polarity"):
+        samples.by_polarity(cells)
+
+
+def test_picker_files_are_read_as_they_are_written(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("feature_id,mzmed,rtmed,rtmin,rtmax\nF1,100,60,54,66\n")
+    (tmp_path / "p.csv").write_text("peak_index,sampleID,mz,rt,rtmin,rtmax,into,sn\n1,s,100.1,60,57,63,10,3\n")
+    (tmp_path / "a.csv").write_text("feature_id,peak_index\nF1,1\n")
+    paths = {"features": str(tmp_path / "f.csv"), "peaks": str(tmp_path / "p.csv"), "assignments": str(tmp_path / "a.csv")}
+    got = convert.read(spark, paths)
+    r = convert.result_table(got["features"], got["peaks"], got["assignments"]).first()
+    assert (r["sampleID"], r["mw ID"], r["area"], r["rt_theoretic"]) == ("s", "F1", 10.0, 1.0)
+    with pytest.raises(ValueError, match="no assigned peak"):
+        convert.result_table(got["features"], got["peaks"].withColumn("rtmax", F.lit(1.0)), got["assignments"])
+    (tmp_path / "p.csv").write_text("peak_index,mz,rt,rtmin,rtmax,into\n1,100.1,60,57,63,10\n")
+    with pytest.raises(ValueError, match="sampleID"):
+        convert.read(spark, paths)
