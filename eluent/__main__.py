@@ -35,13 +35,13 @@ def targeted(spark: SparkSession, args: argparse.Namespace) -> None:
     ions = listed.select(F.col("mw ID").alias("ion_id"), F.col("RT (min)").cast("double").alias("rt_theory"), F.col("ion_mode"))
     traces = mzml.chromatograms(spark, args.indir).where("kind = 'SRM'").select("sample_id", "ion_id", "points")
     signals = samples.of_mode(samples.known_ions(traces, ions, f"{args.outdir}/error"), ions)
-    cells, peaks = pipelines.run_polarities(signals, ions.select("ion_id", "rt_theory"), Stages(spark, f"{args.outdir}/stages"), chromatography=args.type)
+    cells, peaks = pipelines.run_polarities(signals, ions.select("ion_id", "rt_theory"), Stages(spark, f"{args.outdir}/stages", vars(args)), chromatography=args.type)
     _write(spark, cells, peaks, args.outdir)
 
 
 def untargeted(spark: SparkSession, args: argparse.Namespace) -> None:
     """Features: peak_list.csv with Compound Name, mz and RT in minutes; where there is none, features are discovered."""
-    stages = Stages(spark, f"{args.outdir}/stages")
+    stages = Stages(spark, f"{args.outdir}/stages", vars(args))
     spectra = stages.keep("spectra", mzml.spectra(spark, args.indir))
     if stages.exists(f"{args.indir}/peak_list.csv"):
         listed = tables.read(spark, f"{args.indir}/peak_list.csv")

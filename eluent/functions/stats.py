@@ -83,6 +83,38 @@ def _continued(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
+def chi_square_probabilities(x: pd.Series, df: pd.Series) -> pd.Series:
+    """P of a chi-square of at least ``x``, for a whole batch: the regularised upper incomplete gamma function at (df / 2, x / 2), by its series below a + 1 and a continued
+    fraction above. Null for no degrees of freedom or no number."""
+    x, v = x.to_numpy(float) / 2, df.to_numpy(float) / 2
+    out = np.full(len(x), np.nan)
+    at = np.flatnonzero(np.isfinite(x) & np.isfinite(v) & (v > 0))
+    out[at] = 1.0
+    at = at[x[at] > 0]
+    a, z = v[at], x[at]
+    front = np.exp(a * np.log(z) - z - np.vectorize(math.lgamma, otypes=[float])(a)) if len(at) else z
+    low = z < a + 1
+    term = total = 1 / a
+    for k in range(1, 10_000):
+        term = term * np.where(low, z, 0) / (a + k)
+        total = total + term
+        if not (term > total * 1e-17).any():
+            break
+    away = lambda y: np.where(np.abs(y) > 1e-300, y, 1e-300)
+    b = np.where(low, a + 1, z) + 1 - a
+    c, d = np.full_like(b, 1e300), 1 / away(b)
+    h = d.copy()
+    for k in range(1, 10_000):
+        b = b + 2
+        d = 1 / away(b - k * (k - a) * d)
+        c = away(b - k * (k - a) / c)
+        h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
+            break
+    out[at] = np.where(low, 1 - front * total, front * h)
+    return pd.Series(out).astype("Float64").where(~np.isnan(out), pd.NA)
+
+
 def t_probabilities(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t, for a whole batch: the regularised incomplete beta function at df / (df + t²)."""
     t, v = t.to_numpy(float), df.to_numpy(float)

@@ -75,12 +75,13 @@ def error_types(cells: DataFrame, truth: DataFrame, scope: str = "sample_union",
 def qualitative(cells: DataFrame, truth: DataFrame, scope: str = "sample_union") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores of each sample, wrong features with their error types, and one row of counts, after features absent in over half of their cells
     are left out. ``cells`` has every feature in every sample."""
-    n = cells.select("feature_id").distinct().count()
     kept = matrix.enough_present(cells, "feature_id", F.col("n") / 2)
     errors = error_types(kept, truth, scope)
-    left = kept.agg(F.countDistinct("feature_id").alias("rows_after_missing_filter"))
-    counts = left.select(F.lit(n).cast("long").alias("input_rows"), "rows_after_missing_filter", (F.lit(n) - F.col("rows_after_missing_filter")).alias("rows_removed_missing"))
-    of = truth.agg(F.countDistinct("feature_id").alias("true_feature_count")), cells.agg(F.countDistinct("sample_id").alias("sample_count")), errors.agg(F.count("*").alias("qualitative_error_count"))
+    # both numbers of features and that of samples come of one pass over a count for each feature
+    n = cells.groupBy("feature_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("area").isNull(), 1)).alias("missing"))
+    counts = n.agg(F.count("*").alias("input_rows"), F.count(F.when(F.col("missing") <= F.col("n") / 2, 1)).alias("rows_after_missing_filter"), F.coalesce(F.max("n"), F.lit(0)).alias("sample_count"))
+    counts = counts.withColumn("rows_removed_missing", F.col("input_rows") - F.col("rows_after_missing_filter")).select("input_rows", "rows_after_missing_filter", "rows_removed_missing", "sample_count")
+    of = truth.agg(F.countDistinct("feature_id").alias("true_feature_count")), errors.agg(F.count("*").alias("qualitative_error_count"))
     return presence(kept, truth), errors, reduce(lambda x, y: x.join(F.broadcast(y)), of, counts)  # one row each
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from . import ranks
 
 
@@ -76,6 +77,20 @@ def pages(rows: DataFrame, by: list[str], order: list[Column], size: int = 24) -
     return ranks.with_group_rank(rows, by, order, "_k").withColumns({"page": F.floor(k / size), "position": (k % size).cast("long")}).drop("_k")
 
 
+def chi_square(rows: DataFrame, by: str, value: str, classes: list | None = None) -> DataFrame:
+    """One row: statistic, degrees, p of the hypothesis that ``by`` and ``value`` are independent; an error where one of ``classes`` has no rows."""
+    parts = contingency(rows, by, value)
+    if classes is not None:
+        seen = {r[0] for r in parts.select(value).where(F.col(value).isin(classes)).distinct().collect()}  # of the given classes
+        if missing := [c for c in classes if c not in seen]:
+            raise ValueError(f"classes without rows: {missing}")
+    # a pair without rows counts too: all it is expected to have is its part
+    every = parts.agg(F.sum("part").alias("part"), F.sum("expected").alias("expected"), F.sum("observed").alias("n"), ((F.countDistinct(by) - 1) * (F.countDistinct(value) - 1)).alias("degrees"))
+    out = every.select((F.col("part") + F.col("n") - F.col("expected")).alias("statistic"), "degrees")
+    p = F.pandas_udf(stats.chi_square_probabilities, "double")
+    return out.withColumn("p", p(F.col("statistic"), F.col("degrees").cast("double")))
+
+
 def contingency(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, value, observed, expected and their part of chi-square."""
     n = rows.groupBy(by, value).agg(F.count("*").alias("observed"))

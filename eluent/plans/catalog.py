@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels, names, signal, wavelets
-from ..operators import alignment, cluster, evaluate, groups, joins, matrix, ranks, refine, sampling, traces
+from ..operators import alignment, cluster, evaluate, groups, joins, matrix, plots, ranks, refine, sampling, traces
 from ..sources import mzml, samples
 from . import bindings as b
-from . import detect
+from . import detect, table_functions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -759,6 +759,42 @@ def natural_sort_ids(spark, d):
     return ranks.with_rank(s, [F.col("key"), F.col("s_suppkey")], "position").select("s_suppkey", "position")
 
 
+@query("""WITH n AS (SELECT l_returnflag AS a, l_linenumber AS b, count(*) AS o FROM lineitem GROUP BY ALL), every AS (SELECT x.a, y.b, coalesce(n.o, 0) AS o FROM (SELECT DISTINCT a FROM n) x CROSS JOIN (SELECT DISTINCT b FROM n) y LEFT JOIN n ON n.a = x.a AND n.b = y.b),
+e AS (SELECT *, sum(o) OVER (PARTITION BY a) * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e FROM every), s AS (SELECT sum((o - e) ** 2 / e) AS x, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS degrees FROM e)
+SELECT round(x, 4) AS statistic, degrees, round(exp(-x / 2) * list_sum(list_transform(range((degrees // 2)::BIGINT), lambda k: (x / 2) ** k / factorial(k::INTEGER))), 6) AS p FROM s""")
+def chi_square_test(spark, d):
+    """An even number of degrees of freedom, for which p is a finite sum."""
+    return sampling.chi_square(b.table(spark, d, "lineitem"), "l_returnflag", "l_linenumber").select(_r("statistic"), "degrees", _r("p", 6))
+
+
+# ---- figures ------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT DISTINCT o_orderpriority, o_totalprice, round(cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice), 8) AS share FROM orders""")
+def distribution_curve(spark, d):
+    return plots.distribution(b.table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderpriority", "o_totalprice", _r("share", 8))
+
+
+@query(f"""WITH {b.POINTS_SQL}, p AS (SELECT *, i - 1 AS place, least(floor(coalesce((rt - min(rt) OVER w) / nullif(max(rt) OVER w - min(rt) OVER w, 0), 0) * 6), 5)::INTEGER AS pixel FROM pts WINDOW w AS (PARTITION BY sample_id, ion_id)),
+r AS (SELECT *, row_number() OVER (q ORDER BY place) AS a, row_number() OVER (q ORDER BY place DESC) AS b, row_number() OVER (q ORDER BY intensity, place) AS c, row_number() OVER (q ORDER BY intensity DESC, place) AS d FROM p WINDOW q AS (PARTITION BY sample_id, ion_id, pixel))
+SELECT sample_id, ion_id, pixel, place::INTEGER AS place, round(rt, 4) AS rt, intensity FROM r WHERE 1 IN (a, b, c, d)""")
+def thinned_traces(spark, d):
+    return plots.thinned(b.signals(spark, d), 6).select("sample_id", "ion_id", "pixel", "place", _r("rt"), "intensity")
+
+
+@query(f"""WITH {b.POINTS_SQL}, s AS (SELECT *, min(rt) OVER w AS ta, max(rt) OVER w AS tb FROM pts WINDOW w AS (PARTITION BY sample_id, ion_id)),
+off AS (SELECT *, abs(rt - (ta + 0.25 * (tb - ta))) AS a, abs(rt - (ta + 0.75 * (tb - ta))) AS b FROM s),
+least AS (SELECT *, min(a) OVER w AS least_a, min(b) OVER w AS least_b FROM off WINDOW w AS (PARTITION BY sample_id, ion_id)),
+near AS (SELECT sample_id, ion_id, min(i - 1) FILTER (a = least_a) AS lo, min(i - 1) FILTER (b = least_b) AS hi FROM least GROUP BY sample_id, ion_id)
+SELECT sample_id, ion_id, CASE WHEN sample_id % 3 <> 0 THEN lo END::INTEGER AS fill_lo_idx, CASE WHEN sample_id % 3 <> 0 THEN hi END::INTEGER AS fill_hi_idx FROM near""")
+def trace_fills(spark, d):
+    """Peaks over the middle half of each trace, but for every third sample."""
+    s = b.signals(spark, d)
+    first, last = F.col("points")[0]["rt"], F.element_at("points", -1)["rt"]
+    p = s.where("sample_id % 3 <> 0").select("sample_id", "ion_id", (first + 0.25 * (last - first)).alias("rtmin"), (first + 0.75 * (last - first)).alias("rtmax"))
+    return plots.fills(s, p).drop("points")
+
+
 # ---- discovery ----------------------------------------------------------------------------------------------------
 
 
@@ -785,6 +821,14 @@ def wavelet_peaks(spark, d):
     return p.select("sample_id", "ion_id", "p.lo", "p.hi", "p.apex", "p.scale", F.round("p.snr", 4).alias("snr"))
 
 
+@query()
+def detector_calls(spark, d):
+    """The detector called from SQL, over the rows of the signals."""
+    table_functions.register(spark)
+    b.points(spark, d).createOrReplaceTempView("eluent_points")
+    return spark.sql("SELECT sample_id, ion_id, lo, hi, round(rt, 4) AS rt, scale, round(snr, 4) AS snr FROM detect_peaks(TABLE(eluent_points), least_snr => 4.0)")
+
+
 @query(f"""WITH {b.PEAKS_SQL}, named AS (SELECT *, l_orderkey || '-' || l_linenumber AS peak_id, floor(rt / 10.0)::BIGINT AS cell, CASE WHEN sample_id < 4 THEN 'A' ELSE 'B' END AS grp FROM peaks),
 w AS (SELECT unnest(range(-{groups.REACH}, {groups.REACH + 1})) AS k, unnest({groups.WEIGHTS}) AS w),
 density AS (SELECT ion_id, cell + k AS cell, sum(w)::BIGINT AS density FROM named, w GROUP BY ALL),

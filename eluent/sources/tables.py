@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
+from ..operators import ranks
 
 # Other names of the columns of a feature table.
 ALIASES = {
@@ -57,7 +64,7 @@ def validated(wide: DataFrame, key: str, samples: list[str], even: bool = True)
 
 
 def feature_table(df: DataFrame) -> DataFrame:
-    """feature_id, mz, rt with columns found by their aliases; ids F1, F2, ... where missing; rows without numbers are left out."""
+    """feature_id, mz, rt with columns found by their aliases; ids F1, F2, ... by the rows' place in the table where missing; rows without numbers are left out."""
     by = {names.normal_header(c): c for c in df.columns}
     found = {k: next((by[a] for a in v if a in by), None) for k, v in ALIASES.items()}
     if found["mz"] is None or (found["rt"] is None and not {"rtmin", "rtmax"} <= by.keys()):
@@ -67,15 +74,48 @@ def feature_table(df: DataFrame) -> DataFrame:
     rt = middle if middle is not None and found["rt"] in (None, by.get("rtmin")) else number(found["rt"])
     named = names.clean_id(F.col(f"`{found['feature_id']}`")) if found["feature_id"] else F.lit(None).cast("string")
     rows = df.select(named.alias("given"), number(found["mz"]).alias("mz"), rt.alias("rt"), F.monotonically_increasing_id().alias("i")).where("mz is not null and rt is not null")
-    return rows.select(F.coalesce("given", F.concat(F.lit("F"), (F.col("i") + 1).cast("string"))).alias("feature_id"), "mz", "rt")
+    rows = ranks.with_rank(rows, [F.col("i")], "n")
+    return rows.select(F.coalesce("given", F.concat(F.lit("F"), F.col("n").cast("string"))).alias("feature_id"), "mz", "rt")
+
+
+#: Bytes that a task holds of a file that it hashes.
+BLOCK = 8 << 20
+
+
+def hashes(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) with ``actual``, the sha256 of each file, read block by block by the task that has its path. Paths are opened through ``pyarrow.fs``: local
+    ones must be shared."""
+    names_ = files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path in b.column(names_.index("path")).to_pylist():
+                system, root = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(root) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names_, "actual"])
+
+    return files.mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("actual", T.StringType())]))
 
 
 def manifest(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
-    """file, sha256, actual, status (ok, MISSING or differs) for each listed file below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    seen = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("actual"))
-    out = listed.join(seen, "file", "left")
-    return out.withColumn("status", F.when(F.col("actual").isNull(), "MISSING").when(F.col("actual") == F.lower("sha256"), "ok").otherwise("differs"))
+    """file, sha256, actual, status (ok, MISSING, differs, or UNLISTED) for each listed file below ``path`` and each other one there. Files are named by their path below it; files of one
+    name in two folders are two files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, walk, found = system.makeQualified(where).toUri().getPath().rstrip("/"), system.listFiles(where, True), []
+    while walk.hasNext():  # names alone; Spark's own listing leaves empty files out
+        p = walk.next().getPath().toUri()
+        found.append((p.toString(), p.getPath()[len(root) + 1 :]))
+    files = spark.createDataFrame(found, "path string, file string")
+    seen = hashes(files.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism * 4)), "path")).select("file", "actual")
+    out = listed.join(seen, "file", "full_outer")
+    status = F.when(F.col("sha256").isNull(), "UNLISTED").when(F.col("actual").isNull(), "MISSING").when(F.col("actual") == F.lower("sha256"), "ok").otherwise("differs")
+    return out.withColumn("status", status)
 
 
 def raw_file_status(samples: DataFrame, files: DataFrame) -> DataFrame:

@@ -249,9 +249,29 @@ def test_curation(spark):
 
 
 def test_stages(spark, tmp_path):
-    stages = Stages(spark, str(tmp_path / "s"))
-    assert stages.keep("a", spark.range(3)).count() == 3
-    assert stages.keep("a", spark.range(9)).count() == 3  # what is there is not made again
+    stages = lambda **p: Stages(spark, str(tmp_path / "s"), p)
+    written = lambda name: next((tmp_path / "s" / name).glob("part*")).name
+    assert stages().keep("a", spark.range(3)).count() == 3
+    first = written("a")
+    assert stages().keep("a", spark.range(3)).count() == 3 and written("a") == first  # what is there is not made again
+    assert stages().keep("a", spark.range(9)).count() == 9 and written("a") != first  # another plan is
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.read.parquet(str(tmp_path / "in"))
+
+    def both(**p):
+        s = stages(**p)
+        s.keep("b", read().where("id > 0"))
+        return s.keep("c", s.keep("b", read().where("id > 0")).selectExpr("id * 2 as id")).count(), written("b"), written("c")
+
+    n, b, c = both(ppm=5)
+    assert n == 3 and both(ppm=5) == (3, b, c)
+    again = both(ppm=6)
+    assert again[0] == 3 and again[1] != b and again[2] != c  # another parameter
+    spark.range(6).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    later = both(ppm=6)
+    assert later[0] == 5 and later[1] != again[1] and later[2] != again[2]  # other files, and the stage after
+    (tmp_path / "s" / "c" / "_fingerprint").unlink()  # a stage that broke off
+    assert both(ppm=6)[0] == 5 and written("c") != later[2]
 
 
 def test_targeted_peak_rules(spark):
