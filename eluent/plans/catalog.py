@@ -184,7 +184,11 @@ def baseline_bounds(spark, d):
     return p.select("sample_id", "ion_id", w.alias("w")).select("sample_id", "ion_id", "w.lo", "w.hi")
 
 
-@query()
+@query(f"""WITH {b.POINTS_SQL}, usable AS (SELECT sample_id, ion_id FROM pts GROUP BY ALL HAVING count(*) >= 3 AND min(rt - t0) > 0),
+s AS (SELECT p.*, abs((intensity - y0) / (rt - t0)) AS slope, max(abs((intensity - y0) / (rt - t0))) OVER (PARTITION BY sample_id, ion_id) AS steepest, max(intensity) OVER (PARTITION BY sample_id, ion_id) AS top FROM pts p SEMI JOIN usable USING (sample_id, ion_id)),
+k AS (SELECT sample_id, ion_id, min(i) - 1 AS k FROM s WHERE intensity = top GROUP BY ALL)
+SELECT sample_id, ion_id, coalesce(max(i - 1) FILTER (slope > 0.1 * steepest AND i - 2 < k), 0)::INTEGER AS first, coalesce(min(i - 1) FILTER (slope > 0.1 * steepest AND i - 2 >= k), any_value(n))::INTEGER AS end
+FROM s JOIN k USING (sample_id, ion_id) GROUP BY sample_id, ion_id""")
 def slope_bounds(spark, d):
     return _plain(spark, d).select("sample_id", "ion_id", kernels.steep(F.col("t"), F.col("y")).alias("w")).select("sample_id", "ion_id", "w.first", "w.end")
 
@@ -353,7 +357,19 @@ def refind_missing(spark, d):
     return cells.select("sample_id", "ion_id", _r("area", 3))
 
 
-@query()
+def _corrected_sql(name: str, of: str) -> str:
+    """Peaks with those replaced whose bounds are off the medians of their ion."""
+    return f"""{name}m AS (SELECT *, median(rtmin) OVER (PARTITION BY ion_id) AS ma, median(rtmax) OVER (PARTITION BY ion_id) AS mb FROM {of}),
+{name} AS (SELECT m.sample_id, m.ion_id, CASE WHEN bad THEN f.rt ELSE m.rt END AS rt, CASE WHEN bad THEN f.rtmin ELSE m.rtmin END AS rtmin, CASE WHEN bad THEN f.rtmax ELSE m.rtmax END AS rtmax, CASE WHEN bad THEN f.area ELSE m.area END AS area
+  FROM (SELECT *, abs(rtmin - ma) > 0.05 OR abs(rtmax - mb) > 0.05 AS off FROM {name}m) m LEFT JOIN found f ON f.sample_id = m.sample_id AND f.ion_id = m.ion_id, LATERAL (SELECT m.off AND f.rt IS NOT NULL AS bad))"""
+
+
+@query(f"""WITH {b.APEX_SQL}, strong AS (SELECT sample_id, ion_id FROM pts GROUP BY ALL HAVING count(*) >= 10 AND max(intensity) >= 100),
+found AS (SELECT sample_id, ion_id, max(rt) FILTER (i = k) AS rt, min(rt) AS rtmin, max(rt) AS rtmax, sum(intensity) AS area FROM pts JOIN apex USING (sample_id, ion_id) SEMI JOIN strong USING (sample_id, ion_id) WHERE i BETWEEN k - 5 AND k + 5 GROUP BY ALL),
+whole AS (SELECT sample_id, ion_id, max(rt) FILTER (i = k) AS rt, min(rt) AS rtmin, max(rt) AS rtmax,
+  coalesce(sum((intensity + y0) * abs(rt - t0) * 60 / 2), 0) - CASE WHEN count(*) > 1 THEN min(intensity) * (max(rt) - min(rt)) * 60 ELSE 0 END AS area FROM pts JOIN apex USING (sample_id, ion_id) GROUP BY ALL),
+{_corrected_sql("once", "whole")}, {_corrected_sql("twice", "once")}
+SELECT sample_id, ion_id, round(rt, 4) AS rt, round(rtmin, 4) AS rtmin, round(rtmax, 4) AS rtmax, round(area, 2) AS area, 'A' AS class FROM twice""")
 def correct_twice(spark, d):
     s = b.signals(spark, d)
     p = s.select("sample_id", "ion_id", signal.peak_properties(F.col("points"), F.lit(0), F.size("points") - 1).alias("x"), F.lit("A").alias("class")).select("sample_id", "ion_id", "x.*", "class")

@@ -108,6 +108,25 @@ def test_to_baseline_against_steps(spark):
         assert kernels.to_baseline(y, base, lo, hi) == steps(y.tolist(), base, lo, hi)
 
 
+def test_spline_against_a_dense_system():
+    r = np.random.default_rng(5)
+    for m in (4, 5, 9, 40):
+        t, y = np.cumsum(r.uniform(0.1, 2, m)), r.normal(0, 10, m)
+        h, a, b = np.diff(t), np.zeros((m, m)), np.zeros(m)
+        for i in range(1, m - 1):
+            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+        a[0, :3], a[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
+        c = np.linalg.solve(a, b)
+        x, got = kernels.cubic(t, y, 97)
+        k = np.clip(np.searchsorted(t, x, "right") - 1, 0, m - 2)
+        d, e = x - t[k], t[k + 1] - x
+        want = c[k] * e**3 / (6 * h[k]) + c[k + 1] * d**3 / (6 * h[k]) + (y[k] / h[k] - c[k] * h[k] / 6) * e + (y[k + 1] / h[k] - c[k + 1] * h[k] / 6) * d
+        assert np.allclose(got, want, atol=1e-6)
+    t = np.linspace(0, 3, 7)
+    assert np.allclose(kernels.cubic(t, t**3 - t, 31)[1], np.linspace(0, 3, 31) ** 3 - np.linspace(0, 3, 31))  # a cubic is its own spline
+
+
 def test_boxes_and_shapes(spark):
     df = signal_df(spark, [0, 1, 4, 9, 4, 1, 0])
     p = F.col("points")
