@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eluent.functions import names, stats, wavelets
 from eluent.operators import cluster, curate, evaluate, plots, sampling
 from eluent.plans import table_functions
-from eluent.sources import indexed, mzml, report, tables
+from eluent.sources import indexed, mzml, report, tables, truth
 from test_sources import scan
 
 
@@ -165,3 +165,29 @@ def test_helpers_on_their_own(spark):
     assert [tuple(r) for r in named] == [("run 7", 12), ("plain", None)]
     b = curate.display_bounds(spark.createDataFrame([(1.0, 2.0), (0.2, 0.1)], "rt_left double, rt_right double")).collect()
     assert [(r["view_left"], r["view_right"]) for r in b] == [(0.5, 2.5), (0.0, pytest.approx(0.35))]
+
+
+def test_truth_tables(spark, tmp_path):
+    df = spark.createDataFrame([(" a ", "1", "2.0"), ("b", "0", "x"), ("c", "1.0", "0.5")], "`mw ID` string, in_mix string, `Fold change` string")
+    ids = lambda d: sorted(r["feature_id"] for r in d.collect())
+    assert ids(truth.feature_set(df)) == ["a", "b", "c"] and ids(truth.flagged(df, "in_mix")) == ["a", "c"]
+    assert sorted(map(tuple, truth.fold_changes(df).collect())) == [("a", 2.0), ("c", 0.5)]
+    twice, blank = df.unionByName(df.limit(1)), df.withColumn("mw ID", F.lit("  "))
+    for call, what in (
+        (lambda: truth.feature_set(blank), "no feature ids"), (lambda: truth.feature_set(df.select("in_mix")), "looked for"), (lambda: truth.flagged(df, "gone"), "no column gone"), (lambda: truth.flagged(blank, "in_mix"), "no feature id"),
+        (lambda: truth.flagged(twice, "in_mix"), "feature a is there more than once"), (lambda: truth.flagged(df.withColumn("in_mix", F.lit("2")), "in_mix"), "0 or 1"), (lambda: truth.flagged(df.withColumn("in_mix", F.lit("0")), "in_mix"), "no feature has"),
+        (lambda: truth.fold_changes(twice), "more than once"), (lambda: truth.fold_changes(df.withColumn("Fold change", F.lit("0"))), "is 0"),
+    ):
+        with pytest.raises(ValueError, match=what):
+            call()
+    (tmp_path / "p.csv").write_text(",mz,...2,rt\n1,NaN,9,5\n2,100.5,9,NA\n3,,9,7\n")
+    p = truth.picked_peaks(spark, str(tmp_path / "p.csv"))
+    assert p.columns == ["mz", "rt"] and sorted(map(str, (tuple(r) for r in p.collect()))) == ["('100.5', None)", "(None, '5')", "(None, '7')"]
+    samples = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample_id string")
+    assert {r["raw_status"] for r in truth.raw_files(samples, None).collect()} == {"raw_dir_not_provided"}
+    assert {r["raw_status"] for r in truth.raw_files(samples, str(tmp_path / "gone")).collect()} == {"raw_dir_missing"}
+    (tmp_path / "raw" / "x").mkdir(parents=True)
+    for f in ("s1.mzML", "s2.MZXML", "x/s2.raw", "s3.txt"):
+        (tmp_path / "raw" / f).write_text("")
+    got = {r["sample_id"]: (r["raw_status"], r["raw_file"] and r["raw_file"].count(";")) for r in truth.raw_files(samples, str(tmp_path / "raw")).collect()}
+    assert got == {"s1": ("matched", 0), "s2": ("duplicate_raw_matches", 1), "s3": ("no_raw_match", None)}
