@@ -90,15 +90,24 @@ def _originals(units: DataFrame, rows: DataFrame) -> DataFrame:
     said = common.saved(common.semi_join(said, asked, "conv_id").withColumn("id", F.monotonically_increasing_id()), "said")
     of_size = lambda k: F.transform(_spans(F.col("said"), k), lambda h: F.struct(F.lit(k).alias("n"), h.alias("h")))
     spans = F.explode(F.concat(*map(of_size, sizes)))
-    held = said.select("conv_id", "id", spans.alias("x")).select("conv_id", "id", "x.n", "x.h")
+    held = said.select("conv_id", "id", "turn", spans.alias("x")).select("conv_id", "id", "turn", "x.n", "x.h")
     # few asked windows are broadcast, so that the others need no shuffle
     held = common.saved(common.semi_join(held, common.saved(keys.select("conv_id", "n", "h").distinct(), "asked-spans"), ["conv_id", "n", "h"]), "spans")
-    # a unit is met by the rarest of its windows, and only if each of them occurs
-    seen = keys.join(held.groupBy("conv_id", "n", "h").agg(F.count("*").alias("often")), ["conv_id", "n", "h"], "left")
-    rarest = seen.groupBy("conv_id", "uid", "n").agg(F.min(F.struct("often", "h"))["h"].alias("h"), F.min(F.col("often").isNotNull()).alias("all")).where("all").drop("all")
-    pairs = rarest.join(held, ["conv_id", "n", "h"]).select("uid", "id").join(said, "id").join(distinct.select("uid", "unit"), "uid")
+    # a unit is met by the rarest of its windows, and only if each of them occurs: first by the earliest message that holds it, which is the answer if it holds the unit, as it
+    # does for units of one window. So a short unit that very many messages hold is met by one of them
+    windows = held.groupBy("conv_id", "n", "h").agg(F.count("*").alias("often"), F.min(F.struct("turn", "id")).alias("first"))
+    seen = keys.join(windows, ["conv_id", "n", "h"], "left")
+    rarest = seen.groupBy("conv_id", "uid", "n").agg(F.min(F.struct("often", "h", "first")).alias("x"), F.min(F.col("often").isNotNull()).alias("all")).where("all")
+    rarest = common.saved(rarest.select("conv_id", "uid", "n", "x.h", F.col("x.first.id").alias("id")), "rarest")
     exact = F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "unit", F.lit(" ")))
-    return pairs.where(exact).groupBy("conv_id", "unit").agg(F.min("turn").alias("parent"))
+    units = distinct.select("uid", "unit")
+    met = lambda pairs: pairs.select("uid", "id").join(said, "id").join(units, "uid").where(exact)
+    found = common.saved(met(rarest).select("conv_id", "uid", "unit", F.col("turn").alias("parent")), "first-met")
+    rest = common.saved(rarest.join(found.select("uid"), "uid", "left_anti").drop("id"), "rest")
+    out = found.select("conv_id", "unit", "parent")
+    if rest.isEmpty():
+        return out
+    return out.unionByName(met(rest.join(held, ["conv_id", "n", "h"])).groupBy("conv_id", "unit").agg(F.min("turn").alias("parent")))
 
 
 def parents(rows: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ def test_decontamination(spark, docs_of):
     assert decontam.leaks(docs, items.where("item_id > 9")).count() == 0
 
 
-def test_decontamination_with_a_bound(spark, docs_of, monkeypatch):
+def test_decontamination_by_size_classes(spark, docs_of, monkeypatch):
     """More sketch hashes than are looked up one by one: short items above the bound and long ones below it, against exact containment."""
-    monkeypatch.setattr(decontam, "TAIL", 6)
+    monkeypatch.setattr(decontam, "BITS", 4096)
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(3))
     texts = [[word() for _ in range(n)] for n in (5, 6, 7, 8, 20, 40, 80, 200, 3)]
@@ -74,6 +74,28 @@ def test_decontamination_with_a_bound(spark, docs_of, monkeypatch):
     assert len(want) > 25 and sorted(map(tuple, decontam.leaks(docs_of(docs), items).collect())) == want
 
 
+def test_decontamination_of_many_short_items(spark, docs_of):
+    """A document that holds a thousand items of five words, among as many that it does not hold."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    texts = [" ".join(word() for _ in range(5)) for _ in range(2000)]
+    docs = docs_of([(1, " ".join(texts[:1000])), (2, " ".join(word() for _ in range(20_000))), (3, texts[1500])])
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = decontam.leaks(docs, items).collect()
+    assert sorted((g["doc_id"], g["item_id"]) for g in got) == [(1, i) for i in range(1000)] + [(3, 1500)] and all(g["n_shared"] == g["n_item"] == 1 for g in got)
+    keys = decontam.sketches(items)
+    assert [x["size"] for x in keys.select("size").distinct().collect()] == [0] and keys.count() == 2000
+
+
+def test_a_short_quote_of_what_many_messages_say(spark):
+    """Each of many messages holds the quoted word in a text of its own; it is met by the first of them."""
+    n = 20_000
+    rows = [(1, 0, "user", "Is it so?"), *((1, k, "user", f"yes, number {k}") for k in range(1, n)), (1, n, "assistant", "> number\n> yes\nWhy?"), (1, n + 1, "user", "> Yes.\nIndeed.")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {g["turn"]: g["parent"] for g in chat.linked(messages).where("parent is not null").collect()}
+    assert got == {n + 1: 1}  # the two words of the other reply stand in no message in its order
+
+
 def test_hilbert_is_a_path():
     n = 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << n)] * 3, indexing="ij"), -1).reshape(-1, 3)
