@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +21,14 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     for p in (targeted, untargeted):
         p.add_argument("--indir", required=True, help="folder with mzML, and all_ions.tsv or peak_list.csv (untargeted: or neither)")
         p.add_argument("--outdir", required=True)
+        p.add_argument("--threads", type=int, help="tasks at a time where no master is set; a cluster has settings of its own")
     targeted.add_argument("--type", default="rp", help="chromatography; the cut by theoretical time is for rp alone")
     untargeted.add_argument("--ppm", type=float, default=10.0)
     untargeted.add_argument("--polarity", choices=["positive", "negative"], default="positive")
     for flag, value in (("minWidth", discovery.LEAST_WIDTH), ("maxWidth", discovery.MOST_WIDTH), ("s2n", discovery.SNR), ("noise", discovery.NOISE), ("mzDiff", discovery.MZ_DIFF)):
         untargeted.add_argument(f"--{flag}", type=float, default=value, help="for the discovery of features, without peak_list.csv")
-    untargeted.add_argument("--prefilter", type=int, default=discovery.PREFILTER)
+    untargeted.add_argument("--prefilter", type=float, default=discovery.PREFILTER)
+    untargeted.add_argument("--all_ions", choices=["cal", "self"], default="self", help="self: peak_list.csv if it is there; cal: discover features even so")
     return top.parse_args(argv)
 
 
@@ -43,10 +46,10 @@ def untargeted(spark: SparkSession, args: argparse.Namespace) -> None:
     """Features: peak_list.csv with Compound Name, mz and RT in minutes; where there is none, features are discovered."""
     stages = Stages(spark, f"{args.outdir}/stages", vars(args))
     spectra = stages.keep("spectra", mzml.spectra(spark, args.indir))
-    if stages.exists(f"{args.indir}/peak_list.csv"):
+    if args.all_ions == "self" and stages.exists(f"{args.indir}/peak_list.csv"):
         listed = tables.read(spark, f"{args.indir}/peak_list.csv")
     else:
-        options = {"least_width": args.minWidth, "most_width": args.maxWidth, "snr": args.s2n, "noise": args.noise, "mz_diff": args.mzDiff, "prefilter": args.prefilter}
+        options = {"least_width": args.minWidth, "most_width": args.maxWidth, "snr": args.s2n, "noise": args.noise, "mz_diff": args.mzDiff, "prefilter": int(args.prefilter)}
         found, _ = discovery.discover(spectra, stages.below("discovery"), ppm=args.ppm, **options)
         listed = discovery.peak_list(found)
     features = listed.select(F.col("Compound Name").alias("ion_id"), F.col("mz").cast("double").alias("mz"), F.col("RT").cast("double").alias("rt"))
@@ -67,7 +70,10 @@ def _write(spark: SparkSession, cells, peaks, path: str) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
-    {"targeted": targeted, "untargeted": untargeted}[args.workflow](SparkSession.builder.appName("eluent").getOrCreate(), args)
+    builder = SparkSession.builder.appName("eluent")
+    if args.threads and SparkSession.getActiveSession() is None and not SparkConf().contains("spark.master"):
+        builder = builder.master(f"local[{args.threads}]")
+    {"targeted": targeted, "untargeted": untargeted}[args.workflow](builder.getOrCreate(), args)
 
 
 if __name__ == "__main__":

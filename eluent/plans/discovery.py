@@ -10,7 +10,7 @@ from ..operators import alignment, groups, joins, traces
 from ..sources.stages import Stages
 
 #: Defaults of the command line. Widths in seconds; ``prefilter``: scans of a trace, with as many centroids of the intensity ``noise``.
-PPM, LEAST_WIDTH, MOST_WIDTH, SNR, NOISE, MZ_DIFF, PREFILTER, FRACTION, BANDWIDTH = 10.0, 5.0, 60.0, 5.0, 100.0, 0.015, 3, 0.5, 30.0
+PPM, LEAST_WIDTH, MOST_WIDTH, SNR, NOISE, MZ_DIFF, PREFILTER, FRACTION, BANDWIDTH = 10.0, 5.0, 50.0, 5.0, 100.0, 0.015, 3, 0.5, 30.0
 
 
 def picked(centroids: DataFrame, ppm: float = PPM, least_width: float = LEAST_WIDTH, most_width: float = MOST_WIDTH, snr: float = SNR, noise: float = NOISE, mz_diff: float = MZ_DIFF, prefilter: int = PREFILTER) -> DataFrame:

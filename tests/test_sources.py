@@ -254,6 +254,10 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "t" / "all_ions.tsv").write_text("mw ID\tRT (min)\tion_mode\ni1\t1.5\tPositive\n")
     cli.main(["targeted", "--indir", str(tmp_path / "t"), "--outdir", str(tmp_path / "out2")])
     assert next((tmp_path / "out2" / "matrix").glob("part*")).read_text().splitlines()[0].startswith("ion_id")
+    (tmp_path / "in" / "peak_list.csv").unlink()
+    cli.main(["untargeted", "--indir", str(tmp_path / "in"), "--outdir", str(tmp_path / "out3"), "--ppm", "20", "--noise", "50", "--maxWidth", "120", "--threads", "2", "--all_ions", "cal"])
+    matrix = next((tmp_path / "out3" / "matrix").glob("part*")).read_text().splitlines()
+    assert matrix[0] == "ion_id\ta\tb" and len(matrix) == 2 and matrix[1].startswith("M100.0000__G001\t") and "NA" not in matrix[1]
     with pytest.raises(SystemExit):
         cli.arguments(["sideways"])
 
