@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable
 
@@ -43,6 +44,13 @@ def discard(spark: SparkSession, first: int, end: int) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect its garbage, upon which Spark deletes the shuffle files of tables that are written and plans that are gone; else they stay until it happens
+    to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Short rows that one task may hold when a table of known size is written.
 TASK_ROWS = 500_000
 

@@ -20,7 +20,6 @@ own whatever their ids; extra columns are ignored; without training texts every
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +34,9 @@ from . import common, packed
 BURN, SAMPLES, STEPS, THETA, SEED = 2, 3, 6, 1.0, 23
 #: Words of a block of documents, and of all documents for each bucket.
 BLOCK, BUCKET = 4_000_000, 2_000_000
-HOT, LISTED = 400, 65_536
+HOT, LISTED = 400, 1 << 20
+#: Sums for documents are sent in whole numbers of these parts.
+MODEL_UNIT, PLAIN_UNIT = 10**6, 10**12
 _RARE = np.uint64(1 << 63)
 MESSAGE = "to int, kind string, src long, data binary, sums array<long>"
 
@@ -114,27 +115,46 @@ def reseat(owner: np.ndarray, size: np.ndarray, c: np.ndarray, a: np.ndarray, d:
 # ---- blocks of documents --------------------------------------------------------------------------------------------
 
 
-def _listed(it: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """kind, hash, n: 0 words of some share of a block by hash, 1 tokens, 2 training tokens, 3 training documents."""
-    counts, tokens, train, docs = Counter(), 0, 0, 0
+def _tokenised(size: int):
+    """Blocks of about ``size`` words: their words as numbers, the hash of each number's word (0 the end), and their documents."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, parts, ids, held, tokens = packed.Codes({b"": 0}), [], [], [], 0
+        number = TaskContext.get().partitionId() << 24
+
+        def block() -> pa.RecordBatch:
+            words = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes))
+            null = np.array([x is None for x in ids], bool)
+            data = packed.pack(tokens=np.concatenate(parts), n=np.array([len(x) for x in parts], np.int32), hash=words, id=np.array([x or 0 for x in ids], np.int64), null=null, held=np.array(held, bool))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
+
+        for b in it:
+            for doc_id, text, out in zip(b.column(0).to_pylist(), common.text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                words = text.lower().split()
+                parts.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
+                ids.append(doc_id)
+                held.append(out)
+                tokens += len(words) + 1
+                if tokens >= size:
+                    yield block()
+                    codes, parts, ids, held, tokens, number = packed.Codes({b"": 0}), [], [], [], 0, number + 1
+        if parts:
+            yield block()
+
+    return run
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        held = [(0, xxhash.xxh64_intdigest(w), n) for w, n in counts.items() if n * LISTED >= tokens]
-        rows = [*held, (1, 0, tokens), (2, 0, train), (3, 0, docs)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "hash", "n"])
 
+def _listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, hash, n: 0 words of some share of a block by hash, 1 tokens, 2 training tokens, 3 training documents."""
     for b in it:
-        for text, out in zip(common.text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-            words = text.lower().split()
-            counts.update(words)
-            tokens += len(words) + 1
-            train += 0 if out else len(words) + 1
-            docs += not out
-            if tokens >= size:
-                yield from flush()
-                counts, tokens, train, docs = Counter(), 0, 0, 0
-    if tokens:
-        yield from flush()
+        for data in b.column(1).to_pylist():
+            x = packed.unpack(data)
+            counts, own = np.bincount(x["tokens"], minlength=len(x["hash"])), x["n"].astype(np.int64) + 1
+            some = np.flatnonzero(counts * LISTED >= own.sum())
+            sums = [own.sum(), own[~x["held"]].sum(), (~x["held"]).sum()]
+            kind = np.concatenate((np.zeros(len(some), np.int32), np.arange(1, 4, dtype=np.int32)))
+            hashes = np.concatenate((x["hash"][some], np.zeros(3, np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(hashes), pa.array(np.concatenate((counts[some], sums)).astype(np.int64))], names=["kind", "hash", "n"])
 
 
 class Coding:
@@ -146,8 +166,8 @@ class Coding:
         self.hashes, self.buckets = listed[self.rank], buckets
         self.hot = np.arange(n_hot + 1, dtype=np.uint64)  # the end too
 
-    def keys(self, words: list[bytes]) -> np.ndarray:
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Of hashes of words."""
         if not len(self.hashes):
             return h | _RARE
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -164,42 +184,33 @@ class Coding:
 class Block:
     """The pairs of a block of documents, each once, with the documents of its occurrences."""
 
-    def __init__(self, codes: packed.Codes, parts: list[np.ndarray], coding: Coding):
-        keys = np.concatenate((np.zeros(1, np.uint64), coding.keys(list(codes)[1:])))
-        lengths = np.array([len(p) for p in parts], np.int64)
-        tokens = np.concatenate([x for p in parts for x in (np.zeros(1, np.int64), p)] + [np.zeros(1, np.int64)])
-        doc = np.repeat(np.arange(len(parts)), lengths + 1)
-        bits, doc_bits = len(codes).bit_length(), len(parts).bit_length()
+    def __init__(self, x: dict[str, np.ndarray], coding: Coding):
+        keys = np.concatenate((np.zeros(1, np.uint64), coding.keys(x["hash"][1:])))
+        self.n = x["n"].astype(np.int64) + 1
+        ends = np.cumsum(self.n)
+        tokens = np.zeros(int(ends[-1]) + 1, np.uint32)  # an end before each document, and one after the last
+        place = np.ones(len(tokens), bool)
+        place[np.concatenate(([0], ends))] = False
+        tokens[place] = x["tokens"]
+        doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        bits, doc_bits = len(keys).bit_length(), len(self.n).bit_length()
+        pair = tokens[:-1].astype(np.int64)  # in place from here on: a block is the most that a task holds
+        pair <<= bits
+        pair |= tokens[1:]
         if 2 * bits + doc_bits <= 63:
-            mixed = np.sort((tokens[:-1] << bits | tokens[1:]) << doc_bits | doc)
-            pair, doc = mixed >> doc_bits, mixed & (1 << doc_bits) - 1
+            pair <<= doc_bits
+            pair |= doc
+            pair.sort()
+            doc = (pair & (1 << doc_bits) - 1).astype(np.int32)
+            pair >>= doc_bits
         else:
-            pair = tokens[:-1] << bits | tokens[1:]
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
-        self.start = packed.runs(pair)
-        self.doc, self.lengths = doc, lengths
+        self.start, self.doc = packed.runs(pair), doc
         pair = pair[self.start]
         self.u, self.w = keys[pair >> bits], keys[pair & (1 << bits) - 1]
 
 
-def _blocks(it: Iterator[pa.RecordBatch], coding: Coding, size: int) -> Iterator[tuple[Block, list, np.ndarray]]:
-    """Blocks with the ids of their documents, and which are held out."""
-    codes, parts, ids, held, tokens = packed.Codes({b"": 0}), [], [], [], 0
-    for b in it:
-        for doc_id, text, out in zip(b.column(0).to_pylist(), common.text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-            words = text.lower().split()
-            parts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
-            ids.append(doc_id)
-            held.append(out)
-            tokens += len(words) + 1
-            if tokens >= size:
-                yield Block(codes, parts, coding), ids, np.array(held, bool)
-                codes, parts, ids, held, tokens = packed.Codes({b"": 0}), [], [], [], 0
-    if parts:
-        yield Block(codes, parts, coding), ids, np.array(held, bool)
-
-
 def _coded(u: np.ndarray, w: np.ndarray, **more: np.ndarray) -> bytes:
     """Pairs with equal ``u`` next to each other."""
     start, listed = packed.runs(u), w < _RARE
@@ -214,29 +225,34 @@ def _decoded(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return u, w
 
 
-def _pairs(coding: Coding, scored: bool, size: int):
+def _pairs(coding: Coding, scored: bool):
     """Each block's pairs for each bucket, with training counts; if ``scored``, with the documents of their occurrences, and a message of the documents."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
-        for block, ids, held in _blocks(it, coding, size):
-            number += 1
-            times = np.diff(block.start, append=len(block.doc))
-            train = np.add.reduceat((~held[block.doc]).astype(np.int64), block.start)
-            bucket = coding.of_pairs(block.u, block.w)
-            order = np.argsort(bucket, kind="stable")
-            for i, j in packed.cuts(bucket[order]):
-                own = order[i:j]
-                more = {"c": train[own].astype(np.int32)}
-                if scored:
-                    n = times[own]
-                    at = np.repeat(block.start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    more |= {"times": n.astype(np.int32), "doc": block.doc[at].astype(np.int32)}
-                yield _batch([_message(int(bucket[own[0]]), "pairs", number, _coded(block.u[own], block.w[own], **more))])
+        for b in it:
+            for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield from messages(number, packed.unpack(data))
+
+    def messages(number: int, x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        block, held = Block(x, coding), x["held"]
+        times = np.diff(block.start, append=len(block.doc))
+        train = np.add.reduceat(~held[block.doc], block.start, dtype=np.int32)
+        bucket = coding.of_pairs(block.u, block.w)
+        order = np.argsort(bucket.astype(np.uint16) if coding.buckets <= 1 << 16 else bucket, kind="stable")
+        for i, j in packed.cuts(bucket[order]):
+            own = order[i:j]
+            more = {"c": train[own]}
             if scored:
-                null = np.array([x is None for x in ids], bool)
-                data = packed.pack(id=np.array([x or 0 for x in ids], np.int64), null=null, held=held, n=block.lengths + 1)
-                yield _batch([_message(number % coding.buckets, "docs", number, data)])
+                n = times[own]
+                first = np.cumsum(n) - n
+                doc = block.doc[np.repeat(block.start[own] - first, n) + np.arange(n.sum())].astype(np.int64)
+                step = np.diff(doc, prepend=0)  # a pair's documents ascend; steps between them are small
+                step[first] = doc[first]
+                more |= {"times": n.astype(np.int32), "step": step.astype(np.int32)}
+            yield _batch([_message(int(bucket[own[0]]), "pairs", number, _coded(block.u[own], block.w[own], **more))])
+        if scored:
+            data = packed.pack(id=x["id"], null=x["null"], held=held, n=block.n)
+            yield _batch([_message(number % coding.buckets, "docs", number, data)])
 
     return run
 
@@ -341,8 +357,8 @@ def _parent(turn: int, base: float, d: float, keep: bool):
     return run
 
 
-def _contexts(coding: Coding, turn: int, d: float, parent: Callable[[np.ndarray], np.ndarray], hot_tables: np.ndarray, keep: bool):
-    """Moves customers of the dishes of several; their tables by word; sums: tables of hot contexts."""
+def _contexts(coding: Coding, turn: int, d: float, parent: Callable[[np.ndarray], np.ndarray], hot_tables: np.ndarray, keep: bool, last: bool):
+    """Moves customers of the dishes of several; their tables by word, unless this is the last round; sums: tables of hot contexts."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group["to"][0].as_py()
@@ -375,7 +391,7 @@ def _contexts(coding: Coding, turn: int, d: float, parent: Callable[[np.ndarray]
         state = _coded(u, w, c=c, ones=ones, hot_ones=x["hot_ones"], t=t.astype(np.int32), size=size, **more)
         names, wi = np.unique(w, return_inverse=True)
         rows = [_message(bucket, "state", bucket, state, sums.tolist())]
-        rows += _to_words(coding, "tables", bucket, names, n=np.bincount(wi, t).astype(np.int64))
+        rows += [] if last else _to_words(coding, "tables", bucket, names, n=np.bincount(wi, t).astype(np.int64))
         return pa.Table.from_pylist(rows, schema=_ARROW)
 
     return run
@@ -395,7 +411,7 @@ def _answers(turns: list[int]):
                 there = known[at] == x["w"] if len(known) else np.zeros(len(x["w"]), bool)
                 for t in turns:
                     out[f"own{t}"][there] = words[0][1][f"own{t}"][at[there]]
-            rows.append(_message(src, "answers", group["to"][0].as_py(), packed.pack(w=x["w"], **out)))
+            rows.append(_message(src, "answers", group["to"][0].as_py(), packed.pack(**out)))  # in the order asked
         return pa.Table.from_pylist(rows, schema=_ARROW)
 
     return run
@@ -412,7 +428,7 @@ class Sample:
         return (own.astype(float) + self.even) / self.size
 
 
-def _scores(d: float, samples: list[Sample], hot_customers: np.ndarray, base: Callable[[np.ndarray], np.ndarray]):
+def _scores(coding: Coding, d: float, samples: list[Sample], hot_customers: np.ndarray, base: Callable[[np.ndarray], np.ndarray]):
     """Sums for each document with pairs in the bucket: log10 probabilities of the model and of the base, known words."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -426,10 +442,8 @@ def _scores(d: float, samples: list[Sample], hot_customers: np.ndarray, base: Ca
         total = np.zeros(len(u), np.int64)
         np.add.at(total, ui, c)
         total[hot] = hot_customers[places]
-        answers = _rows(group, "answers")
-        names = _joined(answers, "w", np.uint64)
-        order = np.argsort(names)
-        of_word = order[np.searchsorted(names[order], w)]
+        answers = _rows(group, "answers")  # of each bucket of words, which was asked about these words in this order
+        asked = np.argsort(coding.of_words(w), kind="stable")
         several = np.flatnonzero(c > 1)  # in the order of contexts and words, as in the state
         x = _rows(group, "state")[0][1]
         p = np.zeros(len(c))
@@ -439,17 +453,22 @@ def _scores(d: float, samples: list[Sample], hot_customers: np.ndarray, base: Ca
                 t[several] = x[f"t{s.turn}"]
             tables = np.bincount(ui, t, minlength=len(u))
             tables[hot] = s.hot_tables[places]
-            above = s.parent(_joined(answers, f"own{s.turn}", np.float32)[of_word])
+            above = np.empty(len(w))
+            above[asked] = s.parent(_joined(answers, f"own{s.turn}", np.float32))
             p += (c - d * t + (THETA + d * tables[ui]) * above[wi]) / (THETA + total[ui])
         model, plain = np.log10(p / len(samples)), np.where(u == 0, 0.0, base(total))
         known, at, rows = (total > 0) & (u > 0), 0, []
         for src, m in pairs:
             own = where[at : at + len(m["times"])]
             at += len(own)
-            of, n = np.repeat(own, m["times"]), m["doc"].max() + 1
-            sums = [np.bincount(m["doc"], v, minlength=n) for v in (model[of], plain[ui[of]], known[ui[of]])]
-            some = np.unique(m["doc"])
-            rows.append(_message(0, "sums", src, packed.pack(doc=some, model=sums[0][some].astype(np.float32), plain=sums[1][some], known=sums[2][some].astype(np.int32))))
+            of, steps = np.repeat(own, m["times"]), np.cumsum(m["step"], dtype=np.int64)
+            first = np.cumsum(m["times"]) - m["times"]
+            doc = steps - np.repeat(steps[first] - m["step"][first], m["times"])
+            n = doc.max() + 1
+            sums = [np.bincount(doc, v, minlength=n) for v in (model[of], plain[ui[of]], known[ui[of]])]
+            some = np.unique(doc)
+            whole = [np.rint(x[some] * unit).astype(np.int64) for x, unit in zip(sums, (MODEL_UNIT, PLAIN_UNIT, 1), strict=True)]
+            rows.append(_message(0, "sums", src, packed.pack(doc=some.astype(np.int32), model=whole[0], plain=whole[1], known=whole[2])))
         return pa.Table.from_pylist(docs + rows, schema=_ARROW)
 
     return run
@@ -460,7 +479,7 @@ def _documents(train_tokens: int, ends: int, of_end: float):
         ((_, x),), sums = _rows(group, "docs"), _rows(group, "sums")
         n = len(x["id"])
         doc = _joined(sums, "doc", np.int32)
-        model, plain, known = (np.bincount(doc, _joined(sums, k, float), minlength=n) for k in ("model", "plain", "known"))
+        model, plain, known = (np.bincount(doc, _joined(sums, k, np.int64) / unit, minlength=n) for k, unit in (("model", MODEL_UNIT), ("plain", PLAIN_UNIT), ("known", 1)))
         return pa.table({
             "doc_id": pa.array(x["id"], mask=x["null"]), "held_out": pa.array(x["held"]), "n_tokens": pa.array(x["n"]), "n_known": pa.array(known.astype(np.int64) + (ends > 0)),
             "train_tokens": pa.array(np.full(n, train_tokens)), "base_score": pa.array(plain + of_end), "score": pa.array(model),
@@ -493,7 +512,8 @@ def scores(docs: DataFrame, held: Column | None = None, bucket: int = BUCKET, bl
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``; rows that are not ``held`` train the model."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out() if held is None else held, F.lit(True)).alias("held"))
-    counts = common.saved(docs.mapInArrow(_listed, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")), "listed")
+    blocks = common.saved(docs.mapInArrow(_tokenised(block), "block long, data binary"), "blocks")
+    counts = common.saved(blocks.mapInArrow(_listed, "kind int, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")), "listed")
     all_tokens, train_tokens, ends = (counts.where(F.col("kind") == k).agg(F.sum("n")).first()[0] or 0 for k in (1, 2, 3))
     if not all_tokens:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -502,7 +522,8 @@ def scores(docs: DataFrame, held: Column | None = None, bucket: int = BUCKET, bl
 
     by = lambda df, f: df.groupBy("to").applyInArrow(f, MESSAGE)
     of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
-    first = common.saved(by(docs.mapInArrow(_pairs(coding, False, block), MESSAGE), _first(coding)), "first")
+    first = common.saved(by(blocks.mapInArrow(_pairs(coding, False), MESSAGE), _first(coding)), "first")
+    common.release(spark)
     sums, n_hot = _added(first, "state"), len(coding.hot)
     hot_customers, hot_tables = sums[3 : 3 + n_hot], sums[3 + n_hot :]
     n_words = int(sums[2] + (hot_customers > 0).sum())
@@ -516,16 +537,17 @@ def scores(docs: DataFrame, held: Column | None = None, bucket: int = BUCKET, bl
         seated = _added(parent, "words")
         now = Sample(turn, d_parent, *(seated.tolist() if len(seated) else (0, 0)), n_words)
         base = now.even
-        state = common.saved(by(of(state, "state").union(of(parent, "own")), _contexts(coding, turn, d, now.parent, hot_tables, keep)), "state")
+        state = common.saved(by(of(state, "state").union(of(parent, "own")), _contexts(coding, turn, d, now.parent, hot_tables, keep, turn == BURN + SAMPLES - 1)), "state")
         hot_tables = _added(state, "state")
         now.hot_tables = hot_tables
         samples += [now] if keep else []
         words, tables = parent, state
         if turn:
             common.discard(spark, made - 2, made)  # the round before
+        common.release(spark)
     asked = by(of(first, "asks").union(of(words, "words")), _answers([s.turn for s in samples]))
-    met = docs.mapInArrow(_pairs(coding, True, block), MESSAGE).union(asked).union(of(state, "state"))
+    met = blocks.mapInArrow(_pairs(coding, True), MESSAGE).union(asked).union(of(state, "state"))
     all_words = train_tokens + 0.1 * (n_words + 1)
     of_count = lambda c: np.log10((c + 0.1) / all_words)
-    sums = by(met, _scores(d, samples, hot_customers, of_count))
+    sums = by(met, _scores(coding, d, samples, hot_customers, of_count))
     return sums.groupBy("src").applyInArrow(_documents(train_tokens, ends, float(of_count(ends))), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
