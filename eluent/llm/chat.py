@@ -88,9 +88,11 @@ def _originals(units: DataFrame, rows: DataFrame) -> DataFrame:
     said = rows.select("conv_id", "turn", F.array_join(_words(F.col("text")), " ").alias("said")).where("said <> ''").groupBy("conv_id", "said").agg(F.min("turn").alias("turn"))
     asked = common.saved(distinct.select("conv_id").distinct(), "asked")
     said = common.saved(common.semi_join(said, asked, "conv_id").withColumn("id", F.monotonically_increasing_id()), "said")
-    of_size = lambda k: F.transform(_spans(F.col("said"), k), lambda h: F.struct(F.lit(k).alias("n"), h.alias("h")))
-    spans = F.explode(F.concat(*map(of_size, sizes)))
-    held = said.select("conv_id", "id", "turn", spans.alias("x")).select("conv_id", "id", "turn", "x.n", "x.h")
+    # a row for each word and size, hashed in generated code
+    placed = said.select("conv_id", "id", "turn", F.split("said", " ").alias("w")).select("conv_id", "id", "turn", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    of_size = lambda k: F.when(F.col("i") + k <= F.size("w"), F.xxhash64(F.concat_ws(" ", *(F.col("w")[F.col("i") + j] for j in range(k)))))
+    spans = F.explode(F.array(*(F.struct(F.lit(k).alias("n"), of_size(k).alias("h")) for k in sizes)))
+    held = placed.select("conv_id", "id", "turn", spans.alias("x")).select("conv_id", "id", "turn", "x.n", "x.h").where("h is not null")
     # few asked windows are broadcast, so that the others need no shuffle
     held = common.saved(common.semi_join(held, common.saved(keys.select("conv_id", "n", "h").distinct(), "asked-spans"), ["conv_id", "n", "h"]), "spans")
     # a unit is met by the rarest of its windows, and only if each of them occurs: first by the earliest message that holds it, which is the answer if it holds the unit, as it
