@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,20 +14,36 @@ def _bucketed(targets: DataFrame, rows: DataFrame, target: str, value: str, widt
 
 
 def nearest(targets: DataFrame, rows: DataFrame, key: str, target: str, value: str, tolerance: Column, width: float, payload: list[str]) -> DataFrame:
-    """For each target the nearest row, the smaller value of two equally near, if nearer than ``tolerance`` (strictly)."""
-    pairs = _bucketed(targets.select(key, target), rows.select(value, *payload), target, value, width)
-    d = F.abs(F.col(value) - F.col(target))
-    best = pairs.where(d < tolerance).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col(value).alias("v"), *payload)).alias("x"))
+    """For each target the nearest row, the smaller value of two equally near, if nearer than ``tolerance`` (strictly).
+
+    No pairs are made: in each bucket targets and distinct values are walked in order, both ways, and a target takes the last value on either side. The values next to a bucket are those
+    at the ends of its neighbours.
+    """
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    found = F.struct(F.col(value).alias("v"), *payload)
+    values = rows.where(finite(value)).groupBy(F.floor(F.col(value) / width).alias("_bucket"), F.col(value).alias("_at")).agg(F.min(found).alias("_row"))
+    ends = values.groupBy("_bucket").agg(F.max(F.struct("_at", "_row")).alias("last"), F.min(F.struct("_at", "_row")).alias("first"))  # a row for each bucket
+    ends = ends.select(F.explode(F.array(F.struct((F.col("_bucket") + 1).alias("_bucket"), F.col("last").alias("x")), F.struct((F.col("_bucket") - 1).alias("_bucket"), F.col("first").alias("x")))).alias("e"))
+    sought = targets.where(finite(target)).select(F.floor(F.col(target) / width).alias("_bucket"), F.col(target).alias("_at"), F.struct(key, target).alias("_target"))
+    both = values.unionByName(ends.select("e._bucket", "e.x.*")).unionByName(sought, allowMissingColumns=True)
+    side = lambda order: F.last("_row", ignorenulls=True).over(Window.partitionBy("_bucket").orderBy(order, F.col("_target").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"_below": side(F.col("_at")), "_above": side(F.desc("_at"))}).where("_target is not null").select("_target.*", F.explode(F.array("_below", "_above")).alias("_row"))
+    d = F.abs(F.col("_row.v") - F.col(target))
+    best = both.where(d < tolerance).groupBy(key).agg(F.min(F.struct(d.alias("d"), "_row.v", *(F.col(f"_row.{p}").alias(p) for p in payload))).alias("x"))
     return best.select(key, F.col("x.v").alias(value), F.col("x.d").alias("distance"), *(F.col(f"x.{p}").alias(p) for p in payload))
 
 
 def window_reduce(targets: DataFrame, rows: DataFrame, key: str, target: str, value: str, low: Column, high: Column, width: float, measure: str, mode: str = "sum") -> DataFrame:
-    """For each target the sum or maximum of ``measure`` over rows with ``low <= value <= high``; 0 where there are none."""
+    """For each target the sum or maximum of ``measure`` over rows with ``low <= value <= high``; 0 where there are none. Equal windows and equal values meet once."""
     if mode not in ("sum", "max"):
         raise ValueError(f"mode is sum or max, not {mode}")
-    pairs = _bucketed(targets, rows.select(value, measure), target, value, width).where((F.col(value) >= low) & (F.col(value) <= high))
-    got = pairs.groupBy(key).agg((F.sum if mode == "sum" else F.max)(measure).alias(measure), F.count("*").alias("n"))
-    return targets.select(key, target).join(got, key, "left").na.fill(0, [measure, "n"])
+    reduce = F.sum if mode == "sum" else F.max
+    at = [target, "_low", "_high"]
+    placed = targets.withColumns({"_low": low, "_high": high})
+    summed = rows.groupBy(value).agg(reduce(measure).alias(measure), F.count("*").alias("n"))
+    pairs = _bucketed(placed.select(*at).distinct(), summed, target, value, width).where((F.col(value) >= F.col("_low")) & (F.col(value) <= F.col("_high")))
+    got = pairs.groupBy(*at).agg(reduce(measure).alias(measure), F.sum("n").alias("n"))
+    return placed.select(key, *at).join(got, at, "left").select(key, target, measure, "n").na.fill(0, [measure, "n"])
 
 
 def away_from(rows: DataFrame, targets: DataFrame, key: str, value: str, target: str, distance: float) -> DataFrame:

@@ -304,3 +304,22 @@ def test_targeted_peak_rules(spark):
     df = spark.createDataFrame(rows, "i int, s string, c string, points array<struct<rt:double,intensity:double>>, lo int, hi int, sn double")
     got = df.select("i", refine.peak_rules(*map(F.col, ("points", "lo", "hi", "sn", "s", "c"))).alias("ok")).orderBy("i").collect()
     assert [g["ok"] for g in got] == [c[-1] for c in cases]
+
+
+def test_nearest_and_windows_make_no_pairs_of_copies(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, float(v) / 4) for i, v in enumerate(r.integers(-400, 400, 900))] + [(900, None), (901, float("nan")), (902, float("inf"))]
+    targets = [(k, float(v) / 4) for k, v in enumerate(r.integers(-420, 420, 500))] + [(500, None), (501, float("nan")), (502, 1e6)]
+    df, t = spark.createDataFrame(rows, "r int, mz double"), spark.createDataFrame(targets, "k int, target double")
+    plain = [(i, v) for i, v in rows if v is not None and abs(v) < float("inf")]
+    found = joins.nearest(t, df, "k", "target", "mz", F.lit(0.6), 0.6, ["r"])
+    want = {k: min(((abs(v - x), v, i) for i, v in plain if abs(v - x) < 0.6), default=None) for k, x in targets if x is not None and x == x}
+    assert {x["k"]: (x["distance"], x["mz"], x["r"]) for x in found.collect()} == {k: v for k, v in want.items() if v}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.nearest(t, df, "k", "target", "mz", F.lit(0.6), 0.6, []).count() == sum(v is not None for v in want.values())
+    for mode, f in (("sum", sum), ("max", max)):
+        got = joins.window_reduce(t.where("k <> 501"), df, "k", "target", "mz", F.col("target") - 0.5, F.col("target") + 0.5, 0.5, "r", mode)
+        inside = {k: [i for i, v in plain if x is not None and abs(v - x) <= 0.5] for k, x in targets if k != 501}
+        assert {x["k"]: (x["r"], x["n"]) for x in got.collect()} == {k: (f(v) if v else 0, len(v)) for k, v in inside.items()}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") >= 3  # equal windows and equal values are one before they meet
