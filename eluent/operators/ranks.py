@@ -1,4 +1,4 @@
-"""Ranks without a window over all rows, or over a large group, in one task."""
+"""Ranks without a window over all rows, or over a large group, in one task; and rows dealt by key."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.stages import shared_dir
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by their keys over as many partitions as the session has for a shuffle. Adaptive execution would merge these by their compressed size, a tenth of what sorts and hash tables need for them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """``rows`` with a rank from 1 in ``order``, which must tell rows apart. They are range-partitioned and sorted there; only a count for each partition
     meets in one place. The sorted rows are checkpointed, since the ranges of a second run may differ."""

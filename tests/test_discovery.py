@@ -155,6 +155,40 @@ def test_density_groups(spark):
     assert groups.density_groups(df.limit(0), 10.0, samples).count() == 0
 
 
+def test_regions_are_a_row_for_each_ion(spark):
+    r = np.random.default_rng(4)
+    cells = {k: sorted({int(c) for c in r.choice([0, 9, 20, 53, 54, 120, -300], 6) + r.integers(0, 5, 6)}) for k in range(60)}
+    rows = [(k, c * 2.5 + 1.0) for k, cs in cells.items() for c in cs for _ in range(r.integers(1, 4))]
+    got = groups.regions(spark.createDataFrame(rows, "ion_id long, rt double"), 10.0).collect()
+    assert len(got) == 60 and sum(x["peaks"] for x in got) == len(rows)
+    for x in got:
+        density = defaultdict(int)
+        for k, rt in rows:
+            if k == x["ion_id"]:
+                for i, w in enumerate(groups.WEIGHTS):
+                    density[math.floor(rt / 2.5) + i - groups.REACH] += w
+        want, down, before = [], False, None
+        for c in sorted(density):
+            if before is not None and (c - before > 1 or (down and density[c] > density[before])):
+                want.append(c)
+                down = False
+            if before is not None and c - before == 1 and density[c] != density[before]:
+                down = density[c] < density[before]
+            before = c
+        assert x["cuts"] == want
+    assert groups.valleys(*[np.zeros(0, dtype=np.int64)] * 3).shape == (0, 2)
+
+
+def test_numbers_and_medians_of_groups(spark):
+    rows = [("p", "m", f"s{k % 4}", 100.0 + k) for k in range(8)] + [(f"q{k:04d}", "m", "s9", 1000.0 + 200 * k) for k in range(1001)] + [("twice", "m", "s9", t) for t in (400.0, 401.0)]
+    df = spark.createDataFrame(rows, "peak_id string, ion_id string, sample_id string, rt double").withColumn("mz", F.when(F.col("peak_id") != "twice", 5.0))
+    samples = spark.createDataFrame([(f"s{k}", "A") for k in range(4)], "sample_id string, grp string")
+    f = {x["feature_id"]: x for x in groups.features(groups.density_groups(df, 10.0, samples), 5).collect()}
+    assert len(f) == 1003 and (f["m__G001"]["rtmed"], f["m__G001"]["npeaks"], f["m__G001"]["n_detected"], f["m__G001"]["sample_ids"]) == (103.5, 8, 4, "s0;s1;s2;s3")
+    assert (f["m__G002"]["rtmed"], f["m__G002"]["peak_ids"], f["m__G002"]["npeaks"], f["m__G002"]["mzmed"], f["m__G002"]["group_source"]) == (400.5, "twice", 2, None, "unassigned_singleton")
+    assert f["m__G1003"]["rtmax"] == 201000.0
+
+
 def test_rectangles_against_all_pairs(spark):
     r = np.random.default_rng(3)
     points = [(i, f"s{r.integers(0, 2)}", float(np.exp(r.uniform(4, 6))), float(r.uniform(0, 20))) for i in range(800)]
