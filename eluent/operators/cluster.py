@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def rt_gap_clusters(peaks: DataFrame, eps: float, key: str = "ion_id", rt: str = "rt") -> DataFrame:
     """``peaks`` with ``label``: within a key, a new cluster begins where the gap to the next smaller rt is over ``eps`` population
@@ -25,7 +29,7 @@ def summaries(labelled: DataFrame, key: str = "ion_id", seq: str | None = None)
 
 def in_sequence(peaks: DataFrame, order: list[Column | str], key: str = "ion_id") -> DataFrame:
     """``peaks`` with ``seq``, their place among those of their key."""
-    return peaks.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranks.dealt(peaks, key).withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
 def merged_labels(labels: list, means: list[float], close: float) -> list[tuple]:
@@ -42,15 +46,17 @@ def merged_labels(labels: list, means: list[float], close: float) -> list[tuple]
 
 def merge_close(clusters: DataFrame, close: float = 0.04, key: str = "ion_id", order: str = "label") -> DataFrame:
     """key, label, merged, merged_rt; clusters of a key are met in the order of ``order``, which is that of first appearance with ``first_seq``. A key has
-    few clusters."""
-    kind = clusters.schema
+    few clusters; its row of them is one of many in an Arrow batch."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, "label"])
-        rows = merged_labels(group["label"].tolist(), group["mean_rt"].tolist(), close)
-        return pd.DataFrame([(group[key].iloc[0], *r) for r in rows], columns=[key, "label", "merged", "merged_rt"])
+    @F.pandas_udf("merged array<long>, merged_rt array<double>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for labels, means in batches:
+            rows = [merged_labels(a.tolist(), b.tolist(), close) for a, b in zip(labels, means, strict=True)]
+            yield pd.DataFrame({"merged": pd.Series([[r[1] for r in x] for x in rows], dtype=object), "merged_rt": pd.Series([[r[2] for r in x] for x in rows], dtype=object)})
 
-    return clusters.groupBy(key).applyInPandas(run, f"{key} {kind[key].dataType.simpleString()}, label long, merged long, merged_rt double")
+    own = clusters.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), F.col("label").cast("long").alias("label"), "mean_rt"))).alias("_c"))
+    rows = own.select(key, F.col("_c.label").alias("label"), run(F.col("_c.label"), F.col("_c.mean_rt")).alias("m"))
+    return rows.select(key, F.inline(F.arrays_zip("label", F.col("m.merged").alias("merged"), F.col("m.merged_rt").alias("merged_rt"))))
 
 
 def select_best(clusters: DataFrame, theory: Column, key: str = "ion_id", most_error: float | None = None, epsilon: float = 1e-6) -> DataFrame:

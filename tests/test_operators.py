@@ -323,3 +323,16 @@ def test_nearest_and_windows_make_no_pairs_of_copies(spark):
         assert {x["k"]: (x["r"], x["n"]) for x in got.collect()} == {k: (f(v) if v else 0, len(v)) for k, v in inside.items()}
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Aggregate") >= 3  # equal windows and equal values are one before they meet
+
+
+def test_merging_takes_keys_in_batches(spark):
+    r = np.random.default_rng(6)
+    rows = [(k, label, int(seq), float(r.integers(0, 40)) / 4) for k in range(40) for label, seq in enumerate(r.permutation(int(r.integers(1, 7))))]
+    df = spark.createDataFrame(rows, "ion_id int, label long, first_seq int, mean_rt double").repartition(3)
+    for order, at in (("label", 1), ("first_seq", 2)):
+        merged = cluster.merge_close(df, 1.0, order=order)
+        own = {k: sorted((x for x in rows if x[0] == k), key=lambda x: x[at]) for k in range(40)}
+        want = [(k, *m) for k, xs in own.items() for m in cluster.merged_labels([x[1] for x in xs], [x[3] for x in xs], 1.0)]
+        assert sorted(map(tuple, merged.collect())) == sorted(want) and any(w[1] != w[2] for w in want)
+        assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert cluster.merge_close(df.limit(0)).count() == 0
