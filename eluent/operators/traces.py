@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 ROUNDS = 2
 #: Tolerances in a bucket.
 WIDE = 256
@@ -27,7 +29,7 @@ def cut(rows: DataFrame, keys: list[str], order: str, far: Column, name: str) ->
 def mass_islands(rows: DataFrame, ppm: float, key: str = "sample_id", mz: str = "mz", name: str = "island") -> DataFrame:
     """``rows`` with the smallest mass of the run of masses, each within ``ppm`` of the next lower one, that they are part of."""
     far = F.col(mz) - F.col("_before") > F.col("_before") * (ppm * 1e-6)
-    rows = rows.withColumn("_bucket", F.floor(F.log(mz) / (WIDE * math.log1p(ppm * 1e-6))))
+    rows = ranks.dealt(rows.withColumn("_bucket", F.floor(F.log(mz) / (WIDE * math.log1p(ppm * 1e-6)))), key, "_bucket")
     inside = Window.partitionBy(key, "_bucket").orderBy(mz)
     last = rows.groupBy(key, "_bucket").agg(F.max(mz).alias("_last")).withColumn("_bucket", F.col("_bucket") + 1)
     rows = rows.join(last, [key, "_bucket"], "left").withColumn("_before", F.coalesce(F.lag(mz).over(inside), "_last"))
@@ -43,7 +45,8 @@ def labelled(centroids: DataFrame, ppm: float, gap: int = 1, rounds: int = ROUND
     """Centroids (sample_id, scan, rt, mz, intensity) of positive mass and finite values with the columns that name their trace."""
     plain = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rows = mass_islands(centroids.where(plain("mz") & plain("intensity") & (F.col("mz") > 0)), ppm)
-    names = ["island"]
+    rows = ranks.dealt(rows.withColumn("_place", F.xxhash64("island")), "sample_id", "_place")  # a mass is no key for what follows to find its rows dealt by
+    names = ["_place", "island"]
     mass, scan = F.col("mz") - F.col("_before") > F.col("_before") * (ppm * 1e-6), F.col("scan") - F.col("_before") > gap
     for i in range(rounds):
         if i:
