@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def widen(cells: DataFrame, samples: list, prefix: str = "s", keys: tuple[str, ...] = ("ion_id",), value: str = "area") -> DataFrame:
     """A column for each of ``samples``; of several rows of a cell one alone may have a value, else it is an error."""
@@ -33,17 +35,19 @@ def upsert(cells: DataFrame, newer: DataFrame, keys: list[str], values: list[str
 def fill(cells: DataFrame, info: DataFrame, keys: list[str], value: str = "area") -> DataFrame:
     """Missing cells from ``info``; others stay."""
     i = info.select(*keys, F.col(value).alias("_info"))
-    return cells.join(i, keys, "left").withColumn(value, F.coalesce(value, "_info")).drop("_info")
+    return ranks.dealt(cells, *keys).join(i, keys, "left").withColumn(value, F.coalesce(value, "_info")).drop("_info")
 
 
 def enough_present(cells: DataFrame, key: str, most_missing: Column) -> DataFrame:
     """Cells of the keys whose missing cells are at most ``most_missing`` (of the number of cells, ``n``)."""
-    n = cells.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(F.col("area").isNull(), 1)).alias("missing"))
-    return cells.join(n.where(F.col("missing") <= most_missing).select(key), key, "left_semi")
+    of = Window.partitionBy(key)  # the samples of one row
+    n = cells.where(F.col(key).isNotNull()).select(F.struct("*").alias("_cell"), F.col(key).alias(key), F.count("*").over(of).alias("n"), F.count(F.when(F.col("area").isNull(), 1)).over(of).alias("missing"))
+    return n.where(F.col("missing") <= most_missing).select("_cell.*")
 
 
 def mix_rows(cells: DataFrame, key: str = "ion_id", sample: str = "sample_id") -> DataFrame:
     """Cells of the keys present in at least half of the samples named ``mix``; all if there are none."""
     mix = F.col(sample).contains("mix")
-    n = cells.groupBy(key).agg(F.count(F.when(mix, 1)).alias("n"), F.count(F.when(mix & F.col("area").isNotNull(), 1)).alias("present"))
-    return cells.join(n.where("present * 2 >= n").select(key), key, "left_semi")
+    of = Window.partitionBy(key)
+    here, present = F.count(F.when(mix, 1)).over(of), F.count(F.when(mix & F.col("area").isNotNull(), 1)).over(of)
+    return cells.where(F.col(key).isNotNull()).withColumn("_kept", present * 2 >= here).where("_kept").drop("_kept")

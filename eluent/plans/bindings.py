@@ -8,11 +8,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from ..operators import matrix
+from ..operators import matrix, ranks
 
 SAMPLES = list(range(8))
 #: A total order of peaks, whose keys repeat.
@@ -40,14 +40,22 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def areas(peaks: DataFrame, key: str = "ion_id") -> DataFrame:
+    """A row for each ion of ``peaks``, with the largest area of each sample as a column: rows are dealt and joined as ions, not as cells."""
+    return peaks.groupBy(key).agg(*(F.max(F.when(F.col("sample_id") == s, F.col("area"))).alias(f"_area_{s}") for s in SAMPLES))
+
+
+def spread() -> Column:
+    """sample_id and area, a row for each sample, of a row of ``areas``."""
+    return F.inline(F.array(*(F.struct(F.lit(s).cast("long").alias("sample_id"), F.col(f"_area_{s}").alias("area")) for s in SAMPLES)))
+
+
 def cells(spark: SparkSession, sf_dir: str, returned: bool = True) -> DataFrame:
     """feature_id, ion_id, sample_id, grp, area: every ion and sample, null where there is no peak."""
     p = peaks(spark, sf_dir)
     p = p.where("class = 'R'") if returned else p
-    found = p.groupBy("ion_id", "sample_id").agg(F.max("area").alias("area"))
-    ions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ion_id"))
-    every = ions.withColumn("sample_id", F.explode(F.array(*(F.lit(s).cast("long") for s in SAMPLES))))
-    out = every.join(found, ["ion_id", "sample_id"], "left")
+    ions = ranks.dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ion_id")), "ion_id")
+    out = ions.join(areas(p), "ion_id", "left").select("ion_id", spread())
     return out.select(F.col("ion_id").alias("feature_id"), "ion_id", "sample_id", F.when(F.col("sample_id") < 4, "A").otherwise("B").alias("grp"), "area")
 
 
