@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from . import matrix
+from . import matrix, ranks
 
 LEVEL = 0.05
 SCORES = ["precision", "recall", "f1"]
@@ -42,9 +42,11 @@ def presence(cells: DataFrame, truth: DataFrame, by: str = "sample_id") -> DataF
 def presence_against(observed: DataFrame, reference: DataFrame, by: str = "sample_id") -> DataFrame:
     """The same where truth has cells too: a cell is true if it is present in ``reference``, over all features of either side."""
     keys = ["feature_id", by]
-    present = lambda df, mark: df.where("area is not null").select(*keys).distinct().withColumn(mark, F.lit(True))
-    both = present(observed, "_seen").join(present(reference, "_true"), keys, "full_outer")
-    hit, real = F.coalesce("_seen", F.lit(False)), F.coalesce("_true", F.lit(False))
+    present = lambda df, seen: df.where("area is not null").select(*keys, F.lit(seen).alias("_seen"))
+    both = ranks.dealt(present(observed, True).unionByName(present(reference, False)), *keys)
+    apart = F.when(F.col("feature_id").isNull() | F.col(by).isNull(), F.col("_seen"))  # nulls are not equal
+    both = both.groupBy(*keys, apart.alias("_apart")).agg(F.bool_or("_seen").alias("_hit"), (~F.bool_and("_seen")).alias("_real"))
+    hit, real = F.col("_hit"), F.col("_real")
     n = both.groupBy(by).agg(*(F.count(F.when(c, 1)).alias(k) for k, c in (("tp", hit & real), ("fp", hit & ~real), ("fn", ~hit & real))))
     every = observed.select(by).union(reference.select(by)).distinct()
     return _scored(every.join(n, by, "left").na.fill(0, ["tp", "fp", "fn"]))
@@ -196,7 +198,7 @@ def accuracy_summary(methods: DataFrame, qualitative_errors: DataFrame, quantita
     kinds = {"qualitative_error": qualitative_errors, "quantitative_error": quantitative_errors}
     marked = [contained(e, universe, what=k).select("method", "feature_id").distinct().withColumn(k, F.lit(1)) for k, e in kinds.items()]
     wrong = marked[0].join(marked[1], ["method", "feature_id"], "full_outer").na.fill(0, list(kinds))
-    wrong = wrong.join(methods.where("qualitative and quantitative").select("method"), "method", "left_semi")
+    wrong = wrong.join(F.broadcast(methods.where("qualitative and quantitative").select("method")), "method", "left_semi")  # a few
     one = [F.sum(k).alias(f"{k}_count") for k in kinds]
     n = wrong.groupBy("method").agg(*one, F.sum(F.col("qualitative_error") * F.col("quantitative_error")).alias("overlap_error_count"), F.count("*").alias("unique_error_count"))
     counts = ["qualitative_error_count", "quantitative_error_count", "overlap_error_count", "unique_error_count"]

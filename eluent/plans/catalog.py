@@ -612,9 +612,8 @@ grid AS (SELECT feature_id, sample_id, area FROM (SELECT DISTINCT feature_id FRO
 def _sides(spark, d):
     """Reference cells, and those of a method that has other features and more peaks."""
     reference = b.cells(spark, d).where("feature_id % 5 <> 0").select("feature_id", "sample_id", "area")
-    found = b.peaks(spark, d).where("class <> 'N' and ion_id % 7 <> 0").groupBy(F.col("ion_id").alias("feature_id"), "sample_id").agg(F.max("area").alias("area"))
-    every = found.select("feature_id").distinct().withColumn("sample_id", F.explode(F.array(*(F.lit(x).cast("long") for x in b.SAMPLES))))
-    return reference, every.join(found, ["feature_id", "sample_id"], "left").select(F.lit("m").alias("method"), "feature_id", "sample_id", "area")
+    found = b.areas(b.peaks(spark, d).where("class <> 'N' and ion_id % 7 <> 0").withColumnRenamed("ion_id", "feature_id"), "feature_id")
+    return reference, found.select(F.lit("m").alias("method"), "feature_id", b.spread())
 
 
 @query(f"""WITH {_SIDES}, r AS (SELECT feature_id, CAST(sample_id AS BIGINT) AS sample_id FROM ref WHERE area IS NOT NULL AND feature_id % 11 <> 0), o AS (SELECT feature_id, CAST(sample_id AS BIGINT) AS sample_id FROM obs)
