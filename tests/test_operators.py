@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eluent.functions import kernels, names, signal, stats
-from eluent.operators import cluster, curate, evaluate, joins, matrix, refine, sampling
+from eluent.operators import cluster, curate, evaluate, joins, matrix, refine, sampling, traces
+from eluent.plans import bindings
 from eluent.sources import mzml, tables
 from eluent.sources.stages import Stages
 
@@ -336,3 +337,60 @@ def test_merging_takes_keys_in_batches(spark):
         assert sorted(map(tuple, merged.collect())) == sorted(want) and any(w[1] != w[2] for w in want)
         assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().optimizedPlan().toString()
     assert cluster.merge_close(df.limit(0)).count() == 0
+
+
+def shape(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_are_joined_as_ions(spark):
+    d = "/root/testdata/sf0.001"
+    plan = shape(bindings.cells(spark, d))
+    assert plan.index("Generate") < plan.index("Join")  # rows of samples are made after the join
+    plain = {(r["ion_id"], r["sample_id"]): r["a"] for r in bindings.peaks(spark, d).where("class = 'R'").groupBy("ion_id", "sample_id").agg(F.max("area").alias("a")).collect()}
+    ions = [r[0] for r in bindings.table(spark, d, "part").select("p_partkey").collect()]
+    assert sorted((r["ion_id"], r["sample_id"], r["area"] or 0.0) for r in bindings.cells(spark, d).collect()) == sorted((i, s, plain.get((i, s), 0.0)) for i in ions for s in bindings.SAMPLES)
+
+
+def test_filling_deals_cells_over_all_partitions(spark):
+    cells = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (2, 0, None), (None, 0, None)], "ion_id int, sample_id int, area double")
+    info = spark.createDataFrame([(1, 0, 5.0), (1, 1, 6.0), (None, 0, 7.0)], "ion_id int, sample_id int, area double")
+    got = matrix.fill(cells, info, ["ion_id", "sample_id"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(1, 0, 5.0), (1, 1, 2.0), (2, 0, None), (None, 0, None)], cells.schema).collect()))
+    assert "RepartitionByExpression" in shape(got)
+
+
+def test_row_filters_make_no_join(spark):
+    rows = [(k, f"{'mix' if s > 1 else 's'}{s}", 1.0 if (k >> s) & 1 else None) for k in range(16) for s in range(4)] + [(None, "mix3", 1.0)]
+    cells = spark.createDataFrame(rows, "ion_id int, sample_id string, area double").repartition(3)
+    mixed, enough = matrix.mix_rows(cells), matrix.enough_present(cells, "ion_id", F.col("n") / 2)
+    assert "Join" not in shape(mixed) + shape(enough) and mixed.columns == enough.columns == cells.columns
+    assert sorted(mixed.collect()) == sorted(r for r in rows if r[0] is not None and r[0] >> 2 > 0)
+    assert sorted((r["ion_id"], r["sample_id"]) for r in enough.collect()) == sorted(r[:2] for r in rows if r[0] is not None and bin(r[0]).count("1") >= 2)
+    plain = matrix.mix_rows(cells.where("sample_id like 's%'"))
+    assert plain.count() == 32  # no mix samples, all stay
+
+
+def test_presence_against_cells_makes_no_join(spark):
+    seen = spark.createDataFrame([("f", "a", 1.0), ("f", "a", 2.0), ("g", "a", 1.0), ("g", "b", None), (None, "a", 1.0)], "feature_id string, sample_id string, area double")
+    real = spark.createDataFrame([("f", "a", 1.0), ("h", "a", 1.0), ("h", "b", 1.0), (None, "a", 1.0), ("f", "c", None)], "feature_id string, sample_id string, area double")
+    got = evaluate.presence_against(seen, real)
+    assert sorted((r["sample_id"], r["tp"], r["fp"], r["fn"]) for r in got.collect()) == [("a", 1, 2, 2), ("b", 0, 0, 1), ("c", 0, 0, 0)]
+    assert "FullOuter" not in shape(got)
+
+
+def test_methods_are_not_dealt_by_name(spark):
+    methods = spark.createDataFrame([("one", True, True), ("two", True, False)], "method string, qualitative boolean, quantitative boolean")
+    ids = spark.createDataFrame([(k,) for k in range(9)], "feature_id int")
+    bad = lambda *ks: ids.where(F.col("feature_id").isin(*ks)).withColumn("method", F.lit("one"))
+    counts, wrong = evaluate.accuracy_summary(methods, bad(1, 2, 3), bad(3, 4), ids)
+    assert "rightHint=(strategy=broadcast)" in shape(wrong) and sorted(r["feature_id"] for r in wrong.collect()) == [1, 2, 3, 4]
+    assert [(r["unique_error_count"], r["overlap_error_count"]) for r in counts.orderBy("method").collect()] == [(4, 1), (None, None)]
+
+
+def test_traces_are_dealt_by_bucket_and_island(spark):
+    df = spark.createDataFrame([("s", k, k * 0.01, 100.0 + k % 3, 500.0) for k in range(60)], "sample_id string, scan long, rt double, mz double, intensity double")
+    found = traces.mass_traces(df, 50.0, gap=3)
+    assert sorted((r["mz_min"], r["scans"]) for r in found.collect()) == [(100.0, 20), (101.0, 20), (102.0, 20)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample_id" in plan and plan.count("REPARTITION_BY_NUM") >= 2 and "island" not in "".join(x.split("]")[0] for x in plan.split("hashpartitioning(")[1:] if "ENSURE_REQUIREMENTS" in x.split("\n")[0])
