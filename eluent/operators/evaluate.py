@@ -174,9 +174,17 @@ def relative_errors(pairs: DataFrame) -> DataFrame:
 
 def flags(universe: DataFrame, sets: dict[str, DataFrame]) -> DataFrame:
     """feature_id and a boolean for each set of ids; ids outside of ``universe`` are an error of the caller, see ``outside``."""
-    marked = (s.select("feature_id").distinct().withColumn(k, F.lit(True)) for k, s in sets.items())
-    out = reduce(lambda a, b: a.join(b, "feature_id", "left"), marked, universe.select("feature_id").distinct())
-    return out.na.fill(False, list(sets))
+    return marked(universe, [(s, {k: F.lit(True)}) for k, s in sets.items()])
+
+
+def marked(universe: DataFrame, sources: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """feature_id of ``universe`` and a boolean for each flag: whether its condition holds in any row that its source has of the feature. The rows of
+    all meet in one aggregation; rows of a feature without id mark none, and those of a feature outside of ``universe`` are left out."""
+    every = [k for _, conditions in sources for k in conditions]
+    row = lambda df, here, own: df.select("feature_id", here.alias("_here"), *(F.coalesce(own.get(k, F.lit(False)), F.lit(False)).alias(k) for k in every))
+    rows = [row(universe, F.lit(True), {}), *(row(df.where("feature_id is not null"), F.lit(False), own) for df, own in sources)]
+    found = ranks.dealt(reduce(DataFrame.unionByName, rows), "feature_id").groupBy("feature_id").agg(*(F.bool_or(k).alias(k) for k in ["_here", *every]))
+    return found.where("_here").drop("_here")
 
 
 def outside(ids: DataFrame, universe: DataFrame) -> DataFrame:

@@ -572,7 +572,8 @@ fl AS (SELECT p.p_partkey AS feature_id, coalesce(error_type = 'FP', false) AS f
 def _flags(spark, d):
     wrong = evaluate.contained(_qualitative(spark, d)[1], b.universe(spark, d))
     top = b.peaks(spark, d).groupBy(F.col("ion_id").alias("feature_id")).agg(F.max("conf").alias("conf"), F.max("l_tax").alias("tax"))
-    return evaluate.flags(b.universe(spark, d), {"fp": wrong.where("error_type like '%FP%'"), "fn": wrong.where("error_type like '%FN%'"), "aligned": top.where("conf >= 0.1"), "bounded": top.where("tax >= 0.08")})
+    kind = F.col("error_type")
+    return evaluate.marked(b.universe(spark, d), [(wrong, {"fp": kind.like("%FP%"), "fn": kind.like("%FN%")}), (top, {"aligned": F.col("conf") >= 0.1, "bounded": F.col("tax") >= 0.08})])
 
 
 @query(f"""WITH {_FLAGS}, s AS (SELECT count(*) FILTER (fp) + count(*) FILTER (fn) + count(*) FILTER (aligned OR bounded) AS reported, count(*) FILTER (fp OR fn OR aligned OR bounded) AS unique_errors, count(*) AS universe FROM fl)

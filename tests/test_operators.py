@@ -394,3 +394,13 @@ def test_traces_are_dealt_by_bucket_and_island(spark):
     assert sorted((r["mz_min"], r["scans"]) for r in found.collect()) == [(100.0, 20), (101.0, 20), (102.0, 20)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sample_id" in plan and plan.count("REPARTITION_BY_NUM") >= 2 and "island" not in "".join(x.split("]")[0] for x in plan.split("hashpartitioning(")[1:] if "ENSURE_REQUIREMENTS" in x.split("\n")[0])
+
+
+def test_flags_meet_in_one_aggregation(spark):
+    ids = lambda *ks: spark.createDataFrame([(k,) for k in ks], "feature_id int")
+    got = evaluate.flags(ids(1, 2, 2, 3, None), {"a": ids(1, 2, 2, 9, None), "b": ids(2)})
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, True, False), (2, True, True), (3, False, False), (None, False, False)]
+    assert "Join" not in shape(got) and "RepartitionByExpression" in shape(got)
+    rows = spark.createDataFrame([(1, 5), (1, None), (2, None), (3, 1), (3, 9)], "feature_id int, x int")
+    more = evaluate.marked(ids(1, 2, 3), [(rows, {"low": F.col("x") < 6, "high": F.col("x") > 6}), (ids(2), {"b": F.lit(True)})])
+    assert sorted(map(tuple, more.collect())) == [(1, True, False, False), (2, False, False, True), (3, True, True, False)]
